@@ -98,13 +98,15 @@ def flags_present(sfl: DataFrame, stat: DataFrame, flag: str = "flag", by=()) ->
 
 
 def series_arrays(df: DataFrame, x: str, height: str, keys=("pop", "date")) -> DataFrame:
-    """One ordered series per (pop, date): ``array<struct<x, height>>`` sorted by x.
+    """One ordered series per (pop, date) as two aligned arrays ``x`` and
+    ``height``, sorted by x (one 3-D line each).
 
     A series holds one element per grid bin of ``x``, so its size is bounded
     by the grid resolution, not by the data volume.
     """
     pts = F.struct(F.col(x).alias("x"), F.col(height).alias("height"))
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(pts)).alias("series"))
+    s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(pts)).alias("__s"))
+    return s.select(*keys, F.col("__s.x").alias("x"), F.col("__s.height").alias("height"))
 
 
 def hour_window(ts_col: str = "time"):
