@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cytotide.functions.numeric import nan_to_null
 from cytotide.functions.time import floor_hour, one_hour
 from cytotide.operators.filters import flag_text
-from cytotide.operators.joins import keyed_join
+from cytotide.operators.joins import plan_join
 
 # Fixed values from the reference: Stat metrics medianed per hour, and the count summed.
 HOURLY_MEDIAN_METRICS = ("opp_evt_ratio", "abundance", "fsc_med", "chl_med", "pe_med", "diameter")
@@ -73,7 +73,7 @@ def populations(df: DataFrame, pop: str = "pop", by=(), unknown: str = UNKNOWN_P
     pops = df.select(*by, pop).where(F.col(pop).isNotNull()).distinct()
     known = F.sum(F.when(F.col(pop) != F.lit(unknown), 1).otherwise(0)).alias("__known")
     stats = pops.groupBy(*by).agg(known) if by else pops.agg(known)
-    out = keyed_join(pops, stats, list(by))
+    out = plan_join(pops, stats, list(by))
     return out.withColumn("selected", (F.col(pop) != F.lit(unknown)) | (F.col("__known") == 0)) \
         .drop("__known")
 

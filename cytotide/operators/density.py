@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytotide.operators.joins import keyed_join
+from cytotide.operators.joins import broadcast_fits, keyed_join, materialize
 
 # Fixed values from the reference.
 BEAD_HEX_BINS = 110
@@ -49,9 +49,18 @@ def hex_counts(df: DataFrame, x: str = "fsc_small", y: str = "y_value", bins: in
     pkeys = by + ([panel] if panel else [])
     ykeys = pkeys if free_y else by
     pts = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y))
-    xr = (pts.groupBy(*by) if by else pts).agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"))
-    yr = (pts.groupBy(*ykeys) if ykeys else pts).agg(F.min(y).alias("__y0"), F.max(y).alias("__y1"))
-    pts = keyed_join(keyed_join(pts, xr, by), yr, ykeys)
+    # One pass for all ranges: per (keys, panel), materialised once; the
+    # shared x range and (when fixed) the y range are folded from it.
+    per_panel = (pts.groupBy(*pkeys) if pkeys else pts).agg(
+        F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1"))
+    per_panel = materialize(per_panel)
+    fits = broadcast_fits(per_panel)
+    xr = (per_panel.groupBy(*by) if by else per_panel).agg(
+        F.min("__x0").alias("__x0"), F.max("__x1").alias("__x1"))
+    yr = per_panel.select(*ykeys, "__y0", "__y1") if ykeys == pkeys else \
+        (per_panel.groupBy(*ykeys) if ykeys else per_panel).agg(
+            F.min("__y0").alias("__y0"), F.max("__y1").alias("__y1"))
+    pts = keyed_join(keyed_join(pts, xr, by, fits=fits), yr, ykeys, fits=fits)
     wx, wy = _width("__x0", "__x1", bins), _width("__y0", "__y1", bins)
     pts = pts.withColumns({"__wx": wx, "__wy": wy})
     u = (F.col(x) - F.col("__x0")) / F.col("__wx")

@@ -2,7 +2,8 @@
 
 Gating definitions (one row per id and population, with the two channels the
 gate is drawn on) and polygon vertices (one row per vertex) are small,
-parameter-sized tables; the gate side is broadcast after a size check.
+parameter-sized tables, joined without hints: Spark's statistics and AQE
+choose the join strategy.
 """
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytotide.operators.joins import sized_broadcast
-
 
 def gate_outlines(gating: DataFrame, poly: DataFrame, x: str, y: str) -> DataFrame:
     """Polygon vertices of every gate drawn on the channel pair ``{x, y}``.
@@ -31,7 +30,8 @@ def gate_outlines(gating: DataFrame, poly: DataFrame, x: str, y: str) -> DataFra
     if "point_order" in poly.columns:
         vcols.append("point_order")
     verts = poly.select(*vcols)
-    return verts.join(sized_broadcast(gates), on=["gating_id", "pop"], how="inner")
+    # Both sides are parameter-sized: Spark picks the join from its statistics.
+    return verts.join(gates, on=["gating_id", "pop"], how="inner")
 
 
 def gate_centroids(outlines: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cytotide.functions.columns import BEAD_PANEL_LABELS
 from cytotide.functions.numeric import clamp, is_finite, nearly_equal
-from cytotide.operators.joins import keyed_join
+from cytotide.operators.joins import plan_join
 
 # Fixed values from the reference: the fixed axis range of the bead plots.
 FIXED_AXIS_LIMITS = (0.0, 65536.0)
@@ -55,7 +55,7 @@ def guide_segments(params: DataFrame, keys=("filter_id",), x_range=FIXED_AXIS_LI
     stacked = params.select(*keys, *[k for k in range_keys if k not in keys], F.expr(
         f"stack(2, {', '.join(parts)}) AS (panel, m_small, b_small, m_large, b_large)"))
     if isinstance(x_range, DataFrame):
-        stacked = keyed_join(stacked, x_range.select(*range_keys, "x_min", "x_max"), list(range_keys))
+        stacked = plan_join(stacked, x_range.select(*range_keys, "x_min", "x_max"), list(range_keys))
         stacked = stacked.where(F.col("x_min").isNotNull() & F.col("x_max").isNotNull())
     else:
         stacked = stacked.withColumns({"x_min": F.lit(float(x_range[0])),

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytotide.operators.joins import keyed_join, sized_broadcast
+from cytotide.operators.joins import broadcast_fits, materialize, plan_join
 
 HOUR_MICROS = 3_600_000_000
 DAY_MICROS = 24 * HOUR_MICROS
@@ -69,7 +69,7 @@ def to_intervals(plan: DataFrame, start: str = "start_date", end: str = "end_dat
         .agg(F.min(s).alias("__bmin"))
     w_b = Window.partitionBy(*by).orderBy(b)
     next_bucket = per_bucket.withColumn("__next_b", F.lead("__bmin").over(w_b)).drop("__bmin")
-    rows = rows.join(sized_broadcast(next_bucket), on=[*by, b], how="left")
+    rows = rows.join(next_bucket, on=[*by, b], how="left")
     rows = rows.withColumn(end, F.when(s.isNotNull(), F.coalesce("__next_in", "__next_b")))
 
     if max_time is not None:
@@ -78,9 +78,9 @@ def to_intervals(plan: DataFrame, start: str = "start_date", end: str = "end_dat
                         *[F.col(t).alias(f"t{i}") for i, t in enumerate(tiebreak)])
         last = plan.groupBy(*by).agg(F.max(okey).alias("__last")) if by else \
             plan.agg(F.max(okey).alias("__last"))
-        rows = keyed_join(rows, last, by)
+        rows = plan_join(rows, last, by)
         if isinstance(max_time, DataFrame):
-            rows = keyed_join(rows, max_time.select(*by, F.col("max_time").alias("__cap")), by)
+            rows = plan_join(rows, max_time.select(*by, F.col("max_time").alias("__cap")), by)
             cap = F.col("__cap")
         else:
             cap = max_time if isinstance(max_time, Column) else F.lit(max_time)
@@ -97,7 +97,7 @@ def with_params(intervals: DataFrame, params: DataFrame, left: str = "filter_id"
     """Plan rows LEFT JOIN parameter rows on ``left = right`` (right key dropped).
 
     One plan row may meet several parameter rows (gating: one per population).
-    The parameter table is broadcast when its measured size allows.
+    Both sides are plan-sized: Spark picks the join from its statistics.
     """
     p = params.withColumnRenamed(right, "__pid") if right != left else params
     key = "__pid" if right != left else left
@@ -105,24 +105,32 @@ def with_params(intervals: DataFrame, params: DataFrame, left: str = "filter_id"
     if clash:
         raise ValueError(f"parameter columns clash with plan columns: {sorted(clash)}")
     if key == left:
-        return intervals.join(sized_broadcast(p), on=left, how="left")
-    out = intervals.join(sized_broadcast(p), F.col(left) == F.col("__pid"), "left")
+        return intervals.join(p, on=left, how="left")
+    out = intervals.join(p, F.col(left) == F.col("__pid"), "left")
     return out.drop("__pid")
 
 
 # --------------------------------------------------------------------------- J5 J6
 
 def _explode_intervals(intervals: DataFrame, start: str, end: str, by: list[str],
-                       bucket_micros: int) -> DataFrame:
+                       bucket_micros: int):
+    """Intervals exploded over the buckets they cover, materialised once.
+
+    Returns ``(exploded, caps, fits)``: ``caps`` (one row per key) is folded
+    from the materialised table, so one size probe covers both.
+    """
     s, e = F.col(start), F.col(end)
     iv = intervals.where(s.isNotNull() & (e.isNull() | (e > s)))
     iv = iv.withColumn("__b0", _bucket(s, bucket_micros)) \
            .withColumn("__b1", F.when(e.isNotNull(), _last_bucket(e, bucket_micros)))
     cap_expr = F.greatest(F.max("__b0"), F.max("__b1")).alias("__cap")
     caps = iv.groupBy(*by).agg(cap_expr) if by else iv.agg(cap_expr)
-    iv = keyed_join(iv, caps, by)
+    iv = plan_join(iv, caps, by)
     iv = iv.withColumn("__b", F.explode(F.sequence("__b0", F.coalesce("__b1", "__cap"))))
-    return iv.drop("__b0", "__b1"), caps
+    iv = materialize(iv.drop("__b0", "__b1"))
+    fits = broadcast_fits(iv)
+    caps = iv.select(*by, "__cap").distinct() if by else iv.agg(F.max("__cap").alias("__cap"))
+    return iv.drop("__cap"), caps, fits
 
 
 def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Column,
@@ -132,12 +140,14 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
     clash = (set(intervals.columns) & set(probe.columns)) - set(by)
     if clash:
         raise ValueError(f"interval columns clash with probe columns: {sorted(clash)}")
-    iv, caps = _explode_intervals(intervals, start, end, by, bucket_micros)
-    p = keyed_join(probe, caps, by)
+    iv, caps, fits = _explode_intervals(intervals, start, end, by, bucket_micros)
+    if by:
+        p = probe.join(F.broadcast(caps) if fits else caps, on=by, how="left")
+    else:
+        p = plan_join(probe, caps, by)
     p = p.withColumn("__pb", F.least(_bucket(probe_time, bucket_micros), F.col("__cap"))) \
          .drop("__cap")
-    iv = iv.drop("__cap")
-    right = sized_broadcast(iv)
+    right = F.broadcast(iv) if fits else iv
     cond = [p["__pb"] == right["__b"]] + [p[k] == right[k] for k in by]
     joined = p.join(right, on=_and(cond + [cond_fn(p, right)]), how=how)
     for k in by:

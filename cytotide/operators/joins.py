@@ -1,8 +1,11 @@
 """Join helpers: broadcast only behind a measured size bound.
 
-``sized_broadcast`` counts the (small, derived) side and multiplies by the
-schema's row width. Under the bound the side is hinted for broadcast; above
-it the frame is returned unchanged and Spark plans a shuffle join (with AQE
+``sized_broadcast`` first materialises the (small, derived) side once with a
+reliable ``checkpoint()`` into the cluster's shared ``spark.checkpoint.dir``
+— so measuring it never re-runs its lineage (which may include a pass over
+particle data) — then counts it and multiplies by the schema's row width.
+Under the bound the side is hinted for broadcast; above it the checkpointed
+frame is returned unhinted and Spark plans a shuffle join (with AQE
 skew-join splitting of hot keys).
 """
 
@@ -55,27 +58,57 @@ def broadcast_fits(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> b
     return n <= limit
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: an eager reliable checkpoint in
+    the shared checkpoint folder (survives executor loss; never local)."""
+    from cytotide.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """``F.broadcast(df)`` when it fits the bound, else ``df`` (shuffle join)."""
-    return F.broadcast(df) if broadcast_fits(df, max_bytes) else df
+    """Materialise ``df``; ``F.broadcast`` it when it fits the bound, else
+    return it for a shuffle join."""
+    small = materialize(df)
+    return F.broadcast(small) if broadcast_fits(small, max_bytes) else small
 
 
 def scalar_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 
-    Done as a broadcast hash join on a constant key (the aggregate is exactly
-    one row, so the bound is proven), keeping everything lazy.
+    Written as one uncorrelated scalar subquery (a struct of all columns):
+    Spark runs it once and inlines the value — no join, no cross product.
     """
-    k = "__scalar_k"
-    return df.withColumn(k, F.lit(0)).join(
-        F.broadcast(one_row.withColumn(k, F.lit(0))), on=k, how="left").drop(k)
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("__s")).scalar()
+    return df.withColumns({c: packed.getField(c) for c in cols})
 
 
-def keyed_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join a per-key aggregate (one row per key) back to ``df``.
+def keyed_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
+               fits: bool | None = None) -> DataFrame:
+    """Join a per-key aggregate (one row per key) back to a possibly huge ``df``.
 
     With no keys the aggregate is a single row and ``scalar_join`` is used.
+    ``fits=True`` means the caller already measured a superset of ``small``
+    (e.g. the checkpoint it was folded from): broadcast without a new check.
+    Otherwise the aggregate is materialised and measured (``sized_broadcast``).
     """
     if not keys:
         return scalar_join(df, small)
+    if fits is True:
+        return df.join(F.broadcast(small), on=keys, how=how)
+    if fits is False:
+        return df.join(small, on=keys, how=how)
     return df.join(sized_broadcast(small), on=keys, how=how)
+
+
+def plan_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join two plan- or parameter-sized tables (never particle data).
+
+    No hint and no eager size probe: Spark's planner broadcasts from its
+    statistics, and AQE re-plans from measured shuffle sizes at run time.
+    With no keys ``small`` must be one row (``scalar_join``).
+    """
+    if not keys:
+        return scalar_join(df, small)
+    return df.join(small, on=keys, how=how)

@@ -59,11 +59,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder). Only when it is unset — local runs and tests — a scratch folder
     is created and registered.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by all "
+                               "executors (a machine-local folder is not safe on a cluster)")
         path = tempfile.mkdtemp(prefix="cytotide-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path

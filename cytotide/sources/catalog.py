@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytotide.functions.columns import cruise_from_file, cruise_from_folder, require_columns
-from cytotide.operators.joins import keyed_join
+from cytotide.operators.joins import plan_join
 
 # Fixed values from the reference.
 REGISTRY_COLUMNS = ("name", "dir", "default")
@@ -138,7 +138,7 @@ def build_catalog(files: DataFrame) -> DataFrame:
     keys = ["name", "default", "cruise"]
     core = F.max(F.col("kind").isin(list(CORE_KINDS)).cast("int")).alias("__core")
     has_core = files.groupBy("name").agg(core)
-    kept = keyed_join(files, has_core, ["name"]).where(F.col("__core") == 1)
+    kept = plan_join(files, has_core, ["name"]).where(F.col("__core") == 1)
     return kept.groupBy(*keys).agg(
         *[F.max(F.when(F.col("kind") == k, F.col("item"))).alias(k) for k in KINDS])
 
