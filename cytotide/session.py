@@ -38,6 +38,8 @@ def get_session(master: str | None = None, app_name: str = "cytotide",
         if master:
             builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
+        # Checkpoint files of materialised small sides are removed once unreferenced.
+        builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         builder = builder.config("spark.driver.memory", os.environ.get("CYTOTIDE_DRIVER_MEMORY", "8g"))
         if shuffle_partitions:
             builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -1,0 +1,3 @@
+from cytotide.streaming.hourly import STAT_SCHEMA, hourly_stat_stream, read_stat_stream
+
+__all__ = ["STAT_SCHEMA", "hourly_stat_stream", "read_stat_stream"]
