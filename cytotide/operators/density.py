@@ -98,6 +98,44 @@ def pop_level(df: DataFrame, pop: str = "pop", levels=POP_LEVELS) -> DataFrame:
     return df.withColumn(pop, F.when(F.col(pop).isin(list(levels)), F.col(pop)))
 
 
+def log_bin_counts_pairs(df: DataFrame, pairs, bins: int = CYTOGRAM_BINS, by=(), pop: str = "pop",
+                         levels=POP_LEVELS, labels=None) -> DataFrame:
+    """A6 for several channel pairs with ONE pass for all ranges.
+
+    Per pair, rows with both values positive (and not NaN) are binned on
+    log10 scales whose ranges are shared by all populations of a scope. The
+    ranges of every pair come from one grouped aggregate (materialised once);
+    the particles are then stacked per pair (an Expand, no shuffle) and
+    counted. Output: keys, ``pair``, pop, ``ix``, ``iy``, ``n``.
+    """
+    by = list(by)
+    labels = list(labels or [f"{y} vs {x}" for x, y in pairs])
+    pts = pop_level(df, pop, levels)
+    logs = {}
+    for k, (x, y) in enumerate(pairs):
+        ok = (F.col(x) > 0) & (F.col(y) > 0) & ~F.isnan(x) & ~F.isnan(y)
+        logs[f"__lx{k}"] = F.when(ok, F.log10(x))
+        logs[f"__ly{k}"] = F.when(ok, F.log10(y))
+    pts = pts.select(*by, pop, *[c.alias(n) for n, c in logs.items()])
+    aggs = []
+    for k in range(len(pairs)):
+        aggs += [F.min(f"__lx{k}").alias(f"x0_{k}"), F.max(f"__lx{k}").alias(f"x1_{k}"),
+                 F.min(f"__ly{k}").alias(f"y0_{k}"), F.max(f"__ly{k}").alias(f"y1_{k}")]
+    ranges = materialize((pts.groupBy(*by) if by else pts).agg(*aggs))
+    fits = broadcast_fits(ranges)
+    stack_r = ", ".join(f"'{lab}', `x0_{k}`, `x1_{k}`, `y0_{k}`, `y1_{k}`" for k, lab in enumerate(labels))
+    ranges_long = ranges.select(*by, F.expr(
+        f"stack({len(pairs)}, {stack_r}) AS (pair, __x0, __x1, __y0, __y1)"))
+    stack_p = ", ".join(f"'{lab}', `__lx{k}`, `__ly{k}`" for k, lab in enumerate(labels))
+    long = pts.select(*by, pop, F.expr(f"stack({len(pairs)}, {stack_p}) AS (pair, __lx, __ly)")) \
+        .where(F.col("__lx").isNotNull())
+    long = long.join(F.broadcast(ranges_long) if fits else ranges_long, on=[*by, "pair"], how="inner")
+    top = F.lit(bins - 1)
+    ix = F.least(F.floor((F.col("__lx") - F.col("__x0")) / _width("__x0", "__x1", bins)), top)
+    iy = F.least(F.floor((F.col("__ly") - F.col("__y0")) / _width("__y0", "__y1", bins)), top)
+    return long.groupBy(*by, "pair", pop, ix.alias("ix"), iy.alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def log_bin_counts(df: DataFrame, x: str, y: str, bins: int = CYTOGRAM_BINS, by=(),
                    pop: str = "pop", levels=POP_LEVELS) -> DataFrame:
     """Counts of rectangular bins in log10 space per (scope keys, pop).
@@ -105,18 +143,7 @@ def log_bin_counts(df: DataFrame, x: str, y: str, bins: int = CYTOGRAM_BINS, by=
     Non-positive or missing values are removed (no log). Ranges are shared by
     all populations of a scope. Output: keys, pop, ``ix``, ``iy``, ``n``.
     """
-    by = list(by)
-    pts = pop_level(df, pop, levels)
-    pts = pts.where((F.col(x) > 0) & (F.col(y) > 0) & ~F.isnan(x) & ~F.isnan(y))
-    pts = pts.withColumns({"__lx": F.log10(x), "__ly": F.log10(y)})
-    r = (pts.groupBy(*by) if by else pts).agg(
-        F.min("__lx").alias("__x0"), F.max("__lx").alias("__x1"),
-        F.min("__ly").alias("__y0"), F.max("__ly").alias("__y1"))
-    pts = keyed_join(pts, r, by)
-    top = F.lit(bins - 1)
-    ix = F.least(F.floor((F.col("__lx") - F.col("__x0")) / _width("__x0", "__x1", bins)), top)
-    iy = F.least(F.floor((F.col("__ly") - F.col("__y0")) / _width("__y0", "__y1", bins)), top)
-    return pts.groupBy(*by, pop, ix.alias("ix"), iy.alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+    return log_bin_counts_pairs(df, [(x, y)], bins, by, pop, levels).drop("pair")
 
 
 def rescale(df: DataFrame, col: str, lo: float = 3.0, hi: float = 18.0, flat: float = 10.0,

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytotide.operators.joins import broadcast_fits, materialize, plan_join
+from cytotide.operators.joins import broadcast_fits, materialize, plan_join, sized_broadcast
 
 HOUR_MICROS = 3_600_000_000
 DAY_MICROS = 24 * HOUR_MICROS
@@ -228,4 +228,5 @@ def active_rows(df: DataFrame, active: DataFrame, keys, active_keys=None) -> Dat
     akeys = keys if active_keys is None else ([active_keys] if isinstance(active_keys, str)
                                               else list(active_keys))
     ids = active.select(*[F.col(a).alias(k) for a, k in zip(akeys, keys)]).dropna().distinct()
-    return df.join(ids, on=keys, how="left_semi")
+    # ``df`` may be particle data: the id list is measured before broadcasting.
+    return df.join(sized_broadcast(ids), on=keys, how="left_semi")

@@ -14,12 +14,13 @@ from cytotide.functions.columns import unpivot_panels
 from cytotide.functions.numeric import untransform
 from cytotide.functions.time import floor_hour, iso_text
 from cytotide.operators.aggregates import extent, hourly_stat, ridgeline, series_arrays
-from cytotide.operators.density import hex_counts, log_bin_counts, rescale
+from cytotide.operators.density import hex_counts, log_bin_counts_pairs, rescale
 from cytotide.operators.filters import (DEFAULT_EXCLUDED_FLAGS, aligned, exclude_flags, keep_pops,
                                         plottable, valid_segments)
 from cytotide.operators.gating import gate_centroids, gate_outlines
 from cytotide.operators.intervals import (active_at, active_in_hour, active_rows, last_match,
                                           to_intervals, with_params)
+from cytotide.operators.joins import sized_broadcast
 from cytotide.operators.opp import select_opp
 from cytotide.sources.tables import sfl_series, stat_series
 
@@ -94,7 +95,7 @@ def attach_params(particles: DataFrame, intervals: DataFrame, time: str = "time"
         return active_at(particles, intervals, time=time, by=by, how="left")
     at = active_at(anchors, intervals, time="anchor_time", by=by, how="left").drop("anchor_time")
     p = particles.withColumn("hour", floor_hour(time))
-    return p.join(at, on=[*by, "hour"], how="left")
+    return p.join(sized_broadcast(at), on=[*by, "hour"], how="left")
 
 
 def bead_density(particles: DataFrame, kind: str = "evt", by=(), align: bool = True,
@@ -130,11 +131,7 @@ def gating_cytograms(vct: DataFrame, scope: str = "hour", by=(), pairs=GATING_CH
     time point (``scope='point'``) or hour."""
     key = floor_hour(time).alias("scope_time") if scope == "hour" else F.col(time).alias("scope_time")
     df = vct.select("*", key)
-    out = None
-    for x, y in pairs:
-        c = log_bin_counts(df, x, y, by=[*by, "scope_time"]).withColumn("pair", F.lit(f"{y} vs {x}"))
-        out = c if out is None else out.unionByName(c)
-    return out
+    return log_bin_counts_pairs(df, list(pairs), by=[*by, "scope_time"])
 
 
 def gating_outlines(gating: DataFrame, poly: DataFrame, pairs=GATING_CHANNEL_PAIRS) -> DataFrame:
