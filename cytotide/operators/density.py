@@ -3,7 +3,7 @@
 Bin rules (ours; plotting-library internals are not part of the reference,
 so exact cell parity with a plotting package is not claimed):
 
-* Rectangular log bins (A6): ``lo = min(log10 v)``, ``w = (max - min) / bins``,
+* Rectangular log bins (A6), on ``log10`` rounded to 1e-9: ``lo = min(log10 v)``, ``w = (max - min) / bins``,
   ``i = least(floor((log10 v - lo) / w), bins - 1)``; a flat range puts
   every value in bin 0.
 * Hexagonal bins (A5), the two-lattice rule of Carr et al. (1987):
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytotide.functions.numeric import stable_log10
 from cytotide.operators.joins import broadcast_fits, keyed_join, materialize
 
 # Fixed values from the reference.
@@ -114,8 +115,8 @@ def log_bin_counts_pairs(df: DataFrame, pairs, bins: int = CYTOGRAM_BINS, by=(),
     logs = {}
     for k, (x, y) in enumerate(pairs):
         ok = (F.col(x) > 0) & (F.col(y) > 0) & ~F.isnan(x) & ~F.isnan(y)
-        logs[f"__lx{k}"] = F.when(ok, F.log10(x))
-        logs[f"__ly{k}"] = F.when(ok, F.log10(y))
+        logs[f"__lx{k}"] = F.when(ok, stable_log10(x))
+        logs[f"__ly{k}"] = F.when(ok, stable_log10(y))
     pts = pts.select(*by, pop, *[c.alias(n) for n, c in logs.items()])
     aggs = []
     for k in range(len(pairs)):

@@ -34,11 +34,22 @@ def gate_outlines(gating: DataFrame, poly: DataFrame, x: str, y: str) -> DataFra
     return verts.join(gates, on=["gating_id", "pop"], how="inner")
 
 
-def gate_centroids(outlines: DataFrame) -> DataFrame:
+# Vertex coordinates are summed as fixed-scale decimals: the mean is then
+# independent of partitioning and summation order.
+CENTROID_SCALE = 6
+
+
+def exact_mean(c: str, scale: int = CENTROID_SCALE):
+    """Mean of ``c`` (missing removed) from an exact decimal sum."""
+    total = F.sum(F.col(c).cast(f"decimal(38,{scale})")).cast("double")
+    return total / F.count(c).cast("double")
+
+
+def gate_centroids(outlines: DataFrame, keys=("gating_id", "pop")) -> DataFrame:
     """A4: label position of each gate: mean x and y of its vertices (missing
     removed), with ``pop_order`` when present."""
-    keys = ["gating_id", "pop"] + (["pop_order"] if "pop_order" in outlines.columns else [])
-    return outlines.groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    keys = list(keys) + (["pop_order"] if "pop_order" in outlines.columns else [])
+    return outlines.groupBy(*keys).agg(exact_mean("x").alias("x"), exact_mean("y").alias("y"))
 
 
 def polygons_for_pop(poly: DataFrame, pop: str) -> DataFrame:

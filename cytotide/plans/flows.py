@@ -145,8 +145,7 @@ def gating_outlines(gating: DataFrame, poly: DataFrame, pairs=GATING_CHANNEL_PAI
 
 def gating_centroids(outlines: DataFrame) -> DataFrame:
     """A4 per channel pair."""
-    keys = ["pair", "gating_id", "pop"] + (["pop_order"] if "pop_order" in outlines.columns else [])
-    return outlines.groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return gate_centroids(outlines, keys=("pair", "gating_id", "pop"))
 
 
 def active_gating(scope_rows: DataFrame, intervals: DataFrame, gating: DataFrame,

@@ -148,7 +148,7 @@ def _vct_active(spark, sf):
 
 
 _UNTRANSFORM = ", ".join(
-    f"CASE WHEN {c} > 0 THEN log10({c}) / 3.5::DOUBLE * 65536.0::DOUBLE END AS {c}"
+    f"CASE WHEN {c} > 0 THEN round(log10({c}), 9) / 3.5::DOUBLE * 65536.0::DOUBLE END AS {c}"
     for c in ("D1", "D2", "fsc_small", "chl_small", "pe"))
 VCT_ACTIVE_SQL = f"""vct_active AS (
   SELECT v.time, v.pop, v.diameter, v.qc, v.filter_id, v.gating_id, {_UNTRANSFORM.replace('CASE WHEN ', 'CASE WHEN v.')}
@@ -187,10 +187,10 @@ def _cytogram_sql() -> str:
        count(*) AS n, '{y} vs {x}' AS pair
 FROM (SELECT l.*, r.x0, r.x1, r.y0, r.y1
       FROM (SELECT date_trunc('hour', time) AS scope_time, CASE WHEN pop IN ({levels}) THEN pop END AS pop,
-                   log10({x}) AS lx, log10({y}) AS ly
+                   round(log10({x}), 9) AS lx, round(log10({y}), 9) AS ly
             FROM vct WHERE {x} > 0 AND {y} > 0 AND NOT isnan({x}) AND NOT isnan({y})) l
-      JOIN (SELECT date_trunc('hour', time) AS scope_time, min(log10({x})) AS x0, max(log10({x})) AS x1,
-                   min(log10({y})) AS y0, max(log10({y})) AS y1
+      JOIN (SELECT date_trunc('hour', time) AS scope_time, min(round(log10({x}), 9)) AS x0,
+                   max(round(log10({x}), 9)) AS x1, min(round(log10({y}), 9)) AS y0, max(round(log10({y}), 9)) AS y1
             FROM vct WHERE {x} > 0 AND {y} > 0 AND NOT isnan({x}) AND NOT isnan({y}) GROUP BY 1) r
       USING (scope_time))
 GROUP BY 1, 2, 3, 4""")
@@ -222,12 +222,13 @@ def q_gate_outlines(spark, sf):
 
 
 @register("gate_centroids", "WITH o AS (" + _outline_sql() + """)
-SELECT pair, gating_id, pop, pop_order, round(avg(x), 4) AS x, round(avg(y), 4) AS y
+SELECT pair, gating_id, pop, pop_order,
+       CAST(sum(CAST(x AS DECIMAL(38, 6))) AS DOUBLE) / CAST(count(x) AS DOUBLE) AS x,
+       CAST(sum(CAST(y AS DECIMAL(38, 6))) AS DOUBLE) / CAST(count(y) AS DOUBLE) AS y
 FROM o GROUP BY pair, gating_id, pop, pop_order""")
 def q_gate_centroids(spark, sf):
     """A4: label position (vertex mean) of each gate on each channel pair."""
-    c = gating_centroids(gating_outlines(S.gating(spark, sf), S.poly(spark, sf)))
-    return c.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+    return gating_centroids(gating_outlines(S.gating(spark, sf), S.poly(spark, sf)))
 
 
 @register("polygons_for_pop", "SELECT * FROM poly WHERE pop = 'building'")
