@@ -74,16 +74,13 @@ def parse_time(df: DataFrame, col: str, mode: str = "column", by: list[str] | No
         return df.withColumn(out, F.coalesce(hms, hm))
     if mode != "column":
         raise ValueError(f"mode must be 'column', 'row' or 'hms', not {mode!r}")
+    from cytotide.operators.joins import keyed_join  # local: avoids an import cycle
     keys = list(by or [])
     flag = "__any_hms_ok"
     stats = df.groupBy(*keys).agg(F.max(hms.isNotNull()).alias(flag)) if keys else \
         df.agg(F.max(hms.isNotNull()).alias(flag))
-    if keys:
-        joined = df.join(F.broadcast(stats), on=keys, how="left")
-    else:
-        # One-row scalar: joined on a constant key (a broadcast hash join).
-        joined = df.withColumn("__k", F.lit(0)).join(
-            F.broadcast(stats.withColumn("__k", F.lit(0))), on="__k").drop("__k")
+    # One row per key (a scalar subquery without keys), measured before any broadcast.
+    joined = keyed_join(df, stats, keys)
     return joined.withColumn(out, F.when(F.coalesce(F.col(flag), F.lit(False)), hms).otherwise(hm)) \
         .drop(flag)
 
