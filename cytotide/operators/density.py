@@ -81,8 +81,10 @@ def hex_counts(df: DataFrame, x: str = "fsc_small", y: str = "y_value", bins: in
         "i": F.when(first, F.col("__ia")).otherwise(F.col("__ib")),
         "j": F.when(first, F.col("__ja")).otherwise(F.col("__jb")),
     })
-    counts = pts.groupBy(*pkeys, "lattice", "i", "j", "__x0", "__wx", "__y0", "__wy") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    # The range columns depend only on (keys, panel): carried as aggregates,
+    # not hashed as grouping keys.
+    counts = pts.groupBy(*pkeys, "lattice", "i", "j").agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("__x0", "__wx", "__y0", "__wy")])
     half = F.col("lattice") * F.lit(0.5)
     return counts.select(
         *pkeys, "lattice", "i", "j",
