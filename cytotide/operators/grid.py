@@ -32,13 +32,14 @@ def decode_bins(gridded: DataFrame, bins: DataFrame, channels=GRID_CHANNELS, idx
     fits = broadcast_fits(small)
     out = gridded
     for ch in channels:
-        side = small.select(*by, F.col(idx).alias(f"__{ch}_idx"), F.col(ch).alias(f"__{ch}_v"))
+        # Unique names on the bins side: matched by name, never by lineage.
+        side = small.select(*[F.col(k).alias(f"__{ch}_{k}") for k in by],
+                            F.col(idx).alias(f"__{ch}_idx"), F.col(ch).alias(f"__{ch}_v"))
         side = F.broadcast(side) if fits else side
-        cond = [out[f"{ch}_coord"] == side[f"__{ch}_idx"]] + [out[k] == side[k] for k in by]
+        cond = [F.col(f"{ch}_coord") == F.col(f"__{ch}_idx")] + \
+            [F.col(k) == F.col(f"__{ch}_{k}") for k in by]
         out = out.join(side, on=_and(cond), how="left")
-        for k in by:
-            out = out.drop(side[k])
-        out = out.drop(f"__{ch}_idx")
+        out = out.drop(f"__{ch}_idx", *[f"__{ch}_{k}" for k in by])
     out = out.drop(*[c for c in out.columns if c.endswith("_coord")])
     out = out.withColumnsRenamed({f"__{ch}_v": ch for ch in channels})
     if diameter and "Qc" in channels:

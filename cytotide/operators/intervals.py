@@ -136,6 +136,11 @@ def _explode_intervals(intervals: DataFrame, start: str, end: str, by: list[str]
 def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Column,
                          cond_fn, start: str, end: str, by, how: str,
                          bucket_micros: int) -> DataFrame:
+    """Equi-join on (keys, bucket) plus the exact range predicate.
+
+    Columns are matched by unique names (the interval side's keys are
+    renamed), so probe and plan may even come from the same source table.
+    """
     by = list(by)
     clash = (set(intervals.columns) & set(probe.columns)) - set(by)
     if clash:
@@ -147,12 +152,11 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
         p = plan_join(probe, caps, by)
     p = p.withColumn("__pb", F.least(_bucket(probe_time, bucket_micros), F.col("__cap"))) \
          .drop("__cap")
-    right = F.broadcast(iv) if fits else iv
-    cond = [p["__pb"] == right["__b"]] + [p[k] == right[k] for k in by]
-    joined = p.join(right, on=_and(cond + [cond_fn(p, right)]), how=how)
-    for k in by:
-        joined = joined.drop(right[k])
-    return joined.drop("__pb", "__b")
+    right = iv.withColumnsRenamed({k: f"__r_{k}" for k in by})
+    right = F.broadcast(right) if fits else right
+    cond = [F.col("__pb") == F.col("__b")] + [F.col(k) == F.col(f"__r_{k}") for k in by]
+    joined = p.join(right, on=_and(cond + [cond_fn()]), how=how)
+    return joined.drop("__pb", "__b", *[f"__r_{k}" for k in by])
 
 
 def _and(conds):
@@ -172,8 +176,9 @@ def active_at(points: DataFrame, intervals: DataFrame, time: str = "time",
     Intervals from ``to_intervals`` never overlap, so each point gets at most
     one row; for arbitrary intervals use ``last_match`` afterwards (W3).
     """
-    def cond(p, r):
-        return (r[start] <= p[time]) & (r[end].isNull() | (p[time] < r[end]))
+    def cond():
+        t, s, e = F.col(time), F.col(start), F.col(end)
+        return (s <= t) & (e.isNull() | (t < e))
     return _bucketed_range_join(points, intervals, F.col(time), cond, start, end, by, how,
                                 bucket_micros)
 
@@ -183,9 +188,9 @@ def active_in_hour(hours: DataFrame, intervals: DataFrame, hour: str = "hour",
                    how: str = "inner") -> DataFrame:
     """Every interval overlapping the UTC hour ``[hour, hour + 1h)``:
     ``start < hour_end AND (end IS NULL OR end > hour)``. Many per hour allowed."""
-    def cond(p, r):
-        h = p[hour]
-        return (r[start] < h + F.expr("INTERVAL 1 HOUR")) & (r[end].isNull() | (r[end] > h))
+    def cond():
+        h, s, e = F.col(hour), F.col(start), F.col(end)
+        return (s < h + F.expr("INTERVAL 1 HOUR")) & (e.isNull() | (e > h))
     return _bucketed_range_join(hours, intervals, F.col(hour), cond, start, end, by, how,
                                 HOUR_MICROS)
 

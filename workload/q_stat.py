@@ -261,3 +261,71 @@ def q_active_polygons(spark, sf):
     pts = _stat_f(spark, sf).select("time").distinct()
     act = active_at(pts, _gating_intervals(spark, sf), how="inner")
     return active_polygons(S.poly(spark, sf), act)
+
+
+# ------------------------------------------------------------------ keyed (several cruises at once)
+
+def _with_cruise(df, key="user_id"):
+    """Stand-in cruise key: three cruises, from the user id of each event."""
+    return df.withColumn("cruise", F.concat(F.lit("C"), (F.col(key) % 3).cast("string")))
+
+
+CRUISE_STAT_SQL = """cstat AS (
+  SELECT 'C' || CAST(user_id % 3 AS VARCHAR) AS cruise, CAST(ts AS TIMESTAMP) AS time, event_type AS pop,
+         value AS abundance, CAST(CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id % 4 END AS INTEGER) AS flag,
+         CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS n_count
+  FROM events WHERE NOT coalesce(CAST(CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id % 4 END AS VARCHAR)
+                                 IN ('1', '2', '3'), false)),
+cplan AS (
+  SELECT 'C' || CAST(user_id % 3 AS VARCHAR) AS cruise, CAST(ts AS TIMESTAMP) AS start_date, user_id AS filter_id
+  FROM events WHERE event_type = 'signup'),
+cmax AS (SELECT 'C' || CAST(user_id % 3 AS VARCHAR) AS cruise, max(CAST(ts AS TIMESTAMP)) AS max_time
+         FROM events GROUP BY 1),
+civ AS (
+  SELECT s.cruise, s.start_date, s.filter_id,
+         CASE WHEN rn = cnt AND end0 IS NULL THEN m.max_time ELSE end0 END AS end_date
+  FROM (SELECT cruise, start_date, filter_id,
+               lead(start_date) OVER (PARTITION BY cruise ORDER BY start_date ASC NULLS LAST, filter_id ASC NULLS LAST) AS end0,
+               row_number() OVER (PARTITION BY cruise ORDER BY start_date ASC NULLS LAST, filter_id ASC NULLS LAST) AS rn,
+               count(*) OVER (PARTITION BY cruise) AS cnt
+        FROM cplan) s JOIN cmax m USING (cruise))"""
+
+
+def _cruise_events(spark, sf):
+    e = _with_cruise(S.table(spark, sf, "events"))
+    stat = e.select(
+        "cruise", F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("pop"),
+        F.col("value").alias("abundance"),
+        F.when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("user_id") % 4).cast("int").alias("flag"),
+        F.when(F.col("event_id") % 5 == 0, F.lit(None))
+         .otherwise(F.get_json_object("props", "$.k").cast("bigint")).alias("n_count"))
+    plan = e.where(F.col("event_type") == "signup").select(
+        "cruise", F.col("ts").cast("timestamp").alias("start_date"), F.col("user_id").alias("filter_id"))
+    caps = e.groupBy("cruise").agg(F.max(F.col("ts").cast("timestamp")).alias("max_time"))
+    return exclude_flags(stat), plan, caps
+
+
+@register("cruise_hourly_stat", "WITH " + CRUISE_STAT_SQL + f"""
+SELECT cruise, date_trunc('hour', time) AS time, pop, round(median(abundance), {R2}) AS abundance,
+       CAST(coalesce(sum(n_count), 0) AS BIGINT) AS n_count
+FROM cstat GROUP BY 1, 2, 3""")
+def q_cruise_hourly_stat(spark, sf):
+    """A1 keyed by cruise: hourly medians and count sums for three cruises at once."""
+    stat, _, _ = _cruise_events(spark, sf)
+    out = hourly_stat(stat, by=["cruise"], medians=["abundance"])
+    return out.withColumn("abundance", F.round("abundance", R2))
+
+
+@register("cruise_filter_at_points", "WITH " + CRUISE_STAT_SQL + """
+SELECT cruise, time, start_date, end_date, filter_id FROM (
+  SELECT p.cruise, p.time, i.start_date, i.end_date, i.filter_id,
+         row_number() OVER (PARTITION BY p.cruise, p.time ORDER BY i.start_date DESC NULLS LAST) AS rn
+  FROM (SELECT DISTINCT cruise, time FROM cstat) p
+  LEFT JOIN civ i ON i.cruise = p.cruise AND i.start_date <= p.time AND (i.end_date IS NULL OR p.time < i.end_date))
+WHERE rn = 1""")
+def q_cruise_filter_at_points(spark, sf):
+    """W1 + W2 + J5 + W3 keyed by cruise: each cruise's plan (capped at its own
+    last time) applied to its own Stat points."""
+    stat, plan, caps = _cruise_events(spark, sf)
+    iv = to_intervals(plan, by=["cruise"], tiebreak=["filter_id"], max_time=caps)
+    return params_at_points(stat, iv, by=["cruise"])
