@@ -1,9 +1,10 @@
 """Aggregations and set operations.
 
 Every grouped aggregate here is algebraic (sum / count / min / max / avg,
-partially aggregated map-side) except the median of ``hourly_stat``, whose
-groups are bounded by construction: one Stat row per (3-minute point, pop),
-so at most ~20 rows per (hour, pop) per cruise.
+partially aggregated map-side) except the medians of ``hourly_stat``, which
+go through ``exact_median``: bounded groups (one Stat row per 3-minute point
+and pop gives ~20 rows per hour) use Spark's exact median in one pass, and
+any hot group is split off and solved by distributed histogram refinement.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from cytotide.functions.numeric import nan_to_null
 from cytotide.functions.time import floor_hour, one_hour
 from cytotide.operators.filters import flag_text
 from cytotide.operators.joins import plan_join
+from cytotide.operators.median import SMALL_GROUP_ROWS, exact_median
 
 # Fixed values from the reference: Stat metrics medianed per hour, and the count summed.
 HOURLY_MEDIAN_METRICS = ("opp_evt_ratio", "abundance", "fsc_med", "chl_med", "pe_med", "diameter")
@@ -24,12 +26,17 @@ UNKNOWN_POP = "unknown"
 
 
 def hourly_stat(df: DataFrame, time: str = "time", pop: str = "pop", by=(),
-                medians=HOURLY_MEDIAN_METRICS, total: str = HOURLY_SUM_METRIC) -> DataFrame:
+                medians=HOURLY_MEDIAN_METRICS, total: str = HOURLY_SUM_METRIC,
+                small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """A1: one row per (hour, pop): exact median of each metric (missing
-    removed) and the sum of counts, 0 when every count is missing (T4)."""
-    aggs = [F.median(nan_to_null(m)).alias(m) for m in medians]
-    aggs.append(F.coalesce(F.sum(total), F.lit(0).cast("bigint")).alias(total))
-    return df.groupBy(*by, floor_hour(time).alias(time), pop).agg(*aggs)
+    removed) and the sum of counts, 0 when every count is missing (T4).
+
+    Groups above ``small_group_rows`` rows are medianed by the distributed
+    path of ``exact_median`` instead of one task per group."""
+    hourly = df.withColumn(time, floor_hour(time))
+    count_sum = F.coalesce(F.sum(total), F.lit(0).cast("bigint")).alias(total)
+    return exact_median(hourly, [*by, time, pop], list(medians), small_rows=small_group_rows,
+                        extra_aggs=[count_sum])
 
 
 def _strict_sum(c: str):

@@ -1,0 +1,139 @@
+"""Exact grouped medians that stay distributed when one group is huge.
+
+Spark's exact ``median`` merges one value->count map per group in a single
+task: fine for bounded groups (an hour of 3-minute Stat points), not for a
+hot key holding a large share of all rows. ``exact_median`` splits groups by
+measured size:
+
+* small groups (``<= small_rows`` rows): ``F.median``, one aggregation;
+* hot groups: exact order-statistic selection by histogram refinement. Each
+  round is one distributed pass: candidate values of every hot group are
+  counted into ``buckets`` equal-width buckets between the candidates'
+  min and max (a partially aggregated groupBy, at most ``groups x buckets``
+  rows), the buckets holding the two middle ranks are kept, and the value
+  range shrinks by about ``buckets``x (when the two middle ranks fall in
+  different buckets they are read off directly). Once a hot group has at most
+  ``small_rows`` candidates, they are sorted per group (bounded) and the two
+  middle values picked. Equal values end a group early (its range is flat).
+
+The result equals ``F.median`` (linear interpolation between the two middle
+values, ``0.5 * a + 0.5 * b``). NULL and NaN values are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cytotide.operators.joins import broadcast_fits, materialize
+
+SMALL_GROUP_ROWS = 1_000_000
+BUCKETS = 4096
+MAX_ROUNDS = 12
+
+
+def _values(df: DataFrame, keys, col: str) -> DataFrame:
+    return df.select(*keys, F.col(col).cast("double").alias("__v")) \
+        .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+
+
+def _pick(cands: DataFrame, state: DataFrame, keys) -> DataFrame:
+    """Sorted candidates per group (bounded) -> interpolated middle value."""
+    arr = cands.groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias("__a"))
+    j = arr.join(state, on=keys)
+    a = F.element_at("__a", (F.col("__klo") - F.col("__below") + 1).cast("int"))
+    b = F.element_at("__a", (F.col("__khi") - F.col("__below") + 1).cast("int"))
+    return j.select(*keys, (F.lit(0.5) * a + F.lit(0.5) * b).alias("__med"))
+
+
+def _hot_median(values: DataFrame, hot: DataFrame, keys, small_rows: int, buckets: int,
+                max_rounds: int) -> DataFrame:
+    """Exact median of each hot group (``hot`` = keys + ``__n`` non-missing count)."""
+    keys = list(keys)
+    fits = broadcast_fits(hot)
+    v = values.join(F.broadcast(hot.select(*keys)) if fits else hot.select(*keys), on=keys,
+                    how="left_semi")
+    first = v.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    state = materialize(hot.join(first, on=keys).select(
+        *keys, "__lo", "__hi", F.col("__n").alias("__c"), F.lit(0).cast("long").alias("__below"),
+        F.floor((F.col("__n") - 1) / 2).alias("__klo"), F.ceil((F.col("__n") - 1) / 2).alias("__khi")))
+    done = []
+    for _ in range(max_rounds):
+        # Groups whose candidate range is flat or small enough are finished.
+        flat = state.where(F.col("__lo") == F.col("__hi"))
+        done.append(flat.select(*keys, F.col("__lo").alias("__med")))
+        open_ = state.where(F.col("__lo") < F.col("__hi"))
+        few = open_.where(F.col("__c") <= small_rows)
+        if few.limit(1).count() > 0:
+            c = v.join(F.broadcast(few) if fits else few, on=keys) \
+                .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))).select(*keys, "__v")
+            done.append(_pick(c, few, keys))
+        state = open_.where(F.col("__c") > small_rows)
+        if state.limit(1).count() == 0:
+            break
+        # One refinement round: histogram of the candidates of every open group.
+        st = F.broadcast(state) if fits else state
+        c = v.join(st, on=keys).where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+        width = (F.col("__hi") - F.col("__lo")) / F.lit(float(buckets))
+        b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(buckets - 1))
+        hist = materialize(c.groupBy(*keys, b.alias("__b")).agg(
+            F.count(F.lit(1)).alias("__cnt"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax")))
+        w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+        h = hist.withColumn("__cum", F.sum("__cnt").over(w)).join(
+            state.select(*keys, "__below", "__klo", "__khi"), on=keys)
+        # Buckets holding rank klo and khi (ranks are 0-based, cum counts 1-based).
+        lo_rank = F.col("__klo") - F.col("__below")
+        hi_rank = F.col("__khi") - F.col("__below")
+        prev = F.col("__cum") - F.col("__cnt")
+        has_lo = (prev <= lo_rank) & (lo_rank < F.col("__cum"))
+        has_hi = (prev <= hi_rank) & (hi_rank < F.col("__cum"))
+        blo = h.where(has_lo).select(*keys, F.col("__b").alias("__b_lo"), F.col("__bmin").alias("__nlo"),
+                                     F.col("__bmax").alias("__alo"), F.col("__cnt").alias("__nc"),
+                                     (F.col("__below") + prev).alias("__nbelow"))
+        bhi = h.where(has_hi).select(*keys, F.col("__b").alias("__b_hi"), F.col("__bmin").alias("__ahi"),
+                                     F.col("__bmax").alias("__nhi"))
+        pair = materialize(blo.join(bhi, on=keys))
+        # The two middle ranks are consecutive: in different buckets, the lower
+        # one is its bucket's max and the upper one the next bucket's min.
+        done.append(pair.where(F.col("__b_lo") != F.col("__b_hi")).select(
+            *keys, (F.lit(0.5) * F.col("__alo") + F.lit(0.5) * F.col("__ahi")).alias("__med")))
+        same = pair.where(F.col("__b_lo") == F.col("__b_hi")).select(
+            *keys, F.col("__nlo").alias("__lo"), F.col("__nhi").alias("__hi"), F.col("__nc").alias("__c"),
+            F.col("__nbelow").alias("__below"))
+        state = materialize(same.join(state.select(*keys, "__klo", "__khi"), on=keys))
+    else:
+        raise RuntimeError("exact_median: refinement did not converge")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def exact_median(df: DataFrame, keys, cols, small_rows: int = SMALL_GROUP_ROWS,
+                 buckets: int = BUCKETS, max_rounds: int = MAX_ROUNDS, extra_aggs=()) -> DataFrame:
+    """Exact median of each column in ``cols`` per group of ``keys``, hot groups split.
+
+    Returns one row per group with a column per input column (NULL when the
+    group has no value for it), plus ``extra_aggs`` (aliased algebraic
+    aggregates, computed in the same grouped pass).
+    """
+    keys, cols, extra_aggs = list(keys), list(cols), list(extra_aggs)
+    sizes = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")))
+    hot_keys = sizes.where(F.col("__rows") > small_rows)
+    small = df.join(sizes.where(F.col("__rows") <= small_rows).select(*keys), on=keys, how="left_semi") \
+        if hot_keys.limit(1).count() > 0 else df
+    result = small.groupBy(*keys).agg(*[F.median(F.when(~F.isnan(c), F.col(c))).alias(c) for c in cols],
+                                      *extra_aggs)
+    if small is df:
+        return result
+    hot_parts = None
+    for c in cols:
+        vals = _values(df.join(hot_keys.select(*keys), on=keys, how="left_semi"), keys, c)
+        counts = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        med = _hot_median(vals, counts, keys, small_rows, buckets, max_rounds).withColumnRenamed("__med", c)
+        med = hot_keys.select(*keys).join(med, on=keys, how="left")
+        hot_parts = med if hot_parts is None else hot_parts.join(med, on=keys, how="full")
+    if extra_aggs:
+        extra = df.join(hot_keys.select(*keys), on=keys, how="left_semi").groupBy(*keys).agg(*extra_aggs)
+        hot_parts = hot_parts.join(extra, on=keys, how="left")
+    return result.unionByName(hot_parts)

@@ -1,0 +1,45 @@
+"""Exact grouped median with hot-group splitting equals Spark's median."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from cytotide.operators.median import exact_median
+
+
+def _check(spark, rows, small_rows, buckets=16):
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    got = {r.g: (r.v, r.w) for r in exact_median(df, ["g"], ["v", "w"], small_rows=small_rows,
+                                                  buckets=buckets).collect()}
+    want = {r.g: (r.v, r.w) for r in df.groupBy("g").agg(
+        F.median(F.when(~F.isnan("v"), F.col("v"))).alias("v"), F.median("w").alias("w")).collect()}
+    assert got == want
+
+
+def test_hot_groups_match_spark_median(spark):
+    rnd = random.Random(1)
+    rows = [("hot", rnd.gauss(0, 1), rnd.uniform(0, 10)) for _ in range(3000)]
+    rows += [("hot2", float(rnd.randrange(0, 5)), None) for _ in range(501)]          # ties, all-NULL w
+    rows += [("cold", rnd.random(), rnd.random()) for _ in range(7)]
+    rows += [("two", 0.0, 1.0)] * 300 + [("two", 1e9, 2.0)] * 300                     # split clusters
+    rows += [("nan", float("nan"), 1.0), ("nan", 2.0, 3.0)]
+    _check(spark, rows, small_rows=50)
+
+
+def test_all_small_uses_plain_median(spark):
+    rows = [("a", float(i), float(-i)) for i in range(10)] + [("b", 1.0, None)]
+    _check(spark, rows, small_rows=1000)
+
+
+def test_hourly_stat_hot_path_equals_plain(spark):
+    import datetime as dt
+    from cytotide.operators import hourly_stat
+    rnd = random.Random(4)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(seconds=rnd.randrange(0, 7200)), rnd.choice(["p", "q"]), rnd.random(),
+             None if rnd.random() < 0.1 else rnd.randrange(0, 5)) for _ in range(800)]
+    df = spark.createDataFrame(rows, "time timestamp, pop string, abundance double, n_count long")
+    plain = {(r.time, r.pop): (r.abundance, r.n_count) for r in hourly_stat(df, medians=["abundance"]).collect()}
+    hot = {(r.time, r.pop): (r.abundance, r.n_count)
+           for r in hourly_stat(df, medians=["abundance"], small_group_rows=100).collect()}
+    assert plain == hot
