@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytotide.functions.numeric import equivalent_diameter
-from cytotide.operators.joins import broadcast_fits
+from cytotide.operators.joins import broadcast_fits, materialize
 
 # Fixed values from the reference: decoded channels of the gridded data.
 GRID_CHANNELS = ("fsc_small", "chl_small", "pe", "Qc")
@@ -28,7 +28,7 @@ def decode_bins(gridded: DataFrame, bins: DataFrame, channels=GRID_CHANNELS, idx
     per channel (see ``cytotide.sources.parquet.grid_bins``).
     """
     by = list(by)
-    small = bins.select(*by, idx, *channels)
+    small = materialize(bins.select(*by, idx, *channels))  # computed once, shared by all channels
     fits = broadcast_fits(small)
     out = gridded
     for ch in channels:
