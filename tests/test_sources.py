@@ -104,3 +104,52 @@ def test_grid_bins_row_position_and_scan(spark):
     assert s.columns == ["pe"] and s.count() == 2
     assert "PushedFilters: [IsNotNull(fsc_small), GreaterThan(fsc_small,1.0)]" in \
         s._jdf.queryExecution().executedPlan().toString()
+
+
+def _scan_files_read(df):
+    """Number of files the Parquet scan opened in the DataFrame's own execution."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    try:
+        plan = plan.finalPhysicalPlan()
+    except Exception:  # noqa: BLE001
+        pass
+    total, stack = 0, [plan]
+    while stack:
+        n = stack.pop()
+        m = n.metrics()
+        if n.nodeName().startswith("Scan") and m.contains("numFiles"):
+            total += m.get("numFiles").get().value()
+        it = n.children().iterator()
+        while it.hasNext():
+            stack.append(it.next())
+    return total
+
+
+def test_vct_hour_selection_prunes_files(spark):
+    d = tempfile.mkdtemp(prefix="cyto-vct-prune-")
+    vdir = os.path.join(d, "CR7_vct")
+    os.makedirs(vdir)
+    for h in range(6):
+        t = pa.table({"date": pa.array([dt.datetime(2024, 1, 1, h)] * 3, pa.timestamp("us")), "q50": [True] * 3,
+                      "pop_q50": ["beads"] * 3, "D1": [1.0] * 3, "D2": [1.0] * 3, "fsc_small": [1.0] * 3,
+                      "chl_small": [1.0] * 3, "pe": [1.0] * 3, "diam_mid_q50": [1.0] * 3,
+                      "Qc_mid_q50": [1.0] * 3, "filter_id": [1.0] * 3, "gating_id": [1.0] * 3})
+        pq.write_table(t, os.path.join(vdir, f"2024-01-01T{h:02d}-00-00+00-00.1H.vct.parquet"))
+    one = read_vct(spark, vdir, at="2024-01-01T03:10:00Z")
+    assert _scan_files_read(one) == 1
+    assert {r.time for r in one.collect()} == {dt.datetime(2024, 1, 1, 3)}
+
+
+def test_sfl_text_time_meets_stat_timestamps_T11(spark):
+    from cytotide.operators import sfl_only_count
+    from cytotide.sources import sfl_series
+    cols = "date string, lat string, lon string, conductivity double, salinity double, ocean_tmp double, " \
+           "par double, stream_pressure double, event_rate double, flag int"
+    sfl = spark.createDataFrame([("2024-01-01T00:00:00Z", "1", "2", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0),
+                                 ("2024-01-01T00:03:00Z", "x", "2", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0)], cols)
+    stat = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0),)], "time timestamp")
+    s = sfl_series(sfl)
+    assert s.schema["time"].dataType.typeName() == "timestamp"
+    assert [r.lat for r in s.orderBy("time").collect()] == [1.0, None]
+    assert sfl_only_count(s, stat).first().n == 1
