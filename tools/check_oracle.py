@@ -49,6 +49,32 @@ def norm(v):
     return v
 
 
+def spark_kind(dt) -> str:
+    n = dt.typeName()
+    if n in ("byte", "short", "integer", "long"):
+        return "int"
+    if n in ("float", "double", "decimal"):
+        return "float"
+    if n in ("timestamp", "timestamp_ntz", "date"):
+        return "time"
+    if n == "array":
+        return "list"
+    return {"string": "text", "boolean": "bool"}.get(n, n)
+
+
+def duck_kind(t: str) -> str:
+    t = str(t).upper()
+    if t.endswith("[]"):
+        return "list"
+    if t in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT"):
+        return "int"
+    if t in ("FLOAT", "DOUBLE") or t.startswith("DECIMAL"):
+        return "float"
+    if t.startswith("TIMESTAMP") or t == "DATE":
+        return "time"
+    return {"VARCHAR": "text", "BOOLEAN": "bool"}.get(t, t)
+
+
 def key(row):
     return tuple((0, "") if x is None else (1, repr(x) if not isinstance(x, (int, float)) else x)
                  for x in row)
@@ -103,6 +129,18 @@ def main():
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")
             bad += 1
             continue
+        okinds = {d[0]: duck_kind(d[1]) for d in rel.description}
+        skinds = {f.name: spark_kind(f.dataType) for f in sdf.schema.fields}
+        bad_types = {c: (skinds.get(c), okinds[c]) for c in okinds if skinds.get(c) != okinds[c]}
+        if bad_types:
+            print(f"TYPE {name}: {bad_types}")
+        widths = {"integer": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "short": "SMALLINT", "byte": "TINYINT", "float": "FLOAT"}
+        fine = {d[0]: (sdf.schema[d[0]].dataType.typeName(), str(d[1])) for d in rel.description
+                if d[0] in sdf.columns and sdf.schema[d[0]].dataType.typeName() in widths
+                and widths[sdf.schema[d[0]].dataType.typeName()] != str(d[1])}
+        if fine:
+            print(f"WIDTH {name}: {fine}")
         order = sorted(range(len(ocols)), key=lambda i: ocols[i])
         orows = [tuple(norm(r[i]) for i in order) for r in orows_raw]
         if sorted(ocols) != scols:
