@@ -15,8 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Default bound for a broadcast side (bytes, estimated).
+# Default bound for a broadcast side (bytes, estimated); a session may set
+# ``spark.cytotide.broadcastMaxBytes`` instead.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_CONF = "spark.cytotide.broadcastMaxBytes"
+
+
+def broadcast_bound(df: DataFrame) -> int:
+    """The byte bound for broadcast sides in ``df``'s session."""
+    v = df.sparkSession.conf.get(BROADCAST_CONF, None)
+    return int(v) if v else DEFAULT_BROADCAST_BYTES
 
 
 def _type_bytes(dt: T.DataType) -> int:
@@ -45,7 +53,7 @@ def estimated_row_bytes(df: DataFrame) -> int:
     return max(8, sum(_type_bytes(f.dataType) for f in df.schema.fields))
 
 
-def broadcast_fits(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+def broadcast_fits(df: DataFrame, max_bytes: int | None = None) -> bool:
     """True when ``rows * width`` of ``df`` is under ``max_bytes``.
 
     Runs one count job; only call it on sides that are small by design (plans,
@@ -53,7 +61,7 @@ def broadcast_fits(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> b
     The count stops early: at most ``limit + 1`` rows are counted.
     """
     width = estimated_row_bytes(df)
-    limit = max(1, max_bytes // width)
+    limit = max(1, (max_bytes or broadcast_bound(df)) // width)
     n = df.limit(limit + 1).count()
     return n <= limit
 
@@ -66,7 +74,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+def sized_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Materialise ``df``; ``F.broadcast`` it when it fits the bound, else
     return it for a shuffle join."""
     small = materialize(df)
