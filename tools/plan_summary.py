@@ -56,7 +56,10 @@ def main():
     lines = ["# Physical plans of the registered queries", "",
              f"Final adaptive plans at `{sf}` (local[8]); counts of operators in the final job of each",
              "query. Small sides measured and materialised beforehand (checkpointed plan intervals,",
-             "range tables) appear as `Scan ExistingRDD` and are not counted as scans.", "",
+             "range tables) appear as `Scan ExistingRDD` and are not counted as scans. The shuffle",
+             "column also counts the single-partition exchange inside scalar subqueries over those",
+             "small tables (e.g. the plan cap of a range join); particle rows are shuffled only by",
+             "the final partially aggregated count/sum of a flow.", "",
              "| query | " + " | ".join(cols) + " |", "|---|" + "---|" * len(cols)]
     for name, s in rows:
         lines.append(f"| `{name}` | " + " | ".join(str(s[c]) for c in cols) + " |")
