@@ -1,8 +1,9 @@
 """The reference's data flows (Q1-Q11), batched over every key at once.
 
 The reference answers for one cruise and one selected time point; here each
-flow computes the answer for every cruise / hour / point in one Spark plan.
-A single selection is the same flow followed by a filter (``at=``).
+flow computes the answer for every cruise / hour / point at once (small
+sides are measured and materialised first, then one job over the data). A
+single selection is the same flow followed by a filter (``at=``).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from cytotide.operators.filters import (DEFAULT_EXCLUDED_FLAGS, aligned, exclude
 from cytotide.operators.gating import gate_centroids, gate_outlines
 from cytotide.operators.intervals import (active_at, active_in_hour, active_rows, last_match,
                                           to_intervals, with_params)
-from cytotide.operators.joins import sized_broadcast
+from cytotide.operators.joins import keyed_join, sized_broadcast
 from cytotide.operators.opp import select_opp
 from cytotide.sources.tables import sfl_series, stat_series
 
@@ -135,7 +136,8 @@ def gating_cytograms(vct: DataFrame, scope: str = "hour", by=(), pairs=GATING_CH
 
 
 def gating_outlines(gating: DataFrame, poly: DataFrame, pairs=GATING_CHANNEL_PAIRS) -> DataFrame:
-    """Q7: polygon outlines and centroid labels for every channel pair."""
+    """Q7: polygon outlines (vertex rows) for every channel pair; labels come
+    from ``gating_centroids``."""
     out = None
     for x, y in pairs:
         o = gate_outlines(gating, poly, x, y).withColumn("pair", F.lit(f"{y} vs {x}"))
@@ -198,7 +200,6 @@ def ridgeline_flow(decoded: DataFrame, x: str = "fsc_small", pops=None, start=No
             else F.col("time_min")
         hi = F.least(F.col("time_max"), F.lit(end).cast("timestamp")) if end is not None \
             else F.col("time_max")
-        from cytotide.operators.joins import keyed_join
         df = keyed_join(df, ext, list(by)).where((F.col("date") >= lo) & (F.col("date") < hi)) \
             .drop("time_min", "time_max")
     return ridgeline(df, x, by=by)

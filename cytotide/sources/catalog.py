@@ -132,9 +132,10 @@ def assert_unique(files: DataFrame, keys=("name", "kind", "cruise"), show: int =
 
 def build_catalog(files: DataFrame) -> DataFrame:
     """J3 (+ G4): one row per (data set, default, cruise) with one path column
-    per kind — the full outer join of the five per-kind tables, written as one
-    grouped pivot. A data set without any outlier db, bead file or VCT folder
-    contributes no rows, even if it has grid files (T2)."""
+    per kind — equal to the full outer join of the five per-kind tables when
+    each (data set, kind, cruise) has one file (what ``assert_unique`` / D1
+    checks), written as one grouped pivot. A data set without any outlier db,
+    bead file or VCT folder contributes no rows, even if it has grid files (T2)."""
     keys = ["name", "default", "cruise"]
     core = F.max(F.col("kind").isin(list(CORE_KINDS)).cast("int")).alias("__core")
     has_core = files.groupBy("name").agg(core)

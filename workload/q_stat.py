@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from cytotide.functions.time import floor_hour, parse_time
 from cytotide.operators import (active_at, active_in_hour, conflicting_gates, exclude_flags,
-                                extent, flags_present, hourly_stat, in_hour, keep_pops,
-                                keep_quantile, last_match, sfl_only_count, time_points,
-                                to_intervals, with_params)
+                                extent, flags_present, hourly_stat, in_hour, keep_quantile,
+                                sfl_only_count, time_points, to_intervals)
 from cytotide.plans import (active_gating, active_polygons, filter_intervals,
                             filter_param_segments, params_at_points, sfl_metrics, stat_metrics)
 from cytotide.sources import sfl_series, stat_series
