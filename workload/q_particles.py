@@ -314,3 +314,22 @@ def q_guide_segments_data(spark, sf):
     xr = value_range(long, ["fsc_small"], by=["hour"]).withColumnsRenamed(
         {"fsc_small_min": "x_min", "fsc_small_max": "x_max"})
     return guide_segments(hp, keys=["hour"], x_range=xr, range_keys=["hour"])
+
+
+@register("opp_selection_anchored", f"""WITH anc AS (SELECT DISTINCT date_trunc('hour', time) AS hour FROM bead),
+ap AS (SELECT a.hour, p.* EXCLUDE (quantile, start_date, end_date)
+       FROM anc a LEFT JOIN order_ivp p
+         ON p.start_date <= a.hour + INTERVAL 30 MINUTE
+        AND (p.end_date IS NULL OR a.hour + INTERVAL 30 MINUTE < p.end_date)),
+bp AS (SELECT b.*, ap.* EXCLUDE (hour) FROM bead b JOIN ap ON date_trunc('hour', b.time) = ap.hour)
+SELECT time, fsc_small, D1, D2, filter_id FROM bp WHERE {OPP_PRED}""")
+def q_opp_selection_anchored(spark, sf):
+    """Q1 with the reference's anchoring: each hour's particles use the filter
+    in force at that hour's selected point (here the mid-hour point), even if
+    the plan changes inside the hour."""
+    beads = _beads(spark, sf)
+    anchors = beads.select(floor_hour("time").alias("hour")).distinct() \
+        .withColumn("anchor_time", F.col("hour") + F.expr("INTERVAL 30 MINUTES"))
+    iv = _order_intervals(spark, sf).drop("quantile")
+    p = attach_params(beads, iv, anchors=anchors).drop("hour", "start_date", "end_date")
+    return select_opp(p).select("time", "fsc_small", "D1", "D2", "filter_id")
