@@ -96,7 +96,12 @@ def close(a, b):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_session("local[8]", shuffle_partitions=8)
+    extra = {}
+    for kv in os.environ.get("CHECK_CONF", "").split(","):
+        if "=" in kv:
+            k, v = kv.split("=", 1)
+            extra[k] = v
+    spark = get_session("local[8]", shuffle_partitions=int(os.environ.get("CHECK_PARTITIONS", "8")), extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles = workload.load()
     con = duckdb.connect()
