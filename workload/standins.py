@@ -41,8 +41,13 @@ def _quantile_of(c):
 
 def stat_raw(spark, sf):
     """Stat table: one row per event (time, pop = event type, metrics)."""
-    e = table(spark, sf, "events")
+    return stat_raw_from(table(spark, sf, "events"))
+
+
+def stat_raw_from(e: DataFrame, keep=()) -> DataFrame:
+    """Stat rows from an events frame; ``keep`` columns (e.g. a cruise key) are carried."""
     return e.select(
+        *keep,
         F.col("ts").cast("timestamp").alias("time"),
         F.col("event_type").alias("pop"),
         _quantile_of(F.col("user_id")).alias("quantile"),
