@@ -153,3 +153,23 @@ def test_sfl_text_time_meets_stat_timestamps_T11(spark):
     assert s.schema["time"].dataType.typeName() == "timestamp"
     assert [r.lat for r in s.orderBy("time").collect()] == [1.0, None]
     assert sfl_only_count(s, stat).first().n == 1
+
+
+def test_sfl_with_outlier_flags(spark):
+    from cytotide.sources import read_sfl_with_flags, sfl_series
+    d = tempfile.mkdtemp(prefix="cyto-sfl-")
+    db = os.path.join(d, "CR3.outlier.db")
+    con = sqlite3.connect(db)
+    con.execute("CREATE TABLE sfl (file_id TEXT, date TEXT, lat TEXT, lon TEXT, conductivity REAL, salinity REAL, "
+                "ocean_tmp REAL, par REAL, stream_pressure REAL, event_rate REAL)")
+    con.execute("CREATE TABLE outlier (file_id TEXT, flag INTEGER)")
+    con.executemany("INSERT INTO sfl VALUES (?,?,?,?,?,?,?,?,?,?)",
+                    [(f"f{i}", f"2024-01-01T00:{3 * i:02d}:00Z", "21.5", "-158.0", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
+                     for i in range(5)])
+    con.executemany("INSERT INTO outlier VALUES (?,?)", [("f0", 0), ("f1", 1), ("f2", 2)])
+    con.commit()
+    con.close()
+    s = sfl_series(read_sfl_with_flags(spark, db), by=["cruise"])
+    flags = {r.time.minute: r.flag for r in s.collect()}
+    assert flags == {0: 0, 3: 1, 6: 2, 9: None, 12: None}   # files without an outlier row keep a NULL flag
+    assert {r.cruise for r in s.collect()} == {"CR3"}
