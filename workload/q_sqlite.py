@@ -27,16 +27,24 @@ def _writer(folder: str):
 
     def write(rows):
         import sqlite3
-        cons = {}
+        cons, pending = {}, {}
+
+        def flush(cruise):
+            cons[cruise].executemany(insert, pending[cruise])
+            pending[cruise] = []
+
         try:
             for r in rows:
-                con = cons.get(r["cruise"])
-                if con is None:
-                    con = sqlite3.connect(os.path.join(folder, f"{r['cruise']}.outlier.db"))
-                    con.execute(f"CREATE TABLE stat ({ddl})")
-                    cons[r["cruise"]] = con
-                con.execute(insert, tuple(r[c] for c in cols))
-            for con in cons.values():
+                c = r["cruise"]
+                if c not in cons:
+                    cons[c] = sqlite3.connect(os.path.join(folder, f"{c}.outlier.db"))
+                    cons[c].execute(f"CREATE TABLE stat ({ddl})")
+                    pending[c] = []
+                pending[c].append(tuple(r[k] for k in cols))
+                if len(pending[c]) >= 10_000:
+                    flush(c)
+            for c, con in cons.items():
+                flush(c)
                 con.commit()
         finally:
             for con in cons.values():
