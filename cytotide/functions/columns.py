@@ -51,6 +51,11 @@ def cruise_from_folder(path: Column) -> Column:
     return F.regexp_replace(base, r"_(opp|vct)$", "")
 
 
+def cruise_key(path: Column, kind: Column) -> Column:
+    """Cruise of a catalog item — folder rule for ``vct_dir`` items, file rule otherwise."""
+    return F.when(kind == F.lit("vct_dir"), cruise_from_folder(path)).otherwise(cruise_from_file(path))
+
+
 def unpivot_panels(df: DataFrame, keys: list[str] | None = None,
                    x: str = "fsc_small", channels=BEAD_PANEL_CHANNELS,
                    labels=BEAD_PANEL_LABELS) -> DataFrame:

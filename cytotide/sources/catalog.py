@@ -13,7 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cytotide.functions.columns import cruise_from_file, cruise_from_folder, require_columns
+from cytotide.functions.columns import cruise_key, require_columns
 from cytotide.operators.joins import plan_join
 
 # Fixed values from the reference.
@@ -78,11 +78,11 @@ def classify_files(paths: DataFrame, path: str = "path") -> DataFrame:
                              .when(p.rlike(GRID_FILE), "grid_file")
                              .when(p.rlike(GRIDDED_FILE), "gridded_file"))
     plain = files.where(F.col("kind").isNotNull()).withColumn("item", p) \
-        .withColumn("cruise", cruise_from_file(p))
+        .withColumn("cruise", cruise_key(F.col("item"), F.col("kind")))
     dirs = paths.select(*[c for c in paths.columns if c != path],
                         F.explode(_ancestors(p)).alias("item")) \
         .where(F.element_at(F.split("item", "/"), -1).rlike(VCT_DIR)).distinct() \
-        .withColumn("kind", F.lit("vct_dir")).withColumn("cruise", cruise_from_folder(F.col("item")))
+        .withColumn("kind", F.lit("vct_dir")).withColumn("cruise", cruise_key(F.col("item"), F.col("kind")))
     cols = [c for c in paths.columns if c != path] + ["kind", "cruise", "item"]
     return plain.select(*cols).unionByName(dirs.select(*cols))
 
