@@ -99,6 +99,25 @@ def attach_params(particles: DataFrame, intervals: DataFrame, time: str = "time"
     return p.join(sized_broadcast(at), on=[*by, "hour"], how="left")
 
 
+def opp_selection(particles: DataFrame, intervals: DataFrame, anchor: str = "row",
+                  anchors: DataFrame | None = None, time: str = "time", by=()) -> DataFrame:
+    """Q1: particles passing the filter whose parameters are in force.
+
+    ``anchor='row'``: at each particle's own time. ``anchor='selected'``:
+    at the selected point of the particle's hour (``anchors``: keys, ``hour``,
+    ``anchor_time``), for the whole hour — the reference's behaviour.
+    """
+    if anchor == "selected":
+        if anchors is None:
+            raise ValueError("anchor='selected' needs an anchors frame (keys, hour, anchor_time)")
+        attached = attach_params(particles, intervals, time=time, by=by, anchors=anchors).drop("hour")
+    elif anchor == "row":
+        attached = attach_params(particles, intervals, time=time, by=by)
+    else:
+        raise ValueError(f"anchor must be 'row' or 'selected', not {anchor!r}")
+    return select_opp(attached)
+
+
 def bead_density(particles: DataFrame, kind: str = "evt", by=(), align: bool = True,
                  free_y: bool = True, time: str = "time") -> DataFrame:
     """Q6: hexagon counts of the four bead panels per (keys, hour).

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from cytotide.functions.columns import BEAD_PANEL_CHANNELS, BEAD_PANEL_LABELS, unpivot_panels
 from cytotide.functions.time import floor_hour
 from cytotide.operators import (active_at, aligned, guide_hlines, guide_segments, guide_vlines,
-                                in_hour, keep_quantile, polygons_for_pop, select_opp, value_range)
+                                in_hour, keep_quantile, polygons_for_pop, value_range)
 from cytotide.plans import (attach_params, bead_density, filter_intervals, gating_centroids,
-                            gating_cytograms, gating_outlines)
+                            gating_cytograms, gating_outlines, opp_selection)
 from cytotide.plans.flows import GATING_CHANNEL_PAIRS
 from cytotide.sources import bead_sample, vct_columns
 from workload import standins as S
@@ -123,7 +123,8 @@ def q_bead_hex_evt(spark, sf):
 SELECT time, fsc_small, D1, D2, filter_id FROM bead_p WHERE {OPP_PRED}""")
 def q_opp_selection(spark, sf):
     """Q1 (J5, J12, P9): bead events passing the filter in force at their time."""
-    return select_opp(_beads_p(spark, sf)).select("time", "fsc_small", "D1", "D2", "filter_id")
+    out = opp_selection(_beads(spark, sf), _order_intervals(spark, sf).drop("quantile"))
+    return out.select("time", "fsc_small", "D1", "D2", "filter_id")
 
 
 @register("bead_hex_opp", f"WITH opp AS (SELECT date_trunc('hour', time) AS hour, * FROM bead_p "
@@ -331,5 +332,5 @@ def q_opp_selection_anchored(spark, sf):
     anchors = beads.select(floor_hour("time").alias("hour")).distinct() \
         .withColumn("anchor_time", F.col("hour") + F.expr("INTERVAL 30 MINUTES"))
     iv = _order_intervals(spark, sf).drop("quantile")
-    p = attach_params(beads, iv, anchors=anchors).drop("hour", "start_date", "end_date")
-    return select_opp(p).select("time", "fsc_small", "D1", "D2", "filter_id")
+    out = opp_selection(beads, iv, anchor="selected", anchors=anchors)
+    return out.select("time", "fsc_small", "D1", "D2", "filter_id")
