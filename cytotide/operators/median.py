@@ -118,14 +118,16 @@ def exact_median(df: DataFrame, keys, cols, small_rows: int = SMALL_GROUP_ROWS,
     aggregates, computed in the same grouped pass).
     """
     keys, cols, extra_aggs = list(keys), list(cols), list(extra_aggs)
-    sizes = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")))
+    medians = [F.median(F.when(~F.isnan(c), F.col(c))).alias(c) for c in cols]
+    group_rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    # One scalar probe (partially aggregated): the largest group decides the path.
+    largest = group_rows.agg(F.max("__rows")).first()[0]
+    if largest is None or largest <= small_rows:
+        return df.groupBy(*keys).agg(*medians, *extra_aggs)
+    sizes = materialize(group_rows)
     hot_keys = sizes.where(F.col("__rows") > small_rows)
-    small = df.join(sizes.where(F.col("__rows") <= small_rows).select(*keys), on=keys, how="left_semi") \
-        if hot_keys.limit(1).count() > 0 else df
-    result = small.groupBy(*keys).agg(*[F.median(F.when(~F.isnan(c), F.col(c))).alias(c) for c in cols],
-                                      *extra_aggs)
-    if small is df:
-        return result
+    small = df.join(sizes.where(F.col("__rows") <= small_rows).select(*keys), on=keys, how="left_semi")
+    result = small.groupBy(*keys).agg(*medians, *extra_aggs)
     hot_parts = None
     for c in cols:
         vals = _values(df.join(hot_keys.select(*keys), on=keys, how="left_semi"), keys, c)
