@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cytotide.functions.columns import unpivot_panels
 from cytotide.functions.numeric import untransform
 from cytotide.functions.time import floor_hour, iso_text
-from cytotide.operators.aggregates import extent, hourly_stat, ridgeline, series_arrays
+from cytotide.operators.aggregates import extent, hourly_stat, populations, ridgeline, series_arrays
 from cytotide.operators.density import hex_counts, log_bin_counts_pairs, rescale
 from cytotide.operators.filters import (DEFAULT_EXCLUDED_FLAGS, aligned, exclude_flags, keep_pops,
                                         plottable, valid_segments)
@@ -190,20 +190,30 @@ def active_polygons(poly: DataFrame, active: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Q9 Q10
 
+def select_pops(df: DataFrame, pops, pop: str = "pop", by=()) -> DataFrame:
+    """P4 with the reference's default: ``pops='default'`` keeps the A8 default
+    selection computed from the data (all populations but 'unknown', or all
+    when nothing else exists) via a semi join; a list keeps those; None keeps all."""
+    if pops is None:
+        return df
+    if isinstance(pops, str) and pops == "default":
+        chosen = populations(df, pop=pop, by=by).where(F.col("selected")).select(*by, pop)
+        return df.join(chosen, on=[*by, pop], how="left_semi")
+    return keep_pops(df, pops, pop)
+
+
 def gridded_scatter(decoded: DataFrame, x: str = "fsc_small", y: str = "chl_small", z: str = "pe",
-                    size: str = "n", pops=None, log_axes=(True, True, True), by=()) -> DataFrame:
+                    size: str = "n", pops="default", log_axes=(True, True, True), by=()) -> DataFrame:
     """Q9: gridded rows per hour for a 3-D scatter: selected populations,
     all four columns present, log axes positive, marker size rescaled to
     3..18 within each hour (10 when flat)."""
-    df = decoded.withColumn("hour", floor_hour("date"))
-    if pops is not None:
-        df = keep_pops(df, pops)
+    df = select_pops(decoded.withColumn("hour", floor_hour("date")), pops, by=by)
     logs = [c for c, on in zip((x, y, z), log_axes) if on]
     df = plottable(df, [x, y, z, size], logs)
     return rescale(df, size, by=[*by, "hour"])
 
 
-def ridgeline_flow(decoded: DataFrame, x: str = "fsc_small", pops=None, start=None, end=None,
+def ridgeline_flow(decoded: DataFrame, x: str = "fsc_small", pops="default", start=None, end=None,
                    per_hour: bool = True, by=()) -> DataFrame:
     """Q10: ridgeline sums per (date, pop, x).
 
@@ -212,7 +222,7 @@ def ridgeline_flow(decoded: DataFrame, x: str = "fsc_small", pops=None, start=No
     Otherwise ``[start, end)`` is a manual range clamped to the extent
     ``[min date, max date + 1h)`` (A3 + F6).
     """
-    df = decoded if pops is None else keep_pops(decoded, pops)
+    df = select_pops(decoded, pops, by=by)
     if not per_hour:
         ext = extent(decoded, time="date", pad_hours=1, by=by)
         lo = F.greatest(F.col("time_min"), F.lit(start).cast("timestamp")) if start is not None \
