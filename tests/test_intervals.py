@@ -67,9 +67,13 @@ def test_active_at_matches_brute_force(spark):
                       max_time=base + dt.timedelta(days=9))
     ivs = [(r.start_date, r.end_date, r.filter_id) for r in iv.collect()]
     pts = [(base + dt.timedelta(minutes=rnd.randrange(-100, 60 * 24 * 12)),) for _ in range(500)]
-    got = {}
-    for r in active_at(spark.createDataFrame(pts, "time timestamp"), iv).collect():
+    got, rows_per_point = {}, {}
+    joined = active_at(spark.createDataFrame(pts, "time timestamp").distinct(), iv).collect()
+    for r in joined:
         got.setdefault(r.time, set()).add(r.filter_id)
+        rows_per_point[r.time] = rows_per_point.get(r.time, 0) + 1
+    # Property: non-overlapping plan intervals give at most one row per point.
+    assert max(rows_per_point.values()) == 1
     for (t,) in pts:
         want = {f for s, e, f in ivs if s is not None and s <= t and (e is None or t < e)} or {None}
         assert got[t] == want
