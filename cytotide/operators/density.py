@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytotide.functions.numeric import stable_log10
-from cytotide.operators.joins import broadcast_fits, keyed_join, materialize
+from cytotide.operators.joins import broadcast_fits, keyed_join, materialize, plan_join
 
 # Fixed values from the reference.
 BEAD_HEX_BINS = 110
@@ -61,7 +61,10 @@ def hex_counts(df: DataFrame, x: str = "fsc_small", y: str = "y_value", bins: in
     yr = per_panel.select(*ykeys, "__y0", "__y1") if ykeys == pkeys else \
         (per_panel.groupBy(*ykeys) if ykeys else per_panel).agg(
             F.min("__y0").alias("__y0"), F.max("__y1").alias("__y1"))
-    pts = keyed_join(keyed_join(pts, xr, by, fits=fits), yr, ykeys, fits=fits)
+    # One range row per (keys, panel): the particles meet a single small table
+    # (one hash probe when broadcast, one shuffle when not).
+    ranges = plan_join(plan_join(per_panel.select(*pkeys), xr, by), yr, ykeys)
+    pts = keyed_join(pts, ranges, pkeys, fits=fits)
     wx, wy = _width("__x0", "__x1", bins), _width("__y0", "__y1", bins)
     pts = pts.withColumns({"__wx": wx, "__wy": wy})
     u = (F.col(x) - F.col("__x0")) / F.col("__wx")

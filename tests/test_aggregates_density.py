@@ -118,3 +118,9 @@ def test_guide_segments_split_and_parallel(spark):
     assert seg[("D1 vs fsc_small", "small")] == (0.0, 20.0)
     assert seg[("D1 vs fsc_small", "large")] == (20.0, 100.0)
     assert ("D2 vs fsc_small", "small") not in seg and seg[("D2 vs fsc_small", "large")] == (0.0, 100.0)
+
+
+def test_hex_counts_without_panel_or_keys(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(50)], "fsc_small double, y_value double")
+    out = hex_counts(df, panel=None)
+    assert out.agg(F.sum("n")).first()[0] == 50 and "panel" not in out.columns
