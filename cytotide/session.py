@@ -71,6 +71,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by all "
                                "executors (a machine-local folder is not safe on a cluster)")
         path = tempfile.mkdtemp(prefix="cytotide-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:  # recorded for readers of the conf; some deployments reject core keys at run time
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001
+            pass
     sc.setCheckpointDir(path)
     return path
