@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -77,3 +78,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
             pass
     sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set = set()
+PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship_code(spark: SparkSession, *package_dirs: str) -> None:
+    """Make Python packages importable on executors (``addPyFile`` of a zip).
+
+    Needed where executor-side Python runs library code (the SQLite
+    DataSource reader). Done once per application and package; defaults to
+    this package.
+    """
+    sc = spark.sparkContext
+    for pkg in package_dirs or (PACKAGE_DIR,):
+        pkg = os.path.abspath(pkg)
+        key = (sc.applicationId, pkg)
+        if key in _SHIPPED:
+            continue
+        out = os.path.join(tempfile.mkdtemp(prefix="cytotide-py-"), os.path.basename(pkg) + ".zip")
+        with zipfile.ZipFile(out, "w") as z:
+            for root, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        sc.addPyFile(out)
+        _SHIPPED.add(key)

@@ -139,6 +139,9 @@ class SQLiteDataSource(DataSource):
 
 
 def register_sqlite(spark: SparkSession) -> None:
+    """Register the source (and ship this package to executors, where it runs)."""
+    from cytotide.session import ship_code
+    ship_code(spark)
     spark.dataSource.register(SQLiteDataSource)
 
 
