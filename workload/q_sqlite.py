@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cytotide.session import checkpoint_dir
+from cytotide.session import checkpoint_dir, ship_code
 from cytotide.sources import read_sqlite, stat_series
 from workload import standins as S
 from workload.registry import register
@@ -77,6 +77,7 @@ def q_sqlite_stat(spark, sf):
     The folder is under the session's shared checkpoint directory: SQLite
     needs a POSIX path that every executor can open.
     """
+    ship_code(spark, os.path.dirname(os.path.abspath(__file__)))  # the writer runs on executors
     folder = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"sqlite-{uuid.uuid4().hex}")
     os.makedirs(folder, exist_ok=True)
     e = S.table(spark, sf, "events")
