@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytotide.llm.common import materialize, pick, sized_broadcast, word_count
+from cytotide.llm.common import materialize, pick, sized_broadcast, word_count, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -127,3 +127,23 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = M
     rows = materialize(mix_rows(docs, seed))
     out = mix(rows, mix_plan(rows, weights, max_epochs))
     return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("cut_words")).drop("key")
+
+
+def mixed_copies(docs: DataFrame, columns: tuple[str, ...], weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+                 seed: str = SEED) -> DataFrame:
+    """The mix itself: the named columns of each document once per whole copy,
+    and once more, cut to its first words, where the source's cut falls into it.
+
+    Only the plan is joined to the texts. ``n_chars``, if named, follows the cut text.
+    """
+    plan = mix_plan(materialize(mix_rows(docs, seed)), weights, max_epochs)
+    d = pick(docs, *columns)
+    ws = words(F.col("text"))
+    d = mix(d.withColumns({"size": F.size(ws).cast("long"), "key": mix_key(F.col("doc_id"), seed)}), plan)
+    last = F.when(F.col("cut_words") > 0, F.array("cut_words")).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumn("take", F.explode(F.concat(F.array_repeat("size", F.col("epochs").cast("int")), last)))
+    d = d.withColumn("text", F.when(F.col("take") < F.col("size"), F.array_join(F.slice(ws, 1, F.col("take").cast("int")), " "))
+                     .otherwise(F.col("text")))
+    if "n_chars" in columns:
+        d = d.withColumn("n_chars", F.when(F.col("take") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")))
+    return d.select(*columns)

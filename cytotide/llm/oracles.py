@@ -3,6 +3,28 @@
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES = {
+    "op1_decontaminate": r"""
+WITH i AS (
+  SELECT item_id, md5(array_to_string(ws, ' ')) AS item_key, ws, least(len(ws), 5) AS k
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM benchmark WHERE text IS NOT NULL)
+  WHERE len(ws) > 0),
+s AS (
+  SELECT DISTINCT item_id, item_key, k, array_to_string(ws[p:p + k - 1], ' ') AS shingle
+  FROM (SELECT item_id, item_key, k, ws, unnest(range(1, len(ws) - k + 2)) AS p FROM i)),
+n AS (SELECT item_id, item_key, count(*) AS n_item FROM s GROUP BY ALL),
+d AS (
+  SELECT row, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents) WHERE text IS NOT NULL),
+r AS (
+  SELECT row, doc_id, k, array_to_string(ws[p:p + k - 1], ' ') AS shingle
+  FROM (SELECT row, doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS p
+        FROM d CROSS JOIN (SELECT DISTINCT k FROM i) WHERE len(ws) >= k)),
+m AS (
+  SELECT row, doc_id, item_id, item_key, count(DISTINCT shingle) AS n_shared
+  FROM r JOIN s USING (k, shingle) GROUP BY row, doc_id, item_id, item_key)
+SELECT doc_id, m.item_id, CAST(n_item AS INTEGER) AS n_item, n_shared, n_shared / n_item AS containment
+FROM m JOIN n ON m.item_id IS NOT DISTINCT FROM n.item_id AND m.item_key = n.item_key
+WHERE n_shared >= 0.8 * n_item - 1e-9""",
     "op4_mix_sources": f"""
 WITH d AS (
   SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size,
