@@ -74,7 +74,7 @@ def _rolled(words: np.ndarray, width: int) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> bytes:
     """Values as bytes, all first bytes before all second ones, which packs sorted and small numbers well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
 def _values(b: bytes, kind: type) -> np.ndarray:
