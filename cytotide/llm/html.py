@@ -149,26 +149,26 @@ def _squeezed(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _gather(node: Node, gone: frozenset, blocks: list[list[str]], protected: bool) -> None:
+def _gather(root: Node, gone: frozenset, blocks: list[list[str]]) -> None:
     """Add a branch's text to the blocks; a list is a block, and block elements begin and end one."""
-    if node.noise:
-        return
-    protected = protected and node.bare and node.tag in _PLAIN or node.tag in ("article", "main")
-    if node.key in gone and not protected:
-        return
-    edge = node.tag in _BLOCKS
-    if edge:
-        blocks.append([])
-    for child in node.children:
-        if isinstance(child, str):
-            blocks[-1].append(child)
-        elif child.tag in ("br", "td", "th"):
+    todo: list = [(root, False)]
+    while todo:
+        node, protected = todo.pop()
+        if node is None:
+            blocks.append([])
+            continue
+        if isinstance(node, str):
+            blocks[-1].append(node)
+            continue
+        protected = protected and node.bare and node.tag in _PLAIN or node.tag in ("article", "main")
+        if node.noise or node.key in gone and not protected:
+            continue
+        if node.tag in _BLOCKS:
+            blocks.append([])
+            todo.append((None, False))
+        elif node.tag in ("br", "td", "th"):
             blocks[-1].append(" ")
-            _gather(child, gone, blocks, protected)
-        else:
-            _gather(child, gone, blocks, protected)
-    if edge:
-        blocks.append([])
+        todo += [(c, protected) for c in reversed(node.children)]
 
 
 def _articles(node: Node) -> list[Node]:
@@ -190,7 +190,7 @@ def main_text(html: str | None, gone: frozenset = frozenset()) -> str:
     """Blocks of the page's article (or of what is left of the whole page), without the branches in ``gone``."""
     blocks: list[list[str]] = [[]]
     for x in _articles(parse(html or "")):
-        _gather(x, gone, blocks, False)
+        _gather(x, gone, blocks)
         blocks.append([])
     return "\n\n".join(b for b in map(_squeezed, blocks) if b)
 
@@ -198,7 +198,8 @@ def main_text(html: str | None, gone: frozenset = frozenset()) -> str:
 def _observe(html: str, held: Counter, at: str) -> None:
     """Count a page's nodes, presentations and text blocks under its host.
 
-    Keys: (host, node, ancestors, kind, value), kinds p (pages with the node), s (a presentation) and f (pages with the text).
+    Keys: (host, path, kind, value, children), kinds p (pages with the node), s (a presentation) and f (pages with
+    the text). The path has the node's ancestors for f, else the node alone.
     """
     seen = set()
     todo = [(parse(html), ())]
@@ -207,8 +208,8 @@ def _observe(html: str, held: Counter, at: str) -> None:
         above = (*above, node.key)
         own = [c for c in node.children if not isinstance(c, str)]
         style = xxhash.xxh64_intdigest(",".join("#" if isinstance(c, str) else c.names for c in node.children if not isinstance(c, str) or c.strip())) >> 1
-        held[at, above, "s", style, len(node.children)] += 1
-        seen.add((at, above, "p", 0, 0))
+        held[at, above[-1:], "s", style, len(node.children)] += 1
+        seen.add((at, above[-1:], "p", 0, 0))
         texts = _squeezed([c for c in node.children if isinstance(c, str)])
         if texts:
             seen.add((at, above, "f", xxhash.xxh64_intdigest(texts) >> 1, 0))
@@ -241,12 +242,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     counts = d.mapInPandas(count, "host string, node bigint, above array<bigint>, kind string, value bigint, children bigint, n bigint")
     values = counts.groupBy("host", "node", "kind", "value").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("children")).alias("children"), F.first("above").alias("above"))
+    above = F.first(F.when(F.col("kind") == "f", F.col("above")), ignorenulls=True)
     x_ln_x = F.col("n") * F.log(F.col("n").cast("double"))
     of = lambda kind, what: F.sum(F.when(F.col("kind") == kind, what))
     nodes = values.groupBy("host", "node").agg(
         of("p", F.col("n")).alias("pages"), of("s", F.col("n")).alias("shown"), of("s", x_ln_x).alias("shown_ln"),
         of("s", F.col("children")).alias("children"), F.coalesce(of("f", F.lit(1)), F.lit(0)).alias("blocks"),
-        F.coalesce(of("f", F.log(F.col("n").cast("double"))), F.lit(0.0)).alias("blocks_ln"), F.first("above").alias("above"))
+        F.coalesce(of("f", F.log(F.col("n").cast("double"))), F.lit(0.0)).alias("blocks_ln"), above.alias("above"))
     shown = F.log(F.col("shown").cast("double"))
     nodes = nodes.withColumn("presentation", F.when(F.col("shown") > 1, (shown - F.col("shown_ln") / F.col("shown")) / shown).otherwise(1.0))
     nodes = nodes.withColumn("content", F.when(F.col("pages") > 1, F.col("blocks") - F.col("blocks_ln") / F.log(F.col("pages").cast("double")))

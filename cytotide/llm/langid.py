@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytotide.llm.common import pick
@@ -184,11 +184,9 @@ def mixtures(texts: list[str | None], model: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *columns: str) -> DataFrame:
     """The named columns of documents with ``lang_pred``, ``score`` and ``proportions`` (language to share)."""
-    d = pick(docs, *columns)
-    if "lang_pred" in columns:
-        raise ValueError("lang_pred is a column of the result")
+    d = pick(docs, *dict.fromkeys((*columns, "text")))
     if not langs:
-        return d.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0),
+        return d.select(*columns).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0),
                               "proportions": F.lit(None).cast("map<string, double>")})
     held = d.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(model.T, dtype=np.float32)))
 
@@ -204,9 +202,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *columns: str)
                                              for s, ok in zip(shares, found, strict=True)]})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    d = d.withColumn("lang_pred", udf(F.col("text")))
-    got: dict[str, Column] = {
-        "lang_pred": F.when(letters, F.coalesce("lang_pred.lang", F.lit(UNDETERMINED))).otherwise(F.lit(UNDETERMINED)),
-        "score": F.when(letters, F.coalesce("lang_pred.score", F.lit(0.0))).otherwise(F.lit(0.0)),
-        "proportions": F.when(letters, F.col("lang_pred.proportions"))}
-    return d.select(*columns, *[v.alias(k) for k, v in got.items()])
+    d = d.withColumn("inferred", udf(F.col("text")))
+    return d.select(*columns, F.when(letters, F.coalesce("inferred.lang", F.lit(UNDETERMINED))).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),
+                    F.when(letters, F.coalesce("inferred.score", F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"),
+                    F.when(letters, F.col("inferred.proportions")).alias("proportions"))

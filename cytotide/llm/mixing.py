@@ -137,7 +137,7 @@ def mixed_copies(docs: DataFrame, columns: tuple[str, ...], weights: tuple = WEI
     Only the plan is joined to the texts. ``n_chars``, if named, follows the cut text.
     """
     plan = mix_plan(materialize(mix_rows(docs, seed)), weights, max_epochs)
-    d = pick(docs, *columns)
+    d = pick(docs, *dict.fromkeys((*columns, "doc_id", "text", "source")))
     ws = words(F.col("text"))
     d = mix(d.withColumns({"size": F.size(ws).cast("long"), "key": mix_key(F.col("doc_id"), seed)}), plan)
     last = F.when(F.col("cut_words") > 0, F.array("cut_words")).otherwise(F.array().cast("array<bigint>"))
