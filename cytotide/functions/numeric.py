@@ -21,16 +21,6 @@ ALL_EQUAL_TOLERANCE = 1.5e-8
 # 16-bit log amplifier: 2^16 levels across 3.5 decades.
 LOG_SCALE_LEVELS = 65536.0
 LOG_SCALE_DECADES = 3.5
-# Decimals kept after a log10: far below instrument resolution, and it makes
-# bin assignment reproducible across JVMs / CPUs (log10 is not correctly
-# rounded, so two platforms may differ in the last bit).
-LOG_DIGITS = 9
-
-
-def stable_log10(c: Column | str) -> Column:
-    """``log10`` rounded to ``LOG_DIGITS`` decimals (NULL for non-positive input)."""
-    return F.round(F.log10(_c(c)), LOG_DIGITS)
-
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -107,7 +97,6 @@ def untransform(df: DataFrame, cols: list[str], scale: float = LOG_SCALE_LEVELS,
 
     Inferred from the two axis ranges of the reference (linear 1..10^3.5 vs
     0..2^16); both constants are arguments. Non-positive input gives NULL.
-    The log is ``stable_log10`` (rounded to 1e-9) for reproducible bins.
     """
     present = [c for c in cols if c in df.columns]
-    return df.withColumns({c: stable_log10(c) / F.lit(decades) * F.lit(scale) for c in present})
+    return df.withColumns({c: F.log10(_c(c)) / F.lit(decades) * F.lit(scale) for c in present})

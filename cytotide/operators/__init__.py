@@ -6,8 +6,8 @@ from cytotide.operators.intervals import (to_intervals, with_params, active_at,
                                          last_match, conflicting_gates, active_rows)
 from cytotide.operators.aggregates import (hourly_stat, ridgeline, extent, value_range, time_points,
                                           populations, sfl_only_count, flags_present,
-                                          series_arrays)
-from cytotide.operators.density import (hex_counts, log_bin_counts, log_bin_counts_pairs, rescale,
+                                          series_arrays, ordered)
+from cytotide.operators.density import (hex_counts, hex_counts_panels, log_bin_counts, log_bin_counts_pairs, rescale,
                                         pop_level)
 from cytotide.operators.gating import gate_outlines, gate_centroids, polygons_for_pop
 from cytotide.operators.grid import decode_bins

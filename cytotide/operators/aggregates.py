@@ -1,10 +1,9 @@
 """Aggregations and set operations.
 
 Every grouped aggregate here is algebraic (sum / count / min / max / avg,
-partially aggregated map-side) except the medians of ``hourly_stat``, which
-go through ``exact_median``: bounded groups (one Stat row per 3-minute point
-and pop gives ~20 rows per hour) use Spark's exact median in one pass, and
-any hot group is split off and solved by distributed histogram refinement.
+partially aggregated map-side) except the medians of ``hourly_stat``. Their
+grain is (keys, hour, population), and a Stat table has one row per 3-minute
+point and population: about 20 rows a group, whatever the data volume.
 """
 
 from __future__ import annotations
@@ -13,10 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytotide.functions.numeric import nan_to_null
-from cytotide.functions.time import floor_hour, one_hour
+from cytotide.functions.time import floor_hour
 from cytotide.operators.filters import flag_text
 from cytotide.operators.joins import plan_join
-from cytotide.operators.median import SMALL_GROUP_ROWS, exact_median
 
 # Fixed values from the reference: Stat metrics medianed per hour, and the count summed.
 HOURLY_MEDIAN_METRICS = ("opp_evt_ratio", "abundance", "fsc_med", "chl_med", "pe_med", "diameter")
@@ -26,17 +24,16 @@ UNKNOWN_POP = "unknown"
 
 
 def hourly_stat(df: DataFrame, time: str = "time", pop: str = "pop", by=(),
-                medians=HOURLY_MEDIAN_METRICS, total: str = HOURLY_SUM_METRIC,
-                small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                medians=HOURLY_MEDIAN_METRICS, total: str = HOURLY_SUM_METRIC) -> DataFrame:
     """A1: one row per (hour, pop): exact median of each metric (missing
     removed) and the sum of counts, 0 when every count is missing (T4).
 
-    Groups above ``small_group_rows`` rows are medianed by the distributed
-    path of ``exact_median`` instead of one task per group."""
-    hourly = df.withColumn(time, floor_hour(time))
+    A missing hour or population is a group of its own, and infinite values
+    are values. What a group holds in memory is its distinct values, partially
+    aggregated before the shuffle."""
     count_sum = F.coalesce(F.sum(total), F.lit(0).cast("bigint")).alias(total)
-    return exact_median(hourly, [*by, time, pop], list(medians), small_rows=small_group_rows,
-                        extra_aggs=[count_sum])
+    return df.withColumn(time, floor_hour(time)).groupBy(*by, time, pop).agg(
+        *[F.median(nan_to_null(c)).alias(c) for c in medians], count_sum)
 
 
 def _strict_sum(c: str):
@@ -104,19 +101,19 @@ def flags_present(sfl: DataFrame, stat: DataFrame, flag: str = "flag", by=()) ->
     return vals.withColumn(flag, flag_text("flag_value", vals.schema["flag_value"].dataType))
 
 
-def series_arrays(df: DataFrame, x: str, height: str, keys=("pop", "date")) -> DataFrame:
-    """One ordered series per (pop, date) as two aligned arrays ``x`` and
+def series_arrays(df: DataFrame, x: str, height: str, keys=("pop", "date"), by=()) -> DataFrame:
+    """One ordered series per (keys, pop, date) as two aligned arrays ``x`` and
     ``height``, sorted by x (one 3-D line each).
 
     A series holds one element per grid bin of ``x``, so its size is bounded
     by the grid resolution, not by the data volume.
     """
     pts = F.struct(F.col(x).alias("x"), F.col(height).alias("height"))
+    keys = [*by, *keys]
     s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(pts)).alias("__s"))
     return s.select(*keys, F.col("__s.x").alias("x"), F.col("__s.height").alias("height"))
 
 
-def hour_window(ts_col: str = "time"):
-    """Half-open UTC hour bounds as two Columns ``(start, end)``."""
-    h = floor_hour(ts_col)
-    return h, h + one_hour()
+def ordered(df: DataFrame, *cols: str) -> DataFrame:
+    """O1: output order, missing values last (a full range-partitioned sort: use it on results only)."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in cols])

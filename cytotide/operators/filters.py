@@ -8,6 +8,7 @@ scan. Time selections are written as half-open ranges on the raw column
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,14 @@ def exclude_flags(df: DataFrame, flags=DEFAULT_EXCLUDED_FLAGS, col: str = "flag"
     flags = [str(f) for f in (flags or [])]
     if not flags:
         return df
-    text = flag_text(col, df.schema[col].dataType)
-    return df.where(~F.coalesce(text.isin(flags), F.lit(False)))
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.NumericType):
+        # on the column as it is, so that the predicate reaches the Parquet reader
+        numbers = [float(f) for f in flags if re.fullmatch(r"-?\d+(\.\d+)?", f)]
+        if isinstance(dtype, T.IntegralType):
+            numbers = [int(n) for n in numbers if n == int(n)]
+        return df.where(F.col(col).isNull() | ~F.col(col).isin(numbers)) if numbers else df
+    return df.where(F.col(col).isNull() | ~flag_text(col, dtype).isin(flags))
 
 
 def keep_pops(df: DataFrame, pops, col: str = "pop") -> DataFrame:

@@ -2,9 +2,9 @@
 
 A gridded row stores an integer bin coordinate per channel; the bin's start
 value lives in the grid-bins table at that **1-based row position**. The
-bins table is grid-sized (a few hundred rows per cruise), so each channel is
-decoded with a size-checked broadcast hash join — no shuffle of the gridded
-facts. An out-of-range coordinate decodes to NULL.
+bins table is grid-sized (a few hundred rows per cruise): it becomes one row
+of arrays per cruise, met once by each gridded row. An out-of-range
+coordinate decodes to NULL.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytotide.functions.columns import drop_suffix
 from cytotide.functions.numeric import equivalent_diameter
-from cytotide.operators.joins import broadcast_fits, materialize
+from cytotide.operators.joins import keyed_join
 
 # Fixed values from the reference: decoded channels of the gridded data.
 GRID_CHANNELS = ("fsc_small", "chl_small", "pe", "Qc")
@@ -28,27 +29,17 @@ def decode_bins(gridded: DataFrame, bins: DataFrame, channels=GRID_CHANNELS, idx
     per channel (see ``cytotide.sources.parquet.grid_bins``).
     """
     by = list(by)
-    small = materialize(bins.select(*by, idx, *channels))  # computed once, shared by all channels
-    fits = broadcast_fits(small)
-    out = gridded
-    for ch in channels:
-        # Unique names on the bins side: matched by name, never by lineage.
-        side = small.select(*[F.col(k).alias(f"__{ch}_{k}") for k in by],
-                            F.col(idx).alias(f"__{ch}_idx"), F.col(ch).alias(f"__{ch}_v"))
-        side = F.broadcast(side) if fits else side
-        cond = [F.col(f"{ch}_coord") == F.col(f"__{ch}_idx")] + \
-            [F.col(k) == F.col(f"__{ch}_{k}") for k in by]
-        out = out.join(side, on=_and(cond), how="left")
-        out = out.drop(f"__{ch}_idx", *[f"__{ch}_{k}" for k in by])
-    out = out.drop(*[c for c in out.columns if c.endswith("_coord")])
-    out = out.withColumnsRenamed({f"__{ch}_v": ch for ch in channels})
+    row = F.struct(F.col(idx).alias("i"), *channels)
+    lists = bins.where(F.col(idx).isNotNull()).groupBy(*by).agg(
+        F.collect_list(row).alias("__rows"), F.max(idx).alias("__last"))
+    # position p of the array is bin p; positions that the table lacks are NULL
+    dense = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__last").cast("int"), F.lit(1))),
+                        lambda p: F.get(F.filter("__rows", lambda r: r["i"] == p), F.lit(0)))
+    arrays = lists.withColumn("__dense", dense).select(
+        *by, *[F.col("__dense").getField(c).alias(f"__{c}") for c in channels])
+    out = keyed_join(gridded, arrays, by)
+    out = out.withColumns({c: F.get(F.col(f"__{c}"), F.col(f"{c}_coord").cast("int") - 1) for c in channels})
+    out = drop_suffix(out, "_coord").drop(*[f"__{c}" for c in channels])
     if diameter and "Qc" in channels:
         out = out.withColumn(diameter, equivalent_diameter("Qc"))
     return out
-
-
-def _and(conds):
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out

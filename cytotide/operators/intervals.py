@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytotide.operators.joins import broadcast_fits, materialize, plan_join, sized_broadcast
+from cytotide.operators.joins import broadcast_fits, materialize, plan_join, scalar_join, sized_broadcast
 
 HOUR_MICROS = 3_600_000_000
 DAY_MICROS = 24 * HOUR_MICROS
@@ -56,6 +56,7 @@ def to_intervals(plan: DataFrame, start: str = "start_date", end: str = "end_dat
     """
     by, tiebreak = list(by), list(tiebreak)
     s = F.col(start)
+    plan = materialize(plan)  # read once: rows, bucket minima and the last row all come from it
     b = "__b"
     order_cols = [s.asc_nulls_last()] + [F.col(t).asc_nulls_last() for t in tiebreak]
     rows = plan.withColumn(b, _bucket(s, bucket_micros))
@@ -93,36 +94,58 @@ def to_intervals(plan: DataFrame, start: str = "start_date", end: str = "end_dat
 # --------------------------------------------------------------------------- J1 J2
 
 def with_params(intervals: DataFrame, params: DataFrame, left: str = "filter_id",
-                right: str = "id") -> DataFrame:
-    """Plan rows LEFT JOIN parameter rows on ``left = right`` (right key dropped).
+                right: str = "id", by=()) -> DataFrame:
+    """Plan rows LEFT JOIN parameter rows on ``left = right`` within the
+    same keys ``by`` (cruise): ids of different cruises may collide. The right
+    keys are dropped.
 
     One plan row may meet several parameter rows (gating: one per population).
     Both sides are plan-sized: Spark picks the join from its statistics.
     """
-    p = params.withColumnRenamed(right, "__pid") if right != left else params
-    key = "__pid" if right != left else left
-    clash = (set(p.columns) & set(intervals.columns)) - {left, key}
+    by = list(by)
+    clash = (set(params.columns) & set(intervals.columns)) - {left, right, *by}
     if clash:
         raise ValueError(f"parameter columns clash with plan columns: {sorted(clash)}")
-    if key == left:
-        return intervals.join(p, on=left, how="left")
-    out = intervals.join(p, F.col(left) == F.col("__pid"), "left")
-    return out.drop("__pid")
+    p = params.withColumnsRenamed({right: "__pid", **{k: f"__p_{k}" for k in by}})
+    cond = [F.col(left) == F.col("__pid")] + [F.col(k) == F.col(f"__p_{k}") for k in by]
+    return intervals.join(p, _and(cond), "left").drop("__pid", *[f"__p_{k}" for k in by])
 
 
 # --------------------------------------------------------------------------- J5 J6
 
+#: An interval table is exploded to about so many rows per interval, and a few
+#: more; beyond, its buckets are widened by this factor until it is.
+EXPLODE_PER_INTERVAL = 16
+EXPLODE_LEAST = 100_000
+WIDER = 16
+
+
+def _bucket_width(iv: DataFrame, start: str, end: str, width_micros: int) -> int:
+    """The bucket width, at least ``width_micros``, at which the explode stays
+    in proportion to the number of intervals. Any width gives the same join;
+    wider buckets compare more intervals per probe."""
+    widths = [width_micros * WIDER ** k for k in range(8)]
+    latest = iv.agg(F.max(F.greatest(start, end)).alias("__latest"))
+    upto = F.coalesce(F.col(end), F.col("__latest"))
+    spans = [F.sum(_last_bucket(upto, w) - _bucket(F.col(start), w) + F.lit(1.0)) for w in widths]
+    n, *rows = scalar_join(iv, latest).agg(F.count(F.lit(1)), *spans).first()
+    most = EXPLODE_PER_INTERVAL * n + EXPLODE_LEAST
+    return next((w for w, r in zip(widths, rows) if (r or 0) <= most), widths[-1])
+
+
 def _explode_intervals(intervals: DataFrame, start: str, end: str, by: list[str],
                        bucket_micros: int):
     """Intervals exploded over the buckets they cover, materialised once.
 
-    Returns ``(exploded, caps, fits)``: ``caps`` (one row per key) is folded
-    from the materialised table, so one size probe covers both.
+    Only keys, bounds and a row id are exploded. Returns ``(exploded, caps,
+    fits, width)``: ``caps`` (one row per key) is folded from the materialised
+    table, so one size probe covers both.
     """
     s, e = F.col(start), F.col(end)
-    iv = intervals.where(s.isNotNull() & (e.isNull() | (e > s)))
-    iv = iv.withColumn("__b0", _bucket(s, bucket_micros)) \
-           .withColumn("__b1", F.when(e.isNotNull(), _last_bucket(e, bucket_micros)))
+    iv = intervals.select(*by, start, end, "__iv").where(s.isNotNull())
+    width = _bucket_width(iv, start, end, bucket_micros)
+    iv = iv.withColumn("__b0", _bucket(s, width)) \
+           .withColumn("__b1", F.when(e.isNotNull(), F.greatest(F.col("__b0"), _last_bucket(e, width))))
     cap_expr = F.greatest(F.max("__b0"), F.max("__b1")).alias("__cap")
     caps = iv.groupBy(*by).agg(cap_expr) if by else iv.agg(cap_expr)
     iv = plan_join(iv, caps, by)
@@ -130,7 +153,7 @@ def _explode_intervals(intervals: DataFrame, start: str, end: str, by: list[str]
     iv = materialize(iv.drop("__b0", "__b1"))
     fits = broadcast_fits(iv)
     caps = iv.select(*by, "__cap").distinct() if by else iv.agg(F.max("__cap").alias("__cap"))
-    return iv.drop("__cap"), caps, fits
+    return iv.drop("__cap"), caps, fits, width
 
 
 def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Column,
@@ -145,18 +168,25 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
     clash = (set(intervals.columns) & set(probe.columns)) - set(by)
     if clash:
         raise ValueError(f"interval columns clash with probe columns: {sorted(clash)}")
-    iv, caps, fits = _explode_intervals(intervals, start, end, by, bucket_micros)
+    payload = [c for c in intervals.columns if c not in {*by, start, end}]
+    # A row id carries the other columns (parameters) past the explode; equal rows share it.
+    intervals = materialize(intervals.withColumn("__iv", F.xxhash64(*intervals.columns)))
+    iv, caps, fits, width = _explode_intervals(intervals, start, end, by, bucket_micros)
     if by:
         p = probe.join(F.broadcast(caps) if fits else caps, on=by, how="left")
     else:
         p = plan_join(probe, caps, by)
-    p = p.withColumn("__pb", F.least(_bucket(probe_time, bucket_micros), F.col("__cap"))) \
+    p = p.withColumn("__pb", F.least(_bucket(probe_time, width), F.col("__cap"))) \
          .drop("__cap")
     right = iv.withColumnsRenamed({k: f"__r_{k}" for k in by})
     right = F.broadcast(right) if fits else right
     cond = [F.col("__pb") == F.col("__b")] + [F.col(k) == F.col(f"__r_{k}") for k in by]
     joined = p.join(right, on=_and(cond + [cond_fn()]), how=how)
-    return joined.drop("__pb", "__b", *[f"__r_{k}" for k in by])
+    joined = joined.drop("__pb", "__b", *[f"__r_{k}" for k in by])
+    if payload:
+        carried = intervals.select("__iv", *payload).dropDuplicates(["__iv"])
+        joined = joined.join(sized_broadcast(carried), on="__iv", how="left")
+    return joined.select(*probe.columns, start, end, *payload)
 
 
 def _and(conds):

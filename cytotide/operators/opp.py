@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytotide.functions.columns import QUANTILE, QUANTILES
+from cytotide.functions.columns import QUANTILES
 from cytotide.operators.filters import aligned
 
 FILTER_PARAM_COLUMNS = (
@@ -42,15 +42,8 @@ def opp_predicate(fsc: str = "fsc_small", d1: str = "D1", d2: str = "D2") -> Col
     return aligned(d1, d2, "width") & (below("small") | below("large"))
 
 
-def select_opp(particles: DataFrame, quantiles=QUANTILES, keep: float = QUANTILE,
-               col: str = "quantile") -> DataFrame:
+def select_opp(particles: DataFrame) -> DataFrame:
     """Q1: particles (with their active parameter columns attached) that pass
-    the filter at quantile ``keep``.
-
-    The parameters are replicated over ``quantiles`` (J12) and the rule is
-    evaluated per copy; only the ``keep`` copy is returned. Particles with no
-    active parameters never pass.
-    """
-    rep = replicate_quantiles(particles, quantiles, col)
-    return rep.where(F.col(col) == F.lit(float(keep))) \
-        .where(F.coalesce(opp_predicate(), F.lit(False))).drop(col)
+    the filter, evaluated once: the quantile copies of a parameter row (J12)
+    carry the same values. Particles with no active parameters never pass."""
+    return particles.where(F.coalesce(opp_predicate(), F.lit(False)))

@@ -11,17 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytotide.functions.columns import unpivot_panels
+from cytotide.functions.columns import BEAD_PANEL_CHANNELS, BEAD_PANEL_LABELS
 from cytotide.functions.numeric import untransform
-from cytotide.functions.time import floor_hour, iso_text
-from cytotide.operators.aggregates import extent, hourly_stat, populations, ridgeline, series_arrays
-from cytotide.operators.density import hex_counts, log_bin_counts_pairs, rescale
-from cytotide.operators.filters import (DEFAULT_EXCLUDED_FLAGS, aligned, exclude_flags, keep_pops,
-                                        plottable, valid_segments)
+from cytotide.functions.time import floor_hour, iso_text, parse_time
+from cytotide.operators.aggregates import hourly_stat, populations, ridgeline, series_arrays
+from cytotide.operators.density import hex_counts_panels, log_bin_counts_pairs, rescale
+from cytotide.operators.filters import (DEFAULT_EXCLUDED_FLAGS, aligned, exclude_flags, in_range,
+                                        keep_pops, plottable, valid_segments)
 from cytotide.operators.gating import gate_centroids, gate_outlines
-from cytotide.operators.intervals import (active_at, active_in_hour, active_rows, last_match,
-                                          to_intervals, with_params)
-from cytotide.operators.joins import keyed_join, sized_broadcast
+from cytotide.operators.intervals import active_at, active_in_hour, last_match, to_intervals, with_params
+from cytotide.operators.joins import sized_broadcast
 from cytotide.operators.opp import select_opp
 from cytotide.sources.tables import sfl_series, stat_series
 
@@ -56,9 +55,19 @@ def stat_metrics(stat: DataFrame, flags=DEFAULT_EXCLUDED_FLAGS, pops=None, hourl
 
 def filter_intervals(plan: DataFrame, params: DataFrame, max_time=None, by=(),
                      tiebreak=("filter_id",)) -> DataFrame:
-    """W1 + W2 + J1: filter plan intervals with their (quantile-50) parameters."""
+    """W1 + W2 + J1: filter plan intervals with their (quantile-50) parameters.
+
+    Start dates may be timestamps, epoch seconds or text (F2, decided per
+    column and key, as the reference reads them)."""
+    plan = parse_time(plan, "start_date", mode="column", by=list(by))
     iv = to_intervals(plan, by=by, tiebreak=tiebreak, max_time=max_time)
-    return with_params(iv, params, left="filter_id", right="id")
+    return with_params(iv, params, left="filter_id", right="id", by=by)
+
+
+def gating_intervals(plan: DataFrame, max_time=None, by=(), tiebreak=("gating_id",)) -> DataFrame:
+    """W1 + W2 for the gating plan, start dates read like the filter plan's."""
+    plan = parse_time(plan, "start_date", mode="column", by=list(by))
+    return to_intervals(plan, by=by, tiebreak=tiebreak, max_time=max_time)
 
 
 def filter_param_segments(intervals: DataFrame, series=FILTER_PARAM_SERIES, by=()) -> DataFrame:
@@ -128,7 +137,7 @@ def bead_density(particles: DataFrame, kind: str = "evt", by=(), align: bool = T
     whose ``filter_id`` is the active one (J10), moved to the 16-bit log scale
     (F12).
     """
-    df = particles.withColumn("hour", floor_hour(time))
+    df = particles.withColumn("hour", floor_hour(time)) if "hour" not in particles.columns else particles
     if kind == "evt":
         if align:
             df = df.where(F.coalesce(aligned("D1", "D2", "width"), F.lit(False)))
@@ -139,8 +148,7 @@ def bead_density(particles: DataFrame, kind: str = "evt", by=(), align: bool = T
         df = untransform(df, list(BEAD_CHANNELS))
     else:
         raise ValueError(f"kind must be evt, opp or vct, not {kind!r}")
-    long = unpivot_panels(df, keys=[*by, "hour"])
-    return hex_counts(long, by=[*by, "hour"], free_y=free_y)
+    return hex_counts_panels(df, BEAD_PANEL_CHANNELS, BEAD_PANEL_LABELS, by=[*by, "hour"], free_y=free_y)
 
 
 # ---------------------------------------------------------------- Q7 Q8
@@ -154,19 +162,15 @@ def gating_cytograms(vct: DataFrame, scope: str = "hour", by=(), pairs=GATING_CH
     return log_bin_counts_pairs(df, list(pairs), by=[*by, "scope_time"])
 
 
-def gating_outlines(gating: DataFrame, poly: DataFrame, pairs=GATING_CHANNEL_PAIRS) -> DataFrame:
+def gating_outlines(gating: DataFrame, poly: DataFrame, pairs=GATING_CHANNEL_PAIRS, by=()) -> DataFrame:
     """Q7: polygon outlines (vertex rows) for every channel pair; labels come
     from ``gating_centroids``."""
-    out = None
-    for x, y in pairs:
-        o = gate_outlines(gating, poly, x, y).withColumn("pair", F.lit(f"{y} vs {x}"))
-        out = o if out is None else out.unionByName(o)
-    return out
+    return gate_outlines(gating, poly, pairs, by=by)
 
 
-def gating_centroids(outlines: DataFrame) -> DataFrame:
+def gating_centroids(outlines: DataFrame, by=()) -> DataFrame:
     """A4 per channel pair."""
-    return gate_centroids(outlines, keys=("pair", "gating_id", "pop"))
+    return gate_centroids(outlines, keys=("pair", "gating_id", "pop"), by=by)
 
 
 def active_gating(scope_rows: DataFrame, intervals: DataFrame, gating: DataFrame,
@@ -179,13 +183,15 @@ def active_gating(scope_rows: DataFrame, intervals: DataFrame, gating: DataFrame
     else:
         pts = scope_rows.select(*by, time).distinct()
         act = active_at(pts, intervals, time=time, by=by, how="inner")
-    joined = with_params(act, gating, left="gating_id", right="id")
+    joined = with_params(act, gating, left="gating_id", right="id", by=by)
     return joined.withColumns({"start_date": iso_text("start_date"), "end_date": iso_text("end_date")})
 
 
-def active_polygons(poly: DataFrame, active: DataFrame) -> DataFrame:
-    """Polygon vertices of the active gating ids."""
-    return active_rows(poly, active, "gating_id")
+def active_polygons(poly: DataFrame, active: DataFrame, scope: str = "time", by=()) -> DataFrame:
+    """Polygon vertices of the gating ids active at each point (``scope='time'``)
+    or in each hour (``'hour'``), with that scope. Missing ids match nothing."""
+    ids = active.select(*by, scope, "gating_id").dropna().distinct()
+    return poly.join(ids, on=[*by, "gating_id"], how="inner")
 
 
 # ---------------------------------------------------------------- Q9 Q10
@@ -219,21 +225,18 @@ def ridgeline_flow(decoded: DataFrame, x: str = "fsc_small", pops="default", sta
 
     ``per_hour=True`` is the reference's selected-hour mode for every hour at
     once (each gridded hour is its own window, clamped to the data extent).
-    Otherwise ``[start, end)`` is a manual range clamped to the extent
-    ``[min date, max date + 1h)`` (A3 + F6).
+    Otherwise ``[start, end)`` is a manual range. Clamping it to the extent
+    ``[min date, max date + 1h)`` (A3 + F6) removes no row, as every date is
+    inside its own extent, so the range is a plain predicate on ``date``.
     """
     df = select_pops(decoded, pops, by=by)
     if not per_hour:
-        ext = extent(decoded, time="date", pad_hours=1, by=by)
-        lo = F.greatest(F.col("time_min"), F.lit(start).cast("timestamp")) if start is not None \
-            else F.col("time_min")
-        hi = F.least(F.col("time_max"), F.lit(end).cast("timestamp")) if end is not None \
-            else F.col("time_max")
-        df = keyed_join(df, ext, list(by)).where((F.col("date") >= lo) & (F.col("date") < hi)) \
-            .drop("time_min", "time_max")
+        df = df.where(F.col("date").isNotNull())
+        df = in_range(df, start if start is not None else "0001-01-01 00:00:00",
+                      end if end is not None else "9999-12-31 23:59:59", col="date")
     return ridgeline(df, x, by=by)
 
 
-def ridgeline_series(sums: DataFrame, x: str = "fsc_small", height: str = "Qc_sum") -> DataFrame:
-    """One ordered 3-D line per (pop, date)."""
-    return series_arrays(sums, x, height)
+def ridgeline_series(sums: DataFrame, x: str = "fsc_small", height: str = "Qc_sum", by=()) -> DataFrame:
+    """One ordered 3-D line per (keys, pop, date)."""
+    return series_arrays(sums, x, height, by=by)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cytotide.functions.columns import cruise_key, require_columns
 from cytotide.operators.joins import plan_join
+from cytotide.sources.files import is_folder
 
 # Fixed values from the reference.
 REGISTRY_COLUMNS = ("name", "dir", "default")
@@ -81,7 +82,11 @@ def classify_files(paths: DataFrame, path: str = "path") -> DataFrame:
         .withColumn("cruise", cruise_key(F.col("item"), F.col("kind")))
     dirs = paths.select(*[c for c in paths.columns if c != path],
                         F.explode(_ancestors(p)).alias("item")) \
-        .where(F.element_at(F.split("item", "/"), -1).rlike(VCT_DIR)).distinct() \
+        .where(F.element_at(F.split("item", "/"), -1).rlike(VCT_DIR)).distinct()
+    if "dir" in paths.columns:  # folders above the data set, and its own, are no cruise
+        root = F.concat(F.regexp_replace(F.regexp_replace("dir", r"^file:/*", "/"), r"/+$", ""), F.lit("/"))
+        dirs = dirs.where(F.col("item").startswith(root))
+    dirs = dirs \
         .withColumn("kind", F.lit("vct_dir")).withColumn("cruise", cruise_key(F.col("item"), F.col("kind")))
     cols = [c for c in paths.columns if c != path] + ["kind", "cruise", "item"]
     return plain.select(*cols).unionByName(dirs.select(*cols))
@@ -94,12 +99,12 @@ def list_files(spark: SparkSession, registry: DataFrame) -> DataFrame:
     ``binaryFile`` source (path column only, contents never read).
     """
     frames = []
-    for row in registry.select("name", "dir", "default").collect():
-        if not row["dir"] or not os.path.isdir(row["dir"]):
+    for row in registry.select("name", "dir", "default").collect():  # a config file
+        if not row["dir"] or not is_folder(spark, row["dir"]):
             continue
         listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
             .load(row["dir"]).select("path")
-        listed = listed.withColumn("path", F.regexp_replace("path", r"^file:", ""))
+        listed = listed.withColumn("path", F.regexp_replace("path", r"^file:/*", "/"))
         frames.append(listed.select(F.lit(row["name"]).alias("name"),
                                     F.lit(row["default"]).alias("default"),
                                     F.lit(row["dir"]).alias("dir"), "path"))
@@ -120,28 +125,32 @@ def duplicate_files(files: DataFrame, keys=("name", "kind", "cruise")) -> DataFr
     return files.join(groups, on=keys, how="inner")
 
 
-def assert_unique(files: DataFrame, keys=("name", "kind", "cruise"), show: int = 20) -> None:
-    """D1 as a check: raise ValueError naming duplicate cruises and paths
-    (the message lists at most ``show`` of them)."""
-    dups = duplicate_files(files, keys)
-    sample = dups.select(*keys, "item").orderBy(*keys, "item").take(show)
-    if sample:
-        detail = "; ".join(f"{r['name']}/{r['kind']}/{r['cruise']}: {r['item']}" for r in sample)
+def assert_unique(files: DataFrame, keys=("name", "kind", "cruise")) -> None:
+    """D1 as a check: raise ValueError naming all duplicate cruises and paths."""
+    found = duplicate_files(files, keys).select(*keys, "item").orderBy(*keys, "item").collect()
+    if found:
+        detail = "; ".join("/".join(str(r[k]) for k in keys) + f": {r['item']}" for r in found)
         raise ValueError(f"Expected at most one file per cruise and kind, found duplicates: {detail}")
 
 
+def _only(kind: str) -> Column:
+    """The one item of a kind in a group; more than one is an error that lists them."""
+    items = F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("item"))))
+    said = F.concat(F.lit(f"Expected at most one {kind} per data set and cruise, found "), F.array_join(items, ", "))
+    return F.when(F.size(items) > 1, F.raise_error(said).cast("string")).otherwise(F.get(items, F.lit(0))).alias(kind)
+
+
 def build_catalog(files: DataFrame) -> DataFrame:
-    """J3 (+ G4): one row per (data set, default, cruise) with one path column
-    per kind — equal to the full outer join of the five per-kind tables when
-    each (data set, kind, cruise) has one file (what ``assert_unique`` / D1
-    checks), written as one grouped pivot. A data set without any outlier db,
-    bead file or VCT folder contributes no rows, even if it has grid files (T2)."""
+    """J3 (+ G4, D1): one row per (data set, default, cruise) with one path
+    column per kind — the full outer join of the five per-kind tables, written
+    as one grouped pivot. Two files of one kind and cruise stop the job, as in
+    the reference. A registered data set (name and folder) without any outlier
+    db, bead file or VCT folder contributes no rows, even if it has grid files (T2)."""
     keys = ["name", "default", "cruise"]
+    per = [c for c in ("name", "dir") if c in files.columns]
     core = F.max(F.col("kind").isin(list(CORE_KINDS)).cast("int")).alias("__core")
-    has_core = files.groupBy("name").agg(core)
-    kept = plan_join(files, has_core, ["name"]).where(F.col("__core") == 1)
-    return kept.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("item"))).alias(k) for k in KINDS])
+    kept = plan_join(files, files.groupBy(*per).agg(core), per).where(F.col("__core") == 1)
+    return kept.groupBy(*keys).agg(*[_only(k) for k in KINDS])
 
 
 def default_variation(catalog: DataFrame, registry: DataFrame | None = None) -> DataFrame:

@@ -2,23 +2,24 @@
 
 A cruise database holds the SFL, outlier, Stat, filter, filter-plan,
 gating, polygon and gating-plan tables. The JDBC driver is not on the
-classpath, so this is a Python ``DataSource``: the driver reads only the
-table's column list and rowid bounds, and each task reads one rowid range
-with the standard-library ``sqlite3`` module (the database must sit on a
-folder every executor can read).
+classpath, so this is a Python ``DataSource``: the driver reads the table's
+column list and each file's rowid bounds, and each task reads one rowid range
+of one file with the standard-library ``sqlite3`` module. Columns and a
+condition go into the SELECT. SQLite opens files, not streams: the databases
+must lie on a mount that the driver and every executor see.
 
 Usage::
 
-    register_sqlite(spark)
-    spark.read.format("cytotide_sqlite").option("path", db).option("table", "stat").load()
+    read_sqlite(spark, ["/cruises/A.outlier.db", "/cruises/B.outlier.db"], "stat",
+                columns=["time", "pop"], where="quantile = 50")
 """
 
 from __future__ import annotations
 
+import json
 import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FORMAT = "cytotide_sqlite"
@@ -41,52 +42,78 @@ def _quote(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-class _RowidRange(InputPartition):
-    def __init__(self, lo: int, hi: int):
-        super().__init__((lo, hi))
-        self.lo, self.hi = lo, hi
+class _RowidRanges(InputPartition):
+    """What one task reads: (path, first rowid, last rowid), from one file or several small ones."""
+
+    def __init__(self, ranges: list):
+        super().__init__(ranges)
+        self.ranges = ranges
+
+
+#: Rows that one task reads, about.
+PARTITION_ROWS = 100_000
+BATCH_ROWS = 10_000
+
+
+def cruise_of(path: str) -> str:
+    """S12 for a database: file name before its first dot."""
+    return path.rstrip("/").split("/")[-1].split(".")[0]
 
 
 class _SQLiteReader(DataSourceReader):
     def __init__(self, options, schema):
-        self.path = options["path"]
+        self.paths = json.loads(options["paths"])
         self.table = options["table"]
-        self.parts = int(options.get("numPartitions", "4"))
+        self.where = options.get("where", "")
         self.schema = schema
 
     def partitions(self):
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
-            lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
-        if lo is None:
-            return [_RowidRange(0, -1)]
-        n = max(1, min(self.parts, hi - lo + 1))
-        step = (hi - lo + n) // n
-        return [_RowidRange(lo + i * step, min(hi, lo + (i + 1) * step - 1)) for i in range(n)]
+        parts, held, size = [], [], 0
+        for path in self.paths:
+            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+                lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
+            for at in range(lo, hi + 1, PARTITION_ROWS) if lo is not None else ():
+                last = min(hi, at + PARTITION_ROWS - 1)
+                if held and size + last - at >= PARTITION_ROWS:
+                    parts.append(_RowidRanges(held))
+                    held, size = [], 0
+                held.append((path, at, last))
+                size += last - at + 1
+        return [*parts, _RowidRanges(held)]
 
     def read(self, partition):
         """Yield Arrow record batches of up to ``BATCH_ROWS`` rows (columnar hand-off)."""
         import pyarrow as pa
+        fields = [f for f in self.schema.fields if f.name != CRUISE]
+        types = [_ARROW.get(f.dataType.simpleString(), pa.string()) for f in fields]
         names = [f.name for f in self.schema.fields]
-        types = [_ARROW.get(f.dataType.simpleString(), pa.string()) for f in self.schema.fields]
-        arrow_schema = pa.schema(list(zip(names, types)))
-        casts = [_caster(f.dataType.simpleString()) for f in self.schema.fields]
-        sql = (f"SELECT {', '.join(_quote(n) for n in names)} FROM {_quote(self.table)} "
-               "WHERE rowid BETWEEN ? AND ?")
-        con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        try:
-            cur = con.execute(sql, (partition.lo, partition.hi))
-            while True:
-                rows = cur.fetchmany(BATCH_ROWS)
-                if not rows:
-                    break
-                cols = [pa.array([c(r[i]) for r in rows], type=t)
-                        for i, (c, t) in enumerate(zip(casts, types))]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
-        finally:
-            con.close()
-
-
-BATCH_ROWS = 10_000
+        sql = (f"SELECT {', '.join(_quote(f.name) for f in fields) or 'rowid'} FROM {_quote(self.table)} "
+               f"WHERE rowid BETWEEN ? AND ?{f' AND ({self.where})' if self.where else ''}")
+        for path, lo, hi in partition.ranges:
+            con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+            try:
+                cur = con.execute(sql, (lo, hi))
+                while rows := cur.fetchmany(BATCH_ROWS):
+                    cols = {f.name: _column(values, t, f.dataType.simpleString())
+                            for f, t, values in zip(fields, types, zip(*rows))}
+                    cols[CRUISE] = pa.array([cruise_of(path)] * len(rows), pa.string())
+                    yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+            finally:
+                con.close()
+
+
+#: Column with the cruise that a row's file belongs to.
+CRUISE = "cruise"
+
+
+def _column(values, arrow_type, kind: str):
+    """One column as an Arrow array; value by value only where SQLite holds other types than declared."""
+    import pyarrow as pa
+    try:
+        return pa.array(values, type=arrow_type)
+    except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError):
+        cast = _caster(kind)
+        return pa.array([cast(v) for v in values], type=arrow_type)
 
 
 def _arrow_types():
@@ -120,19 +147,24 @@ def _caster(t: str):
 
 
 class SQLiteDataSource(DataSource):
-    """Read one table of a SQLite file, split into rowid ranges."""
+    """Read one table of SQLite files, split into rowid ranges."""
 
     @classmethod
     def name(cls):
         return FORMAT
 
     def schema(self):
-        path, table = self.options["path"], self.options["table"]
+        path, table = json.loads(self.options["paths"])[0], self.options["table"]
         with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
             info = con.execute(f"PRAGMA table_info({_quote(table)})").fetchall()
         if not info:
             raise ValueError(f"table {table!r} not found in {path}")
-        return ", ".join(f"`{c[1]}` {_spark_type(c[2])}" for c in info)
+        kinds = {c[1]: _spark_type(c[2]) for c in info}
+        names = json.loads(self.options.get("columns", "null")) or list(kinds)
+        missing = [n for n in names if n not in kinds]
+        if missing:
+            raise ValueError(f"table {table!r} in {path} lacks columns {missing}")
+        return ", ".join([*(f"`{n}` {kinds[n]}" for n in names if n != CRUISE), f"`{CRUISE}` string"])
 
     def reader(self, schema):
         return _SQLiteReader(self.options, schema)
@@ -145,24 +177,22 @@ def register_sqlite(spark: SparkSession) -> None:
     spark.dataSource.register(SQLiteDataSource)
 
 
-def read_sqlite(spark: SparkSession, db: str, table: str, partitions: int = 4,
-                with_cruise: bool = True) -> DataFrame:
-    """One table of a cruise database (``cruise`` = file name before its first dot)."""
+def read_sqlite(spark: SparkSession, db, table: str, columns=None, where: str | None = None) -> DataFrame:
+    """One table of one or many cruise databases in one scan; ``cruise`` is each
+    file's name before its first dot. ``columns`` and ``where`` (SQLite SQL) go to the database."""
     register_sqlite(spark)
-    df = spark.read.format(FORMAT).option("path", db).option("table", table) \
-        .option("numPartitions", str(partitions)).load()
-    if with_cruise:
-        base = db.rstrip("/").split("/")[-1].split(".")[0]
-        df = df.withColumn("cruise", F.lit(base))
-    return df
-
-
-def read_sfl_with_flags(spark: SparkSession, db: str, key: str = "file_id",
-                        partitions: int = 4) -> DataFrame:
-    """SFL rows with the outlier flag of their file (left join on ``key``;
-    the outlier table has one row per file, so it is a bounded side)."""
-    sfl = read_sqlite(spark, db, "sfl", partitions)
-    out = read_sqlite(spark, db, "outlier", partitions, with_cruise=False)
-    if "flag" in sfl.columns:
-        sfl = sfl.drop("flag")
-    return sfl.join(out.select(key, "flag"), on=key, how="left")
+    paths = [db] if isinstance(db, str) else list(db)
+    reader = spark.read.format(FORMAT).option("paths", json.dumps(paths)).option("table", table)
+    if columns is not None:
+        reader = reader.option("columns", json.dumps(list(columns)))
+    if where:
+        reader = reader.option("where", where)
+    return reader.load()
+
+
+def read_sfl_with_flags(spark: SparkSession, db, key: str = "file_id") -> DataFrame:
+    """SFL rows with the outlier flag of their file (left join on cruise and
+    ``key``; the outlier table has one row per file, so it is a bounded side)."""
+    sfl = read_sqlite(spark, db, "sfl")
+    out = read_sqlite(spark, db, "outlier")
+    return sfl.drop("flag").join(out.select(CRUISE, key, "flag"), on=[CRUISE, key], how="left")

@@ -11,32 +11,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from cytotide.functions.columns import QUANTILE, REFRAC, cruise_from_folder, quantile_tag
 from cytotide.functions.numeric import nulls_for_nans
 from cytotide.functions.time import as_utc_timestamp
 from cytotide.operators.filters import hour_bounds
+from cytotide.sources.files import has_files
 
 # Fixed values from the reference: the file-name time stamp shapes.
 VCT_NAME_WITH_OFFSET = r"^(.+T\d{2})-(\d{2})-(\d{2})([+-]\d{2})-(\d{2})$"
 VCT_NAME_WITHOUT_OFFSET = r"^(.+T\d{2})-(\d{2})-(\d{2})$"
 VCT_FILE_GLOB = "*.vct.parquet"
 
-VCT_SCHEMA = T.StructType([
-    T.StructField("time", T.TimestampType()),
-    T.StructField("pop", T.StringType()),
-    T.StructField("D1", T.DoubleType()),
-    T.StructField("D2", T.DoubleType()),
-    T.StructField("fsc_small", T.DoubleType()),
-    T.StructField("chl_small", T.DoubleType()),
-    T.StructField("pe", T.DoubleType()),
-    T.StructField("diameter", T.DoubleType()),
-    T.StructField("qc", T.DoubleType()),
-    T.StructField("filter_id", T.DoubleType()),
-    T.StructField("gating_id", T.DoubleType()),
-])
+#: Columns of ``read_vct``, in its order.
+VCT_SCHEMA = ("file_hour timestamp, cruise string, time timestamp, pop string, D1 double, D2 double, fsc_small double, "
+              "chl_small double, pe double, diameter double, qc double, filter_id double, gating_id double")
 
 
 def vct_file_hour(name: Column) -> Column:
@@ -70,8 +59,7 @@ def vct_columns(df: DataFrame, quantile: float = QUANTILE, refrac: str = REFRAC,
 
 def empty_vct(spark: SparkSession) -> DataFrame:
     """Typed empty VCT frame (the reference's answer when no file matches)."""
-    return spark.createDataFrame([], VCT_SCHEMA.add("file_hour", T.TimestampType())
-                                 .add("cruise", T.StringType()))
+    return spark.createDataFrame([], VCT_SCHEMA)
 
 
 def read_vct(spark: SparkSession, path, quantile: float = QUANTILE, refrac: str = REFRAC,
@@ -79,23 +67,27 @@ def read_vct(spark: SparkSession, path, quantile: float = QUANTILE, refrac: str
     """S7 + S10: every hourly VCT file under ``path`` (one or many ``*_vct``
     directories), with ``file_hour`` and ``cruise``.
 
-    ``at`` keeps only the file whose hour equals the UTC hour of ``at``
-    exactly (file pruning on ``_metadata.file_name``). No files or no match
-    give a typed empty frame. Use ``ambiguous_vct_hours`` to detect hours
-    served by more than one file (an error in the reference).
+    Folders that are missing or hold no VCT file add nothing; without any file
+    the result is a typed empty frame. Other read errors are raised. ``at``
+    keeps only the file whose hour equals the UTC hour of ``at`` exactly (file
+    pruning on ``_metadata.file_name``); two files of a cruise for that hour
+    raise ``ValueError``, as in the reference (``ambiguous_vct_hours`` lists them for all hours).
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    try:
-        raw = spark.read.option("pathGlobFilter", VCT_FILE_GLOB).parquet(*paths)
-    except AnalysisException:
+    paths = [p for p in ([path] if isinstance(path, str) else path) if has_files(spark, p, VCT_FILE_GLOB)]
+    if not paths:
         return empty_vct(spark)
+    raw = spark.read.option("pathGlobFilter", VCT_FILE_GLOB).parquet(*paths)
     raw = raw.withColumns({
         "file_hour": vct_file_hour(F.col("_metadata.file_name")),
         "cruise": cruise_from_folder(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")),
     })
     if at is not None:
         start, _ = hour_bounds(at)
-        raw = raw.where(F.col("file_hour") == F.lit(start.isoformat(sep=" ")).cast("timestamp"))
+        hour = F.lit(start.isoformat(sep=" ")).cast("timestamp")
+        twice = ambiguous_vct_hours(vct_files(spark, paths)).where(F.col("file_hour") == hour).collect()
+        if twice:
+            raise ValueError(f"more than one VCT file for {start}: " + ", ".join(f"{r.cruise} ({r.n_files})" for r in twice))
+        raw = raw.where(F.col("file_hour") == hour)
     return vct_columns(raw, quantile, refrac, keys=("file_hour", "cruise"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import ts
 from cytotide.operators import (decode_bins, flags_present, gate_centroids, gate_outlines, guide_segments,
-                                hex_counts, hourly_stat, log_bin_counts, populations, rescale,
+                                hex_counts, hex_counts_panels, hourly_stat, log_bin_counts, ordered, populations, rescale,
                                 ridgeline, series_arrays, sfl_only_count)
 
 
@@ -102,7 +102,7 @@ def test_gate_outlines_set_equal_channels(spark):
                                    "id long, pop string, channel1 string, channel2 string, pop_order int")
     poly = spark.createDataFrame([(1, "a", 1.0, 2.0, 9.0, 1), (1, "a", 3.0, 4.0, 9.0, 2), (1, "b", 0.0, 0.0, 0.0, 1)],
                                  "gating_id long, pop string, fsc_small double, pe double, chl_small double, point_order int")
-    o = gate_outlines(gating, poly, "fsc_small", "pe")
+    o = gate_outlines(gating, poly, [("fsc_small", "pe")])
     assert sorted(r.x for r in o.collect()) == [1.0, 3.0]
     c = gate_centroids(o).first()
     assert (c.x, c.y, c.pop_order) == (2.0, 3.0, 1)
@@ -120,6 +120,67 @@ def test_guide_segments_split_and_parallel(spark):
     assert ("D2 vs fsc_small", "small") not in seg and seg[("D2 vs fsc_small", "large")] == (0.0, 100.0)
 
 
+def test_medians_of_missing_keys_infinities_and_a_huge_group(spark):
+    inf = float("inf")
+    rows = [(ts("2024-01-01 10:00:00"), "p", float(i)) for i in range(20_001)]
+    rows += [(None, "p", 2.0), (ts("2024-01-01 10:00:00"), None, 4.0), (ts("2024-01-01 10:03:00"), None, float("nan")),
+             (ts("2024-01-01 12:00:00"), "p", inf), (ts("2024-01-01 12:01:00"), "p", 1.0), (ts("2024-01-01 12:02:00"), "p", 3.0)]
+    df = spark.createDataFrame(rows, "time timestamp, pop string, abundance double").selectExpr("*", "1L AS n_count")
+    out = {(r.time, r.pop): r.abundance for r in hourly_stat(df, medians=["abundance"]).collect()}
+    assert out == {(ts("2024-01-01 10:00:00"), "p"): 10_000.0, (None, "p"): 2.0, (ts("2024-01-01 10:00:00"), None): 4.0,
+                   (ts("2024-01-01 12:00:00"), "p"): 3.0}
+
+
+def test_non_finite_values_and_missing_scopes_are_in_no_cell(spark):
+    inf = float("inf")
+    rows = [(1, float(i), float(i * i % 97), float(i % 11)) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "hour int, fsc_small double, D1 double, D2 double")
+    bad = spark.createDataFrame([(1, inf, 1.0, 1.0), (1, 5.0, inf, None), (1, 6.0, -inf, float("nan")), (None, 5.0, 5.0, 5.0)], df.schema)
+    key = lambda d: {(r.hour, r.panel, r.lattice, r.i, r.j): r.n
+                     for r in hex_counts_panels(d, ["D1", "D2"], ["a", "b"], by=["hour"]).collect()}
+    assert key(df.union(bad)) == key(df)
+    long = lambda d: d.selectExpr("hour", "fsc_small", "stack(2, 'a', D1, 'b', D2) AS (panel, y_value)")
+    assert {(r.hour, r.panel, r.lattice, r.i, r.j): r.n for r in hex_counts(long(df.union(bad)), by=["hour"]).collect()} == key(df)
+    logs = lambda d: {(r.hour, r.ix, r.iy): r.n for r in log_bin_counts(d, "fsc_small", "D1", by=["hour"]).collect()}
+    assert logs(df.union(bad)) == logs(df)
+
+
+def test_shared_y_range(spark):
+    df = spark.createDataFrame([(float(i), float(i), 1000.0 * i) for i in range(50)], "fsc_small double, D1 double, D2 double")
+    n = {free: {p: 0 for p in "ab"} for free in (True, False)}
+    for free in n:
+        for r in hex_counts_panels(df, ["D1", "D2"], ["a", "b"], free_y=free).collect():
+            n[free][r.panel] += 1
+    assert n[True]["a"] == n[True]["b"] and n[False]["b"] == n[True]["b"]
+    rows = hex_counts_panels(df, ["D1", "D2"], ["a", "b"], free_y=False).where("panel = 'a'").collect()
+    assert {r.j for r in rows} == {0}
+
+
+def test_centroids_skip_missing_values_and_keep_precision(spark):
+    o = spark.createDataFrame([(1, "a", 1e-7, float("nan")), (1, "a", 3e-7, 3.0), (1, "a", None, None)], "gating_id int, pop string, x double, y double")
+    r = gate_centroids(o).first()
+    assert abs(r.x - 2e-7) < 1e-20 and r.y == 3.0
+
+
+def test_decode_bins_with_gaps_and_cruises(spark):
+    bins = spark.createDataFrame([("A", 1, 10.0), ("A", 3, 30.0), ("B", 1, -1.0)], "cruise string, idx long, pe double")
+    g = spark.createDataFrame([("A", 1), ("A", 2), ("A", 3), ("A", 4), ("B", 1), ("C", 1), ("A", None)], "cruise string, pe_coord int")
+    got = sorted(((r.cruise, r.pe) for r in decode_bins(g, bins, channels=["pe"], by=["cruise"]).collect()), key=str)
+    assert got == sorted([("A", 10.0), ("A", None), ("A", 30.0), ("A", None), ("B", -1.0), ("C", None), ("A", None)], key=str)
+
+
+def test_series_of_two_cruises_stay_apart(spark):
+    df = spark.createDataFrame([("A", "p", 1, 2.0, 5.0), ("A", "p", 1, 1.0, 4.0), ("B", "p", 1, 1.0, 9.0)],
+                               "cruise string, pop string, date int, x double, Qc_sum double")
+    assert {r.cruise: (r.x, r.height) for r in series_arrays(df, "x", "Qc_sum", by=["cruise"]).collect()} == {
+        "A": ([1.0, 2.0], [4.0, 5.0]), "B": ([1.0], [9.0])}
+
+
+def test_ordered_puts_missing_times_last(spark):
+    df = spark.createDataFrame([(None, 1), (2, 1), (1, 2), (1, 1)], "t int, k int")
+    assert [tuple(r) for r in ordered(df, "t", "k").collect()] == [(1, 1), (1, 2), (2, 1), (None, 1)]
+
+
 def test_hex_counts_without_panel_or_keys(spark):
     df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(50)], "fsc_small double, y_value double")
     out = hex_counts(df, panel=None)

@@ -110,3 +110,41 @@ def test_with_params_last_match_and_conflicts(spark):
     assert conflicting_gates(hit, ["time"]).first().n_active == 2
     poly = spark.createDataFrame([(1, "a"), (3, "b"), (None, "c")], "gating_id long, pop string")
     assert [r.pop for r in active_rows(poly, hit, "gating_id").collect()] == ["a"]
+
+
+def test_colliding_ids_of_two_cruises(spark):
+    plan = spark.createDataFrame([("A", ts("2024-01-01 00:00:00"), 1), ("B", ts("2024-01-01 00:00:00"), 1)],
+                                 "cruise string, start_date timestamp, filter_id long")
+    params = spark.createDataFrame([("A", 1, 10.0), ("B", 1, 20.0)], "cruise string, id long, width double")
+    got = with_params(to_intervals(plan, by=["cruise"]), params, by=["cruise"]).collect()
+    assert sorted((r.cruise, r.width) for r in got) == [("A", 10.0), ("B", 20.0)]
+
+
+def test_an_absurdly_long_interval_explodes_in_proportion(spark):
+    from cytotide.operators.intervals import _explode_intervals
+    iv = spark.createDataFrame([(ts("1700-01-01 00:00:00"), ts("2300-01-01 00:00:00"), 1), (ts("2024-01-01 00:10:00"), ts("2024-01-01 00:20:00"), 2),
+                                (ts("2024-01-01 00:15:00"), None, 3)], "start_date timestamp, end_date timestamp, filter_id long")
+    exploded, _, _, _ = _explode_intervals(iv.selectExpr("*", "filter_id AS __iv"), "start_date", "end_date", [], 3_600_000_000)
+    assert exploded.count() <= 16 * 3 + 100_000
+    pts = spark.createDataFrame([(ts("2024-01-01 00:12:00"),), (ts("2024-01-01 00:16:00"),), (ts("1699-01-01 00:00:00"),)], "time timestamp")
+    got = sorted(((str(r.time), r.filter_id) for r in active_at(pts, iv).collect()), key=str)
+    assert got == sorted([("2024-01-01 00:12:00", 1), ("2024-01-01 00:12:00", 2), ("2024-01-01 00:16:00", 1), ("2024-01-01 00:16:00", 2),
+                          ("2024-01-01 00:16:00", 3), ("1699-01-01 00:00:00", None)], key=str)
+
+
+def test_an_interval_without_length_is_active_in_its_hour(spark):
+    iv = spark.createDataFrame([(ts("2024-01-01 10:10:00"), ts("2024-01-01 10:10:00"), 1)], "start_date timestamp, end_date timestamp, gating_id long")
+    hours = spark.createDataFrame([(ts("2024-01-01 10:00:00"),), (ts("2024-01-01 11:00:00"),)], "hour timestamp")
+    assert [r.hour for r in active_in_hour(hours, iv).collect()] == [ts("2024-01-01 10:00:00")]
+
+
+def test_text_and_epoch_plan_dates(spark):
+    from cytotide.plans import filter_intervals, gating_intervals
+    params = spark.createDataFrame([("A", 1, 5.0)], "cruise string, id long, width double")
+    plan = spark.createDataFrame([("A", "2024-01-01 00:05", 1), ("A", "junk", 1), ("B", "2024-01-01 00:05:30", 1), ("B", "2024-01-01 00:07", 1)],
+                                 "cruise string, start_date string, filter_id long")
+    got = sorted(((r.cruise, r.start_date, r.width) for r in filter_intervals(plan, params, by=["cruise"]).collect()), key=str)
+    assert got == sorted([("A", ts("2024-01-01 00:05:00"), 5.0), ("A", None, 5.0), ("B", ts("2024-01-01 00:05:30"), None), ("B", None, None)], key=str)
+    epoch = spark.createDataFrame([(1704067200, 3), (1704070800, 4)], "start_date long, gating_id long")
+    assert {r.gating_id: (r.start_date, r.end_date) for r in gating_intervals(epoch).collect()} == {
+        3: (ts("2024-01-01 00:00:00"), ts("2024-01-01 01:00:00")), 4: (ts("2024-01-01 01:00:00"), None)}

@@ -26,9 +26,23 @@ def test_sqlite_source_partitions(spark):
     con.executemany("INSERT INTO stat VALUES (?,?,?,?,?,?,?,?,?,?,?)", rows)
     con.commit()
     con.close()
-    df = read_sqlite(spark, db, "stat", partitions=3)
-    assert df.rdd.getNumPartitions() == 3
+    df = read_sqlite(spark, db, "stat")
     assert df.count() == len(rows) and df.first().cruise == "CR1"
+    part = read_sqlite(spark, db, "stat", columns=["pop", "n_count"], where="quantile = 50 AND n_count > 30")
+    assert part.columns == ["pop", "n_count", "cruise"] and part.count() == 9
+    other = os.path.join(d, "CR2.outlier.db")
+    con = sqlite3.connect(other)
+    con.execute("CREATE TABLE stat (time TEXT, pop TEXT, quantile REAL, opp_evt_ratio REAL, n_count INTEGER, "
+                "abundance REAL, fsc_med REAL, chl_med REAL, pe_med REAL, diam_mid_med REAL, flag INTEGER)")
+    con.execute("INSERT INTO stat (time, pop, n_count, flag, quantile) VALUES ('x', 5, 'many', 1.5, '7')")
+    con.commit()
+    con.close()
+    both = read_sqlite(spark, [db, other], "stat")
+    assert {r["cruise"]: r["count"] for r in both.groupBy("cruise").count().collect()} == {"CR1": len(rows), "CR2": 1}
+    odd = both.where("cruise = 'CR2'").first()
+    assert (odd.pop, odd.n_count, odd.flag, odd["quantile"]) == ("5", None, 1, 7.0)
+    with pytest.raises(Exception, match="lacks columns"):
+        read_sqlite(spark, db, "stat", columns=["nope"])
     st = stat_series(df)
     assert st.count() == 20 and st.schema["time"].dataType.typeName() == "timestamp"
 
@@ -56,8 +70,17 @@ def test_vct_directory_and_file_hours(spark):
     assert one.count() == 1 and one.first().cruise == "CR1"
     assert read_vct(spark, vdir, at="2024-01-01T15:00:00Z").count() == 0
     assert ambiguous_vct_hours(vct_files(spark, vdir)).count() == 0
-    empty = read_vct(spark, os.path.join(d, "missing_vct"))
-    assert empty.count() == 0 and "time" in empty.columns
+    missing = os.path.join(d, "missing_vct")
+    for _ in range(2):  # the typed empty frame is the same every time, and has the columns of a full one
+        empty = read_vct(spark, missing)
+        assert empty.count() == 0 and empty.columns == all_hours.columns
+    assert read_vct(spark, [vdir, missing]).count() == 3  # a missing folder takes nothing from the others
+    pq.write_table(t, os.path.join(vdir, "2024-01-01T11-00-00+00-00.again.vct.parquet"))
+    with pytest.raises(ValueError, match="more than one VCT file"):
+        read_vct(spark, vdir, at="2024-01-01T11:30:00Z")
+    open(os.path.join(vdir, "2024-01-01T13-00-00+00-00.bad.vct.parquet"), "w").write("not parquet")
+    with pytest.raises(Exception):
+        read_vct(spark, vdir).count()
 
 
 def test_registry_and_catalog_tree(spark):
@@ -90,6 +113,17 @@ def test_registry_and_catalog_tree(spark):
     open(os.path.join(root, "v2", "x", "CR1.outlier.db"), "w").write("x")
     with pytest.raises(ValueError, match="duplicates"):
         assert_unique(list_files(spark, reg))
+    with pytest.raises(Exception, match="at most one outlier_db.*CR1"):
+        build_catalog(list_files(spark, reg)).collect()
+
+
+def test_folders_above_a_data_set_are_no_cruise(spark):
+    root = os.path.join(tempfile.mkdtemp(prefix="cyto-root-"), "d_vct")
+    os.makedirs(os.path.join(root, "CR1_vct"))
+    open(os.path.join(root, "CR1_vct", "a.vct.parquet"), "w").write("x")
+    reg = spark.createDataFrame([("s", root, True), ("u", "file://" + root + "/", False), ("none", root + "/absent", False)],
+                                "name string, dir string, default boolean")
+    assert sorted((r.name, r.kind, r.cruise) for r in list_files(spark, reg).collect()) == [("s", "vct_dir", "CR1"), ("u", "vct_dir", "CR1")]
 
 
 def test_grid_bins_row_position_and_scan(spark):

@@ -110,10 +110,10 @@ def q_channel_ranges(spark, sf):
     return value_range(_decoded(spark, sf), ["fsc_small", "chl_small", "pe", "Qc", "diam"], by=["pop"])
 
 
-@register("gridded_at_time", "SELECT * FROM decoded WHERE date = TIMESTAMP '1998-06-01 00:00:00'")
+@register("gridded_at_time", "SELECT * FROM decoded WHERE date = TIMESTAMP '1998-06-01 11:00:00'")
 def q_gridded_at_time(spark, sf):
     """P5: decoded gridded rows at one exact time point."""
-    return at_time(_decoded(spark, sf), "1998-06-01 00:00:00", col="date")
+    return at_time(_decoded(spark, sf), "1998-06-01 11:00:00", col="date")
 
 
 @register("gridded_in_range", """
@@ -123,3 +123,18 @@ def q_gridded_in_range(spark, sf):
     """Decoded gridded rows in a half-open window, two populations."""
     return in_range(_decoded(spark, sf), "1998-01-01 00:00:00", "1998-02-01 00:00:00", col="date",
                     pops=["prochloro", "synecho"])
+
+
+@register("cruise_ridgeline_series", f"""WITH rg AS (
+  SELECT cruise, date, pop, fsc_small, CASE WHEN count(*) FILTER (WHERE Qc_sum IS NULL) = 0 THEN round(sum(Qc_sum), 2) END AS Qc_sum
+  FROM (SELECT 'C' || CAST(g.Qc_coord % 3 AS VARCHAR) AS cruise, g.date, g.pop, g.Qc_sum, b.fsc_small
+        FROM gridded_raw g LEFT JOIN grid_bins_raw b ON g.fsc_small_coord = b.idx WHERE g.pop IN {POPS_SQL}) GROUP BY ALL)
+SELECT cruise, pop, date, list(fsc_small ORDER BY fsc_small) AS x, list(Qc_sum ORDER BY fsc_small) AS height
+FROM rg GROUP BY cruise, pop, date""")
+def q_cruise_ridgeline_series(spark, sf):
+    """A11 + J11 keyed by cruise: the same grid in each, one series per (cruise, pop, date)."""
+    cruise = F.concat(F.lit("C"), (F.col("Qc_coord") % 3).cast("string"))
+    gridded = S.gridded_raw(spark, sf).withColumn("cruise", cruise)
+    bins = S.grid_bins_raw(spark, sf).withColumn("cruise", F.explode(F.array(*[F.lit(f"C{i}") for i in range(3)])))
+    sums = ridgeline_flow(decode_bins(gridded, bins, by=["cruise"]), x="fsc_small", by=["cruise"])
+    return ridgeline_series(sums.withColumn("Qc_sum", F.round("Qc_sum", 2)), by=["cruise"])

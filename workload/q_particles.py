@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cytotide.functions.columns import BEAD_PANEL_CHANNELS, BEAD_PANEL_LABELS, unpivot_panels
 from cytotide.functions.time import floor_hour
 from cytotide.operators import (active_at, aligned, guide_hlines, guide_segments, guide_vlines,
-                                in_hour, keep_quantile, polygons_for_pop, value_range)
+                                in_hour, keep_quantile, polygons_for_pop, replicate_quantiles, value_range)
 from cytotide.plans import (attach_params, bead_density, filter_intervals, gating_centroids,
                             gating_cytograms, gating_outlines, opp_selection)
 from cytotide.plans.flows import GATING_CHANNEL_PAIRS
@@ -46,7 +46,7 @@ def _long_sql(src: str, keys: str) -> str:
             "NOT isnan(fsc_small) AND y_value IS NOT NULL AND NOT isnan(y_value)")
 
 
-def hex_sql(src: str, keys: list[str], digits: int | None = None) -> str:
+def hex_sql(src: str, keys: list[str], digits: int | None = None, free_y: bool = True) -> str:
     """SQL of the hexagon rule over ``src(keys, panel, fsc_small, y_value)``."""
     k = ", ".join(keys)
     pk = ", ".join(f"p.{c}" for c in keys)
@@ -54,13 +54,14 @@ def hex_sql(src: str, keys: list[str], digits: int | None = None) -> str:
     cy = f"y0 + (j + lattice * 0.5::DOUBLE) * ({SQRT3} * wy)"
     if digits is not None:
         cx, cy = f"round({cx}, {digits})", f"round({cy}, {digits})"
+    of_y = f"{k}, panel" if free_y else k
     return f"""xr AS (SELECT {k}, min(fsc_small) AS x0, max(fsc_small) AS x1 FROM {src} GROUP BY {k}),
-yr AS (SELECT {k}, panel, min(y_value) AS y0, max(y_value) AS y1 FROM {src} GROUP BY {k}, panel),
+yr AS (SELECT {of_y}, min(y_value) AS y0, max(y_value) AS y1 FROM {src} GROUP BY {of_y}),
 hx AS (SELECT {pk}, p.panel, xr.x0, yr.y0,
               CASE WHEN xr.x1 > xr.x0 THEN (xr.x1 - xr.x0) / 110.0::DOUBLE ELSE 1.0::DOUBLE END AS wx,
               CASE WHEN yr.y1 > yr.y0 THEN (yr.y1 - yr.y0) / 110.0::DOUBLE ELSE 1.0::DOUBLE END AS wy,
               p.fsc_small AS x, p.y_value AS y
-       FROM {src} p JOIN xr USING ({k}) JOIN yr USING ({k}, panel)),
+       FROM {src} p JOIN xr USING ({k}) JOIN yr USING ({of_y})),
 uv AS (SELECT *, (x - x0) / wx AS u, (y - y0) / ({SQRT3} * wy) AS v FROM hx),
 cand AS (SELECT *, floor(u + 0.5::DOUBLE) AS ia, floor(v + 0.5::DOUBLE) AS ja, floor(u) AS ib, floor(v) AS jb FROM uv),
 pick AS (SELECT *, ((u - ia) * (u - ia) + 3.0::DOUBLE * ((v - ja) * (v - ja)))
@@ -93,10 +94,10 @@ def q_bead_panels(spark, sf):
 
 
 @register("bead_in_hour", """SELECT * FROM bead
-WHERE time >= TIMESTAMP '1998-06-01 00:00:00' AND time < TIMESTAMP '1998-06-01 01:00:00'""")
+WHERE time >= TIMESTAMP '1998-06-01 11:00:00' AND time < TIMESTAMP '1998-06-01 12:00:00'""")
 def q_bead_in_hour(spark, sf):
-    """Bead rows of the UTC hour holding the selection 1998-06-01 00:30."""
-    return in_hour(_beads(spark, sf), "1998-06-01 00:30:00")
+    """Bead rows of the UTC hour holding the selection 1998-06-01 11:30."""
+    return in_hour(_beads(spark, sf), "1998-06-01 11:30:00")
 
 
 @register("bead_alignment", """
@@ -119,6 +120,14 @@ def q_bead_hex_evt(spark, sf):
     return bead_density(_beads_p(spark, sf), kind="evt")
 
 
+@register("bead_hex_shared_y", "WITH evt AS (SELECT date_trunc('hour', time) AS hour, * FROM bead_p "
+          "WHERE D2 < D1 + width AND D1 < D2 + width), long AS (" + _long_sql("evt", "hour") + "),\n"
+          + hex_sql("long", ["hour"], free_y=False))
+def q_bead_hex_shared_y(spark, sf):
+    """Q6 EVT with one y range for all panels of an hour (fixed facets)."""
+    return bead_density(_beads_p(spark, sf), kind="evt", free_y=False)
+
+
 @register("opp_selection", f"""
 SELECT time, fsc_small, D1, D2, filter_id FROM bead_p WHERE {OPP_PRED}""")
 def q_opp_selection(spark, sf):
@@ -149,7 +158,7 @@ def _vct_active(spark, sf):
 
 
 _UNTRANSFORM = ", ".join(
-    f"CASE WHEN {c} > 0 THEN round(log10({c}), 9) / 3.5::DOUBLE * 65536.0::DOUBLE END AS {c}"
+    f"CASE WHEN {c} > 0 THEN log10({c}) / 3.5::DOUBLE * 65536.0::DOUBLE END AS {c}"
     for c in ("D1", "D2", "fsc_small", "chl_small", "pe"))
 VCT_ACTIVE_SQL = f"""vct_active AS (
   SELECT v.time, v.pop, v.diameter, v.qc, v.filter_id, v.gating_id, {_UNTRANSFORM.replace('CASE WHEN ', 'CASE WHEN v.')}
@@ -179,7 +188,7 @@ def q_vct_hex_opp(spark, sf):
     return out.withColumns({"cx": F.round("cx", R_LOG), "cy": F.round("cy", R_LOG)})
 
 
-def _cytogram_sql() -> str:
+def _cytogram_sql(scope: str = "date_trunc('hour', time)") -> str:
     levels = "'unknown', 'beads', 'prochloro', 'synecho', 'picoeuk', 'croco'"
     parts = []
     for x, y in GATING_CHANNEL_PAIRS:
@@ -187,11 +196,11 @@ def _cytogram_sql() -> str:
        CAST(least(floor((ly - y0) / CASE WHEN y1 > y0 THEN (y1 - y0) / 140.0::DOUBLE ELSE 1.0::DOUBLE END), 139) AS BIGINT) AS iy,
        count(*) AS n, '{y} vs {x}' AS pair
 FROM (SELECT l.*, r.x0, r.x1, r.y0, r.y1
-      FROM (SELECT date_trunc('hour', time) AS scope_time, CASE WHEN pop IN ({levels}) THEN pop END AS pop,
-                   round(log10({x}), 9) AS lx, round(log10({y}), 9) AS ly
+      FROM (SELECT {scope} AS scope_time, CASE WHEN pop IN ({levels}) THEN pop END AS pop,
+                   log10({x}) AS lx, log10({y}) AS ly
             FROM vct WHERE {x} > 0 AND {y} > 0 AND NOT isnan({x}) AND NOT isnan({y})) l
-      JOIN (SELECT date_trunc('hour', time) AS scope_time, min(round(log10({x}), 9)) AS x0,
-                   max(round(log10({x}), 9)) AS x1, min(round(log10({y}), 9)) AS y0, max(round(log10({y}), 9)) AS y1
+      JOIN (SELECT {scope} AS scope_time, min(log10({x})) AS x0,
+                   max(log10({x})) AS x1, min(log10({y})) AS y0, max(log10({y})) AS y1
             FROM vct WHERE {x} > 0 AND {y} > 0 AND NOT isnan({x}) AND NOT isnan({y}) GROUP BY 1) r
       USING (scope_time))
 GROUP BY 1, 2, 3, 4""")
@@ -204,6 +213,12 @@ def q_gating_cytograms(spark, sf):
     return gating_cytograms(_vct(spark, sf), scope="hour")
 
 
+@register("gating_cytograms_point", _cytogram_sql("time"))
+def q_gating_cytograms_point(spark, sf):
+    """Q7 (A6) per time point instead of per hour."""
+    return gating_cytograms(_vct(spark, sf), scope="point")
+
+
 # ------------------------------------------------------------------ J8 A4 J9
 
 def _outline_sql() -> str:
@@ -224,12 +239,12 @@ def q_gate_outlines(spark, sf):
 
 @register("gate_centroids", "WITH o AS (" + _outline_sql() + """)
 SELECT pair, gating_id, pop, pop_order,
-       CAST(sum(CAST(x AS DECIMAL(38, 6))) AS DOUBLE) / CAST(count(x) AS DOUBLE) AS x,
-       CAST(sum(CAST(y AS DECIMAL(38, 6))) AS DOUBLE) / CAST(count(y) AS DOUBLE) AS y
+       round(avg(x), 6) AS x, round(avg(y), 6) AS y
 FROM o GROUP BY pair, gating_id, pop, pop_order""")
 def q_gate_centroids(spark, sf):
     """A4: label position (vertex mean) of each gate on each channel pair."""
-    return gating_centroids(gating_outlines(S.gating(spark, sf), S.poly(spark, sf)))
+    out = gating_centroids(gating_outlines(S.gating(spark, sf), S.poly(spark, sf)))
+    return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
 @register("polygons_for_pop", "SELECT * FROM poly WHERE pop = 'building'")
@@ -240,6 +255,13 @@ def q_polygons_for_pop(spark, sf):
 
 # ------------------------------------------------------------------ Q2 J4 F6 F7
 
+@register("filter_params_replicated", """
+SELECT f.* EXCLUDE (quantile), q.quantile FROM fp50 f CROSS JOIN (VALUES (2.5::DOUBLE), (50.0::DOUBLE), (97.5::DOUBLE)) AS q(quantile)""")
+def q_filter_params_replicated(spark, sf):
+    """Every parameter row once per quantile."""
+    return replicate_quantiles(keep_quantile(S.filter_params(spark, sf), 50).drop("date"))
+
+
 def _fp_by_id(spark, sf):
     return keep_quantile(S.filter_params(spark, sf), 50).withColumnRenamed("id", "filter_id")
 
@@ -317,6 +339,42 @@ def q_guide_segments_data(spark, sf):
     return guide_segments(hp, keys=["hour"], x_range=xr, range_keys=["hour"])
 
 
+def _anchors(particles):
+    """The selected point of every hour: its middle."""
+    return particles.select(floor_hour("time").alias("hour")).distinct() \
+        .withColumn("anchor_time", F.col("hour") + F.expr("INTERVAL 30 MINUTES"))
+
+
+@register("bead_hex_opp_anchored", f"""WITH anc AS (SELECT DISTINCT date_trunc('hour', time) AS hour FROM bead),
+ap AS (SELECT a.hour, p.* EXCLUDE (quantile, start_date, end_date)
+       FROM anc a LEFT JOIN order_ivp p
+         ON p.start_date <= a.hour + INTERVAL 30 MINUTE
+        AND (p.end_date IS NULL OR a.hour + INTERVAL 30 MINUTE < p.end_date)),
+opp AS (SELECT * FROM (SELECT b.*, ap.* FROM bead b JOIN ap ON date_trunc('hour', b.time) = ap.hour) WHERE {OPP_PRED}),
+long AS (""" + _long_sql("opp", "hour") + "),\n" + hex_sql("long", ["hour"]))
+def q_bead_hex_opp_anchored(spark, sf):
+    """Q6 derived OPP with the filter of each hour's selected point for the whole hour."""
+    beads = _beads(spark, sf)
+    attached = attach_params(beads, _order_intervals(spark, sf).drop("quantile"), anchors=_anchors(beads))
+    return bead_density(attached, kind="opp")
+
+
+@register("vct_hex_anchored", f"""WITH ap AS (
+  SELECT a.hour, i.filter_id AS active_filter_id
+  FROM (SELECT DISTINCT date_trunc('hour', time) AS hour FROM vct) a
+  LEFT JOIN order_iv i ON i.start_date <= a.hour + INTERVAL 30 MINUTE
+                      AND (i.end_date IS NULL OR a.hour + INTERVAL 30 MINUTE < i.end_date)),
+va AS (SELECT ap.hour, v.time, {_UNTRANSFORM.replace('CASE WHEN ', 'CASE WHEN v.')}
+       FROM vct v JOIN ap ON date_trunc('hour', v.time) = ap.hour WHERE v.filter_id = ap.active_filter_id),
+long AS (""" + _long_sql("va", "hour") + "),\n" + hex_sql("long", ["hour"], R_LOG))
+def q_vct_hex_anchored(spark, sf):
+    """Q6 true OPP (J10) with the filter id of each hour's selected point for the whole hour."""
+    vct = _vct(spark, sf)
+    iv = _order_intervals(spark, sf).select("start_date", "end_date", F.col("filter_id").alias("active_filter_id"))
+    out = bead_density(attach_params(vct, iv, anchors=_anchors(vct)), kind="vct")
+    return out.withColumns({"cx": F.round("cx", R_LOG), "cy": F.round("cy", R_LOG)})
+
+
 @register("opp_selection_anchored", f"""WITH anc AS (SELECT DISTINCT date_trunc('hour', time) AS hour FROM bead),
 ap AS (SELECT a.hour, p.* EXCLUDE (quantile, start_date, end_date)
        FROM anc a LEFT JOIN order_ivp p
@@ -329,8 +387,6 @@ def q_opp_selection_anchored(spark, sf):
     in force at that hour's selected point (here the mid-hour point), even if
     the plan changes inside the hour."""
     beads = _beads(spark, sf)
-    anchors = beads.select(floor_hour("time").alias("hour")).distinct() \
-        .withColumn("anchor_time", F.col("hour") + F.expr("INTERVAL 30 MINUTES"))
     iv = _order_intervals(spark, sf).drop("quantile")
-    out = opp_selection(beads, iv, anchor="selected", anchors=anchors)
+    out = opp_selection(beads, iv, anchor="selected", anchors=_anchors(beads))
     return out.select("time", "fsc_small", "D1", "D2", "filter_id")

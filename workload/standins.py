@@ -107,26 +107,36 @@ SFL_RAW_SQL = """sfl_raw AS (
 
 
 def event_filter_plan(spark, sf):
-    """Filter plan acting on Stat points: every signup event starts a parameter set."""
-    e = table(spark, sf, "events")
-    return e.where(F.col("event_type") == "signup").select(
+    """Filter plan acting on Stat points: every event starts a parameter set."""
+    return table(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("start_date"), F.col("user_id").alias("filter_id"))
 
 
 EVENT_FILTER_PLAN_SQL = """event_filter_plan AS (
-  SELECT CAST(ts AS TIMESTAMP) AS start_date, user_id AS filter_id FROM events WHERE event_type = 'signup')"""
+  SELECT CAST(ts AS TIMESTAMP) AS start_date, user_id AS filter_id FROM events)"""
 
 
 def gating_plan(spark, sf):
-    """Gating plan: every purchase event starts a gating set (25 gating ids)."""
-    e = table(spark, sf, "events")
-    return e.where(F.col("event_type") == "purchase").select(
-        F.col("ts").cast("timestamp").alias("start_date"),
-        (F.col("user_id") % 25).alias("gating_id"))
+    """Gating plan: every event starts a gating set; of the 25 gating ids that have polygons, 20 are used."""
+    return table(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("start_date"), (F.col("user_id") % 20).alias("gating_id"))
 
 
 GATING_PLAN_SQL = """gating_plan AS (
-  SELECT CAST(ts AS TIMESTAMP) AS start_date, user_id % 25 AS gating_id FROM events WHERE event_type = 'purchase')"""
+  SELECT CAST(ts AS TIMESTAMP) AS start_date, user_id % 20 AS gating_id FROM events)"""
+
+
+def gating_spans(spark, sf):
+    """Overlapping gating intervals, some without an id: half an hour from every event on."""
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select(
+        ts.alias("start_date"), (ts + F.expr("INTERVAL 30 MINUTES")).alias("end_date"),
+        F.when(F.col("event_id") % 9 != 0, F.col("user_id") % 20).alias("gating_id"))
+
+
+GATING_SPANS_SQL = """gating_spans AS (
+  SELECT CAST(ts AS TIMESTAMP) AS start_date, CAST(ts AS TIMESTAMP) + INTERVAL 30 MINUTE AS end_date,
+         CASE WHEN event_id % 9 <> 0 THEN user_id % 20 END AS gating_id FROM events)"""
 
 
 # ------------------------------------------------------------------ parameters
@@ -220,15 +230,24 @@ POLY_SQL = """poly AS (
 
 # ------------------------------------------------------------------ lineitem world
 
+def _daytime(day: str, key: str):
+    """A minute between 10:00 and 13:00 of a date, by a key; the test table's dates have no time of day."""
+    return F.col(day).cast("timestamp") + F.make_dt_interval(hours=F.lit(10), mins=(F.col(key) % 180).cast("int"))
+
+
+def _daytime_sql(day: str, key: str) -> str:
+    return f"CAST({day} AS TIMESTAMP) + INTERVAL 10 HOUR + to_minutes(CAST({key} % 180 AS INTEGER))"
+
+
 def order_filter_plan(spark, sf):
-    """Filter plan acting on particles: every order starts a parameter set (50 ids)."""
+    """Filter plan acting on particles: every order starts a parameter set (50 ids) at some minute of its day."""
     o = table(spark, sf, "orders")
-    return o.select(F.col("o_orderdate").cast("timestamp").alias("start_date"),
+    return o.select(_daytime("o_orderdate", "o_orderkey").alias("start_date"),
                     (F.col("o_custkey") % 50).alias("filter_id"))
 
 
-ORDER_FILTER_PLAN_SQL = """order_filter_plan AS (
-  SELECT CAST(o_orderdate AS TIMESTAMP) AS start_date, o_custkey % 50 AS filter_id FROM orders)"""
+ORDER_FILTER_PLAN_SQL = f"""order_filter_plan AS (
+  SELECT {_daytime_sql('o_orderdate', 'o_orderkey')} AS start_date, o_custkey % 50 AS filter_id FROM orders)"""
 
 
 def _pop_of(rf, ls):
@@ -244,7 +263,7 @@ def beads_raw(spark, sf):
     """Bead EVT sample (16-bit log-scale channels) from lineitem."""
     li = table(spark, sf, "lineitem")
     return li.select(
-        F.col("l_shipdate").cast("timestamp").alias("date"),
+        _daytime("l_shipdate", "l_orderkey").alias("date"),
         F.col("l_orderkey").alias("file_id"),
         (F.col("l_extendedprice") / 2.0).alias("fsc_small"),
         (F.col("l_quantity") * 1000.0).alias("chl_small"),
@@ -254,8 +273,8 @@ def beads_raw(spark, sf):
     )
 
 
-BEADS_RAW_SQL = """beads_raw AS (
-  SELECT CAST(l_shipdate AS TIMESTAMP) AS date, l_orderkey AS file_id,
+BEADS_RAW_SQL = f"""beads_raw AS (
+  SELECT {_daytime_sql('l_shipdate', 'l_orderkey')} AS date, l_orderkey AS file_id,
          l_extendedprice / 2.0::DOUBLE AS fsc_small, l_quantity * 1000.0::DOUBLE AS chl_small,
          CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax * 500000.0::DOUBLE END AS pe,
          CAST(l_partkey AS DOUBLE) AS D1, l_suppkey * 20.0::DOUBLE AS D2
@@ -266,7 +285,7 @@ def vct_raw(spark, sf):
     """Hourly VCT rows (linear channels, all quantile flags) from lineitem."""
     li = table(spark, sf, "lineitem")
     return li.select(
-        F.col("l_shipdate").cast("timestamp").alias("date"),
+        _daytime("l_shipdate", "l_orderkey").alias("date"),
         (F.col("l_linestatus") == "O").alias("q50"),
         _pop_of(F.col("l_returnflag"), F.col("l_linestatus")).alias("pop_q50"),
         (F.col("l_partkey") + 1).cast("double").alias("D1"),
@@ -282,7 +301,7 @@ def vct_raw(spark, sf):
 
 
 VCT_RAW_SQL = f"""vct_raw AS (
-  SELECT CAST(l_shipdate AS TIMESTAMP) AS date, l_linestatus = 'O' AS q50, {_POP_SQL} AS pop_q50,
+  SELECT {_daytime_sql('l_shipdate', 'l_orderkey')} AS date, l_linestatus = 'O' AS q50, {_POP_SQL} AS pop_q50,
          CAST(l_partkey + 1 AS DOUBLE) AS D1, l_suppkey * 10.0::DOUBLE + 1.0::DOUBLE AS D2,
          l_extendedprice / 40.0::DOUBLE AS fsc_small, l_quantity * 10.0::DOUBLE AS chl_small,
          l_tax * 5000.0::DOUBLE AS pe, sqrt(l_quantity) AS diam_mid_q50,
@@ -296,7 +315,7 @@ def gridded_raw(spark, sf):
     li = table(spark, sf, "lineitem")
     qty = F.col("l_quantity").cast("int")
     return li.select(
-        F.col("l_shipdate").cast("timestamp").alias("date"),
+        F.date_trunc("hour", _daytime("l_shipdate", "l_orderkey")).alias("date"),
         _pop_of(F.col("l_returnflag"), F.col("l_linestatus")).alias("pop"),
         qty.alias("fsc_small_coord"),
         (F.lit(51) - qty).alias("chl_small_coord"),
@@ -308,7 +327,7 @@ def gridded_raw(spark, sf):
 
 
 GRIDDED_RAW_SQL = f"""gridded_raw AS (
-  SELECT CAST(l_shipdate AS TIMESTAMP) AS date, {_POP_SQL} AS pop,
+  SELECT date_trunc('hour', {_daytime_sql('l_shipdate', 'l_orderkey')}) AS date, {_POP_SQL} AS pop,
          CAST(l_quantity AS INTEGER) AS fsc_small_coord, 51 - CAST(l_quantity AS INTEGER) AS chl_small_coord,
          l_linenumber * 8 AS pe_coord, CAST(l_quantity AS INTEGER) % 50 + 1 AS Qc_coord,
          CAST(l_linenumber AS BIGINT) AS n,
@@ -428,6 +447,7 @@ SQL_CTES = {
     "sfl_raw": SFL_RAW_SQL,
     "event_filter_plan": EVENT_FILTER_PLAN_SQL,
     "gating_plan": GATING_PLAN_SQL,
+    "gating_spans": GATING_SPANS_SQL,
     "filter_params": FILTER_PARAMS_SQL,
     "gating": GATING_SQL,
     "poly": POLY_SQL,
