@@ -202,7 +202,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *columns: str)
                                              for s, ok in zip(shares, found, strict=True)]})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    d = d.withColumn("inferred", udf(F.col("text")))
+    # else a filter on the prediction would run it a second time
+    d = d.withColumn("inferred", udf.asNondeterministic()(F.col("text")))
     return d.select(*columns, F.when(letters, F.coalesce("inferred.lang", F.lit(UNDETERMINED))).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),
                     F.when(letters, F.coalesce("inferred.score", F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"),
                     F.when(letters, F.col("inferred.proportions")).alias("proportions"))
