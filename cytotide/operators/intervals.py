@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytotide.operators.joins import broadcast_fits, materialize, plan_join, scalar_join, sized_broadcast
+from cytotide.operators.joins import (broadcast_bound, estimated_row_bytes, materialize, plan_join,
+                                       scalar_join, sized_broadcast)
 
 HOUR_MICROS = 3_600_000_000
 DAY_MICROS = 24 * HOUR_MICROS
@@ -120,40 +121,39 @@ EXPLODE_LEAST = 100_000
 WIDER = 16
 
 
-def _bucket_width(iv: DataFrame, start: str, end: str, width_micros: int) -> int:
+def _bucket_width(iv: DataFrame, start: str, end: str, width_micros: int) -> tuple[int, int, int]:
     """The bucket width, at least ``width_micros``, at which the explode stays
-    in proportion to the number of intervals. Any width gives the same join;
-    wider buckets compare more intervals per probe."""
+    in proportion to the number of intervals, the rows it then has at most,
+    and that number. Any width gives the same join; wider buckets compare more
+    intervals per probe."""
     widths = [width_micros * WIDER ** k for k in range(8)]
     latest = iv.agg(F.max(F.greatest(start, end)).alias("__latest"))
     upto = F.coalesce(F.col(end), F.col("__latest"))
-    spans = [F.sum(_last_bucket(upto, w) - _bucket(F.col(start), w) + F.lit(1.0)) for w in widths]
+    spans = [F.sum(F.greatest(_last_bucket(upto, w) - _bucket(F.col(start), w), F.lit(0)) + F.lit(1.0)) for w in widths]
     n, *rows = scalar_join(iv, latest).agg(F.count(F.lit(1)), *spans).first()
+    rows = [int(r or 0) for r in rows]
     most = EXPLODE_PER_INTERVAL * n + EXPLODE_LEAST
-    return next((w for w, r in zip(widths, rows) if (r or 0) <= most), widths[-1])
+    at = next((i for i, r in enumerate(rows) if r <= most), len(rows) - 1)
+    return widths[at], rows[at], n
 
 
 def _explode_intervals(intervals: DataFrame, start: str, end: str, by: list[str],
                        bucket_micros: int):
-    """Intervals exploded over the buckets they cover, materialised once.
+    """Intervals (written before, with row id ``__iv``) exploded over the
+    buckets they cover: keys, bounds and id only.
 
-    Only keys, bounds and a row id are exploded. Returns ``(exploded, caps,
-    fits, width)``: ``caps`` (one row per key) is folded from the materialised
-    table, so one size probe covers both.
+    Returns ``(exploded, caps, width, rows, n)``: ``caps`` has the last bucket
+    of each key; rows and n bound the sizes of the exploded and the plain table.
     """
     s, e = F.col(start), F.col(end)
     iv = intervals.select(*by, start, end, "__iv").where(s.isNotNull())
-    width = _bucket_width(iv, start, end, bucket_micros)
+    width, rows, n = _bucket_width(iv, start, end, bucket_micros)
     iv = iv.withColumn("__b0", _bucket(s, width)) \
            .withColumn("__b1", F.when(e.isNotNull(), F.greatest(F.col("__b0"), _last_bucket(e, width))))
     cap_expr = F.greatest(F.max("__b0"), F.max("__b1")).alias("__cap")
     caps = iv.groupBy(*by).agg(cap_expr) if by else iv.agg(cap_expr)
-    iv = plan_join(iv, caps, by)
-    iv = iv.withColumn("__b", F.explode(F.sequence("__b0", F.coalesce("__b1", "__cap"))))
-    iv = materialize(iv.drop("__b0", "__b1"))
-    fits = broadcast_fits(iv)
-    caps = iv.select(*by, "__cap").distinct() if by else iv.agg(F.max("__cap").alias("__cap"))
-    return iv.drop("__cap"), caps, fits, width
+    exploded = plan_join(iv, caps, by).withColumn("__b", F.explode(F.sequence("__b0", F.coalesce("__b1", "__cap"))))
+    return exploded.drop("__b0", "__b1", "__cap"), caps, width, rows, n
 
 
 def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Column,
@@ -171,7 +171,9 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
     payload = [c for c in intervals.columns if c not in {*by, start, end}]
     # A row id carries the other columns (parameters) past the explode; equal rows share it.
     intervals = materialize(intervals.withColumn("__iv", F.xxhash64(*intervals.columns)))
-    iv, caps, fits, width = _explode_intervals(intervals, start, end, by, bucket_micros)
+    iv, caps, width, rows, n = _explode_intervals(intervals, start, end, by, bucket_micros)
+    bound = broadcast_bound(probe)
+    fits = rows * estimated_row_bytes(iv) <= bound
     if by:
         p = probe.join(F.broadcast(caps) if fits else caps, on=by, how="left")
     else:
@@ -185,7 +187,7 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
     joined = joined.drop("__pb", "__b", *[f"__r_{k}" for k in by])
     if payload:
         carried = intervals.select("__iv", *payload).dropDuplicates(["__iv"])
-        joined = joined.join(sized_broadcast(carried), on="__iv", how="left")
+        joined = joined.join(F.broadcast(carried) if n * estimated_row_bytes(carried) <= bound else carried, on="__iv", how="left")
     return joined.select(*probe.columns, start, end, *payload)
 
 

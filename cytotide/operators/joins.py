@@ -3,8 +3,7 @@
 ``sized_broadcast`` first materialises the (small, derived) side once with a
 reliable ``checkpoint()`` into the cluster's shared ``spark.checkpoint.dir``
 — so measuring it never re-runs its lineage (which may include a pass over
-particle data) — then counts it and multiplies by the schema's row width.
-Under the bound the side is hinted for broadcast; above it the checkpointed
+particle data) — then adds up the bytes of its values. Under the bound the side is hinted for broadcast; above it the checkpointed
 frame is returned unhinted and Spark plans a shuffle join (with AQE
 skew-join splitting of hot keys).
 """
@@ -53,17 +52,36 @@ def estimated_row_bytes(df: DataFrame) -> int:
     return max(8, sum(_type_bytes(f.dataType) for f in df.schema.fields))
 
 
+def _value_bytes(c, dt: T.DataType):
+    """Bytes of a column's values, texts and arrays at their real length (a Column)."""
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(16)
+    if isinstance(dt, T.ArrayType):
+        if isinstance(dt.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            inner = F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + _value_bytes(x, dt.elementType).cast("long"))
+        else:
+            inner = F.size(c).cast("long") * F.lit(max(1, _type_bytes(dt.elementType)))
+        return F.when(c.isNull(), F.lit(16)).otherwise(F.lit(16) + inner)
+    if isinstance(dt, T.StructType):
+        total = F.lit(16)
+        for f in dt.fields:
+            total = total + _value_bytes(c.getField(f.name), f.dataType)
+        return total
+    if isinstance(dt, T.MapType):
+        return F.lit(32) + _value_bytes(F.map_keys(c), T.ArrayType(dt.keyType)) + _value_bytes(F.map_values(c), T.ArrayType(dt.valueType))
+    return F.lit(8)
+
+
 def broadcast_fits(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """True when ``rows * width`` of ``df`` is under ``max_bytes``.
+    """True when the rows of ``df`` take at most ``max_bytes``, measured.
 
-    Runs one count job; only call it on sides that are small by design (plans,
-    parameters, bin tables, per-key aggregates), never on particle data.
-    The count stops early: at most ``limit + 1`` rows are counted.
+    Runs one aggregate; only call it on sides that are small by design and
+    materialised (plans, parameters, bin tables, per-key aggregates), never on particle data.
     """
-    width = estimated_row_bytes(df)
-    limit = max(1, (max_bytes or broadcast_bound(df)) // width)
-    n = df.limit(limit + 1).count()
-    return n <= limit
+    size = F.lit(8).cast("long")
+    for f in df.schema.fields:
+        size = size + _value_bytes(F.col(f"`{f.name}`"), f.dataType)
+    return (df.agg(F.sum(size)).first()[0] or 0) <= (max_bytes or broadcast_bound(df))
 
 
 def materialize(df: DataFrame) -> DataFrame:

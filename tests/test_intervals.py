@@ -124,7 +124,7 @@ def test_an_absurdly_long_interval_explodes_in_proportion(spark):
     from cytotide.operators.intervals import _explode_intervals
     iv = spark.createDataFrame([(ts("1700-01-01 00:00:00"), ts("2300-01-01 00:00:00"), 1), (ts("2024-01-01 00:10:00"), ts("2024-01-01 00:20:00"), 2),
                                 (ts("2024-01-01 00:15:00"), None, 3)], "start_date timestamp, end_date timestamp, filter_id long")
-    exploded, _, _, _ = _explode_intervals(iv.selectExpr("*", "filter_id AS __iv"), "start_date", "end_date", [], 3_600_000_000)
+    exploded, *_ = _explode_intervals(iv.selectExpr("*", "filter_id AS __iv"), "start_date", "end_date", [], 3_600_000_000)
     assert exploded.count() <= 16 * 3 + 100_000
     pts = spark.createDataFrame([(ts("2024-01-01 00:12:00"),), (ts("2024-01-01 00:16:00"),), (ts("1699-01-01 00:00:00"),)], "time timestamp")
     got = sorted(((str(r.time), r.filter_id) for r in active_at(pts, iv).collect()), key=str)
