@@ -55,4 +55,57 @@ r AS (
 SELECT doc_id, size, source_size, target,
        CAST(epochs * size + least(size, greatest(0, rest - (upto - n * size)) // n) AS BIGINT) AS taken
 FROM r""",
+    "op5_substrings": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT r, doc, p, array_to_string(ws[p:p + 19], ' ') AS run
+  FROM (SELECT r, doc, ws, unnest(range(1, len(ws) - 18)) AS p FROM d WHERE len(ws) >= 20)),
+f AS (SELECT run, min({'doc': doc, 'p': p}) AS first FROM w GROUP BY run),
+gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 20)) AS pos FROM w JOIN f USING (run)
+  WHERE doc > first.doc OR doc = first.doc AND p > first.p),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+  FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d) ANTI JOIN gone USING (r, pos) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
+    "op8_url_filter": r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+r(action, site, start) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+h AS (
+  SELECT page_id, arg_max({'action': action, 'rule': site || start, 'whole': start = '/'}, len(site || start)) AS hit
+  FROM p JOIN r ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id),
+u AS (SELECT p.page_id, host, path, hit FROM p LEFT JOIN h ON p.page_id IS NOT DISTINCT FROM h.page_id),
+e AS (
+  SELECT DISTINCT src, dst FROM (
+    SELECT host AS src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END,
+                                                 '(?s)^.*?://([^/?#]*)', 1),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM (SELECT host, unnest(regexp_extract_all(html,
+      '(?i)<a\s[^<>]*?href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s<>]+)', 1)) AS link FROM p))
+  WHERE src <> '' AND dst <> '' AND src <> dst),
+ways AS (
+  SELECT kind, host, next, count(*) OVER (PARTITION BY kind, host) AS fan
+  FROM (SELECT 'trust' AS kind, src AS host, dst AS next FROM e UNION ALL SELECT 'distrust', dst, src FROM e)),
+m AS (
+  SELECT 0 AS round, kind, host, 1.0::DOUBLE - 0.85::DOUBLE AS score
+  FROM (SELECT DISTINCT CASE WHEN hit.action = 'allow' THEN 'trust' WHEN hit.whole THEN 'distrust' END AS kind, host
+        FROM u WHERE hit IS NOT NULL) WHERE kind IS NOT NULL
+  UNION ALL
+  SELECT round + 1, kind, next, sum(score / fan) * 0.85::DOUBLE FROM m JOIN ways USING (kind, host)
+  WHERE round < 57 GROUP BY round, kind, next),
+s AS (SELECT host, sum(score) FILTER (WHERE kind = 'trust') AS trust, sum(score) FILTER (WHERE kind = 'distrust') AS distrust
+      FROM m GROUP BY host)
+SELECT page_id, u.host, path, hit.rule AS rule,
+       coalesce(hit.action, CASE WHEN coalesce(distrust, 0) >= 0.01 AND coalesce(distrust, 0) > coalesce(trust, 0)
+                                 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN s ON u.host = s.host""",
 }
