@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -14,7 +13,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def ts(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text)

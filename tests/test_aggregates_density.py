@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import ts
+from cruise_helpers import ts
 from cytotide.operators import (decode_bins, flags_present, gate_centroids, gate_outlines, guide_segments,
                                 hex_counts, hex_counts_panels, hourly_stat, log_bin_counts, ordered, populations, rescale,
                                 ridgeline, series_arrays, sfl_only_count)

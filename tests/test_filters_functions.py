@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import ts
+from cruise_helpers import ts
 from cytotide.functions import (clamp, equivalent_diameter, floor_hour, iso_text, nearly_equal,
                                 nulls_for_nans, parse_time, unpivot_panels, untransform)
 from cytotide.operators import (at_time, exclude_flags, in_hour, in_range, keep_pops, keep_quantile,

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import ts
+from cruise_helpers import ts
 from cytotide.operators import (active_at, active_in_hour, active_rows, conflicting_gates, last_match,
                                 to_intervals, with_params)
 
