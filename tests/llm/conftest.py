@@ -5,9 +5,21 @@ from cytotide.llm.common import ready
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@pytest.fixture(scope="session", autouse=True)
+@pytest.fixture(scope="module", autouse=True)
 def session_is_ready(spark):
+    """The operators' session state, and settings that suit a few rows: no compiled code, few partitions."""
     ready(spark)
+    small = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+             "spark.sql.shuffle.partitions": "3"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
 
 
 @pytest.fixture(scope="session")
