@@ -64,6 +64,8 @@ _NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
     paywall related recommended recommendations trending share sharing social follow widget widgets pagination pager toolbar
     disclaimer tags""".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies responses".split())
+#: An <article> of such a class or id is a reader's comment or an advert.
+_NO_ARTICLE = _COMMENT_WORDS | frozenset("ad ads advert advertisement sponsored promo related recommended".split())
 _CONTENT_WORDS = frozenset("article content main post entry story text body page wrapper container layout site".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span br ul ol li blockquote pre code table tbody tr td th section div".split())
@@ -81,8 +83,10 @@ class Node:
         self.bare = not (found.get("class") or found.get("id"))
         self.key = xxhash.xxh64_intdigest(f"{parent.key if parent else ''}/{self.names}") >> 1
         self.noise = tag in _NOISE_TAGS or tag == "header" and not inside
-        if attrs and tag not in ("html", "body", "article", "main") and not self.noise:
-            words = set(_TOKEN.findall(found.get("class", "") + " " + found.get("id", "")))
+        words = set(_TOKEN.findall(found.get("class", "") + " " + found.get("id", ""))) if found else set()
+        if tag in ("article", "main"):
+            self.noise = bool(words & _NO_ARTICLE)
+        elif attrs and tag not in ("html", "body") and not self.noise:
             self.noise = bool(
                 words & _COMMENT_WORDS or words & _NOISE_WORDS and not words & _CONTENT_WORDS
                 or found.get("role") in _NOISE_ROLES or found.get("aria-hidden") == "true"
@@ -177,7 +181,7 @@ def _articles(node: Node) -> list[Node]:
         found, todo = [], [node]
         while todo:
             x = todo.pop()
-            if x.tag == tag:
+            if x.tag == tag and not x.noise:
                 found.append(x)
             elif not x.noise:
                 todo += [c for c in reversed(x.children) if not isinstance(c, str)]

@@ -28,6 +28,8 @@ from cytotide.llm.queries import URL_RULES
     ("<p hidden>no</p><p style='display: none'>no</p><p>yes</p>", "yes"),
     ("<div class='cookie-notice'>ok?</div><div class='content with-sidebar'><p>kept</p></div>", "kept"),
     ("<article>one</article><p>between</p><article>two</article>", "one\n\ntwo"),
+    ("<main><p>story</p><article class='comment'><p>nice!</p></article></main>", "story"),
+    ("<article>own<article id=comment-7>no</article></article><article class='ad'>buy</article>", "own"),
 ])
 def test_main_text(page, text):
     assert html.main_text(page) == text
