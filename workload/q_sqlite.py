@@ -233,7 +233,6 @@ def q_grid_files_decode(spark, sf):
     filled = last.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("idx")).join(bins, "idx", "left")
     filled.repartition(1).sortWithinPartitions("idx").drop("idx").write.parquet(f"{folder}/CR1.grid_bins.parquet")
     S.gridded_raw(spark, sf).write.parquet(f"{folder}/CR1.hourly_gridded.parquet")
-    named = F.lit("CR1").alias("cruise")
     bins = grid_bins(spark, f"{folder}/CR1.grid_bins.parquet", with_cruise=False)
     gridded = read_gridded(spark, f"{folder}/CR1.hourly_gridded.parquet", with_cruise=False)
-    return decode_bins(gridded.select("*", named), bins.select("*", named), by=["cruise"])
+    return decode_bins(gridded, bins).select("*", F.lit("CR1").alias("cruise"))
