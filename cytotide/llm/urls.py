@@ -7,8 +7,11 @@ of anchors) are the edges of a graph. Trust starts at hosts with a page that
 an allow rule passes and follows the links; distrust starts at hosts that a
 block rule covers as a whole and follows the links backwards, to hosts that
 link to them. Both are personalised PageRank with damping DAMPING, a host's
-rank divided among its edges. A host is blocked where its distrust is at
-least THRESHOLD and greater than its trust.
+rank divided among its edges. Distrust of a host that many link to is thus
+divided among them all, so a third score, exposure, follows the links backwards
+too, but a host gets the mean over its own links, whoever else links there. A
+host is blocked where its distrust or its exposure is at least THRESHOLD and
+greater than its trust.
 
 Defined results: a null url and one without ``://`` has an empty host and
 path, which no rule and no edge concerns, and is allowed; null html has no
@@ -63,23 +66,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(kind, host, score): personalised PageRank of kind 'trust' along the edges and of 'distrust' against them.
+    """(kind, host, score): personalised PageRank of kind 'trust' along the edges and of 'distrust' against them, and 'exposure'.
+
+    Exposure goes against the edges too, divided by the edges of the host that
+    it comes to instead of the one that it comes from.
 
     ``seeds`` has (kind, host). The rank is summed as it spreads: every round
     passes on what arrived in the last one, times damping, and what is under
-    way shrinks by that factor at least, so the rounds end by themselves.
+    way (of exposure, the most that a host gets) shrinks by that factor at
+    least, so the rounds end by themselves.
     """
-    ways = (edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("next"))
-            .unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("next"))))
-    fan = ways.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("fan"))
-    ways = materialize(ways.join(fan, ["kind", "host"]))
+    along = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("next"), F.col("src").alias("of"))
+    against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("next"), F.col("dst").alias("of"))
+    ways = along.unionByName(against).unionByName(against.withColumn("kind", F.lit("exposure")).withColumn("of", F.col("next")))
+    fan = ways.groupBy("kind", "of").agg(F.count(F.lit(1)).alias("fan"))
+    ways = materialize(ways.join(fan, ["kind", "of"]).drop("of"))
+
+    def under_way(moving: DataFrame) -> float:
+        of = lambda how, here: F.coalesce(how(F.when(here, F.col("score"))), F.lit(0.0))
+        mean = F.col("kind") == "exposure"
+        return moving.agg(of(F.sum, ~mean) + of(F.max, mean)).first()[0]
+
     moving = materialize(seeds.select("kind", "host").distinct().withColumn("score", F.lit(1.0 - damping)))
-    rounds, left = [moving], moving.agg(F.sum("score")).first()[0] or 0.0
+    rounds, left = [moving], under_way(moving)
     least = left * tolerance
     while left > least:
         moving = materialize(ways.join(moving, ["kind", "host"]).groupBy("kind", F.col("next").alias("host"))
                              .agg((F.sum(F.col("score") / F.col("fan")) * damping).alias("score")))
-        left = moving.agg(F.sum("score")).first()[0] or 0.0
+        left = under_way(moving)
         if left:
             rounds.append(moving)
     total = rounds[0]
@@ -90,7 +104,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = DAMPING,
           threshold: float = THRESHOLD) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) per page; the scores are the host's.
+    """(page_id, host, path, rule, verdict, trust, distrust, exposure) per page; the scores are the host's.
 
     Pages are read twice, first for links and seeds. Scores of hosts are
     broadcast if their measured size allows.
@@ -100,11 +114,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
     ruled = located.withColumn("hit", deciding_rule(F.col("host"), F.col("path"), rules))
     kind = F.when(F.col("hit.action") == "allow", "trust").when((F.col("hit.action") == "block") & F.col("hit.whole"), "distrust")
     seeds = ruled.select(kind.alias("kind"), "host").where("kind is not null").distinct()
+    seeds = seeds.unionByName(seeds.where("kind = 'distrust'").withColumn("kind", F.lit("exposure")))
     scores = propagate(materialize(host_edges(d)), seeds, damping)
-    by_host = (scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
-                                          F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust")))
+    kinds = ("trust", "distrust", "exposure")
+    by_host = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in kinds])
     out = (ruled.join(sized_broadcast(by_host), "host", "left")
-           .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")}))
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+           .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in kinds}))
+    against = F.greatest("distrust", "exposure")
+    bad = (against >= threshold) & (against > F.col("trust"))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"),
-                      F.coalesce(F.col("hit.action"), F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+                      F.coalesce(F.col("hit.action"), F.when(bad, "block").otherwise("allow")).alias("verdict"), *kinds)

@@ -117,6 +117,20 @@ def test_links_to_blocked_hosts_count(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: got[5], 6: "block"}
 
 
+def test_links_to_a_blocked_host_count_however_many_there_are(spark):
+    bad, good = "<a href='http://bad.net/1'>", "<a href='http://good.org/fr/1'>"
+    clean = [f"<a href='http://clean{j}.com/'>" for j in range(40)]
+    pages = [(i, f"http://fan{i}.com/", bad + "".join(clean[:i % 10])) for i in range(300)]
+    pages += [(1000, "http://second.com/", "<a href='http://fan0.com/'>"), (1001, "http://other.com/", "".join(clean)),
+              (1002, "http://portal.com/", bad + "".join(clean)), (1003, "http://good.org/fr/1", "<a href='http://cited.com/'>"),
+              (1004, "http://cited.com/", bad + "".join(clean[:5]) + good), (1005, "http://bad.net/1", None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in urls.judge(df, URL_RULES).collect()}
+    assert {got[i].verdict for i in range(300)} == {"block"}
+    assert {i: got[i].verdict for i in range(1000, 1006)} == {1000: "block", 1001: "allow", 1002: "allow", 1003: "allow", 1004: "allow", 1005: "block"}
+    assert got[0].exposure == pytest.approx(0.85 * 0.15) and got[9].exposure == pytest.approx(0.85 * 0.15 / 10)
+
+
 # ------------------------------------------------------------------ language
 
 TONGUES = {"aa": ["mokra", "tiluk", "sobrak", "keluk", "obra", "tik"], "bb": ["shaeen", "wiorra", "eeniosh", "aashee", "wio"],
