@@ -15,7 +15,10 @@ Sites that fill their menus and adverts with ever new text defeat entropy, and
 sites that print one article many times would lose it. So what HTML itself
 calls a menu, header, footer, aside, form, script or style, or what class, id
 or role name as such, is removed as well, and the paragraphs of an <article>
-or <main> are kept whatever their entropy.
+or <main> are kept whatever their entropy. Inside those, ids and parts of class
+names say nothing (an id is often a heading's slug): only whole class names that
+can mean nothing else count, of elements other than headings, and the tree
+decides about the rest.
 
 Defined results: null and empty html give an empty text; unclosed tags end
 where the next block or the page does; a tag cut off by the page's end is
@@ -46,7 +49,7 @@ MIN_PAGES = 4
 HELD = 200_000
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z][-\w:]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[a-z0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -64,8 +67,14 @@ _NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
     paywall related recommended recommendations trending share sharing social follow widget widgets pagination pager toolbar
     disclaimer tags""".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies responses".split())
-#: An <article> of such a class or id is a reader's comment or an advert.
-_NO_ARTICLE = _COMMENT_WORDS | frozenset("ad ads advert advertisement sponsored promo related recommended".split())
+#: Inside an article these are names of its own parts as well.
+_DOUBTFUL = frozenset("""side rail masthead header footer copyright legal notice notices notification alert menu modal overlay
+    promotion disclaimer tags respond reply replies response responses""".split())
+_INSIDE_WORDS, _INSIDE_COMMENTS = _NOISE_WORDS - _DOUBTFUL, _COMMENT_WORDS - _DOUBTFUL
+#: An <article> of such a class is a reader's comment or an advert, as is one whose id is such a word and a number.
+_NO_ARTICLE = _COMMENT_WORDS | frozenset("comment-body ad ads advert advertisement sponsored promo related recommended".split())
+_COMMENT_ID = re.compile(rf"(?:div-)?(?:{'|'.join(sorted(_COMMENT_WORDS))})[-_]?\d+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTENT_WORDS = frozenset("article content main post entry story text body page wrapper container layout site".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span br ul ol li blockquote pre code table tbody tr td th section div".split())
@@ -78,19 +87,25 @@ class Node:
 
     def __init__(self, tag: str, attrs: str, parent: Node | None, inside: bool) -> None:
         self.tag, self.children = tag, []
-        found = {a.lower(): v.strip("\"'").lower() for a, v, h in _ATTR.findall(attrs) if a} if "=" in attrs else {}
+        found = {a.lower(): v.strip("\"'").lower() for a, v in _ATTR.findall(attrs)} if attrs else {}
         self.names = f"{tag}.{found.get('class', '')}#{found.get('id', '')}"
         self.bare = not (found.get("class") or found.get("id"))
         self.key = xxhash.xxh64_intdigest(f"{parent.key if parent else ''}/{self.names}") >> 1
         self.noise = tag in _NOISE_TAGS or tag == "header" and not inside
-        words = set(_TOKEN.findall(found.get("class", "") + " " + found.get("id", ""))) if found else set()
+        if not found:
+            return
+        classes = set(found.get("class", "").split())
         if tag in ("article", "main"):
-            self.noise = bool(words & _NO_ARTICLE)
-        elif attrs and tag not in ("html", "body") and not self.noise:
-            self.noise = bool(
-                words & _COMMENT_WORDS or words & _NOISE_WORDS and not words & _CONTENT_WORDS
-                or found.get("role") in _NOISE_ROLES or found.get("aria-hidden") == "true"
-                or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs.lower()) or "display:none" in found.get("style", "").replace(" ", ""))
+            self.noise = bool(classes & _NO_ARTICLE or _COMMENT_ID.fullmatch(found.get("id", "")))
+        elif tag not in ("html", "body") and not self.noise:
+            if inside:
+                named = tag not in _HEADINGS and bool(
+                    classes & _INSIDE_COMMENTS or classes & _INSIDE_WORDS and not classes & _CONTENT_WORDS)
+            else:
+                words = set(_TOKEN.findall(found.get("class", "") + " " + found.get("id", "")))
+                named = bool(words & _COMMENT_WORDS or words & _NOISE_WORDS and not words & _CONTENT_WORDS)
+            self.noise = (named or found.get("role") in _NOISE_ROLES or found.get("aria-hidden") == "true"
+                          or "hidden" in found or "display:none" in found.get("style", "").replace(" ", ""))
 
 
 def parse(html: str) -> Node:

@@ -35,6 +35,26 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><h2 id='side-effects'>Side effects</h2><section id='related-work'><p>before us</p></section><p id=legal-background>law</p>"
+     "<div id='replies-to-critics'>they say</div><h3 class='header'>End</h3></article>", "Side effects\n\nbefore us\n\nlaw\n\nthey say\n\nEnd"),
+    ("<main><p>see <a title='The hidden fortress' href=x>this</a></p><div class='hidden md:block'>wide</div><p data-hidden>data</p></main>",
+     "see this\n\nwide\n\ndata"),
+    ("<article><p>a</p><p hidden>no</p><div class=x HIDDEN=''>no</div><div class='box ad'>no</div><div role=navigation>no</div>"
+     "<div class='alert alert-info'>mind this</div></article>", "a\n\nmind this"),
+    ("<article id='ad-blockers-compared' class='post tag-related category-ads'><p>tested</p></article>", "tested"),
+])
+def test_names_inside_an_article_are_its_own(page, text):
+    assert html.main_text(page) == text
+
+
+def test_the_style_tree_decides_about_doubtful_names(spark):
+    pages = [(i, "http://a.example/", f"<article><p>Story {i} of {i * 7}</p><div class=notice>Printed by us</div>"
+              f"<div class=alert>Mind step {i} of {i * 3}</div></article>") for i in range(12)]
+    got = {r.text for r in html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {f"Story {i} of {i * 7}\n\nMind step {i} of {i * 3}" for i in range(12)}
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 5000 + "deep") .strip() == "deep"
     assert len(html.main_text("<p>" + "word " * 200_000 + "</p>")) == 5 * 200_000 - 1
