@@ -1,7 +1,10 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 Centroids come from balanced bisection of a bounded sample: every cut splits
-its vectors into halves, so the sample's lists are of one size. All centroids
+its vectors into halves, so the sample's lists are of one size. Where the table
+has more than LIST_ROWS rows to such a list, a larger sample (about LIST vectors
+to every LIST_ROWS rows) is dealt to the lists and each is bisected on, a task
+each, so that the number of lists follows the number of rows. All centroids
 are held in memory with a graph of their nearest neighbours, which is searched
 best first. Every vector goes to the list of its nearest centroid and, at a
 boundary, to further lists within CLOSURE times that distance, unless an
@@ -9,9 +12,11 @@ already chosen centroid is nearer to the further centroid than the vector is.
 A query reads the lists whose centroids are within PRUNE times its nearest
 centroid's distance, and scores their vectors exactly.
 
-Lists are split into blocks of at most about BLOCK vectors, so that a crowded
-list is many tasks. The index covers every row; only the centroids come from
-a sample (at most about SAMPLE vectors, chosen by a hash of the vectors).
+Lists are split into blocks of about BLOCK vectors, and the queries that read a
+list into parts of about ASKED, so that a crowded list is many tasks. Of equal
+vectors the index holds the k + 1 with the smallest ids: no query's k nearest
+can have others. It covers every other row; only the centroids come from samples,
+chosen by a hash of the vectors, equal ones counting once.
 
 Defined results: vectors that are null, empty, zero, hold a null or a
 non-finite component, or aren't of the most common length take no part; rows
@@ -29,13 +34,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytotide.llm.common import materialize, pick
+from cytotide.llm.common import constant, materialize, pick
 
 NEAREST = 5
 SAMPLE = 20_000
 #: Sampled vectors to a list, and the most lists: 2 ** DEEPEST.
 LIST = 64
 DEEPEST = 11
+#: Rows to a list, beyond which lists are bisected on.
+LIST_ROWS = 2048
 LINKS = 16
 #: Centroids that the graph search keeps, for placing vectors and for queries.
 PLACE_BEAM = 24
@@ -44,6 +51,7 @@ CLOSURE = 1.15
 PRUNE = 1.6
 REPLICAS = 4
 BLOCK = 4096
+ASKED = 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -85,7 +93,10 @@ def centroid_graph(centroids: np.ndarray, links: int = LINKS) -> np.ndarray:
     for i in range(0, n, 512):
         sims = centroids[i:i + 512] @ centroids.T
         sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -np.inf
-        out[i:i + 512, :near] = np.argsort(-sims, axis=1, kind="stable")[:, :near]
+        if n <= 4096:
+            out[i:i + 512, :near] = np.argsort(-sims, axis=1, kind="stable")[:, :near]
+        else:
+            out[i:i + 512, :near] = np.argpartition(-sims, near, axis=1)[:, :near]
     out[:, near:] = rng.integers(0, n, (n, 4))
     return out
 
@@ -157,6 +168,30 @@ def query_lists(x: np.ndarray, centroids: np.ndarray, graph: np.ndarray) -> list
     return [i[k] for i, k in zip(ids, keep, strict=True)]
 
 
+def _refined(sample: DataFrame, held) -> np.ndarray:
+    """Centroids of lists of about LIST sampled vectors, by bisecting the vectors nearest to each of the held ones."""
+    def nearest_one(x: np.ndarray, centroids: np.ndarray, graph: np.ndarray) -> list[np.ndarray]:
+        return [i[:1] for i in graph_search(x, centroids, graph, PLACE_BEAM)[0]]
+
+    def bisect(group: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(np.stack(group.sort_values("vec_id")["embedding"]).astype(np.float64))
+        parts = balanced_centroids(x, int(np.log2(max(len(x) / LIST, 1))))
+        return pd.DataFrame({"list": group["list"].iloc[0], "part": np.arange(len(parts)), "centroid": list(parts)})
+
+    found = (_placed(sample, nearest_one, held).groupBy("list").applyInPandas(bisect, "list int, part int, centroid array<double>")
+             .toPandas().sort_values(["list", "part"]))
+    fine = np.stack(found["centroid"])
+    whole = np.setdiff1d(np.arange(len(held.value[0])), found["list"])  # lists that no sampled vector came to
+    return _unit(np.concatenate([fine, held.value[0][whole]]))
+
+
+def _counts_of(lists: DataFrame, n: int, most: int) -> Column:
+    """For each row's list, the number of pieces of about ``most`` rows that it makes."""
+    sizes = dict(lists.groupBy("list").agg(F.count(F.lit(1))).collect())
+    pieces = [-(-sizes.get(i, 1) // most) for i in range(n)]
+    return F.get(constant(lists.sparkSession, pieces, "array<int>"), F.col("list"))
+
+
 def _placed(vectors: DataFrame, how, held) -> DataFrame:
     """Vectors with one row per list, ``how`` choosing the lists."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,21 +219,29 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
         return spark.createDataFrame([], result)
     d = materialize(d.where(F.size("embedding") == lengths.n).distinct())
     n = d.count()
-    u = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(2 ** 40)) / float(2 ** 40)
-    sample = d.where(u < SAMPLE / n).toPandas().sort_values("vec_id", ignore_index=True)
+
+    def sampled(share: float) -> DataFrame:
+        """Of the distinct vectors that share, each as a row whose vec_id is its hash."""
+        u = F.pmod(F.xxhash64("embedding"), F.lit(2 ** 40))
+        return d.select(F.xxhash64("embedding").alias("vec_id"), "embedding").where(u < share * 2 ** 40).dropDuplicates(["vec_id"])
+
+    sample = sampled(SAMPLE / n).toPandas().sort_values("vec_id", ignore_index=True)
     depth = int(np.clip(np.log2(max(len(sample), 1) / LIST), 0, DEEPEST))
     x = np.stack(sample["embedding"] if len(sample) else d.limit(1).toPandas()["embedding"]).astype(np.float64)
     centroids = balanced_centroids(_unit(x), depth)
     held = spark.sparkContext.broadcast((centroids, centroid_graph(centroids)))
-
-    postings = _placed(d, boundary_lists, held)
-    # one row per list: how many blocks it needs
-    sizes = dict(postings.groupBy("list").agg(F.count(F.lit(1))).collect())
-    blocks = [-(-sizes.get(i, 1) // BLOCK) for i in range(len(centroids))]
-    of_list = F.get(F.array(*[F.lit(b) for b in blocks]), F.col("list"))
-    postings = postings.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_list).cast("int"))
-    asked = (_placed(d.where(queries), query_lists, held)
-             .withColumn("block", F.explode(F.sequence(F.lit(0), of_list - 1))))
+    if n > len(centroids) * LIST_ROWS and len(sample):
+        centroids = _refined(sampled(LIST / LIST_ROWS), held) if sampled(LIST / LIST_ROWS).limit(1).count() else centroids
+        held = spark.sparkContext.broadcast((centroids, centroid_graph(centroids)))
+
+    same = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    index = d.withColumn("same", same).where(F.col("same") <= k + 1).drop("same")
+    postings, asked = _placed(index, boundary_lists, held), _placed(d.where(queries), query_lists, held)
+    blocks, parts = _counts_of(postings, len(centroids), BLOCK), _counts_of(asked, len(centroids), ASKED)
+    postings = (postings.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+                .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
+    asked = (asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), parts).cast("int"))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -215,10 +258,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
                 at = np.flatnonzero((row >= least) & np.isfinite(row))
                 score = (b[at] * a[j]).sum(axis=1) / (b_size[at] * a_size[j])
                 at, score = at[order := np.lexsort((ids[at], -score))[:k]], score[order]
-                out.append(pd.DataFrame({"query_id": own[j], "vec_id": ids[at], "score": score}))
-        return pd.concat(out)
+                out.append((np.full(len(at), own[j]), ids[at], score))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    found = (asked.groupBy("list", "block").cogroup(postings.groupBy("list", "block"))
+    found = (asked.groupBy("list", "block", "part").cogroup(postings.groupBy("list", "block", "part"))
              .applyInPandas(search, "query_id bigint, vec_id bigint, score double"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

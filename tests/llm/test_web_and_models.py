@@ -307,6 +307,38 @@ def test_nearest_ties_few_rows_and_crowds(spark, monkeypatch):
     assert ann.nearest(table_of(spark, rows[:1]), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_work_is_in_bounded_pieces(spark, monkeypatch, tmp_path):
+    """Lists follow the rows, and neither side of a piece grows with the queries or copies of a list."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    for name, value in (("BLOCK", 64), ("ASKED", 32), ("SAMPLE", 256), ("LIST", 16), ("LIST_ROWS", 64)):
+        monkeypatch.setattr(ann, name, value)
+    run = PandasCogroupedOps.applyInPandas
+
+    def watched(self, search, schema):
+        def noted(key, left, right):
+            (tmp_path / "-".join(map(str, key))).write_text(f"{len(left)} {len(right)}")
+            return search(key, left, right)
+        return run(self, noted, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", watched)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(c) for c in rng.normal(size=8)] if i % 3 else [1.0] * 8) for i in range(6000)]
+    got = ann.nearest(table_of(spark, rows), F.col("vec_id") % 10 == 0).collect()
+    pieces = {p.name: tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()}
+    assert max(a for a, _ in pieces.values()) <= 3 * 32 and max(b for _, b in pieces.values()) <= 3 * 64
+    assert len({name.split("-")[0] for name in pieces}) > 40
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 3000), key=lambda r: r.rank)] == [0, 3, 6, 9, 12]
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)] == [3, 6, 9, 12, 15]
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    u, hits, asked = x / np.linalg.norm(x, axis=1, keepdims=True), 0, [q for q in range(0, 6000, 10) if q % 3]
+    assert {r.query_id for r in got} == set(range(0, 6000, 10)) and len(got) == 5 * 600
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.lexsort((np.arange(6000), -s))[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(asked)
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(3)
     c = ann._unit(rng.normal(size=(256, 16)))
