@@ -14,7 +14,9 @@ Hashes travel packed: one row holds, for one batch of documents and one slice
 of the hash space, the sorted hashes as bytes. A content that is frequent
 within a batch is sent once for it, so a passage that a third of all documents
 share costs one entry per batch. Texts are shuffled once, into buckets of
-about BUCKET_BYTES, and only meet the few bytes found for them.
+about BUCKET_BYTES, and only meet the few bytes found for them. Rows whose
+doc_id repeats (as a null one may in a third of all rows) are dealt to buckets
+by a hash of their text too; what is found for a row goes to its bucket.
 
 Windows are compared by a 64-bit hash of their words' 64-bit hashes (blocks by
 32 bits and those of the slice: a false hit only makes a window be compared).
@@ -37,7 +39,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytotide.llm.common import pick
+from cytotide.llm.common import materialize, pick
 
 WINDOW = 20
 BLOCK = 10
@@ -46,6 +48,8 @@ STRIDE = WINDOW - BLOCK + 1
 BUCKET_BYTES = 8 << 20
 SLICE_WORDS = 1 << 20
 MOST_SLICES = 1 << 20
+#: Repeated doc_ids that are told to all tasks; with more, every row is dealt by its text too.
+MOST_REPEATED = 1 << 18
 NO_ID = 2 ** 63 - 1
 _ROLL = 0x9E3779B97F4A7C15
 
@@ -86,18 +90,19 @@ def _joined(packed: pd.Series, kind: type) -> np.ndarray:
     return np.concatenate([_values(b, kind) for b in packed]) if len(packed) else np.zeros(0, kind)
 
 
-def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a document, as the same expression in Spark computes it."""
-    return (doc ^ (doc.view(np.uint64) >> np.uint64(17)).view(np.int64)) % buckets
+def bucket_of(doc: np.ndarray, salt: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a row, as the same expression in Spark computes it; a salt above 0 is the bucket and one."""
+    return np.where(salt > 0, salt - 1, (doc ^ (doc.view(np.uint64) >> np.uint64(17)).view(np.int64)) % buckets)
 
 
 class Batch:
     """The windows of a batch of texts: hashes of all words, where texts begin, and rolling hashes inside texts."""
 
-    def __init__(self, docs: np.ndarray, texts: list[str | None]) -> None:
+    def __init__(self, docs: np.ndarray, texts: list[str | None], salts: np.ndarray | None = None) -> None:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         long = [i for i, w in enumerate(split) if len(w) >= WINDOW]
         self.docs = docs[long]
+        self.salts = (np.zeros(len(docs), np.int32) if salts is None else salts)[long]
         self.n = np.array([len(split[i]) for i in long], dtype=np.int64)
         flat = [w for i in long for w in split[i]]
         self.words = hash_array(np.array(flat, dtype=object), categorize=False) if flat else np.zeros(0, np.uint64)
@@ -121,9 +126,9 @@ def _slices(part: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(part[a]), slice(a, b)
 
 
-_ANCHORS = "slice int, probes binary, blocks binary, docs binary, numbers binary, known boolean"
+_ANCHORS = "slice int, probes binary, blocks binary, docs binary, salts binary, numbers binary, known boolean"
 _HITS = "bucket int, docs binary, numbers binary"
-_FIRSTS = "slice int, hashes binary, docs binary, starts binary, known boolean"
+_FIRSTS = "slice int, bucket int, hashes binary, docs binary, starts binary, shared binary, known boolean"
 _REPEATS = "bucket int, docs binary, starts binary, checks binary"
 _FOUND = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept_sha256 string"
 
@@ -134,27 +139,28 @@ def _anchor(slices: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            batch = Batch(b["doc"].to_numpy(), list(b["text"]))
+            batch = Batch(b["doc"].to_numpy(), list(b["text"]), b["salt"].to_numpy())
             at, hashed = batch.windows(BLOCK)
             if not len(at):
                 continue
             probes, count = np.unique(hashed, return_counts=True)
             own = batch.place[at] % STRIDE == 0
-            block, doc = hashed[own], batch.docs[batch.row[at[own]]]
+            block, doc, salt = hashed[own], batch.docs[batch.row[at[own]]], batch.salts[batch.row[at[own]]]
             number = (batch.place[at[own]] // STRIDE).astype(np.int32)
             twice = count[np.searchsorted(probes, block)] > 1
             out = []
             if twice.any():
-                out.append((int(doc[0] % slices), b"", b"", _planes(doc[twice]), _planes(number[twice]), True))
-            block, doc, number = block[~twice], doc[~twice], number[~twice]
+                out.append((int(doc[0] % slices), b"", b"", _planes(doc[twice]), _planes(salt[twice]), _planes(number[twice]), True))
+            block, doc, salt, number = block[~twice], doc[~twice], salt[~twice], number[~twice]
             order = np.argsort(block)
-            block, doc, number = block[order], doc[order], number[order]
+            block, doc, salt, number = block[order], doc[order], salt[order], number[order]
             parts, block_parts = (probes >> shift).astype(np.int64), (block >> shift).astype(np.int64)
             of = dict(_slices(block_parts))
             for part, s in _slices(parts):
                 t = of.get(part, slice(0, 0))
-                out.append((part, _planes(_short(probes[s], slices)), _planes(_short(block[t], slices)), _planes(doc[t]), _planes(number[t]), False))
-            yield pd.DataFrame(out, columns=["slice", "probes", "blocks", "docs", "numbers", "known"])
+                out.append((part, _planes(_short(probes[s], slices)), _planes(_short(block[t], slices)), _planes(doc[t]),
+                            _planes(salt[t]), _planes(number[t]), False))
+            yield pd.DataFrame(out, columns=["slice", "probes", "blocks", "docs", "salts", "numbers", "known"])
 
     return run
 
@@ -164,9 +170,8 @@ def _short(h: np.ndarray, slices: int) -> np.ndarray:
     return (h << np.uint64(slices.bit_length() - 1) >> np.uint64(32)).astype(">u4")
 
 
-def _by_bucket(docs: np.ndarray, buckets: int, *others: np.ndarray) -> list[tuple]:
+def _by_bucket(of: np.ndarray, docs: np.ndarray, *others: np.ndarray) -> list[tuple]:
     """Packed rows (bucket, docs, others) of parallel arrays."""
-    of = bucket_of(docs, buckets)
     order = np.argsort(of, kind="stable")
     return [(b, *(_planes(x[order][s]) for x in (docs, *others))) for b, s in _slices(of[order])]
 
@@ -183,7 +188,8 @@ def _hit(buckets: int):
         known = group[group["known"]]
         docs = np.concatenate([_joined(fresh["docs"], np.int64)[hit], _joined(known["docs"], np.int64)])
         numbers = np.concatenate([_joined(fresh["numbers"], np.int32)[hit], _joined(known["numbers"], np.int32)])
-        return pd.DataFrame(_by_bucket(docs, buckets, numbers), columns=["bucket", "docs", "numbers"])
+        salts = np.concatenate([_joined(fresh["salts"], np.int32)[hit], _joined(known["salts"], np.int32)])
+        return pd.DataFrame(_by_bucket(bucket_of(docs, salts, buckets), docs, numbers), columns=["bucket", "docs", "numbers"])
 
     return run
 
@@ -193,13 +199,15 @@ def _extend(slices: int):
     shift = np.uint64(64 - slices.bit_length() + 1)
 
     def run(texts: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        names = ["slice", "hashes", "docs", "starts", "known"]
+        names = ["slice", "bucket", "hashes", "docs", "starts", "shared", "known"]
         hit_docs, hit_numbers = _joined(hits["docs"], np.int64), _joined(hits["numbers"], np.int32)
         if not len(hit_docs) or not len(texts):
             return pd.DataFrame([], columns=names)
         order = np.lexsort((hit_numbers, hit_docs))
         hit_docs, hit_numbers = hit_docs[order], hit_numbers[order]
+        bucket = int(texts["bucket"].iloc[0])
         mine = texts[np.isin(texts["doc"].to_numpy(), hit_docs)]
+        keys, rows_of_key = np.unique(mine["doc"].to_numpy(), return_counts=True)
         batch = Batch(mine["doc"].to_numpy(), list(mine["text"]))
         at, hashed = batch.windows(WINDOW)
         if not len(at):
@@ -218,46 +226,53 @@ def _extend(slices: int):
         doc, start = batch.docs[batch.row[at]], batch.place[at].astype(np.int32)
         order = np.lexsort((start, doc, hashed))
         hashed, doc, start = hashed[order], doc[order], start[order]
-        out = []
+        out, shared = [], rows_of_key[np.searchsorted(keys, doc)] > 1
         if len(hashed):
             new = np.concatenate([[True], hashed[1:] != hashed[:-1]])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (doc != doc[lead]) | (start != start[lead])
             if later.any():
-                check = hashed[later].astype(np.uint16)
-                out.append((int(bucket_of(doc[:1], slices)[0]), _planes(check), _planes(doc[later]), _planes(start[later]), True))
-            hashed, doc, start = hashed[new], doc[new], start[new]
+                check = np.where(shared[later], hashed[later], np.uint64(0))
+                out.append((bucket % slices, bucket, _planes(check), _planes(doc[later]), _planes(start[later]), b"", True))
+            hashed, doc, start, shared = hashed[new], doc[new], start[new], shared[new]
             for part, s in _slices((hashed >> shift).astype(np.int64)):
                 rest = (hashed[s] << np.uint64(slices.bit_length() - 1)).astype(">u8")
-                out.append((part, _planes(rest), _planes(doc[s]), _planes(start[s]), False))
+                out.append((part, bucket, _planes(rest), _planes(doc[s]), _planes(start[s]), _planes(shared[s]), False))
         return pd.DataFrame(out, columns=names)
 
     return run
 
 
-def _compare(slices: int, buckets: int):
+def _bucket_of_each(packed: pd.DataFrame) -> np.ndarray:
+    return np.repeat(packed["bucket"].to_numpy().astype(np.int64), [len(b) // 8 for b in packed["docs"]])
+
+
+def _compare(slices: int):
     """Per slice: windows whose content also starts earlier."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         fresh, known = group[~group["known"]], group[group["known"]]
         hashed = _joined(fresh["hashes"], ">u8").astype(np.uint64)
-        doc, start = _joined(fresh["docs"], np.int64), _joined(fresh["starts"], np.int32)
+        doc, start, shared = _joined(fresh["docs"], np.int64), _joined(fresh["starts"], np.int32), _joined(fresh["shared"], np.bool_)
         order = np.lexsort((start, doc, hashed))
-        hashed, doc, start = hashed[order], doc[order], start[order]
+        bucket = _bucket_of_each(fresh)[order]
+        hashed, doc, start, shared = hashed[order], doc[order], start[order], shared[order]
         new = np.concatenate([[True], hashed[1:] != hashed[:-1]])[:len(hashed)]
         lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(hashed) else np.zeros(0, np.int64)
         later = (doc != doc[lead]) | (start != start[lead])
-        check = (hashed >> np.uint64(slices.bit_length() - 1)).astype(np.uint16)
+        part = np.uint64(group["slice"].iloc[0]) << np.uint64(64 - slices.bit_length() + 1)
+        check = np.where(shared, part | hashed >> np.uint64(slices.bit_length() - 1), np.uint64(0))
         docs = np.concatenate([doc[later], _joined(known["docs"], np.int64)])
         starts = np.concatenate([start[later], _joined(known["starts"], np.int32)])
-        checks = np.concatenate([check[later], _joined(known["hashes"], np.uint16)])
-        return pd.DataFrame(_by_bucket(docs, buckets, starts, checks), columns=["bucket", "docs", "starts", "checks"])
+        checks = np.concatenate([check[later], _joined(known["hashes"], np.uint64)])
+        of = np.concatenate([bucket[later], _bucket_of_each(known)])
+        return pd.DataFrame(_by_bucket(of, docs, starts, checks), columns=["bucket", "docs", "starts", "checks"])
 
     return run
 
 
 def _cut(texts: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
     """Per bucket: each text without the words that repeated windows cover."""
-    docs, starts, checks = _joined(repeats["docs"], np.int64), _joined(repeats["starts"], np.int32), _joined(repeats["checks"], np.uint16)
+    docs, starts, checks = _joined(repeats["docs"], np.int64), _joined(repeats["starts"], np.int32), _joined(repeats["checks"], np.uint64)
     order = np.argsort(docs, kind="stable")
     docs, starts, checks = docs[order], starts[order], checks[order]
     keys = texts["doc"].to_numpy()
@@ -269,10 +284,10 @@ def _cut(texts: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
         words = (text or "").encode("utf-8", "replace").split()
         at, spans, n = starts[lo[i]:hi[i]], [], len(words)
         if len(at) and shared[i]:
-            # rows share this doc_id: only windows of this row's own content count
+            # rows of this bucket share this doc_id: only windows of this row's own content count
             places, hashed = Batch(keys[i:i + 1], [text]).windows(WINDOW)
             inside = at < len(places)
-            at = at[inside][hashed[at[inside]].astype(np.uint16) == checks[lo[i]:hi[i]][inside]]
+            at = at[inside][hashed[at[inside]] == checks[lo[i]:hi[i]][inside]]
         if len(at):
             step = np.zeros(n + 1, dtype=np.int64)
             np.add.at(step, at, 1)
@@ -302,10 +317,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     slices = 1 << int(np.clip(np.ceil(np.log2(max(size / 6 / SLICE_WORDS, 1))), 6, np.log2(MOST_SLICES)))
     buckets = max(64, size // BUCKET_BYTES)
     d = d.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    d = d.withColumn("bucket", F.pmod(F.col("doc").bitwiseXOR(F.shiftrightunsigned("doc", 17)), F.lit(buckets)).cast("int"))
+    repeated = materialize(d.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("salted")).limit(MOST_REPEATED + 1))
+    if repeated.count() <= MOST_REPEATED:
+        d = d.join(F.broadcast(repeated), "doc", "left")
+    else:
+        d = d.withColumn("salted", F.lit(True))
+    salt = F.pmod(F.xxhash64("doc", "text"), F.lit(buckets)).cast("int") + 1
+    d = d.withColumn("salt", F.when(F.col("salted"), salt).otherwise(F.lit(0)))
+    plain = F.pmod(F.col("doc").bitwiseXOR(F.shiftrightunsigned("doc", 17)), F.lit(buckets)).cast("int")
+    d = d.withColumn("bucket", F.when(F.col("salt") > 0, F.col("salt") - 1).otherwise(plain))
     texts = d.select("bucket", "doc", F.col("doc_id").isNull().alias("no_id"), "text").groupBy("bucket")
-    anchors = d.select("doc", "text").mapInPandas(_anchor(slices), _ANCHORS)
+    anchors = d.select("doc", "salt", "text").mapInPandas(_anchor(slices), _ANCHORS)
     hits = anchors.groupBy("slice").applyInPandas(_hit(buckets), _HITS)
     firsts = texts.cogroup(hits.groupBy("bucket")).applyInPandas(_extend(slices), _FIRSTS)
-    repeats = firsts.groupBy("slice").applyInPandas(_compare(slices, buckets), _REPEATS)
+    repeats = firsts.groupBy("slice").applyInPandas(_compare(slices), _REPEATS)
     return texts.cogroup(repeats.groupBy("bucket")).applyInPandas(_cut, _FOUND)

@@ -157,6 +157,28 @@ def test_substring_spans_and_null_ids(documents):
     assert got[7].n_removed == 0 and [(s.start, s.end) for s in got[None].spans] == [(1, 26)]
 
 
+@pytest.mark.parametrize("told", [1 << 18, 0])
+def test_rows_of_one_key_are_dealt_to_many_buckets(documents, monkeypatch, tmp_path, told):
+    cut = substring._cut
+
+    def watched(texts, repeats):
+        if len(texts):
+            (tmp_path / str(texts["bucket"].iloc[0])).write_text(str(len(texts)))
+        return cut(texts, repeats)
+
+    monkeypatch.setattr(substring, "_cut", watched)
+    monkeypatch.setattr(substring, "MOST_REPEATED", told)
+    rnd = random.Random(11)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(6)]
+    text = lambda: " ".join([rnd.choice(passages), *(f"x{rnd.randrange(10 ** 6)}" for _ in range(rnd.randint(0, 30))), rnd.choice(passages)])
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, text()) for i in range(600)]
+    rows += rows[:3]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(documents(rows)).collect())
+    want = brute_substrings([(2 ** 63 - 1 if i is None else i, t) for i, t in rows])
+    assert got == Counter({(None if r[0] == 2 ** 63 - 1 else r[0], *r[1:]): n for r, n in want.items()})
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) < 40
+
+
 def test_rolled_hashes_depend_on_the_run_alone():
     words = np.random.default_rng(1).integers(0, 2 ** 63, 60).astype(np.uint64)
     both = np.concatenate([words, words])
