@@ -169,8 +169,10 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
     if clash:
         raise ValueError(f"interval columns clash with probe columns: {sorted(clash)}")
     payload = [c for c in intervals.columns if c not in {*by, start, end}]
-    # A row id carries the other columns (parameters) past the explode; equal rows share it.
-    intervals = materialize(intervals.withColumn("__iv", F.xxhash64(*intervals.columns)))
+    # A row id carries the other columns (parameters) past the explode; equal rows share it. The hash skips nulls, so it
+    # takes which columns are null as well.
+    nulls = [F.col(c).isNull() for c in intervals.columns]
+    intervals = materialize(intervals.withColumn("__iv", F.xxhash64(*intervals.columns, *nulls)))
     iv, caps, width, rows, n = _explode_intervals(intervals, start, end, by, bucket_micros)
     bound = broadcast_bound(probe)
     fits = rows * estimated_row_bytes(iv) <= bound

@@ -148,3 +148,12 @@ def test_text_and_epoch_plan_dates(spark):
     epoch = spark.createDataFrame([(1704067200, 3), (1704070800, 4)], "start_date long, gating_id long")
     assert {r.gating_id: (r.start_date, r.end_date) for r in gating_intervals(epoch).collect()} == {
         3: (ts("2024-01-01 00:00:00"), ts("2024-01-01 01:00:00")), 4: (ts("2024-01-01 01:00:00"), None)}
+
+
+def test_intervals_that_differ_in_which_parameter_is_null(spark):
+    start, end = ts("2024-01-01 00:00:00"), ts("2024-01-02 00:00:00")
+    iv = spark.createDataFrame([(start, end, 5.0, None), (start, end, None, 5.0)],
+                               "start_date timestamp, end_date timestamp, beads_D1 double, beads_D2 double")
+    points = spark.createDataFrame([(ts("2024-01-01 12:00:00"),)], "time timestamp")
+    got = active_at(points, iv).collect()
+    assert {(r.beads_D1, r.beads_D2) for r in got} == {(5.0, None), (None, 5.0)} and len(got) == 2
