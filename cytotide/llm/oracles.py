@@ -108,4 +108,58 @@ SELECT page_id, u.host, path, hit.rule AS rule,
        coalesce(hit.action, CASE WHEN coalesce(distrust, 0) >= 0.01 AND coalesce(distrust, 0) > coalesce(trust, 0)
                                  THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN s ON u.host = s.host""",
+    "op12_repair": r"""
+WITH RECURSIVE t AS (
+  SELECT [list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) for i in range(256)] AS tab),
+k AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+f AS (
+  SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                              lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM k, t),
+g AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         left(role, 1) AS c, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM g),
+m AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS what,
+         lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+pre(state, ins, spent, lines, here) AS (
+  VALUES ('^', '', 0, '', '^'), ('^', 'I', 3, E'\nuser:', 'u'), ('^', 'II', 6, E'\nuser:\nassistant:', 'a'),
+         ('s', '', 0, '', 's'), ('s', 'I', 3, E'\nuser:', 'u'), ('s', 'II', 6, E'\nuser:\nassistant:', 'a'),
+         ('u', '', 0, '', 'u'), ('u', 'I', 3, E'\nassistant:', 'a'), ('u', 'II', 6, E'\nassistant:\nuser:', 'u'),
+         ('a', '', 0, '', 'a'), ('a', 'I', 3, E'\nuser:', 'u'), ('a', 'II', 6, E'\nuser:\nassistant:', 'a')),
+p AS (
+  SELECT conv_id, 0 AS i, '^' AS state, {'cost': 0, 'audit': '', 'lines': ''} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i + 1, state, min({'cost': cost, 'audit': audit, 'lines': lines}) FROM (
+    SELECT p.conv_id, p.i, unnest([
+      {'state': here, 'cost': best.cost + spent + 4, 'audit': best.audit || ins || 'D', 'lines': best.lines || pre.lines},
+      {'state': CASE WHEN what NOT IN ('blank', 'duplicate')
+                     AND (c = 's' AND here = '^' OR c = CASE here WHEN 'u' THEN 'a' ELSE 'u' END) THEN c END,
+       'cost': best.cost + spent + CASE what WHEN 'truncated' THEN 3 ELSE 0 END, 'audit': best.audit || ins || 'K',
+       'lines': best.lines || pre.lines || E'\n' || role || ':' || text},
+      {'state': CASE WHEN what NOT IN ('blank', 'duplicate') THEN CASE here WHEN 'u' THEN 'a' ELSE 'u' END END,
+       'cost': best.cost + spent + 3 + CASE what WHEN 'truncated' THEN 3 ELSE 0 END, 'audit': best.audit || ins || 'R',
+       'lines': best.lines || pre.lines || E'\n' || CASE here WHEN 'u' THEN 'assistant' ELSE 'user' END || ':' || text}], recursive := true)
+    FROM p JOIN pre USING (state) JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1)
+  WHERE state IS NOT NULL GROUP BY conv_id, i, state),
+z AS (
+  SELECT conv_id, i, min({'cost': best.cost + spent, 'audit': best.audit || ins, 'lines': best.lines || pre.lines}) AS best
+  FROM p JOIN pre USING (state) WHERE here IN ('^', 'a') GROUP BY conv_id, i),
+e AS (SELECT conv_id, arg_max(best, i) AS best FROM z GROUP BY conv_id),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE what = 'blank') AS blank,
+         count(*) FILTER (WHERE what = 'duplicate') AS duplicate, count(*) FILTER (WHERE what = 'truncated') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM m GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit,
+       sha256(substr(best.lines, 2)) AS repaired_sha256
+FROM e LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
