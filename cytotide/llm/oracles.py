@@ -108,6 +108,32 @@ SELECT page_id, u.host, path, hit.rule AS rule,
        coalesce(hit.action, CASE WHEN coalesce(distrust, 0) >= 0.01 AND coalesce(distrust, 0) > coalesce(trust, 0)
                                  THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN s ON u.host = s.host""",
+    "op11_lexical_search": r"""
+WITH i AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item, term, count(*) AS qtf FROM (SELECT item, unnest(ts) AS term FROM i) GROUP BY ALL),
+d AS (
+  SELECT * FROM (
+    SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents WHERE text IS NOT NULL) WHERE len(ts) > 0),
+a AS (SELECT count(*) AS N, CAST(sum(len(ts)) AS BIGINT) AS L FROM d),
+t AS (
+  SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(N) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM t, a GROUP BY term),
+x AS (
+  SELECT doc, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * len(ts) * N) // L)))) AS part
+  FROM t JOIN w USING (term) JOIN d USING (doc), a),
+s AS (SELECT item, doc, CAST(sum(qtf * part) AS BIGINT) AS score FROM q JOIN x USING (term) GROUP BY item, doc),
+r AS (
+  SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM s JOIN d USING (doc) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r JOIN i USING (item) WHERE rank <= 20""",
     "op12_repair": r"""
 WITH RECURSIVE t AS (
   SELECT [list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) for i in range(256)] AS tab),

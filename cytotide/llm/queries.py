@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytotide.llm import ann, decontaminate, html, langid, mixing, quality, repair, sharding, simhash, substring, urls
+from cytotide.llm import ann, decontaminate, html, jaccard, langid, lexical, mixing, quality, repair, sharding, simhash, substring, urls
 from cytotide.llm.common import pick, ready, table
 
 
@@ -80,13 +80,24 @@ def op10_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text's digest of every conversation, damaged by its rows' checksums."""
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), F.col("copies"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct five-word shingles and class of every document; similarity 0.8 links."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (op1_decontaminate, op2_html_text, op3_language, op4_mix_sources, op5_substrings, op6_nearest, op7_quality,
-            op8_url_filter, op9_simhash, op10_range_shards, op12_repair)
+            op8_url_filter, op9_simhash, op10_range_shards,
+            op11_lexical_search, op12_repair, op13_jaccard_join)
 
 
 def _readied(query: Callable) -> Callable:
