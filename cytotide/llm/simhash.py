@@ -10,7 +10,8 @@ fingerprints within ``tau`` then differ by at most t_i in some partition i, so
 probing each partition's values within t_i finds every link. m and the
 thresholds come from a dynamic program over estimated costs: the probes plus
 the candidates, which are measured exactly for t = 0 (pairs of fingerprints
-that agree on a partition) and scaled by the bits' difference rates beyond.
+that agree on a partition, or the balls of those on a crowded value) and scaled
+by the bits' difference rates beyond.
 Candidates are verified on all 64 bits.
 
 A partition value shared by more than HOT fingerprints isn't paired. Its
@@ -158,7 +159,8 @@ def plan_search(distinct: DataFrame, tau: int = DISTANCE) -> list[tuple[list[int
               for m, gs in groups.items() for i, g in enumerate(gs)]
     sizes = distinct.select(F.explode(F.array(*values)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     c = F.col("c").cast("double")
-    agree = {(r.m, r.i): r.pairs for r in sizes.groupBy("x.m", "x.i").agg(F.sum(c * (c - 1) / 2).alias("pairs")).collect()}
+    pairs = F.when(c > HOT, (BITS + 1) * c).otherwise(c * (c - 1) / 2)  # crowded values aren't paired, but cost their balls
+    agree = {(r.m, r.i): r.pairs for r in sizes.groupBy("x.m", "x.i").agg(F.sum(pairs).alias("pairs")).collect()}
     options = []
     for m, gs in groups.items():
         costs = []
