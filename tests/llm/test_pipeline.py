@@ -65,5 +65,5 @@ def test_pipeline_of_an_empty_table(spark, folder, tmp_path):
 
 def test_queries_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(queries()) == set(names) and simhash.SHINGLE == 3 and simhash.DISTANCE == 2
