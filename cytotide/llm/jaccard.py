@@ -26,8 +26,9 @@ have too few of those (near copies in large groups, texts made of common
 passages) are crowded. Crowded sets with a hot signature in common
 are compared with the least of them, the pivot. Those linked to it need no
 comparison with one another, and by the triangle inequality only with others
-within twice the distance; the rest choose the next pivot. After ROUNDS, or
-where HOT are left, the pairs that are left are compared one by one.
+within twice the distance; the rest choose the next pivot. Once the pairs that
+are left are few (LISTED for each set of the corpus), or after ROUNDS, they are
+compared one by one.
 
 Candidates pass a test that loses none (the features' parities in SKETCH words
 differ in no more bits than the sets may) and are then verified on the sets.
@@ -74,8 +75,11 @@ SKETCH = 16
 #: Signatures that are sorted at a time, and in one slice.
 BATCH_ENTRIES = 1 << 21
 SLICE_ENTRIES = 1 << 21
-#: Pivots of a hot signature, after which the sets that are left are paired.
-ROUNDS = 6
+#: Pairs of crowded sets that may be listed for each set of the corpus, pivots of a hot signature after which
+#: all that are left are listed, and bytes of pivots that are broadcast.
+LISTED = 32
+ROUNDS = 8
+PIVOT_BYTES = 8 << 20
 CHUNK = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ROLL = 0x9E3779B97F4A7C15
@@ -393,13 +397,14 @@ def likely(pairs: DataFrame, sets: DataFrame, floor: tuple[int, int]) -> DataFra
     return x.where(_may_share("of_a", "of_b", floor)).drop("of_a", "of_b")
 
 
-def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, held: DataFrame, pivots: bool = False) -> DataFrame:
     """The pairs with the sets' nodes (node_a, node_b) and ``similarity``; ``held`` has the sets' features.
-    The side of ``a`` is broadcast if it is measured to be small."""
+    With ``pivots`` many pairs have the same ``a``: these sets are broadcast if measured to be few."""
     node = F.concat(F.hex("k1"), F.lit("-"), F.hex("k2"))
-    left = held.join(pairs.select(F.col("a").alias("k1")).distinct(), "k1", "left_semi")
-    x = pairs.join(held.select(F.col("k1").alias("b"), node.alias("node_b"), F.col("features").alias("fb")), "b")
-    x = x.join(sized_broadcast(left.select(F.col("k1").alias("a"), node.alias("node_a"), F.col("features").alias("fa"))), "a")
+    left = held.select(F.col("k1").alias("a"), node.alias("node_a"), F.col("features").alias("fa"))
+    if pivots:
+        left = sized_broadcast(left.join(pairs.select("a").distinct(), "a", "left_semi"), PIVOT_BYTES)
+    x = pairs.join(held.select(F.col("k1").alias("b"), node.alias("node_b"), F.col("features").alias("fb")), "b").join(left, "a")
     shared = F.size(F.array_intersect("fa", "fb")).cast("double")
     return (x.withColumn("shared", shared)
             .withColumn("similarity", F.col("shared") / (F.size("fa") + F.size("fb") - F.col("shared"))).drop("fa", "fb", "shared"))
@@ -409,29 +414,34 @@ def _linked(similarity: str, threshold: tuple[int, int]) -> Column:
     return F.col(similarity) >= F.lit(threshold[0] / threshold[1] - 1e-12)
 
 
-def crowded_links(members: DataFrame, sets: DataFrame, held: DataFrame, threshold: tuple[int, int], hot: int) -> DataFrame:
-    """Links that connect all similar sets with a signature (sig, k1) in common, by pivots."""
+def crowded_links(members: DataFrame, sets: DataFrame, held: DataFrame, threshold: tuple[int, int] = THRESHOLD,
+                  listed: int | None = None) -> DataFrame:
+    """Links that connect all similar sets with a signature (sig, k1) in common. At most ``listed`` pairs
+    (LISTED for each set) are listed; while there are more, every signature's pivot takes what is near it."""
     num, den = threshold
     reach = 1 - num / den
     floor = (2 * num - den, den)
-    out, left = [], members
+    listed = LISTED * sets.count() if listed is None else listed
+    found = members.sparkSession.createDataFrame([], "node_a string, node_b string")
+
+    def linked(x: DataFrame) -> DataFrame:
+        return x.where(_linked("similarity", threshold)).select("node_a", "node_b").distinct()
+
+    left = members
     for turn in range(ROUNDS + 1):
-        buckets = materialize(left.groupBy("sig").agg(F.min("k1").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-        if buckets.isEmpty():
+        buckets = materialize(left.groupBy("sig").agg(F.min("k1").alias("pivot"), F.count(F.lit(1)).cast("double").alias("n")).where("n > 1"))
+        pairs = buckets.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+        if not pairs:
             break
-        few = buckets.where(F.lit(turn == ROUNDS) | (F.col("n") <= hot)).select("sig")
-        each = left.join(few, "sig", "left_semi")
-        pairs = (each.select("sig", F.col("k1").alias("a")).join(each.select("sig", F.col("k1").alias("b")), "sig")
-                 .where("a < b").select("a", "b").distinct())
-        out.append(compared(likely(pairs, sets, threshold), held).where(_linked("similarity", threshold)).select("node_a", "node_b"))
-        if turn == ROUNDS:
-            break
-        big = materialize(left.join(sized_broadcast(buckets.where(F.col("n") > hot).select("sig", "pivot")), "sig").where("k1 <> pivot"))
-        if big.isEmpty():
+        if pairs <= listed or turn == ROUNDS:
+            each = left.join(buckets.select("sig"), "sig", "left_semi")
+            pairs = (each.select("sig", F.col("k1").alias("a")).join(each.select("sig", F.col("k1").alias("b")), "sig")
+                     .where("a < b").select("a", "b").distinct())
+            found = found.unionByName(materialize(linked(compared(likely(pairs, sets, threshold), held))))
             break
+        big = materialize(left.join(sized_broadcast(buckets.select("sig", "pivot")), "sig").where("k1 <> pivot"))
         stars = big.select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
-        near = materialize(compared(likely(stars, sets, floor), held))
-        out.append(near.where(_linked("similarity", threshold)).select("node_a", "node_b"))
+        near = materialize(compared(likely(stars, sets, floor), held, pivots=True))
         told = big.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("k1"), "similarity"), ["pivot", "k1"], "left")
         told = materialize(told.withColumn("core", F.coalesce(_linked("similarity", threshold), F.lit(False))))
         # a set beyond the pivot's links may still be similar to one of those
@@ -440,11 +450,8 @@ def crowded_links(members: DataFrame, sets: DataFrame, held: DataFrame, threshol
                  .join(told.where("core").select("sig", F.col("k1").alias("y"), F.col("similarity").alias("sy")), "sig")
                  .where(F.col("sy") - F.col("sx") <= reach + 1e-9)
                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        out.append(compared(likely(pairs, sets, threshold), held).where(_linked("similarity", threshold)).select("node_a", "node_b"))
+        found = materialize(found.unionByName(linked(near)).unionByName(linked(compared(likely(pairs, sets, threshold), held))))
         left = told.where(~F.col("core")).select("sig", "k1")
-    found = members.sparkSession.createDataFrame([], "node_a string, node_b string")
-    for x in out:
-        found = found.unionByName(x)
     return found
 
 
@@ -469,7 +476,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHO
     held = materialize(feature_sets(some).dropDuplicates(["k1", "k2"]))
     out = compared(pairs, held).where(_linked("similarity", threshold)).select("node_a", "node_b")
     if members is not None:
-        out = out.unionByName(crowded_links(members, sets, held, threshold, hot))
+        out = out.unionByName(crowded_links(members, sets, held, threshold))
     return out.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
