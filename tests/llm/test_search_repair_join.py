@@ -253,7 +253,8 @@ def test_jaccard_classes_equal_brute_force(spark, documents, near_copies, hot):
     assert Counter(map(tuple, got.collect())) == brute_jaccard(near_copies)
 
 
-def test_pivots_lose_no_link(spark):
+@pytest.mark.parametrize("listed", [1, 300])
+def test_pivots_lose_no_link(spark, listed):
     """Sets around each other on one hot signature: chains, shells and strangers."""
     rnd = random.Random(2)
     base, words = [f"b{i}" for i in range(80)], {}
@@ -266,7 +267,7 @@ def test_pivots_lose_no_link(spark):
     keyed = jaccard.keyed(d).cache()
     held = jaccard.feature_sets(d).dropDuplicates(["k1", "k2"]).cache()
     members = keyed.select(F.lit(1).cast("long").alias("sig"), "k1").distinct()
-    found = jaccard.crowded_links(members, keyed.dropDuplicates(["k1"]), held, jaccard.THRESHOLD, 4)
+    found = jaccard.crowded_links(members, keyed.dropDuplicates(["k1"]), held, jaccard.THRESHOLD, listed)
     roots = {r.node: r.root for r in components(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).collect()}
     node = {r.doc_id: r.node for r in keyed.select("doc_id", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("node")).collect()}
     classes = defaultdict(set)
