@@ -4,6 +4,7 @@ from cytotide.operators.filters import (exclude_flags, keep_pops, keep_quantile,
 from cytotide.operators.joins import sized_broadcast, broadcast_fits, keyed_join, scalar_join
 from cytotide.operators.intervals import (to_intervals, with_params, active_at, active_in_hour,
                                          last_match, conflicting_gates, active_rows)
+from cytotide.operators.sweep import active_ids, as_of, gate_conflicts, in_hours
 from cytotide.operators.aggregates import (hourly_stat, ridgeline, extent, value_range, time_points,
                                           populations, sfl_only_count, flags_present,
                                           series_arrays, ordered)

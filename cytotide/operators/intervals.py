@@ -8,9 +8,11 @@ points or hours.
 Scale design
 ------------
 * No window or join ever puts a whole key (cruise) into one task. The lead
-  over starts is done in two levels: within fixed time buckets, then across
-  the (small) table of per-bucket minima.
-* Range joins are bucketed: each interval is exploded over the time buckets
+  over starts, and the as-of and hour joins of points with intervals that
+  don't overlap (``disjoint``), are sweeps (``operators.sweep``): nothing is
+  exploded, however long an interval is.
+* Particle rows aren't moved for a plan that fits a broadcast, and intervals
+  that overlap may match a point more than once. These joins are bucketed: each interval is exploded over the time buckets
   it covers, the probe side gets its bucket, and the join is an equi-join on
   ``(keys, bucket)`` with the exact range predicate as a join filter. An
   open-ended interval is exploded only up to the key's last plan boundary
@@ -25,11 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytotide.operators.joins import (broadcast_bound, estimated_row_bytes, materialize, plan_join,
-                                       scalar_join, sized_broadcast)
+from cytotide.operators.joins import broadcast_bound, broadcast_fits, materialize, plan_join, row_bytes, scalar_join, sized_broadcast
+from cytotide.operators.sweep import PART, as_of, following, in_hours, placed
 
 HOUR_MICROS = 3_600_000_000
-DAY_MICROS = 24 * HOUR_MICROS
 
 
 def _bucket(c: Column, width_micros: int) -> Column:
@@ -44,7 +45,7 @@ def _last_bucket(end: Column, width_micros: int) -> Column:
 # --------------------------------------------------------------------------- W1 W2
 
 def to_intervals(plan: DataFrame, start: str = "start_date", end: str = "end_date",
-                 by=(), tiebreak=(), max_time=None, bucket_micros: int = DAY_MICROS) -> DataFrame:
+                 by=(), tiebreak=(), max_time=None) -> DataFrame:
     """W1 + W2: ``end = lead(start)`` in start order (NULL starts last), then the
     last row's missing end becomes ``max_time``.
 
@@ -53,43 +54,23 @@ def to_intervals(plan: DataFrame, start: str = "start_date", end: str = "end_dat
     Python datetime, a Column expression, or a DataFrame with the ``by`` keys
     and one ``max_time`` column (per-key caps, e.g. the last SFL time of each
     cruise). Rows are never dropped; a NULL start yields an interval that
-    matches nothing.
+    matches nothing. The lead is a sweep (``sweep.following``).
     """
     by, tiebreak = list(by), list(tiebreak)
     s = F.col(start)
-    plan = materialize(plan)  # read once: rows, bucket minima and the last row all come from it
-    b = "__b"
-    order_cols = [s.asc_nulls_last()] + [F.col(t).asc_nulls_last() for t in tiebreak]
-    rows = plan.withColumn(b, _bucket(s, bucket_micros))
-
-    # Level 1: lead inside (keys, bucket). NULL starts share bucket NULL.
-    w_in = Window.partitionBy(*by, b).orderBy(*order_cols)
-    rows = rows.withColumn("__next_in", F.lead(s).over(w_in))
-
-    # Level 2: first start of the next non-empty bucket (one row per bucket).
-    per_bucket = plan.where(s.isNotNull()).groupBy(*by, _bucket(s, bucket_micros).alias(b)) \
-        .agg(F.min(s).alias("__bmin"))
-    w_b = Window.partitionBy(*by).orderBy(b)
-    next_bucket = per_bucket.withColumn("__next_b", F.lead("__bmin").over(w_b)).drop("__bmin")
-    rows = rows.join(next_bucket, on=[*by, b], how="left")
-    rows = rows.withColumn(end, F.when(s.isNotNull(), F.coalesce("__next_in", "__next_b")))
-
+    told = {"__o": s.isNull(), **{f"__o{i}": F.col(t).isNull() for i, t in enumerate(tiebreak)}}
+    order = ["__o", start, *[c for i, t in enumerate(tiebreak) for c in (f"__o{i}", t)]]
+    rows = placed(plan.withColumns({**told, "__at": F.struct(s.alias("start"))}), by, order)
+    rows = following(rows, by, order, "__at", "__next")
+    rows = rows.withColumn(end, F.when(s.isNotNull(), F.col("__next.start")))
     if max_time is not None:
-        # The last row in (start NULLS LAST, tiebreak) order, per key.
-        okey = F.struct(s.isNull().alias("n"), s.alias("s"),
-                        *[F.col(t).alias(f"t{i}") for i, t in enumerate(tiebreak)])
-        last = plan.groupBy(*by).agg(F.max(okey).alias("__last")) if by else \
-            plan.agg(F.max(okey).alias("__last"))
-        rows = plan_join(rows, last, by)
         if isinstance(max_time, DataFrame):
             rows = plan_join(rows, max_time.select(*by, F.col("max_time").alias("__cap")), by)
             cap = F.col("__cap")
         else:
             cap = max_time if isinstance(max_time, Column) else F.lit(max_time)
-        is_last = F.coalesce(okey == F.col("__last"), F.lit(False))
-        rows = rows.withColumn(end, F.when(is_last & F.col(end).isNull(), cap.cast("timestamp"))
-                               .otherwise(F.col(end)))
-    return rows.drop(b, "__next_in", "__next_b", "__last", "__cap")
+        rows = rows.withColumn(end, F.when(F.col("__next").isNull(), cap.cast("timestamp")).otherwise(F.col(end)))
+    return rows.drop(*told, "__at", "__next", "__cap", PART)
 
 
 # --------------------------------------------------------------------------- J1 J2
@@ -121,20 +102,20 @@ EXPLODE_LEAST = 100_000
 WIDER = 16
 
 
-def _bucket_width(iv: DataFrame, start: str, end: str, width_micros: int) -> tuple[int, int, int]:
+def _bucket_width(iv: DataFrame, start: str, end: str, width_micros: int) -> tuple[int, int]:
     """The bucket width, at least ``width_micros``, at which the explode stays
-    in proportion to the number of intervals, the rows it then has at most,
-    and that number. Any width gives the same join; wider buckets compare more
+    in proportion to the number of intervals, and the measured bytes that it then
+    has at most. Any width gives the same join; wider buckets compare more
     intervals per probe."""
     widths = [width_micros * WIDER ** k for k in range(8)]
     latest = iv.agg(F.max(F.greatest(start, end)).alias("__latest"))
     upto = F.coalesce(F.col(end), F.col("__latest"))
     spans = [F.sum(F.greatest(_last_bucket(upto, w) - _bucket(F.col(start), w), F.lit(0)) + F.lit(1.0)) for w in widths]
-    n, *rows = scalar_join(iv, latest).agg(F.count(F.lit(1)), *spans).first()
+    n, widest, *rows = scalar_join(iv, latest).agg(F.count(F.lit(1)), F.max(row_bytes(iv)), *spans).first()
     rows = [int(r or 0) for r in rows]
     most = EXPLODE_PER_INTERVAL * n + EXPLODE_LEAST
     at = next((i for i, r in enumerate(rows) if r <= most), len(rows) - 1)
-    return widths[at], rows[at], n
+    return widths[at], rows[at] * ((widest or 0) + 8)
 
 
 def _explode_intervals(intervals: DataFrame, start: str, end: str, by: list[str],
@@ -142,18 +123,18 @@ def _explode_intervals(intervals: DataFrame, start: str, end: str, by: list[str]
     """Intervals (written before, with row id ``__iv``) exploded over the
     buckets they cover: keys, bounds and id only.
 
-    Returns ``(exploded, caps, width, rows, n)``: ``caps`` has the last bucket
-    of each key; rows and n bound the sizes of the exploded and the plain table.
+    Returns ``(exploded, caps, width, size)``: ``caps`` has the last bucket
+    of each key; size bounds the bytes of the exploded table.
     """
     s, e = F.col(start), F.col(end)
     iv = intervals.select(*by, start, end, "__iv").where(s.isNotNull())
-    width, rows, n = _bucket_width(iv, start, end, bucket_micros)
+    width, size = _bucket_width(iv, start, end, bucket_micros)
     iv = iv.withColumn("__b0", _bucket(s, width)) \
            .withColumn("__b1", F.when(e.isNotNull(), F.greatest(F.col("__b0"), _last_bucket(e, width))))
     cap_expr = F.greatest(F.max("__b0"), F.max("__b1")).alias("__cap")
     caps = iv.groupBy(*by).agg(cap_expr) if by else iv.agg(cap_expr)
     exploded = plan_join(iv, caps, by).withColumn("__b", F.explode(F.sequence("__b0", F.coalesce("__b1", "__cap"))))
-    return exploded.drop("__b0", "__b1", "__cap"), caps, width, rows, n
+    return exploded.drop("__b0", "__b1", "__cap"), caps, width, size
 
 
 def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Column,
@@ -173,9 +154,8 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
     # takes which columns are null as well.
     nulls = [F.col(c).isNull() for c in intervals.columns]
     intervals = materialize(intervals.withColumn("__iv", F.xxhash64(*intervals.columns, *nulls)))
-    iv, caps, width, rows, n = _explode_intervals(intervals, start, end, by, bucket_micros)
-    bound = broadcast_bound(probe)
-    fits = rows * estimated_row_bytes(iv) <= bound
+    iv, caps, width, size = _explode_intervals(intervals, start, end, by, bucket_micros)
+    fits = size <= broadcast_bound(probe)
     if by:
         p = probe.join(F.broadcast(caps) if fits else caps, on=by, how="left")
     else:
@@ -189,7 +169,7 @@ def _bucketed_range_join(probe: DataFrame, intervals: DataFrame, probe_time: Col
     joined = joined.drop("__pb", "__b", *[f"__r_{k}" for k in by])
     if payload:
         carried = intervals.select("__iv", *payload).dropDuplicates(["__iv"])
-        joined = joined.join(F.broadcast(carried) if n * estimated_row_bytes(carried) <= bound else carried, on="__iv", how="left")
+        joined = joined.join(F.broadcast(carried) if broadcast_fits(carried) else carried, on="__iv", how="left")
     return joined.select(*probe.columns, start, end, *payload)
 
 
@@ -202,14 +182,27 @@ def _and(conds):
 
 def active_at(points: DataFrame, intervals: DataFrame, time: str = "time",
               start: str = "start_date", end: str = "end_date", by=(), how: str = "left",
-              bucket_micros: int = HOUR_MICROS) -> DataFrame:
+              bucket_micros: int = HOUR_MICROS, disjoint: bool = False) -> DataFrame:
     """Attach the interval in force at each point:
     ``start <= time AND (end IS NULL OR time < end)``.
 
     ``how='left'`` keeps points with no interval (interval columns NULL).
     Intervals from ``to_intervals`` never overlap, so each point gets at most
-    one row; for arbitrary intervals use ``last_match`` afterwards (W3).
+    one row: say so with ``disjoint``, and the join is a sweep over the distinct
+    points, joined back to ``points`` where they have other columns or repeat.
+    Without it, a point gets a row for every interval in force; use
+    ``last_match`` afterwards (W3).
     """
+    if disjoint:
+        keys = [*by, time]
+        clash = (set(intervals.columns) & set(points.columns)) - set(by)
+        if clash:
+            raise ValueError(f"interval columns clash with probe columns: {sorted(clash)}")
+        hit = as_of(points, intervals, time, start, end, by).withColumnsRenamed({k: f"__h_{k}" for k in keys})
+        # a null key is a key of its own here as in the sweep
+        same = _and([F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
+        return points.join(hit, same, how).drop(*[f"__h_{k}" for k in keys])
+
     def cond():
         t, s, e = F.col(time), F.col(start), F.col(end)
         return (s <= t) & (e.isNull() | (t < e))
@@ -219,9 +212,15 @@ def active_at(points: DataFrame, intervals: DataFrame, time: str = "time",
 
 def active_in_hour(hours: DataFrame, intervals: DataFrame, hour: str = "hour",
                    start: str = "start_date", end: str = "end_date", by=(),
-                   how: str = "inner") -> DataFrame:
+                   how: str = "inner", disjoint: bool = False) -> DataFrame:
     """Every interval overlapping the UTC hour ``[hour, hour + 1h)``:
-    ``start < hour_end AND (end IS NULL OR end > hour)``. Many per hour allowed."""
+    ``start < hour_end AND (end IS NULL OR end > hour)``. Many per hour allowed.
+    ``disjoint``: no two intervals overlap, ``hours`` are whole and distinct (an inner join by sweep)."""
+    if disjoint:
+        if how != "inner" or set(hours.columns) != {*by, hour}:
+            raise ValueError("disjoint joins distinct hours (keys and hour only), inner")
+        return in_hours(hours, intervals, hour, start, end, by)
+
     def cond():
         h, s, e = F.col(hour), F.col(start), F.col(end)
         return (s < h + F.expr("INTERVAL 1 HOUR")) & (e.isNull() | (e > h))

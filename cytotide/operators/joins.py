@@ -47,11 +47,6 @@ def _type_bytes(dt: T.DataType) -> int:
     return 8
 
 
-def estimated_row_bytes(df: DataFrame) -> int:
-    """Rough row width from the schema."""
-    return max(8, sum(_type_bytes(f.dataType) for f in df.schema.fields))
-
-
 def _value_bytes(c, dt: T.DataType):
     """Bytes of a column's values, texts and arrays at their real length (a Column)."""
     if isinstance(dt, (T.StringType, T.BinaryType)):
@@ -72,16 +67,21 @@ def _value_bytes(c, dt: T.DataType):
     return F.lit(8)
 
 
+def row_bytes(df: DataFrame):
+    """Bytes of a row's values, texts and arrays at their real length (a Column)."""
+    size = F.lit(8).cast("long")
+    for f in df.schema.fields:
+        size = size + _value_bytes(F.col(f"`{f.name}`"), f.dataType)
+    return size
+
+
 def broadcast_fits(df: DataFrame, max_bytes: int | None = None) -> bool:
     """True when the rows of ``df`` take at most ``max_bytes``, measured.
 
     Runs one aggregate; only call it on sides that are small by design and
     materialised (plans, parameters, bin tables, per-key aggregates), never on particle data.
     """
-    size = F.lit(8).cast("long")
-    for f in df.schema.fields:
-        size = size + _value_bytes(F.col(f"`{f.name}`"), f.dataType)
-    return (df.agg(F.sum(size)).first()[0] or 0) <= (max_bytes or broadcast_bound(df))
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= (max_bytes or broadcast_bound(df))
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from cytotide.operators.density import hex_counts_panels, log_bin_counts_pairs,
 from cytotide.operators.filters import (DEFAULT_EXCLUDED_FLAGS, aligned, exclude_flags, in_range,
                                         keep_pops, plottable, valid_segments)
 from cytotide.operators.gating import gate_centroids, gate_outlines
-from cytotide.operators.intervals import active_at, active_in_hour, last_match, to_intervals, with_params
+from cytotide.operators.intervals import active_at, active_in_hour, to_intervals, with_params
 from cytotide.operators.joins import sized_broadcast
 from cytotide.operators.opp import select_opp
 from cytotide.sources.tables import sfl_series, stat_series
@@ -83,10 +83,10 @@ def filter_param_segments(intervals: DataFrame, series=FILTER_PARAM_SERIES, by=(
 
 def params_at_points(points: DataFrame, intervals: DataFrame, time: str = "time", by=(),
                      dedupe: bool = True) -> DataFrame:
-    """J5 (+ W3): parameters in force at each distinct time point."""
+    """J5 (+ W3): parameters in force at each distinct time point. Intervals of a plan don't overlap,
+    so a sweep finds the one; ``dedupe=False`` lists every match of intervals that may overlap."""
     pts = points.select(*by, time).distinct()
-    hit = active_at(pts, intervals, time=time, by=by)
-    return last_match(hit, [*by, time], order="start_date") if dedupe else hit
+    return active_at(pts, intervals, time=time, by=by, disjoint=dedupe)
 
 
 # ---------------------------------------------------------------- Q1 Q6
@@ -103,7 +103,7 @@ def attach_params(particles: DataFrame, intervals: DataFrame, time: str = "time"
     """
     if anchors is None:
         return active_at(particles, intervals, time=time, by=by, how="left")
-    at = active_at(anchors, intervals, time="anchor_time", by=by, how="left").drop("anchor_time")
+    at = active_at(anchors, intervals, time="anchor_time", by=by, how="left", disjoint=True).drop("anchor_time")
     p = particles.withColumn("hour", floor_hour(time))
     return p.join(sized_broadcast(at), on=[*by, "hour"], how="left")
 
@@ -179,10 +179,10 @@ def active_gating(scope_rows: DataFrame, intervals: DataFrame, gating: DataFrame
     ISO-text dates; per point (``time``) or per hour (``hour``)."""
     if scope == "hour":
         hours = scope_rows.select(*by, floor_hour(time).alias("hour")).distinct()
-        act = active_in_hour(hours, intervals, by=by)
+        act = active_in_hour(hours, intervals, by=by, disjoint=True)
     else:
         pts = scope_rows.select(*by, time).distinct()
-        act = active_at(pts, intervals, time=time, by=by, how="inner")
+        act = active_at(pts, intervals, time=time, by=by, how="inner", disjoint=True)
     joined = with_params(act, gating, left="gating_id", right="id", by=by)
     return joined.withColumns({"start_date": iso_text("start_date"), "end_date": iso_text("end_date")})
 

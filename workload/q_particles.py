@@ -332,7 +332,7 @@ def q_guide_segments_data(spark, sf):
     beads = _beads(spark, sf)
     hours = beads.select(floor_hour("time").alias("hour")).distinct()
     iv = _order_intervals(spark, sf)
-    hp = active_at(hours, iv, time="hour", how="inner").drop("start_date", "end_date")
+    hp = active_at(hours, iv, time="hour", how="inner", disjoint=True).drop("start_date", "end_date")
     long = unpivot_panels(beads.withColumn("hour", floor_hour("time")), keys=["hour"])
     xr = value_range(long, ["fsc_small"], by=["hour"]).withColumnsRenamed(
         {"fsc_small_min": "x_min", "fsc_small_max": "x_max"})

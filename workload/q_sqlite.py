@@ -200,16 +200,16 @@ def q_sqlite_filter_segments(spark, sf):
 
 @register("sqlite_active_gating", "WITH " + SQLITE_CTES + """
 SELECT a.cruise, a.time, strftime(a.start_date, '%Y-%m-%dT%H:%M:%SZ') AS start_date,
-       strftime(a.end_date, '%Y-%m-%dT%H:%M:%SZ') AS end_date, a.gating_id, g.pop, 'fsc_small' AS channel1, 'pe' AS channel2,
+       strftime(a.end_date, '%Y-%m-%dT%H:%M:%SZ') AS end_date, a.gating_id, g.pop,
+       CASE WHEN g.pop IS NOT NULL THEN 'fsc_small' END AS channel1, CASE WHEN g.pop IS NOT NULL THEN 'pe' END AS channel2,
        CASE WHEN g.pop IS NOT NULL THEN 1::BIGINT END AS pop_order
-FROM ga a JOIN (SELECT DISTINCT cruise, gating_id, pop FROM cp) g USING (cruise, gating_id)""")
+FROM ga a LEFT JOIN (SELECT DISTINCT cruise, gating_id, pop FROM cp) g USING (cruise, gating_id)""")
 def q_sqlite_active_gating(spark, sf):
     """Q8 from databases alone: gating plan with epoch dates and gating definitions at every Stat point of a cruise."""
     dbs = _cruise_dbs(spark, sf)
     points = exclude_flags(_stat(spark, dbs))
     iv = gating_intervals(read_sqlite(spark, dbs, "gating_plan"), by=["cruise"])
-    active = active_gating(points, iv, read_sqlite(spark, dbs, "gating"), by=["cruise"])
-    return active.where(F.col("pop").isNotNull())
+    return active_gating(points, iv, read_sqlite(spark, dbs, "gating"), by=["cruise"])
 
 
 @register("sqlite_active_polygons", "WITH " + SQLITE_CTES + """
@@ -219,7 +219,7 @@ def q_sqlite_active_polygons(spark, sf):
     dbs = _cruise_dbs(spark, sf)
     points = exclude_flags(_stat(spark, dbs)).select("cruise", "time").distinct()
     iv = gating_intervals(read_sqlite(spark, dbs, "gating_plan"), by=["cruise"])
-    return active_polygons(read_sqlite(spark, dbs, "poly"), active_at(points, iv, by=["cruise"], how="inner"), by=["cruise"])
+    return active_polygons(read_sqlite(spark, dbs, "poly"), active_at(points, iv, by=["cruise"], how="inner", disjoint=True), by=["cruise"])
 
 
 @register("grid_files_decode", """

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytotide.functions.time import floor_hour, parse_time
-from cytotide.operators import (active_at, active_in_hour, conflicting_gates, exclude_flags,
-                                extent, flags_present, hourly_stat, in_hour, keep_quantile, ordered,
+from cytotide.operators import (active_at, active_in_hour, exclude_flags, extent, flags_present, gate_conflicts,
+                                hourly_stat, in_hour, keep_quantile, ordered,
                                 sfl_only_count, time_points, to_intervals)
 from cytotide.plans import (active_gating, active_polygons, filter_intervals,
                             filter_param_segments, gating_centroids, gating_intervals, gating_outlines,
@@ -231,7 +231,7 @@ JOIN gating_iv g ON g.start_date < h.hour + INTERVAL 1 HOUR AND (g.end_date IS N
 def q_gating_in_hour(spark, sf):
     """Gating plan intervals overlapping each Stat hour."""
     hours = _stat_f(spark, sf).select(floor_hour("time").alias("hour")).distinct()
-    return active_in_hour(hours, _gating_intervals(spark, sf))
+    return active_in_hour(hours, _gating_intervals(spark, sf), disjoint=True)
 
 
 GATING_AT_POINTS = """gating_at AS (
@@ -245,9 +245,8 @@ SELECT time, CAST(count(DISTINCT gating_id) + max(CASE WHEN gating_id IS NULL TH
 FROM (SELECT DISTINCT time FROM stat_f) p JOIN gating_spans g ON g.start_date <= p.time AND p.time < g.end_date GROUP BY time
 HAVING count(DISTINCT gating_id) + max(CASE WHEN gating_id IS NULL THEN 1 ELSE 0 END) > 1""")
 def q_gating_conflicts(spark, sf):
-    """Stat points with more than one active gating id, among overlapping intervals."""
-    pts = _stat_f(spark, sf).select("time").distinct()
-    return conflicting_gates(active_at(pts, S.gating_spans(spark, sf), how="inner"), ["time"])
+    """Stat points with more than one active gating id, among overlapping intervals, by a sweep line."""
+    return gate_conflicts(_stat_f(spark, sf), S.gating_spans(spark, sf))
 
 
 @register("active_gating_points", "WITH " + GATING_AT_POINTS + """
@@ -276,7 +275,7 @@ SELECT p.*, a.time FROM poly p JOIN (SELECT DISTINCT time, gating_id FROM gating
 def q_active_polygons(spark, sf):
     """Polygon vertices of the gating ids active at each Stat point."""
     pts = _stat_f(spark, sf).select("time").distinct()
-    act = active_at(pts, _gating_intervals(spark, sf), how="inner")
+    act = active_at(pts, _gating_intervals(spark, sf), how="inner", disjoint=True)
     return active_polygons(S.poly(spark, sf), act)
 
 
@@ -456,7 +455,8 @@ SELECT p.*, a.time FROM cpoly p JOIN (SELECT DISTINCT cruise, time, gating_id FR
 def q_cruise_active_polygons(spark, sf):
     """J7 keyed by cruise: polygons of the gating ids active at each of a cruise's points."""
     stat, _, _ = _cruise_events(spark, sf)
-    act = active_at(stat.select("cruise", "time").distinct(), _cruise_gating_intervals(spark, sf), by=["cruise"], how="inner")
+    act = active_at(stat.select("cruise", "time").distinct(), _cruise_gating_intervals(spark, sf), by=["cruise"], how="inner",
+                    disjoint=True)
     return active_polygons(_cruise_gates(spark, sf)[1], act, by=["cruise"])
 
 
