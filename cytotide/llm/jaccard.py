@@ -30,8 +30,9 @@ within twice the distance; the rest choose the next pivot. Once the pairs that
 are left are few (LISTED for each set of the corpus), or after ROUNDS, they are
 compared one by one.
 
-Candidates pass a test that loses none (the features' parities in SKETCH words
-differ in no more bits than the sets may) and are then verified on the sets.
+Candidates pass a test that loses none (the parities of the features in about
+twice as many cells differ in no more than the sets may) and are then verified
+on the sets.
 
 Where work grows: signatures travel packed and sorted, about 0.4 for each
 feature, dealt to slices of the hash space; of copies in one batch one signs,
@@ -70,8 +71,7 @@ THRESHOLD = (80, 100)
 HOT = 32
 #: Bands whose sets differ by at most so many features enumerate subsets of several partitions.
 SMALL = 3
-#: Words of 64 parities.
-SKETCH = 16
+LEAST_SKETCH = 1024
 #: Signatures that are sorted at a time, and in one slice.
 BATCH_ENTRIES = 1 << 21
 SLICE_ENTRIES = 1 << 21
@@ -92,10 +92,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def salted(h: np.ndarray, salt: int) -> np.ndarray:
-    return mixed(h + np.uint64(salt * _ROLL & (2 ** 64 - 1)))
-
-
 # ------------------------------------------------------------------ features
 
 def _word_hashes(text: bytes) -> np.ndarray:
@@ -119,23 +115,29 @@ def features(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
         return words
     width = min(shingle, len(words))
     n = len(words) - width + 1
+    words = mixed(words)
     h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = h + mixed(words[i:i + n] + np.uint64((i + 1) * _ROLL & (2 ** 64 - 1)))
-        h = h * np.uint64(0xFF51AFD7ED558CCD)
+        h = h * np.uint64(_ROLL) + words[i:i + n]
     return np.unique(mixed(h))
 
 
-def key(x: np.ndarray) -> tuple[int, int]:
+def masses(x: np.ndarray) -> np.ndarray:
+    """A second hash of the features, which sets add up."""
+    return mixed(x + np.uint64(_ROLL))
+
+
+def key(mass: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set, as two signed longs."""
-    both = np.array([salted(x, 1).sum(dtype=np.uint64), salted(x, 2).sum(dtype=np.uint64)]).view(np.int64)
+    both = np.array([mass.sum(dtype=np.uint64), (mass * (mass >> np.uint64(1))).sum(dtype=np.uint64)]).view(np.int64)
     return int(both[0]), int(both[1])
 
 
 def sketch(x: np.ndarray) -> list[int]:
-    """Parities of the features in SKETCH * 64 cells."""
-    h = salted(x, 3)
-    odd = np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=1024)[:SKETCH * 64] & 1
+    """Parities of the features by their low bits, in a power of two of at least LEAST_SKETCH cells and
+    about twice as many as there are features. Half the cells are those of both halves, added up."""
+    cells = max(LEAST_SKETCH, 1 << (3 * len(x) // 2 - 1).bit_length())
+    odd = np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -190,21 +192,20 @@ def _subsets(n: int, out: int) -> np.ndarray:
     return rows
 
 
-def signatures(x: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int, np.ndarray]]:
-    """(band, needed, signatures) for every band of a set: it can do without hot ones if ``needed`` others are left."""
+def signatures(x: np.ndarray, mass: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int, np.ndarray]]:
+    """(band, needed, signatures) for every band of a set of sorted features: it can do without hot ones
+    if ``needed`` others are left."""
     out = []
-    mass = salted(x, 4)
-    place = (salted(x, 5) >> np.uint64(32)).astype(np.int64)
+    place = (x >> np.uint64(32)).astype(np.int64)
     for band, k, n, most in bands(len(x), threshold):
-        part = (place * n) >> 32
-        order = np.argsort(part, kind="stable")
-        held, starts = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(mass[order], starts)
+        part = (place * n) >> 32  # ranges of the hash, so in order
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        held, sums = part[starts], np.add.reduceat(mass, starts)
         if most <= SMALL:
             whole = np.zeros(n, np.uint64)
             whole[held] = sums
             which = _subsets(n, most)
-            projected = (which * salted(whole, 6)).sum(axis=1, dtype=np.uint64)
+            projected = (which * mixed(whole + np.uint64(1))).sum(axis=1, dtype=np.uint64)
             ids, needed = np.arange(len(which), dtype=np.uint64), len(which) + 1
         else:
             needed = k + 1
@@ -216,8 +217,8 @@ def signatures(x: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> list[tu
                 spare = most // 8 + 4
                 held, projected = held[:needed + spare], sums[:needed + spare]
             ids = held.astype(np.uint64)
-        out.append((band, needed, salted(projected, 7) + mixed(ids + np.uint64(band << 32))))
-    return [(b, n, mixed(s)) for b, n, s in out]
+        out.append((band, needed, mixed(mixed(projected) + mixed(ids + np.uint64(band << 32)))))
+    return out
 
 
 # ------------------------------------------------------------------ streams of texts
@@ -239,7 +240,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for _, i, x in _texts(iter([b]), 2):
-                k1, k2 = key(x) if len(x) else (None, None)
+                k1, k2 = key(masses(x)) if len(x) else (None, None)
                 rows.append({"doc_id": b.column(0)[i].as_py(), "text_hash": b.column(1)[i].as_py(), "n": len(x), "k1": k1, "k2": k2,
                              "sketch": sketch(x) if len(x) else None})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -288,10 +289,10 @@ def packed_signatures(docs: DataFrame, slices: int, threshold: tuple[int, int],
                 yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
 
         for _, _, x in _texts(batches, 0):
-            if not len(x) or (k := key(x)) in seen:
+            if not len(x) or (k := key(mass := masses(x))) in seen:
                 continue
             seen.add(k)
-            for _, _, s in signatures(x, threshold):
+            for _, _, s in signatures(x, mass, threshold):
                 sigs.append(s)
                 owners.append(np.full(len(s), len(keys), np.uint32))
                 size += len(s)
@@ -351,11 +352,11 @@ def signature_rows(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         for b in batches:
             seen, rows = set(), []
             for _, _, x in _texts(iter([b]), 0):
-                if not len(x) or (k := key(x)) in seen:
+                if not len(x) or (k := key(mass := masses(x))) in seen:
                     continue
                 seen.add(k)
                 rows += [{"k1": k[0], "band": band, "over": max(0, len(s) - needed), "sigs": s.view(np.int64)}
-                         for band, needed, s in signatures(x, threshold)]
+                         for band, needed, s in signatures(x, mass, threshold)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return docs.select("text").mapInArrow(work, "k1 long, band int, over int, sigs array<long>")
@@ -370,7 +371,7 @@ def feature_sets(docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 64):
                 rows = []
                 for _, _, x in _texts(iter([b.slice(at, 64)]), 0):
-                    k1, k2 = key(x)
+                    k1, k2 = key(masses(x))
                     rows.append({"k1": k1, "k2": k2, "features": x.view(np.int64)})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -380,13 +381,23 @@ def feature_sets(docs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ join
 
 def _may_share(a: str, b: str, floor: tuple[int, int]) -> Column:
-    """False only for sets (columns ``a``, ``b`` of structs n, sketch) of a similarity below the floor."""
+    """False only for sets (columns ``a``, ``b`` of structs n, sketch) of a similarity below the floor.
+    The greater sketch is halved to the size of the other, once, as sets of one size class or the next meet; sets
+    further apart aren't judged by it."""
     num, den = floor
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")),
-                         F.lit(0).cast("long"), lambda s, x: s + x)
-    return ((differ * (num + den) <= both * (den - num))
-            & (F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num))
+    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+
+    def halved(c: Column) -> Column:
+        half = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    x, y = F.when(F.size(x) > F.size(y), halved(x)).otherwise(x), F.when(F.size(y) > F.size(x), halved(y)).otherwise(y)
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(F.bit_count(p.bitwiseXOR(q)), F.lit(0)).cast("long")),
+                         F.lit(0).cast("long"), lambda s, n: s + n)
+    apart = F.greatest(F.size(f"{a}.sketch"), F.size(f"{b}.sketch")) > 2 * F.least(F.size(f"{a}.sketch"), F.size(f"{b}.sketch"))
+    return ((F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num)
+            & (apart | (differ * (num + den) <= both * (den - num))))
 
 
 def likely(pairs: DataFrame, sets: DataFrame, floor: tuple[int, int]) -> DataFrame:
