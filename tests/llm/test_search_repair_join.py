@@ -289,10 +289,25 @@ def test_similar_sets_share_a_signature():
             b = np.concatenate([a[lost:], draw(more)])
             if 100 * (size - lost) < 80 * (size + more):
                 continue
-            x, y = (set(np.concatenate([s for _, _, s in jaccard.signatures(np.unique(v))] or [[0]]).tolist()) for v in (a, b))
+            x, y = (set(np.concatenate([s for _, _, s in jaccard.signatures(np.unique(v), jaccard.masses(np.unique(v)))] or [[0]]).tolist()) for v in (a, b))
             assert x & y, (size, lost, more)
 
 
+def test_sketches_differ_in_no_more_cells_than_sets(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for size in (3, 300, 683, 700, 1400, 5000):
+        a = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+        for kept, more in ((0.9, 0.1), (0.95, 0.2), (0.5, 0.5), (0.0, 1.0)):
+            b = np.unique(np.concatenate([a[int(size * (1 - kept)):], rng.integers(0, 2 ** 63, int(size * more), dtype=np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            rows.append(((len(a), jaccard.sketch(a)), (len(b), jaccard.sketch(b)), shared / (len(a) + len(b) - shared)))
+    kind = "struct<n:long,sketch:array<long>>"
+    got = spark.createDataFrame(rows, f"a {kind}, b {kind}, similarity double").select("similarity", jaccard._may_share("a", "b", (80, 100)).alias("may")).collect()
+    assert all(r.may for r in got if r.similarity >= 0.8) and not any(r.may for r in got if r.similarity < 0.6 and r.similarity < 1)
+    assert any(len(r[0][1]) != len(r[1][1]) for r in rows)
+
+
 def test_jaccard_of_empty_tables(spark, documents):
     assert jaccard.jaccard_classes(documents([(1, "a")]).limit(0)).count() == 0
     assert jaccard.jaccard_classes(documents([(1, None), (None, "")])).collect() == [(1, 0, 1), (None, 0, None)]
