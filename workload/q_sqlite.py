@@ -3,7 +3,6 @@ the file catalog, and read back by the SQLite source into the flows."""
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import uuid
@@ -16,7 +15,7 @@ from cytotide.operators import active_at, exclude_flags, keep_quantile
 from cytotide.plans import (active_gating, active_polygons, filter_intervals, filter_param_segments, gating_intervals,
                             sfl_metrics)
 from cytotide.session import checkpoint_dir, ship_code
-from cytotide.sources import (build_catalog, grid_bins, list_files, read_gridded, read_sfl_with_flags, read_sqlite,
+from cytotide.sources import (grid_bins, list_files, read_gridded, read_sfl_with_flags, read_sqlite,
                               sfl_series, stat_series)
 from cytotide.sources.tables import STAT_COLUMNS
 from workload import standins as S
@@ -69,33 +68,65 @@ def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
-def _writer(folder: str):
-    """Writes the rows of whole cruises (sorted by cruise and table), a database each, and tells their paths."""
+#: Rows in one database file, about.
+FILE_ROWS = 1_000_000
+
+
+def _writer(folder: str, old: bool):
+    """Writes the rows of whole (cruise, part)s, sorted by these and table, a database each, and tells their paths. A file
+    is written under a name of its own and then renamed, so a task that runs again leaves the same files."""
     def write(batches):
         import sqlite3
 
-        import pandas as pd
-        con, at, paths = None, None, []
+        import pyarrow as pa
+        con, at, path, wrote = None, None, None, []
+
+        def finish():
+            con.commit()
+            con.close()
+            os.replace(f"{path}.{tag}", path)
+            wrote.append(path)
+
+        tag = uuid.uuid4().hex
         for b in batches:
-            for (no, table), rows in b.groupby(["no", "table"], sort=False):
-                if no != at:
+            held = None
+            for no, part, table, values in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (no, part) != at:
+                    if held:
+                        con.executemany(*held)
+                        held = None
                     if con:
-                        con.commit()
-                        con.close()
-                    at = no
-                    paths.append(f"{folder}/C{no}.outlier.db")
-                    con = sqlite3.connect(paths[-1])
-                con.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ({_DDL[table]})')
-                cols = _COLUMNS[table]
-                values = [[r.get(k) for k in cols] for r in map(json.loads, rows["j"])]
-                con.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(cols))})', values)
+                        finish()
+                    at, path = (no, part), f"{folder}/C{no}.{part}.outlier.db"
+                    con, made = sqlite3.connect(f"{path}.{tag}"), set()
+                columns = _columns(table, old and no % 2 == 1)
+                if table not in made:
+                    con.execute(f'CREATE TABLE "{table}" ({", ".join(columns)})')
+                    made.add(table)
+                sql = f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(columns))})'
+                if held and held[0] != sql:
+                    con.executemany(*held)
+                    held = None
+                held = held or (sql, [])
+                held[1].append(values if len(columns) == len(values) else [v for v, c in zip(values, _COLUMNS[table]) if c not in _NEW])
+            if held:
+                con.executemany(*held)
         if con:
-            con.commit()
-            con.close()
-            yield pd.DataFrame({"path": paths})
+            finish()
+        yield pa.RecordBatch.from_pydict({"path": pa.array(wrote, pa.string())})
     return write
 
 
+#: Columns that databases of an older kind lack, and a type that they declare differently.
+_NEW = ("chl_med",)
+_OLD_TYPES = {"n_count INTEGER": "n_count REAL"}
+
+
+def _columns(table: str, old: bool) -> list[str]:
+    declared = _DDL[table].split(", ")
+    return [_OLD_TYPES.get(c, c) for c in declared if c.split()[0] not in _NEW] if old else declared
+
+
 _WRITTEN: dict[tuple, str] = {}
 
 
@@ -109,21 +140,25 @@ def _shared_folder(spark: SparkSession, what: str) -> str:
     return folder
 
 
-def _databases(spark: SparkSession, sf: str, *names: str) -> list[str]:
-    """Paths of the cruise databases with these tables, found through the catalog; written once per session."""
-    key = (spark.sparkContext.applicationId, sf, names)
+def _databases(spark: SparkSession, sf: str, *names: str, old: bool = False) -> list[str]:
+    """Paths of the cruise databases with these tables, found through the catalog's listing; written once per
+    session. ``old``: those of odd cruises lack a column and declare another type."""
+    key = (spark.sparkContext.applicationId, sf, names, old)
     if key not in _WRITTEN:
         ship_code(spark, os.path.dirname(os.path.abspath(__file__)))  # the writer runs on executors
         folder = _shared_folder(spark, "cruises")
         tables = _tables(spark, sf)
+        n = S.table(spark, sf, "events").count()
+        parts = 1 + n * 3 * len(names) // (CRUISES * FILE_ROWS)
         rows = None
         for name in names:
-            one = tables[name].select("no", F.lit(name).alias("table"), F.to_json(F.struct(*_COLUMNS[name])).alias("j"))
+            values = F.array(*[F.col(c).cast("string") for c in _COLUMNS[name]])
+            one = tables[name].select("no", F.pmod(F.xxhash64(values), F.lit(parts)).alias("part"), F.lit(name).alias("table"), values.alias("v"))
             rows = one if rows is None else rows.unionByName(one)
-        rows.repartition(CRUISES, "no").sortWithinPartitions("no", "table").mapInPandas(_writer(folder), "path string").count()
+        rows.repartition("no", "part").sortWithinPartitions("no", "part", "table").mapInArrow(_writer(folder, old), "path string").count()
         _WRITTEN[key] = folder
     registry = spark.createDataFrame([("set", _WRITTEN[key], True)], "name string, dir string, default boolean")
-    return sorted(r.outlier_db for r in build_catalog(list_files(spark, registry)).collect())
+    return sorted(r.item for r in list_files(spark, registry).where("kind = 'outlier_db'").collect())
 
 
 def _cruise_dbs(spark, sf):
@@ -163,6 +198,25 @@ def q_sqlite_stat(spark, sf):
     return _stat(spark, _databases(spark, sf, "stat"))
 
 
+@register("sqlite_stat_window", "WITH " + SQLITE_CTES + """
+SELECT * FROM st WHERE cruise IN ('C1', 'C4', 'C7', 'C10') AND time >= TIMESTAMP '2024-01-08' AND time < TIMESTAMP '2024-01-20'
+  AND pop <> 'view'""")
+def q_sqlite_stat_window(spark, sf):
+    """S2 + P7: a window of some cruises; Spark's filters are the databases' work, and other cruises' files stay closed."""
+    raw = read_sqlite(spark, _databases(spark, sf, "stat"), "stat")
+    some = raw.where("cruise IN ('C1', 'C4', 'C7', 'C10') AND quantile = 50 AND time >= '2024-01-08' AND time < '2024-01-20' AND pop <> 'view'")
+    return stat_series(some, by=["cruise"])
+
+
+@register("sqlite_merged_columns", "WITH " + SQLITE_CTES + f"""
+SELECT cruise, time, pop, CAST(n_count AS DOUBLE) AS n_count, abundance,
+       CASE WHEN CAST(substr(cruise, 2) AS INTEGER) % 2 = 0 THEN chl_med END AS chl_med, flag FROM st""")
+def q_sqlite_merged_columns(spark, sf):
+    """S2 + G4: databases of two kinds in one scan; a column that a cruise's database lacks is NULL, types are widened."""
+    raw = read_sqlite(spark, _databases(spark, sf, "stat", old=True), "stat").where("quantile = 50")
+    return stat_series(raw, by=["cruise"]).select("cruise", "time", "pop", "n_count", "abundance", "chl_med", "flag")
+
+
 @register("sqlite_sfl_flags", "WITH " + SQLITE_CTES + """
 SELECT cruise, t0 AS time, value AS lat, CASE WHEN event_id % 13 = 0 THEN NULL ELSE -value END AS lon,
        value * 0.1::DOUBLE AS conductivity, value * 0.2::DOUBLE AS salinity, value * 0.3::DOUBLE AS ocean_tmp,
