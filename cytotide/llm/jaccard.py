@@ -23,12 +23,13 @@ that aren't hot can do without the others, by the same argument (hot ones count
 as empty for both sets, and it has no more of them than any set signs beyond
 k + 1); so only the pairs of HOT or fewer sets are looked at there. Sets that
 have too few of those (near copies in large groups, texts made of common
-passages) are crowded. Crowded sets with a hot signature in common
-are compared with the least of them, the pivot. Those linked to it need no
-comparison with one another, and by the triangle inequality only with others
-within twice the distance; the rest choose the next pivot. Once the pairs that
-are left are few (LISTED for each set of the corpus), or after ROUNDS, they are
-compared one by one.
+passages) are crowded. They sign anew, with partitions in groups and subsets of
+each group, which single passages don't fill. Crowded sets with such a signature
+in common are compared with the least of them, the pivot. Those linked to it
+need no comparison with one another, and by the triangle inequality only with
+others within twice the distance; the rest choose the next pivot. Once the pairs
+that are left are few (LISTED for each set of the corpus), or after ROUNDS, they
+are compared one by one.
 
 Candidates pass a test that loses none (the parities of the features in about
 twice as many cells differ in no more than the sets may) and are then verified
@@ -72,6 +73,8 @@ HOT = 32
 #: Bands whose sets differ by at most so many features enumerate subsets of several partitions.
 SMALL = 3
 LEAST_SKETCH = 1024
+#: Partitions in a group of a crowded set's signatures, and how many of them a subset leaves out.
+WIDE = (5, 2)
 #: Signatures that are sorted at a time, and in one slice.
 BATCH_ENTRIES = 1 << 21
 SLICE_ENTRIES = 1 << 21
@@ -221,6 +224,25 @@ def signatures(x: np.ndarray, mass: np.ndarray, threshold: tuple[int, int] = THR
     return out
 
 
+def wide_signatures(x: np.ndarray, mass: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+    """Signatures of a crowded set: the partitions of a band in groups of WIDE[0], and of each group the projections
+    on every subset that leaves out WIDE[1]. Of the groups one has no more differing partitions than that."""
+    n, out = WIDE
+    place, found = (x >> np.uint64(32)).astype(np.int64), []
+    which = _subsets(n, out)
+    for band, _, _, most in bands(len(x), threshold):
+        groups = -(-(most + 1) // (out + 1))
+        part = (place * (groups * n)) >> 32
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        whole = np.zeros(groups * n, np.uint64)
+        whole[part[starts]] = np.add.reduceat(mass, starts)
+        whole = mixed(whole + np.uint64(1)).reshape(groups, 1, n)
+        projected = (whole * which).sum(axis=2, dtype=np.uint64).ravel()
+        ids = np.arange(len(projected), dtype=np.uint64) + np.uint64((band << 32) + (1 << 62))
+        found.append(mixed(mixed(projected) + mixed(ids)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 # ------------------------------------------------------------------ streams of texts
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -378,6 +400,23 @@ def feature_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "k1 long, k2 long, features array<long>")
 
 
+def wide_rows(held: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(sig, k1) of sets with their features."""
+    schema = pa.schema([("k1", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sets = b.column(0).to_pylist(), b.column(1)
+            for at in range(0, len(keys), 64):
+                rows = []
+                for i in range(at, min(at + 64, len(keys))):
+                    x = sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    rows.append({"k1": keys[i], "sigs": wide_signatures(x, masses(x), threshold).view(np.int64)})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return held.select("k1", "features").mapInArrow(work, "k1 long, sigs array<long>").select(F.explode("sigs").alias("sig"), "k1").distinct()
+
+
 # ------------------------------------------------------------------ join
 
 def _may_share(a: str, b: str, floor: tuple[int, int]) -> Column:
@@ -474,19 +513,20 @@ def links(docs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHO
     found = materialize(shared_signatures(packed_signatures(docs, slices, threshold, hot), hot))
     pairs = materialize(likely(found.where("a is not null").select("a", "b").distinct(), sets, threshold))
     hots = found.where("hot is not null").select(F.col("hot").alias("sig"))
-    members = None
+    crowded = None
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1"))
     if not hots.isEmpty():
         rows = signature_rows(docs, threshold).select("k1", "band", "over", F.explode("sigs").alias("sig"))
         rows = materialize(rows.join(sized_broadcast(hots), "sig").distinct())
-        crowded = rows.groupBy("k1", "band").agg(F.count(F.lit(1)).alias("n"), F.max("over").alias("over")).where("n > over")
-        members = materialize(rows.join(crowded.select("k1", "band"), ["k1", "band"], "left_semi").select("sig", "k1").distinct())
-        wanted = wanted.unionByName(members.select("k1"))
+        hot_of = rows.groupBy("k1", "band").agg(F.count(F.lit(1)).alias("n"), F.max("over").alias("over"))
+        crowded = materialize(hot_of.where("n > over").select("k1").distinct())
+        wanted = wanted.unionByName(crowded)
     texts = sized_broadcast(sets.join(wanted.distinct(), "k1", "left_semi").select("text_hash").distinct())
     some = docs.withColumn("text_hash", F.xxhash64("text")).join(texts, "text_hash", "left_semi")
     held = materialize(feature_sets(some).dropDuplicates(["k1", "k2"]))
     out = compared(pairs, held).where(_linked("similarity", threshold)).select("node_a", "node_b")
-    if members is not None:
+    if crowded is not None:
+        members = materialize(wide_rows(held.join(crowded, "k1", "left_semi"), threshold))
         out = out.unionByName(crowded_links(members, sets, held, threshold))
     return out.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
