@@ -291,6 +291,8 @@ def test_similar_sets_share_a_signature():
                 continue
             x, y = (set(np.concatenate([s for _, _, s in jaccard.signatures(np.unique(v), jaccard.masses(np.unique(v)))] or [[0]]).tolist()) for v in (a, b))
             assert x & y, (size, lost, more)
+            x, y = (set(jaccard.wide_signatures(np.unique(v), jaccard.masses(np.unique(v))).tolist()) for v in (a, b))
+            assert size == len(b) == len(set(a) & set(b)) or x & y, (size, lost, more)
 
 
 def test_sketches_differ_in_no_more_cells_than_sets(spark):
