@@ -13,6 +13,6 @@ from cytotide.operators.density import (hex_counts, hex_counts_panels, log_bin_c
 from cytotide.operators.gating import gate_outlines, gate_centroids, polygons_for_pop
 from cytotide.operators.grid import decode_bins
 from cytotide.operators.guides import guide_lines, guide_vlines, guide_hlines, guide_segments
-from cytotide.operators.opp import select_opp, replicate_quantiles, opp_predicate
+from cytotide.operators.opp import select_opp, replicate_quantiles, opp_predicate, passed_quantiles, quantile_sets
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -109,9 +109,11 @@ def attach_params(particles: DataFrame, intervals: DataFrame, time: str = "time"
 
 
 def opp_selection(particles: DataFrame, intervals: DataFrame, anchor: str = "row",
-                  anchors: DataFrame | None = None, time: str = "time", by=()) -> DataFrame:
+                  anchors: DataFrame | None = None, time: str = "time", by=(), quantiles=None) -> DataFrame:
     """Q1: particles passing the filter whose parameters are in force.
 
+    ``quantiles``: with intervals that carry ``quantile_sets``, all of them in one pass, a flag each.
+
     ``anchor='row'``: at each particle's own time. ``anchor='selected'``:
     at the selected point of the particle's hour (``anchors``: keys, ``hour``,
     ``anchor_time``), for the whole hour — the reference's behaviour.
@@ -124,7 +126,7 @@ def opp_selection(particles: DataFrame, intervals: DataFrame, anchor: str = "row
         attached = attach_params(particles, intervals, time=time, by=by)
     else:
         raise ValueError(f"anchor must be 'row' or 'selected', not {anchor!r}")
-    return select_opp(attached)
+    return select_opp(attached, quantiles)
 
 
 def bead_density(particles: DataFrame, kind: str = "evt", by=(), align: bool = True,

@@ -67,3 +67,29 @@ def test_stat_metrics_and_active_gating_text(spark):
     pts = spark.createDataFrame([(H + dt.timedelta(minutes=3),)], "time timestamp")
     g = active_gating(pts, iv, gating).first()
     assert g.start_date == "2024-01-01T10:00:00Z" and g.end_date is None and g.pop == "a"
+
+
+def test_quantile_sets_judge_each_particle_once(spark):
+    from cytotide.operators import passed_quantiles, quantile_sets, replicate_quantiles, select_opp
+    names = ["width", *[f"{a}_{k}_{d}" for k in ("small", "large") for d in ("D1", "D2") for a in ("notch", "offset")]]
+
+    def row(i, q, width, offset):
+        return (i, q, float(width), *[0.0 if n.startswith("notch") else float(offset) for n in names[1:]])
+    rows = [row(1, 2.5, 1, 10), row(1, 50.0, 5, 10), row(1, 97.5, 50, 10), row(2, 50.0, 5, 1), row(3, 97.5, 50, 100), row(3, 97.5, 40, 100), row(4, 33.0, 5, 5)]
+    params = spark.createDataFrame(rows, "id long, quantile double, " + ", ".join(f"{n} double" for n in names))
+    sets = quantile_sets(params)
+    assert {r.id: [(p["quantile"], p["width"]) for p in r.params] for r in sets.collect()} == {
+        1: [(2.5, 1.0), (50.0, 5.0), (97.5, 50.0)], 2: [(50.0, 5.0)], 3: [(97.5, 40.0)]}
+    particles = spark.createDataFrame([(n, i, 1.0, d1, d2) for n, (i, d1, d2) in enumerate(
+        [(1, 5.0, 5.5), (1, 5.0, 8.0), (1, 9.0, 30.0), (2, 5.0, 5.0), (3, 5.0, 40.0), (4, 1.0, 1.0), (9, 1.0, 1.0), (1, None, 2.0)])],
+        "n int, id long, fsc_small double, D1 double, D2 double")
+    attached = particles.join(sets, "id", "left")
+    assert {r.n: r.p for r in attached.select("n", passed_quantiles().alias("p")).collect()} == {
+        0: [2.5, 50.0, 97.5], 1: [50.0, 97.5], 2: [], 3: [], 4: [97.5], 5: [], 6: [], 7: []}
+    got = select_opp(attached, quantiles=(50, 97.5))
+    assert "params" not in got.columns and {r.n: (r["q50"], r["q97.5"]) for r in got.collect()} == {0: (True, True), 1: (True, True), 4: (False, True)}
+    # the same as a join with a copy of each particle and parameter row
+    copies = particles.join(params.where("quantile in (2.5, 50, 97.5)"), "id")
+    want = {(r.n, r["quantile"]) for r in select_opp(copies).collect()}
+    assert {(r.n, q) for r in attached.select("n", passed_quantiles().alias("p")).collect() for q in r.p} == want
+    assert replicate_quantiles(params.where("id = 1")).count() == 9

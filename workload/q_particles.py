@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cytotide.functions.columns import BEAD_PANEL_CHANNELS, BEAD_PANEL_LABELS, unpivot_panels
 from cytotide.functions.time import floor_hour
 from cytotide.operators import (active_at, aligned, guide_hlines, guide_segments, guide_vlines,
-                                in_hour, keep_quantile, polygons_for_pop, replicate_quantiles, value_range)
+                                in_hour, keep_quantile, polygons_for_pop, quantile_sets, replicate_quantiles, value_range)
 from cytotide.plans import (attach_params, bead_density, filter_intervals, gating_centroids,
                             gating_cytograms, gating_outlines, opp_selection)
 from cytotide.plans.flows import GATING_CHANNEL_PAIRS
@@ -136,6 +138,30 @@ def q_opp_selection(spark, sf):
     return out.select("time", "fsc_small", "D1", "D2", "filter_id")
 
 
+def _passes(p: str) -> str:
+    return re.sub(r"\b(width|(notch|offset)_\w+)\b", rf"{p}.\1", OPP_PRED)
+
+
+@register("opp_quantile_sets", f"""
+WITH filter_params_q AS (SELECT * REPLACE (width * quantile / 50.0::DOUBLE AS width) FROM filter_params),
+sets AS (
+  SELECT b.time, b.fsc_small, b.D1, b.D2, i.filter_id,
+         coalesce(bool_or({_passes('f')}) FILTER (WHERE f.quantile = 2.5), false) AS "q2.5",
+         coalesce(bool_or({_passes('f')}) FILTER (WHERE f.quantile = 50), false) AS "q50",
+         coalesce(bool_or({_passes('f')}) FILTER (WHERE f.quantile = 97.5), false) AS "q97.5"
+  FROM (SELECT *, row_number() OVER () AS rn FROM bead) b
+  JOIN order_iv i ON i.start_date <= b.time AND (i.end_date IS NULL OR b.time < i.end_date)
+  JOIN filter_params_q f ON f.id = i.filter_id GROUP BY b.rn, b.time, b.fsc_small, b.D1, b.D2, i.filter_id)
+SELECT * FROM sets WHERE "q2.5" OR "q50" OR "q97.5" """)
+def q_opp_quantile_sets(spark, sf):
+    """Q1 + J12: bead events passing the filters of the three quantiles, judged in one pass, a flag for each."""
+    beads = _beads(spark, sf)
+    params = S.filter_params(spark, sf).drop("date").withColumn("width", F.col("width") * F.col("quantile") / 50.0)
+    iv = filter_intervals(S.order_filter_plan(spark, sf), quantile_sets(params), max_time=beads.agg(F.max("time").alias("max_time")))
+    out = opp_selection(beads, iv, quantiles=(2.5, 50, 97.5))
+    return out.select("time", "fsc_small", "D1", "D2", "filter_id", "`q2.5`", "q50", "`q97.5`")
+
+
 @register("bead_hex_opp", f"WITH opp AS (SELECT date_trunc('hour', time) AS hour, * FROM bead_p "
           f"WHERE {OPP_PRED}), long AS (" + _long_sql("opp", "hour") + "),\n" + hex_sql("long", ["hour"]))
 def q_bead_hex_opp(spark, sf):
