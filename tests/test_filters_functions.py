@@ -1,5 +1,6 @@
 """Filters and Column helpers, one test per trap where it applies."""
 
+import datetime as dt
 import math
 
 from pyspark.sql import functions as F
@@ -106,3 +107,22 @@ def test_unpivot_and_untransform(spark):
     assert sorted(r.y_var for r in long.collect()) == ["D1", "D2", "chl_small"]
     u = untransform(spark.createDataFrame([(10 ** 3.5, 0.0)], "fsc_small double, pe double"), ["fsc_small", "pe"]).first()
     assert abs(u.fsc_small - 65536.0) < 1e-6 and u.pe is None
+
+
+def test_time_texts_in_many_shapes(spark):
+    from cytotide.functions.time import parse_text
+    at = dt.datetime(2024, 1, 5, 10, 15, 30)
+    hms = {"2024-01-05 10:15:30": at, "2024/1/5T10.15.30Z": at, "20240105101530": at, "20240105 101530": at, "  24.01.05 10-15-30 ": at,
+           "20240105T10:15:30.25": at.replace(microsecond=250000), "2024-Jan-05 10:15:30 PM": at.replace(hour=22), "2024 January 5, 10:15:30": at,
+           "2024-01-05 12:15:30 am": at.replace(hour=0), "2024-01-05 12:15:30 p.m.": at.replace(hour=12), "2024-01-05 10:15:30-0700": at.replace(hour=17),
+           "2024-01-05 10:15:30 +05:30": at.replace(hour=4, minute=45), "2024-01-05 10h15m30s": at, "2024年1月5日 10:15:30": at,
+           "2024-01-05 10:15:30,5": at.replace(microsecond=500000), "2024-01-05 24:00:00": dt.datetime(2024, 1, 6), "69-01-05 10:15:30": at.replace(year=1969),
+           "68-01-05 10:15:30": at.replace(year=2068), "2024-02-30 10:15:30": None, "2024-01-05 25:15:30": None, "2024-01-05 13:15:30 pm": None,
+           "2024-13-05 10:15:30": None, "05.01.2024 10:15:30": None, "2024-01-05": None, "junk": None, "": None, None: None, "2024-01-05 10:15": None}
+    hm = {"2024-01-05 10:15": at.replace(second=0), "202401051015": at.replace(second=0), "2024-jan-5 10h15m": at.replace(second=0),
+          "2024-01-05 10:15 pm": at.replace(hour=22, second=0), "2024/01/05T10:15+01": at.replace(hour=9, second=0), "2024-01-05 10:15:30": None,
+          "2024-Jan-05 10:15:30": None, "20240105101530": None}
+    for want, seconds in ((hms, True), (hm, False)):
+        df = spark.createDataFrame([(k,) for k in want], "t string")
+        got = {r.t: r.at for r in df.select("t", parse_text(F.col("t"), seconds).alias("at")).collect()}
+        assert got == want

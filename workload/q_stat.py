@@ -154,6 +154,32 @@ def _parse_src(spark, sf):
     return e.select("event_id", txt.alias("txt"))
 
 
+#: Text shapes of a time, as Spark's date patterns; the events are dealt to them in turn.
+TIME_SHAPES = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd'T'HH.mm.ss'Z'", "yyyyMMddHHmmss", "yyyyMMdd HHmmss", "yyyyMMdd'T'HH:mm:ss.SSS",
+               "yyyy.M.d H-m-s", "yyyy-MMM-dd hh:mm:ss a", "yy/MM/dd HH:mm:ss", "yyyy MMMM d, HH:mm:ss", "yyyy-MM-dd HH'h'mm'm'ss's'",
+               "yyyy-MM-dd HH:mm:ss '+0000'", "dd.MM.yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyyMMddHHmm", "yyyy-MMM-dd HH'h'mm", "yyyy-MM-dd")
+
+
+@register("parse_time_shapes", f"""
+SELECT event_id, CASE event_id % {len(TIME_SHAPES)} WHEN 4 THEN date_trunc('milliseconds', t) WHEN 11 THEN NULL WHEN 15 THEN NULL
+         WHEN 12 THEN date_trunc('minute', t) WHEN 13 THEN date_trunc('minute', t) WHEN 14 THEN date_trunc('minute', t)
+         ELSE date_trunc('second', t) END AS time,
+       CASE WHEN event_id % {len(TIME_SHAPES)} IN (11, 15) THEN NULL
+            ELSE date_trunc('second', t) + to_minutes(CAST(30 * (event_id % 27 - 13) AS INTEGER)) END AS shifted
+FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS t FROM events)""")
+def q_parse_time_shapes(spark, sf):
+    """times in many shapes (separators, compact digits, month names, two-digit years, am and pm), and with offsets."""
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id") % len(TIME_SHAPES)
+    shape = F.when(k == 0, F.date_format(t, TIME_SHAPES[0]))
+    for i, s in enumerate(TIME_SHAPES[1:], 1):
+        shape = shape.when(k == i, F.date_format(t, s))
+    off = F.abs(F.col("event_id") % 27 - 13) * 30  # the same wall clock, read at an offset against UTC
+    sign = F.when(F.col("event_id") % 27 > 13, "-").otherwise("+")
+    stamp = F.concat(F.date_format(t, "yyyy/MM/dd HH:mm:ss"), sign, F.lpad(F.floor(off / 60).cast("string"), 2, "0"), F.lpad((off % 60).cast("string"), 2, "0"))
+    e = S.table(spark, sf, "events").select("event_id", shape.alias("time"), F.when(~k.isin(11, 15), stamp).alias("shifted"))
+    return parse_time(parse_time(e, "time", mode="row"), "shifted", mode="hms")
+
+
 @register("parse_time_row", "WITH " + PARSE_TEXT_SQL + """
 SELECT event_id, txt, coalesce(try_strptime(txt, '%Y-%m-%d %H:%M:%S'), try_strptime(txt, '%Y-%m-%dT%H:%M:%S'),
                                try_strptime(txt, '%Y-%m-%d %H:%M')) AS parsed FROM parse_src""")
