@@ -6,6 +6,7 @@ from cytotide.sources.catalog import (read_registry, normalize_registry, list_fi
                                       duplicate_files, assert_unique, build_catalog,
                                       default_variation)
 from cytotide.sources.merge import merged_parquet, widened
+from cytotide.sources.zones import may_hold, read_window, zone_map, zone_range
 from cytotide.sources.sqlite import read_sqlite, read_sfl_with_flags, register_sqlite
 
 __all__ = [n for n in dir() if not n.startswith("_")]

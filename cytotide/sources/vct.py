@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cytotide.functions.columns import QUANTILE, REFRAC, cruise_from_folder, quantile_tag
 from cytotide.functions.numeric import nulls_for_nans
 from cytotide.functions.time import as_utc_timestamp
-from cytotide.operators.filters import hour_bounds
+from cytotide.operators.filters import hour_bounds, in_range
 from cytotide.sources.files import has_files
 
 # Fixed values from the reference: the file-name time stamp shapes.
@@ -63,7 +63,7 @@ def empty_vct(spark: SparkSession) -> DataFrame:
 
 
 def read_vct(spark: SparkSession, path, quantile: float = QUANTILE, refrac: str = REFRAC,
-             at=None) -> DataFrame:
+             at=None, between=None) -> DataFrame:
     """S7 + S10: every hourly VCT file under ``path`` (one or many ``*_vct``
     directories), with ``file_hour`` and ``cruise``.
 
@@ -72,6 +72,8 @@ def read_vct(spark: SparkSession, path, quantile: float = QUANTILE, refrac: str
     keeps only the file whose hour equals the UTC hour of ``at`` exactly (file
     pruning on ``_metadata.file_name``); two files of a cruise for that hour
     raise ``ValueError``, as in the reference (``ambiguous_vct_hours`` lists them for all hours).
+    ``between=(start, end)`` keeps rows with a time in [start, end), from the files of the hours
+    that have a part in it; files whose name tells no hour are not opened, either.
     """
     paths = [p for p in ([path] if isinstance(path, str) else path) if has_files(spark, p, VCT_FILE_GLOB)]
     if not paths:
@@ -88,7 +90,11 @@ def read_vct(spark: SparkSession, path, quantile: float = QUANTILE, refrac: str
         if twice:
             raise ValueError(f"more than one VCT file for {start}: " + ", ".join(f"{r.cruise} ({r.n_files})" for r in twice))
         raw = raw.where(F.col("file_hour") == hour)
-    return vct_columns(raw, quantile, refrac, keys=("file_hour", "cruise"))
+    if between is None:
+        return vct_columns(raw, quantile, refrac, keys=("file_hour", "cruise"))
+    first, last = (F.lit(hour_bounds(b)[0].isoformat(sep=" ")).cast("timestamp") for b in between)
+    raw = raw.where(F.col("file_hour").between(first, last))
+    return in_range(vct_columns(raw, quantile, refrac, keys=("file_hour", "cruise")), *between)
 
 
 def vct_files(spark: SparkSession, path) -> DataFrame:
