@@ -23,9 +23,11 @@ that aren't hot can do without the others, by the same argument (hot ones count
 as empty for both sets, and it has no more of them than any set signs beyond
 k + 1); so only the pairs of HOT or fewer sets are looked at there. Sets that
 have too few of those (near copies in large groups, texts made of common
-passages) are crowded. They sign anew, with partitions in groups and subsets of
-each group, which single passages don't fill. Crowded sets with such a signature
-in common are compared with the least of them, the pivot. Those linked to it
+passages) are crowded. Of these, sets with too many features that no other one
+has are let go, as they can be similar to none. The rest sign anew, with
+partitions in groups and subsets of each group, which single passages don't
+fill. Crowded sets with such a signature in common are compared with one, the
+pivot, that has the least share of features of its own. Those linked to it
 need no comparison with one another, and by the triangle inequality only with
 others within twice the distance; the rest choose the next pivot. Once the pairs
 that are left are few (LISTED for each set of the corpus), or after ROUNDS, they
@@ -80,8 +82,10 @@ BATCH_ENTRIES = 1 << 21
 SLICE_ENTRIES = 1 << 21
 #: Pairs of crowded sets that may be listed for each set of the corpus, pivots of a hot signature after which
 #: all that are left are listed, and bytes of pivots that are broadcast.
-LISTED = 32
+LISTED = 4
 ROUNDS = 8
+#: Times that crowded sets are told which features are theirs alone.
+PEELS = 2
 PIVOT_BYTES = 8 << 20
 CHUNK = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -464,9 +468,30 @@ def _linked(similarity: str, threshold: tuple[int, int]) -> Column:
     return F.col(similarity) >= F.lit(threshold[0] / threshold[1] - 1e-12)
 
 
+def with_own(held: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(k1, n, own) of the sets that may have a partner among them: ``own`` counts the features that no other set
+    has. A set of n features shares n - own of them at most, so more than n (1 - t) of its own leave it alone; without
+    such sets others have more of their own, so it is looked at PEELS times."""
+    num, den = threshold
+    each = held.select("k1", F.size("features").alias("n"), "features")
+    for _ in range(PEELS):
+        once = (each.select("k1", F.explode("features").alias("f")).groupBy("f").agg(F.min("k1").alias("k1"), F.count(F.lit(1)).alias("c"))
+                .where("c = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("own")))
+        told = each.drop("own").join(once, "k1", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        each = materialize(told.where(F.col("own") * den <= F.col("n") * (den - num)))
+    return each
+
+
+def _own_allow(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    """False only for dissimilar sets, by sizes and own features of the columns with these prefixes."""
+    num, den = threshold
+    half = lambda a, b: (F.col(f"{a}n") - F.col(f"{a}own")) * den >= (F.col(f"{a}n") + F.col(f"{b}own")) * num
+    return half(x, y) & half(y, x)
+
+
 def crowded_links(members: DataFrame, sets: DataFrame, held: DataFrame, threshold: tuple[int, int] = THRESHOLD,
                   listed: int | None = None) -> DataFrame:
-    """Links that connect all similar sets with a signature (sig, k1) in common. At most ``listed`` pairs
+    """Links that connect all similar sets with a signature (sig, k1, n, own) in common. At most ``listed`` pairs
     (LISTED for each set) are listed; while there are more, every signature's pivot takes what is near it."""
     num, den = threshold
     reach = 1 - num / den
@@ -477,31 +502,35 @@ def crowded_links(members: DataFrame, sets: DataFrame, held: DataFrame, threshol
     def linked(x: DataFrame) -> DataFrame:
         return x.where(_linked("similarity", threshold)).select("node_a", "node_b").distinct()
 
+    def side(x: DataFrame, prefix: str) -> DataFrame:
+        return x.withColumnsRenamed({c: f"{prefix}{c}" for c in x.columns if c != "sig"})
+
     left = members
     for turn in range(ROUNDS + 1):
-        buckets = materialize(left.groupBy("sig").agg(F.min("k1").alias("pivot"), F.count(F.lit(1)).cast("double").alias("n")).where("n > 1"))
-        pairs = buckets.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+        # the set with the least share of features of its own is nearest to all
+        pivot = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("k1").alias("k1")))["k1"].alias("pivot")
+        buckets = materialize(left.groupBy("sig").agg(pivot, F.count(F.lit(1)).cast("double").alias("c")).where("c > 1"))
+        pairs = buckets.agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0]
         if not pairs:
             break
         if pairs <= listed or turn == ROUNDS:
             each = left.join(buckets.select("sig"), "sig", "left_semi")
-            pairs = (each.select("sig", F.col("k1").alias("a")).join(each.select("sig", F.col("k1").alias("b")), "sig")
-                     .where("a < b").select("a", "b").distinct())
+            pairs = (side(each, "a_").join(side(each, "b_"), "sig").where((F.col("a_k1") < F.col("b_k1")) & _own_allow("a_", "b_", threshold))
+                     .select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct())
             found = found.unionByName(materialize(linked(compared(likely(pairs, sets, threshold), held))))
             break
         big = materialize(left.join(sized_broadcast(buckets.select("sig", "pivot")), "sig").where("k1 <> pivot"))
         stars = big.select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
         near = materialize(compared(likely(stars, sets, floor), held, pivots=True))
         told = big.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("k1"), "similarity"), ["pivot", "k1"], "left")
-        told = materialize(told.withColumn("core", F.coalesce(_linked("similarity", threshold), F.lit(False))))
+        told = materialize(told.withColumn("core", F.coalesce(_linked("similarity", threshold), F.lit(False))).drop("pivot"))
         # a set beyond the pivot's links may still be similar to one of those
         shell = told.where(~F.col("core") & (F.col("similarity") >= 1 - 2 * reach - 1e-9))
-        pairs = (shell.select("sig", F.col("k1").alias("x"), F.col("similarity").alias("sx"))
-                 .join(told.where("core").select("sig", F.col("k1").alias("y"), F.col("similarity").alias("sy")), "sig")
-                 .where(F.col("sy") - F.col("sx") <= reach + 1e-9)
-                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        pairs = (side(shell, "x_").join(side(told.where("core"), "y_"), "sig")
+                 .where((F.col("y_similarity") - F.col("x_similarity") <= reach + 1e-9) & _own_allow("x_", "y_", threshold))
+                 .select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")).distinct())
         found = materialize(found.unionByName(linked(near)).unionByName(linked(compared(likely(pairs, sets, threshold), held))))
-        left = told.where(~F.col("core")).select("sig", "k1")
+        left = told.where(~F.col("core")).select(*members.columns)
     return found
 
 
@@ -526,7 +555,8 @@ def links(docs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHO
     held = materialize(feature_sets(some).dropDuplicates(["k1", "k2"]))
     out = compared(pairs, held).where(_linked("similarity", threshold)).select("node_a", "node_b")
     if crowded is not None:
-        members = materialize(wide_rows(held.join(crowded, "k1", "left_semi"), threshold))
+        some = with_own(held.join(crowded, "k1", "left_semi"), threshold)
+        members = materialize(wide_rows(some, threshold).join(some.select("k1", "n", "own"), "k1"))
         out = out.unionByName(crowded_links(members, sets, held, threshold))
     return out.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
