@@ -1,9 +1,9 @@
 """Data-set registry and file catalog.
 
 The registry is a small CSV (``name, dir, default``). The catalog lists the
-files of every data set with Spark's ``binaryFile`` source (paths only; the
-file contents are never read), classifies them by name, derives the cruise
-key, and pivots them into one row per (data set, cruise).
+files and folders of every data set (``sources.listing``), classifies them by
+name, derives the cruise key, and pivots them into one row per (data set,
+cruise).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cytotide.functions.columns import cruise_key, require_columns
 from cytotide.operators.joins import plan_join
-from cytotide.sources.files import is_folder
+from cytotide.sources.listing import list_tree
 
 # Fixed values from the reference.
 REGISTRY_COLUMNS = ("name", "dir", "default")
@@ -68,12 +68,17 @@ def _ancestors(path: Column) -> Column:
 def classify_files(paths: DataFrame, path: str = "path") -> DataFrame:
     """S11 + S12: map listed file paths to ``(kind, item, cruise)``.
 
-    ``item`` is the file itself, or for ``vct_dir`` the ``*_vct`` folder
-    holding it (folders come from file paths: empty folders are not seen).
-    The ``grid`` files must sit under a folder named ``grid``.
+    ``item`` is the file itself, or for ``vct_dir`` the ``*_vct`` folder. Folders
+    are rows with ``is_dir``, as ``list_tree`` has them; without that column they come from
+    the paths of the files they hold. The ``grid`` files must sit under a folder named ``grid``.
     """
     p = F.col(path)
     base = F.element_at(F.split(p, "/"), -1)
+    if "is_dir" in paths.columns:
+        folders = paths.where("is_dir").drop("is_dir").where(base.rlike(VCT_DIR))
+        found = classify_files(paths.where("not is_dir").drop("is_dir"), path).where("kind <> 'vct_dir'")
+        folders = folders.withColumn("kind", F.lit("vct_dir")).withColumn("cruise", cruise_key(p, F.col("kind")))
+        return found.unionByName(folders.withColumnRenamed(path, "item").select(*found.columns))
     files = paths.withColumn("kind", F.when(base.rlike(OUTLIER_DB), "outlier_db")
                              .when(base.rlike(BEAD_FILE), "bead_file")
                              .when(p.rlike(GRID_FILE), "grid_file")
@@ -95,26 +100,13 @@ def classify_files(paths: DataFrame, path: str = "path") -> DataFrame:
 def list_files(spark: SparkSession, registry: DataFrame) -> DataFrame:
     """Recursive listing of every registered data-set folder, classified.
 
-    The registry is a small config table; its folders are listed by Spark's
-    ``binaryFile`` source (path column only, contents never read).
+    The registry is a small config table; all its folders are one scan of the listing source.
+    A registered folder that doesn't exist is warned of and adds nothing.
     """
-    frames = []
-    for row in registry.select("name", "dir", "default").collect():  # a config file
-        if not row["dir"] or not is_folder(spark, row["dir"]):
-            continue
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-            .load(row["dir"]).select("path")
-        listed = listed.withColumn("path", F.regexp_replace("path", r"^file:/*", "/"))
-        frames.append(listed.select(F.lit(row["name"]).alias("name"),
-                                    F.lit(row["default"]).alias("default"),
-                                    F.lit(row["dir"]).alias("dir"), "path"))
-    if not frames:
-        return spark.createDataFrame([], "name string, default boolean, dir string, "
-                                         "kind string, cruise string, item string")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return classify_files(out)
+    rows = registry.where("dir is not null and dir <> ''").select("name", "dir", "default")
+    roots = [r.dir for r in rows.select("dir").distinct().collect()]  # a config file
+    tree = list_tree(spark, roots).withColumn("path", F.regexp_replace("path", r"^file:/*", "/"))
+    return classify_files(rows.join(tree, rows["dir"] == tree["root"]).select("name", "default", "dir", "path", "is_dir"))
 
 
 def duplicate_files(files: DataFrame, keys=("name", "kind", "cruise")) -> DataFrame:

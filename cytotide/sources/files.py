@@ -10,12 +10,6 @@ def _path(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    """True if ``path`` is an existing directory."""
-    p, fs = _path(spark, path)
-    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
-
-
 def has_files(spark: SparkSession, folder: str, glob: str) -> bool:
     """True if ``folder`` directly holds a file whose name matches ``glob``."""
     p, fs = _path(spark, folder.rstrip("/") + "/" + glob)

@@ -56,7 +56,7 @@ def footer(path: str, columns: list[str]) -> dict:
                 nulls += group.num_rows
             elif stats is not None and stats.has_null_count and stats.null_count == group.num_rows:
                 nulls += stats.null_count
-            elif stats is None or not stats.has_min_max or not stats.has_null_count:
+            elif stats is None or not stats.has_min_max or not stats.has_null_count or stats.min != stats.min or stats.max != stats.max:
                 known = False
             else:
                 least.append(stats.min)

@@ -82,3 +82,27 @@ def test_vct_hours_between(spark, tmp_path):
     some = read_vct(spark, str(folder), between=("2024-01-01T01:30:00Z", "2024-01-01T03:20:00Z"))
     assert sorted((r.time.hour, r.time.minute) for r in some.collect()) == [(1, 40), (2, 0), (2, 20), (2, 40), (3, 0)]
     assert read_vct(spark, str(folder), between=("2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z")).count() == 0
+
+
+def test_listing_has_empty_folders_and_warns_of_missing_ones(spark, tmp_path):
+    from cytotide.sources import build_catalog, list_files
+    from cytotide.sources.listing import list_tree
+    root = tmp_path / "set"
+    for d in ("CR1_vct", "deep/CR2_vct", "deep/down/CR3_vct", "grid", "x/grid/y"):
+        (root / d).mkdir(parents=True)
+    for f in ("CR1.outlier.db", "CR1_vct/2024-01-01T00-00-00+00-00.vct.parquet", "deep/CR2.beads-sample-10.parquet", "x/grid/y/CR1.grid_bins.parquet",
+              "x/CR9.hourly_gridded.parquet", "x/grid/CR1.hourly_gridded.parquet", "notes_vct.txt"):
+        (root / f).write_text("x")
+    (tmp_path / "empty").mkdir()
+    tree = {(os.path.relpath(r.path, root), r.is_dir) for r in list_tree(spark, str(root)).collect()}
+    want = {(os.path.relpath(os.path.join(d, n), root), n in dirs) for d, dirs, names in os.walk(root) for n in [*dirs, *names]}
+    assert tree == want
+    registry = spark.createDataFrame([("a", str(root), True), ("b", f"file:{root}", False), ("c", str(tmp_path / "empty"), False),
+                                      ("d", str(tmp_path / "gone"), False), ("e", None, False)], "name string, dir string, default boolean")
+    with pytest.warns(UserWarning, match="gone"):
+        files = list_files(spark, registry)
+    got = {(r.name, r.cruise): (r.outlier_db, r.bead_file, r.vct_dir, r.grid_file, r.gridded_file) for r in build_catalog(files).collect()}
+    one = {"CR1": (f"{root}/CR1.outlier.db", None, f"{root}/CR1_vct", f"{root}/x/grid/y/CR1.grid_bins.parquet", f"{root}/x/grid/CR1.hourly_gridded.parquet"),
+           "CR2": (None, f"{root}/deep/CR2.beads-sample-10.parquet", f"{root}/deep/CR2_vct", None, None),
+           "CR3": (None, None, f"{root}/deep/down/CR3_vct", None, None)}
+    assert got == {(n, c): v for n in "ab" for c, v in one.items()}

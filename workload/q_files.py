@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from cytotide.sources import (ambiguous_vct_hours, build_catalog, classify_files, default_variation,
-                              duplicate_files, normalize_registry, scan_parquet, vct_file_hour)
+from cytotide.session import checkpoint_dir
+from cytotide.sources import (ambiguous_vct_hours, bead_sample, build_catalog, classify_files, default_variation, duplicate_files,
+                              normalize_registry, read_window, scan_parquet, vct_file_hour, zone_map, zone_range)
 from workload import standins as S
 from workload.registry import register
 
@@ -110,3 +113,39 @@ def q_scan_parquet(spark, sf):
     """S3: projected, filtered Parquet scan (pushdown and pruning by Catalyst)."""
     return scan_parquet(spark, f"{sf}/lineitem.parquet", columns=["l_orderkey", "l_quantity", "l_shipdate"],
                         where="l_quantity > 45")
+
+
+_BEAD_FILES: dict[tuple, str] = {}
+BEAD_COLUMNS = ("date", "fsc_small", "chl_small", "pe", "D1", "D2")
+
+
+def _bead_files(spark, sf):
+    """The bead sample as Parquet files that follow one another in time, with times whose extent footers tell."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BEAD_FILES:
+        folder, conf = f"{checkpoint_dir(spark)}/beads-{uuid.uuid4().hex}", "spark.sql.parquet.outputTimestampType"
+        before = spark.conf.get(conf)
+        spark.conf.set(conf, "TIMESTAMP_MICROS")
+        try:
+            S.beads_raw(spark, sf).repartitionByRange("date").write.parquet(folder)
+        finally:
+            spark.conf.set(conf, before)
+        _BEAD_FILES[key] = folder
+    return _BEAD_FILES[key]
+
+
+@register("zone_extents", """
+SELECT min(time) AS date_min, max(time) AS date_max, min(fsc_small) AS fsc_small_min, max(fsc_small) AS fsc_small_max,
+       min(chl_small) AS chl_small_min, max(chl_small) AS chl_small_max,
+       min(CASE WHEN NOT isnan(pe) THEN pe END) AS pe_min, max(CASE WHEN NOT isnan(pe) THEN pe END) AS pe_max,
+       min(D1) AS "D1_min", max(D1) AS "D1_max", min(D2) AS "D2_min", max(D2) AS "D2_max" FROM bead""")
+def q_zone_extents(spark, sf):
+    """A3, A9 from footers: the extents of time and all channels of the bead files; only what a footer doesn't tell is scanned."""
+    return zone_range(spark, zone_map(spark, _bead_files(spark, sf), BEAD_COLUMNS), BEAD_COLUMNS)
+
+
+@register("zone_window", "SELECT * FROM bead WHERE time >= TIMESTAMP '1997-03-01' AND time < TIMESTAMP '1997-04-15'")
+def q_zone_window(spark, sf):
+    """P7 through a zone map: bead events of six weeks, from the files that may hold some."""
+    start, end = (F.lit(t).cast("timestamp") for t in ("1997-03-01", "1997-04-15"))
+    return bead_sample(read_window(spark, zone_map(spark, _bead_files(spark, sf), ["date"]), "date", start, end))
