@@ -39,12 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytotide.llm.common import pick, sized_broadcast
+from cytotide.llm.common import materialize, pick
 from cytotide.llm.urls import host
+from cytotide.operators.joins import broadcast_fits
 
 GAMMA = 0.9
 IMPORTANT = 0.25
 MIN_PAGES = 4
+#: Measured bytes of all hosts' lists that are broadcast.
+MAP_BYTES = 16 << 20
 #: Counters of a task go out when so many are held.
 HELD = 200_000
 
@@ -60,30 +63,55 @@ _BLOCKS = frozenset("""address article aside blockquote body caption center dd d
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr", "td", "th"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _NOISE_TAGS = frozenset("""head title nav footer aside form script style noscript template iframe svg button select textarea
-    input dialog menu object canvas audio video map datalist search xmp noembed noframes math""".split())
+    input dialog menu object canvas audio video map datalist search xmp noembed noframes""".split())
 _NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo
     promotion promoted menu nav navbar navigation breadcrumb breadcrumbs sidebar side rail masthead header footer copyright legal
     notice notices notification alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login
     paywall related recommended recommendations trending share sharing social follow widget widgets pagination pager toolbar
-    disclaimer tags""".split())
+    disclaimer tags comment comments commentlist disqus respond reply replies responses""".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies responses".split())
-#: Inside an article these are names of its own parts as well.
-_DOUBTFUL = frozenset("""side rail masthead header footer copyright legal notice notices notification alert menu modal overlay
-    promotion disclaimer tags respond reply replies response responses""".split())
-_INSIDE_WORDS, _INSIDE_COMMENTS = _NOISE_WORDS - _DOUBTFUL, _COMMENT_WORDS - _DOUBTFUL
+#: Inside an article these may name a part of it as well; there a long text of few links stays.
+_DOUBTFUL = frozenset("""side rail copyright legal notice notices notification alert modal overlay promotion disclaimer tags
+    respond reply replies response responses banner related follow""".split())
+#: Inside an article these name parts of its own, its title or a box that the reader should mind.
+_OWN = frozenset("header masthead alert".split())
+#: Words that a name may have beside its noise word: before it, and behind it.
+_BEFORE = frozenset("""site page main top bottom left right global primary secondary post article blog entry content mobile desktop
+    sticky fixed inline the my user reader readers js block box section wp m c l u o id""".split())
+_BEHIND = frozenset("""area areas list lists section sections box boxes block blocks bar bars button buttons link links slot slots
+    wrap wrapper container content contents body inner outer left right top bottom item items unit units group panel row col column
+    text title thread form icon icons count holder placeholder region zone position primary secondary main div ul inline large small
+    feed policy message msg sticky fixed""".split())
 #: An <article> of such a class is a reader's comment or an advert, as is one whose id is such a word and a number.
 _NO_ARTICLE = _COMMENT_WORDS | frozenset("comment-body ad ads advert advertisement sponsored promo related recommended".split())
 _COMMENT_ID = re.compile(rf"(?:div-)?(?:{'|'.join(sorted(_COMMENT_WORDS))})[-_]?\d+")
+#: Elements whose id may name noise; headings, paragraphs and what stands in a line have ids of their own.
+_CONTAINERS = frozenset("div section ul ol dl table center details fieldset figure".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_CONTENT_WORDS = frozenset("article content main post entry story text body page wrapper container layout site".split())
+#: Text of a doubtful branch that stays in an article if not half of it is links, and of paragraphs beside an
+#: article that is shorter than they are, and so no more than a teaser.
+LONG_BRANCH = 400
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span br ul ol li blockquote pre code table tbody tr td th section div".split())
 
 
+def noise_word(name: str) -> str | None:
+    """The noise word that a class or id is about: its last part, but for words that go before or behind such a
+    word (comment-list, ad_slot_2, main-menu; but not related-work, has-sidebar, promotion-of-health)."""
+    parts = [p.rstrip("0123456789") for p in _TOKEN.findall(name)]
+    parts = [p for p in parts if p]
+    while len(parts) > 1 and parts[-1] in _BEHIND and parts[-1] not in _NOISE_WORDS:
+        parts.pop()
+    if not parts or parts[-1] not in _NOISE_WORDS or not all(p in _NOISE_WORDS or p in _BEFORE or p in _BEHIND for p in parts[:-1]):
+        return None
+    return parts[-1]
+
+
 class Node:
-    """An element: its tag, its children (elements and texts) and the hash of its path of tags, classes and ids."""
+    """An element: its tag, its children (elements and texts) and the hash of its path of tags, classes and ids.
+    ``noise``: it goes; ``doubtful``: it goes unless it is long and has few links."""
 
-    __slots__ = ("tag", "names", "bare", "noise", "key", "children")
+    __slots__ = ("tag", "names", "bare", "noise", "doubtful", "key", "children")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None, inside: bool) -> None:
         self.tag, self.children = tag, []
@@ -92,19 +120,18 @@ class Node:
         self.bare = not (found.get("class") or found.get("id"))
         self.key = xxhash.xxh64_intdigest(f"{parent.key if parent else ''}/{self.names}") >> 1
         self.noise = tag in _NOISE_TAGS or tag == "header" and not inside
+        self.doubtful = False
         if not found:
             return
-        classes = set(found.get("class", "").split())
         if tag in ("article", "main"):
-            self.noise = bool(classes & _NO_ARTICLE or _COMMENT_ID.fullmatch(found.get("id", "")))
+            self.noise = bool(set(found.get("class", "").split()) & _NO_ARTICLE or _COMMENT_ID.fullmatch(found.get("id", "")))
         elif tag not in ("html", "body") and not self.noise:
-            if inside:
-                named = tag not in _HEADINGS and bool(
-                    classes & _INSIDE_COMMENTS or classes & _INSIDE_WORDS and not classes & _CONTENT_WORDS)
-            else:
-                words = set(_TOKEN.findall(found.get("class", "") + " " + found.get("id", "")))
-                named = bool(words & _COMMENT_WORDS or words & _NOISE_WORDS and not words & _CONTENT_WORDS)
-            self.noise = (named or found.get("role") in _NOISE_ROLES or found.get("aria-hidden") == "true"
+            names = [] if inside and tag in _HEADINGS else found.get("class", "").split()
+            if tag in _CONTAINERS or not inside and tag not in _HEADINGS:
+                names += found.get("id", "").split()
+            words = {w for n in names if (w := noise_word(n))} - (_OWN if inside else frozenset())
+            self.doubtful = inside and bool(words) and words <= _DOUBTFUL
+            self.noise = (bool(words) and not self.doubtful or found.get("role") in _NOISE_ROLES or found.get("aria-hidden") == "true"
                           or "hidden" in found or "display:none" in found.get("style", "").replace(" ", ""))
 
 
@@ -168,6 +195,26 @@ def _squeezed(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+def _texts(root: Node) -> tuple[int, int, int]:
+    """Characters of a branch without noise: all, those in links, and those in paragraphs."""
+    counts, todo = [0, 0, 0], [(root, False, False)]
+    while todo:
+        node, link, plain = todo.pop()
+        if isinstance(node, str):
+            n = len("".join(node.split()))
+            for i, counted in enumerate((True, link, plain)):
+                counts[i] += n * counted
+        elif not node.noise:
+            todo += [(c, link or node.tag == "a", plain or node.tag == "p") for c in node.children]
+    return counts[0], counts[1], counts[2]
+
+
+def _minor(node: Node) -> bool:
+    """Whether a doubtful branch goes: it is short, or half of it is links."""
+    whole, links, _ = _texts(node)
+    return whole < LONG_BRANCH or 2 * links > whole
+
+
 def _gather(root: Node, gone: frozenset, blocks: list[list[str]]) -> None:
     """Add a branch's text to the blocks; a list is a block, and block elements begin and end one."""
     todo: list = [(root, False)]
@@ -180,7 +227,7 @@ def _gather(root: Node, gone: frozenset, blocks: list[list[str]]) -> None:
             blocks[-1].append(node)
             continue
         protected = protected and node.bare and node.tag in _PLAIN or node.tag in ("article", "main")
-        if node.noise or node.key in gone and not protected:
+        if node.noise or node.key in gone and not protected or node.doubtful and _minor(node):
             continue
         if node.tag in _BLOCKS:
             blocks.append([])
@@ -191,7 +238,8 @@ def _gather(root: Node, gone: frozenset, blocks: list[list[str]]) -> None:
 
 
 def _articles(node: Node) -> list[Node]:
-    """The outermost articles, or else main elements, that aren't inside noise."""
+    """The outermost articles, or else main elements, that aren't inside noise; the whole page if these are
+    teasers, with less text than the paragraphs beside them."""
     for tag in ("article", "main"):
         found, todo = [], [node]
         while todo:
@@ -201,7 +249,10 @@ def _articles(node: Node) -> list[Node]:
             elif not x.noise:
                 todo += [c for c in reversed(x.children) if not isinstance(c, str)]
         if found:
-            return found
+            held = [_texts(x) for x in found]
+            beside = _texts(node)[2] - sum(x[2] for x in held)
+            if beside < LONG_BRANCH or sum(x[0] for x in held) >= beside:
+                return found
     return [node]
 
 
@@ -281,21 +332,25 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) per page. The pages are read twice: for the trees, and to cut their unimportant branches."""
+    """(page_id, url, text) per page. The pages are read twice: for the trees, and to cut their unimportant branches.
+    A host's list of these goes to the workers once where all lists fit a broadcast, else with its pages."""
     d = pick(pages, "page_id", "url", "html").withColumn("host", host(F.col("url")))
-    gone = (style_tree(d).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < IMPORTANT))
-            .groupBy("host").agg(F.collect_list("node").alias("gone")))
-    d = d.join(sized_broadcast(gone), "host", "left")
+    gone = materialize(style_tree(d).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < IMPORTANT))
+                       .groupBy("host").agg(F.collect_list("node").alias("gone")))
+    if broadcast_fits(gone, MAP_BYTES):
+        lists = d.sparkSession.sparkContext.broadcast({r.host: np.array(r.gone, np.int64) for r in gone.collect()})
+
+        @F.pandas_udf("string")
+        def text_of_host(html: pd.Series, at: pd.Series) -> pd.Series:
+            sets = {h: frozenset(lists.value[h].tolist()) for h in set(at) if h in lists.value}
+            return pd.Series([main_text(page, sets.get(h, frozenset())) for page, h in zip(html, at, strict=True)], dtype=object)
+
+        return d.select("page_id", "url", text_of_host("html", "host").alias("text"))
+    d = d.join(gone, "host", "left")
 
     @F.pandas_udf("string")
     def text(html: pd.Series, gone: pd.Series) -> pd.Series:
-        sets: dict[int, frozenset] = {}
-        out = []
-        for page, nodes in zip(html, gone, strict=True):
-            key = 0 if nodes is None else hash(np.asarray(nodes).tobytes())
-            if key not in sets:
-                sets[key] = frozenset() if nodes is None else frozenset(int(x) for x in nodes)
-            out.append(main_text(page, sets[key]))
-        return pd.Series(out, dtype=object)
+        return pd.Series([main_text(page, frozenset() if nodes is None else frozenset(np.asarray(nodes).tolist()))
+                          for page, nodes in zip(html, gone, strict=True)], dtype=object)
 
     return d.select("page_id", "url", text("html", "gone").alias("text"))
