@@ -352,3 +352,55 @@ def test_graph_search_finds_the_nearest_centroids():
 def test_balanced_parts_are_of_one_size():
     x = ann._unit(np.random.default_rng(4).normal(size=(1024, 8)))
     assert ann.balanced_centroids(x, 4).shape == (16, 8) and ann.balanced_centroids(np.ones((40, 3)), 3).shape == (8, 3)
+
+
+# ------------------------------------------------------------------ names of containers, in both directions
+
+LONG = "This paragraph is part of what the page has to say, and it says so at some length. " * 6
+
+
+@pytest.mark.parametrize("outer", ["main", "article"])
+@pytest.mark.parametrize("noise", [
+    '<section id="comments">', '<div id="comments">', '<div class="comment-list">', '<div class="comments-area" id="comments">',
+    '<div class="cookie-notice">', '<div class="notice">', '<div class="ad-slot">', '<div class="sidebar-right">', '<div class="share-buttons">',
+    '<div class="footer">', '<div id="sidebar">', '<div id="menu">', '<ul class="related-posts tags">', '<div class="main-menu">', '<div id="ad_slot_2">',
+    '<section class="newsletter-signup">', '<div class="site-footer__links">'])
+def test_noise_containers_inside_an_article_go(outer, noise):
+    tag = noise[1:].split()[0]
+    page = f"<html><body><{outer}><h1>Title</h1><p>Body one.</p>{noise}<p>Noise said here.</p></{tag}><p>Body two.</p></{outer}></body></html>"
+    assert html.main_text(page) == "Title\n\nBody one.\n\nBody two."
+
+
+@pytest.mark.parametrize("kept", [
+    '<h2 id="comments">Kept here.</h2>', '<h2 id="menu">Kept here.</h2>', '<p id="footer">Kept here.</p>', '<p>Kept <b id="ad">here.</b></p>',
+    '<div class="related-work"><p>Kept here.</p></div>', '<section id="promotion-of-health"><p>Kept here.</p></section>',
+    '<div id="share-prices">Kept here.</div>', '<div class="has-sidebar">Kept here.</div>', '<div class="entry-header">Kept here.</div>',
+    '<section id="comments-on-method"><p>Kept here.</p></section>', '<p>Kept <math><mi>here.</mi></math></p>', '<div class="adventure">Kept here.</div>'])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_names_that_aren_t_noise_stay(outer, kept):
+    if outer == "div" and ("entry-header" in kept or "<p id" in kept or "<b id" in kept):
+        pytest.skip("outside an article these name a page's parts")
+    page = f"<html><body><{outer}><p>Body one.</p>{kept}</{outer}></body></html>"
+    assert html.main_text(page) == "Body one.\n\nKept here."
+
+
+def test_long_branches_of_doubtful_names_stay_in_an_article():
+    page = f'<article><p>One.</p><section id="notice"><p>{LONG}</p></section><div class="legal"><p>Short.</p></div></article>'
+    assert html.main_text(page) == f"One.\n\n{LONG.strip()}"
+    links = f'<article><p>One.</p><div class="related"><a href="/x">{LONG}</a></div></article>'
+    assert html.main_text(links) == "One."
+
+
+def test_a_teaser_article_is_not_the_page():
+    page = f'<body><nav>Menu</nav><article>teaser</article><div><p>{LONG}</p><p>{LONG}</p></div><footer>Foot</footer></body>'
+    assert html.main_text(page) == f"teaser\n\n{LONG.strip()}\n\n{LONG.strip()}"
+    page = f'<body><article><p>{LONG}</p></article><p>{LONG[:100]}</p></body>'
+    assert html.main_text(page) == LONG.strip()
+
+
+def test_lists_of_hosts_that_are_joined_and_broadcast_agree(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.net/{i}", f"<body><div class=x>Same box of host {i % 3}.</div><div><p>Page {i} says {i * 7}.</p></div></body>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    told = {r.page_id: r.text for r in html.extract(df).collect()}
+    monkeypatch.setattr(html, "MAP_BYTES", 1)
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == told and len(told) == 30
