@@ -26,10 +26,10 @@ have too few of those (near copies in large groups, texts made of common
 passages) are crowded. Of these, sets with too many features that no other one
 has are let go, as they can be similar to none. The rest sign anew, with
 partitions in groups and subsets of each group, which single passages don't
-fill. Crowded sets with such a signature in common are compared with one, the
-pivot, that has the least share of features of its own. Those linked to it
+fill. Crowded sets that such signatures connect are a family, and are compared
+with one of them, the pivot, that has the least share of features of its own. Those linked to it
 need no comparison with one another, and by the triangle inequality only with
-others within twice the distance; the rest choose the next pivot. Once the pairs
+others within twice the distance; the rest are families anew. Once the pairs
 that are left are few (LISTED for each set of the corpus), or after ROUNDS, they
 are compared one by one.
 
@@ -66,6 +66,7 @@ from pyspark.sql import functions as F
 from cytotide.llm.common import materialize, pick, sized_broadcast
 from cytotide.llm.components import components
 from cytotide.llm.substring import _planes, _values
+from cytotide.operators.joins import broadcast_fits
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -80,13 +81,14 @@ WIDE = (5, 2)
 #: Signatures that are sorted at a time, and in one slice.
 BATCH_ENTRIES = 1 << 21
 SLICE_ENTRIES = 1 << 21
-#: Pairs of crowded sets that may be listed for each set of the corpus, pivots of a hot signature after which
-#: all that are left are listed, and bytes of pivots that are broadcast.
+#: Pairs of crowded sets that may be listed for each set of the corpus, pivots of a family after which all that are
+#: left are listed, and measured bytes of pivots and of pairs that are broadcast.
 LISTED = 4
 ROUNDS = 8
 #: Times that crowded sets are told which features are theirs alone.
 PEELS = 2
 PIVOT_BYTES = 8 << 20
+PAIR_BYTES = 8 << 20
 CHUNK = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ROLL = 0x9E3779B97F4A7C15
@@ -394,10 +396,14 @@ def feature_sets(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            seen = set()
             for at in range(0, b.num_rows, 64):
                 rows = []
                 for _, _, x in _texts(iter([b.slice(at, 64)]), 0):
                     k1, k2 = key(masses(x))
+                    if (k1, k2) in seen:
+                        continue
+                    seen.add((k1, k2))
                     rows.append({"k1": k1, "k2": k2, "features": x.view(np.int64)})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -452,13 +458,16 @@ def likely(pairs: DataFrame, sets: DataFrame, floor: tuple[int, int]) -> DataFra
 
 
 def compared(pairs: DataFrame, held: DataFrame, pivots: bool = False) -> DataFrame:
-    """The pairs with the sets' nodes (node_a, node_b) and ``similarity``; ``held`` has the sets' features.
-    With ``pivots`` many pairs have the same ``a``: these sets are broadcast if measured to be few."""
+    """The pairs (a, b; written) with the sets' nodes (node_a, node_b) and ``similarity``; ``held`` has the sets'
+    features. Pairs are broadcast to the sets if measured to be few; with ``pivots`` many pairs have the same ``a``, and
+    these sets are broadcast likewise."""
     node = F.concat(F.hex("k1"), F.lit("-"), F.hex("k2"))
     left = held.select(F.col("k1").alias("a"), node.alias("node_a"), F.col("features").alias("fa"))
+    left = left.join(sized_broadcast(pairs.select("a").distinct()), "a", "left_semi")
     if pivots:
-        left = sized_broadcast(left.join(pairs.select("a").distinct(), "a", "left_semi"), PIVOT_BYTES)
-    x = pairs.join(held.select(F.col("k1").alias("b"), node.alias("node_b"), F.col("features").alias("fb")), "b").join(left, "a")
+        left = sized_broadcast(left, PIVOT_BYTES)
+    told = F.broadcast(pairs) if broadcast_fits(pairs, PAIR_BYTES) else pairs
+    x = held.select(F.col("k1").alias("b"), node.alias("node_b"), F.col("features").alias("fb")).join(told, "b").join(left, "a")
     shared = F.size(F.array_intersect("fa", "fb")).cast("double")
     return (x.withColumn("shared", shared)
             .withColumn("similarity", F.col("shared") / (F.size("fa") + F.size("fb") - F.col("shared"))).drop("fa", "fb", "shared"))
@@ -473,13 +482,26 @@ def with_own(held: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     has. A set of n features shares n - own of them at most, so more than n (1 - t) of its own leave it alone; without
     such sets others have more of their own, so it is looked at PEELS times."""
     num, den = threshold
-    each = held.select("k1", F.size("features").alias("n"), "features")
+    left = None
     for _ in range(PEELS):
+        each = (held if left is None else held.join(sized_broadcast(left.select("k1")), "k1", "left_semi"))
         once = (each.select("k1", F.explode("features").alias("f")).groupBy("f").agg(F.min("k1").alias("k1"), F.count(F.lit(1)).alias("c"))
                 .where("c = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("own")))
-        told = each.drop("own").join(once, "k1", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        each = materialize(told.where(F.col("own") * den <= F.col("n") * (den - num)))
-    return each
+        told = each.select("k1", F.size("features").alias("n")).join(once, "k1", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        left = materialize(told.where(F.col("own") * den <= F.col("n") * (den - num)))
+    return left
+
+
+def families(signed: DataFrame) -> DataFrame:
+    """(k1, family) of sets that share a signature (sig, k1), directly or through others."""
+    first = signed.groupBy("sig").agg(F.min("k1").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "a")
+    roots = components(signed.join(first, "sig").where("k1 <> a").select("a", F.col("k1").alias("b")))
+    return (roots.select(F.col("node").alias("k1"), F.col("root").alias("family"))
+            .unionByName(roots.select(F.col("root").alias("k1"), F.col("root").alias("family")).distinct()))
+
+
+def _links_of(x: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    return x.where(_linked("similarity", threshold)).select("node_a", "node_b")
 
 
 def _own_allow(x: str, y: str, threshold: tuple[int, int]) -> Column:
@@ -489,48 +511,49 @@ def _own_allow(x: str, y: str, threshold: tuple[int, int]) -> Column:
     return half(x, y) & half(y, x)
 
 
-def crowded_links(members: DataFrame, sets: DataFrame, held: DataFrame, threshold: tuple[int, int] = THRESHOLD,
+def crowded_links(some: DataFrame, sets: DataFrame, held: DataFrame, threshold: tuple[int, int] = THRESHOLD,
                   listed: int | None = None) -> DataFrame:
-    """Links that connect all similar sets with a signature (sig, k1, n, own) in common. At most ``listed`` pairs
-    (LISTED for each set) are listed; while there are more, every signature's pivot takes what is near it."""
+    """Links that connect all similar ones of some sets (k1, n, own). At most ``listed`` pairs of a family (LISTED
+    for each set of the corpus) are listed; while there are more, every family's pivot takes what is near it."""
     num, den = threshold
     reach = 1 - num / den
     floor = (2 * num - den, den)
     listed = LISTED * sets.count() if listed is None else listed
-    found = members.sparkSession.createDataFrame([], "node_a string, node_b string")
+    found = some.sparkSession.createDataFrame([], "node_a string, node_b string")
 
-    def linked(x: DataFrame) -> DataFrame:
-        return x.where(_linked("similarity", threshold)).select("node_a", "node_b").distinct()
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _links_of(compared(materialize(likely(pairs, sets, threshold)), held), threshold)
 
     def side(x: DataFrame, prefix: str) -> DataFrame:
-        return x.withColumnsRenamed({c: f"{prefix}{c}" for c in x.columns if c != "sig"})
+        return x.withColumnsRenamed({c: f"{prefix}{c}" for c in x.columns if c != "family"})
 
-    left = members
+    left = some
     for turn in range(ROUNDS + 1):
+        signed = wide_rows(held.join(sized_broadcast(left.select("k1")), "k1", "left_semi"), threshold)
+        group = materialize(families(signed).join(left.select("k1", "n", "own"), "k1"))
         # the set with the least share of features of its own is nearest to all
         pivot = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("k1").alias("k1")))["k1"].alias("pivot")
-        buckets = materialize(left.groupBy("sig").agg(pivot, F.count(F.lit(1)).cast("double").alias("c")).where("c > 1"))
-        pairs = buckets.agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0]
+        sizes = group.groupBy("family").agg(pivot, F.count(F.lit(1)).cast("double").alias("c"))
+        pairs = sizes.agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0]
         if not pairs:
             break
         if pairs <= listed or turn == ROUNDS:
-            each = left.join(buckets.select("sig"), "sig", "left_semi")
-            pairs = (side(each, "a_").join(side(each, "b_"), "sig").where((F.col("a_k1") < F.col("b_k1")) & _own_allow("a_", "b_", threshold))
-                     .select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct())
-            found = found.unionByName(materialize(linked(compared(likely(pairs, sets, threshold), held))))
+            pairs = (side(group, "a_").join(side(group, "b_"), "family").where((F.col("a_k1") < F.col("b_k1")) & _own_allow("a_", "b_", threshold))
+                     .select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")))
+            found = found.unionByName(linked(pairs))
             break
-        big = materialize(left.join(sized_broadcast(buckets.select("sig", "pivot")), "sig").where("k1 <> pivot"))
-        stars = big.select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
-        near = materialize(compared(likely(stars, sets, floor), held, pivots=True))
-        told = big.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("k1"), "similarity"), ["pivot", "k1"], "left")
+        group = group.join(sized_broadcast(sizes.select("family", "pivot")), "family").where("k1 <> pivot")
+        stars = group.select(F.col("pivot").alias("a"), F.col("k1").alias("b"))
+        near = materialize(compared(materialize(likely(stars, sets, floor)), held, pivots=True))
+        told = group.join(near.select(F.col("b").alias("k1"), "similarity"), "k1", "left")
         told = materialize(told.withColumn("core", F.coalesce(_linked("similarity", threshold), F.lit(False))).drop("pivot"))
         # a set beyond the pivot's links may still be similar to one of those
         shell = told.where(~F.col("core") & (F.col("similarity") >= 1 - 2 * reach - 1e-9))
-        pairs = (side(shell, "x_").join(side(told.where("core"), "y_"), "sig")
+        pairs = (side(shell, "x_").join(side(told.where("core"), "y_"), "family")
                  .where((F.col("y_similarity") - F.col("x_similarity") <= reach + 1e-9) & _own_allow("x_", "y_", threshold))
-                 .select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")).distinct())
-        found = materialize(found.unionByName(linked(near)).unionByName(linked(compared(likely(pairs, sets, threshold), held))))
-        left = told.where(~F.col("core")).select(*members.columns)
+                 .select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")))
+        found = materialize(found.unionByName(_links_of(near, threshold)).unionByName(linked(pairs)))
+        left = told.where(~F.col("core")).select("k1", "n", "own")
     return found
 
 
@@ -553,11 +576,10 @@ def links(docs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHO
     texts = sized_broadcast(sets.join(wanted.distinct(), "k1", "left_semi").select("text_hash").distinct())
     some = docs.withColumn("text_hash", F.xxhash64("text")).join(texts, "text_hash", "left_semi")
     held = materialize(feature_sets(some).dropDuplicates(["k1", "k2"]))
-    out = compared(pairs, held).where(_linked("similarity", threshold)).select("node_a", "node_b")
+    out = _links_of(compared(pairs, held), threshold)
     if crowded is not None:
-        some = with_own(held.join(crowded, "k1", "left_semi"), threshold)
-        members = materialize(wide_rows(some, threshold).join(some.select("k1", "n", "own"), "k1"))
-        out = out.unionByName(crowded_links(members, sets, held, threshold))
+        some = with_own(held.join(sized_broadcast(crowded), "k1", "left_semi"), threshold)
+        out = out.unionByName(crowded_links(some, sets, held, threshold))
     return out.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
