@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express, written from their definitions."""
 
+from cytotide.llm.urls import rounds_of
+
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES = {
@@ -74,16 +76,16 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (r)""",
     "op8_url_filter": r"""
 WITH RECURSIVE p AS (
-  SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+  SELECT row_number() OVER () AS page, page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
 r(action, site, start) AS (
   VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 h AS (
-  SELECT page_id, arg_max({'action': action, 'rule': site || start, 'whole': start = '/'}, len(site || start)) AS hit
-  FROM p JOIN r ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id),
-u AS (SELECT p.page_id, host, path, hit FROM p LEFT JOIN h ON p.page_id IS NOT DISTINCT FROM h.page_id),
+  SELECT page, arg_max({'action': action, 'rule': site || start, 'whole': start = '/'}, len(site || start)) AS hit
+  FROM p JOIN r ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page),
+u AS (SELECT page_id, host, path, hit FROM p LEFT JOIN h USING (page)),
 e AS (
   SELECT DISTINCT src, dst FROM (
     SELECT host AS src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END,
@@ -93,21 +95,22 @@ e AS (
       '(?i)<a\s[^<>]*?href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s<>]+)', 1)) AS link FROM p))
   WHERE src <> '' AND dst <> '' AND src <> dst),
 ways AS (
-  SELECT kind, host, next, count(*) OVER (PARTITION BY kind, host) AS fan
-  FROM (SELECT 'trust' AS kind, src AS host, dst AS next FROM e UNION ALL SELECT 'distrust', dst, src FROM e)),
+  SELECT kind, host, next, count(*) OVER (PARTITION BY kind, per) AS fan
+  FROM (SELECT 'trust' AS kind, src AS host, dst AS next, src AS per FROM e
+        UNION ALL SELECT 'distrust', dst, src, dst FROM e UNION ALL SELECT 'exposure', dst, src, src FROM e)),
 m AS (
   SELECT 0 AS round, kind, host, 1.0::DOUBLE - 0.85::DOUBLE AS score
-  FROM (SELECT DISTINCT CASE WHEN hit.action = 'allow' THEN 'trust' WHEN hit.whole THEN 'distrust' END AS kind, host
-        FROM u WHERE hit IS NOT NULL) WHERE kind IS NOT NULL
+  FROM (SELECT DISTINCT unnest(CASE WHEN hit.action = 'allow' THEN ['trust'] WHEN hit.whole THEN ['distrust', 'exposure'] ELSE [] END) AS kind, host
+        FROM u WHERE hit IS NOT NULL)
   UNION ALL
   SELECT round + 1, kind, next, sum(score / fan) * 0.85::DOUBLE FROM m JOIN ways USING (kind, host)
-  WHERE round < 57 GROUP BY round, kind, next),
-s AS (SELECT host, sum(score) FILTER (WHERE kind = 'trust') AS trust, sum(score) FILTER (WHERE kind = 'distrust') AS distrust
+  WHERE round < ROUNDS GROUP BY round, kind, next),
+s AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust,
+             greatest(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), coalesce(sum(score) FILTER (WHERE kind = 'exposure'), 0)) AS against
       FROM m GROUP BY host)
 SELECT page_id, u.host, path, hit.rule AS rule,
-       coalesce(hit.action, CASE WHEN coalesce(distrust, 0) >= 0.01 AND coalesce(distrust, 0) > coalesce(trust, 0)
-                                 THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN s ON u.host = s.host""",
+       coalesce(hit.action, CASE WHEN against >= 0.01 AND against > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN s ON u.host = s.host""".replace("ROUNDS", str(rounds_of())),
     "op11_lexical_search": r"""
 WITH i AS (
   SELECT row_number() OVER () AS item, item_id, regexp_extract_all(

@@ -20,6 +20,9 @@ links; repeated pages and links count once; empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ DAMPING = 0.85
 THRESHOLD = 0.01
 #: Propagation ends when what is still under way is below this part of what the seeds started with.
 TOLERANCE = 1e-4
+ROUNDS_A_CHECKPOINT = 4
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""
 
@@ -65,6 +69,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .where("src <> '' and dst <> '' and src <> dst").distinct())
 
 
+def rounds_of(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which what is under way is below the tolerance."""
+    return ceil(log(tolerance) / log(damping))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score): personalised PageRank of kind 'trust' along the edges and of 'distrust' against them, and 'exposure'.
 
@@ -72,9 +81,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     it comes to instead of the one that it comes from.
 
     ``seeds`` has (kind, host). The rank is summed as it spreads: every round
-    passes on what arrived in the last one, times damping, and what is under
-    way (of exposure, the most that a host gets) shrinks by that factor at
-    least, so the rounds end by themselves.
+    passes on what arrived in the last one, times damping, until nothing is under way or,
+    as it shrinks by that factor at least, what is left is below the tolerance. A few
+    rounds are one job, whose sums are written.
     """
     along = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("next"), F.col("src").alias("of"))
     against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("next"), F.col("dst").alias("of"))
@@ -82,24 +91,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     fan = ways.groupBy("kind", "of").agg(F.count(F.lit(1)).alias("fan"))
     ways = materialize(ways.join(fan, ["kind", "of"]).drop("of"))
 
-    def under_way(moving: DataFrame) -> float:
-        of = lambda how, here: F.coalesce(how(F.when(here, F.col("score"))), F.lit(0.0))
-        mean = F.col("kind") == "exposure"
-        return moving.agg(of(F.sum, ~mean) + of(F.max, mean)).first()[0]
-
-    moving = materialize(seeds.select("kind", "host").distinct().withColumn("score", F.lit(1.0 - damping)))
-    rounds, left = [moving], under_way(moving)
-    least = left * tolerance
-    while left > least:
-        moving = materialize(ways.join(moving, ["kind", "host"]).groupBy("kind", F.col("next").alias("host"))
-                             .agg((F.sum(F.col("score") / F.col("fan")) * damping).alias("score")))
-        left = under_way(moving)
-        if left:
-            rounds.append(moving)
-    total = rounds[0]
-    for r in rounds[1:]:
-        total = total.unionByName(r)
-    return total.groupBy("kind", "host").agg(F.sum("score").alias("score"))
+    state = materialize(seeds.select("kind", "host").distinct().withColumn("moving", F.lit(1.0 - damping)).withColumn("score", F.col("moving")))
+    if ways.isEmpty():
+        return state.drop("moving")
+    done, most = 0, rounds_of(damping, tolerance)
+    while done < most:
+        came, parts = state, [state.select("kind", "host", F.lit(0.0).alias("moving"), "score")]
+        for turn in range(now := min(ROUNDS_A_CHECKPOINT, most - done)):
+            came = (ways.join(came.select("kind", "host", "moving").where("moving > 0"), ["kind", "host"])
+                    .groupBy("kind", F.col("next").alias("host")).agg((F.sum(F.col("moving") / F.col("fan")) * damping).alias("moving")))
+            last = F.col("moving") if turn == now - 1 else F.lit(0.0)
+            parts.append(came.select("kind", "host", last.alias("moving"), F.col("moving").alias("score")))
+        state = materialize(reduce(DataFrame.unionByName, parts).groupBy("kind", "host")
+                            .agg(F.sum("moving").alias("moving"), F.sum("score").alias("score")))
+        done += now
+        if state.where("moving > 0").isEmpty():
+            break
+    return state.drop("moving")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = DAMPING,
