@@ -267,9 +267,8 @@ def test_pivots_lose_no_link(spark, listed):
     keyed = jaccard.keyed(d).cache()
     held = jaccard.feature_sets(d).dropDuplicates(["k1", "k2"]).cache()
     some = jaccard.with_own(held, jaccard.THRESHOLD)
-    members = some.select(F.lit(1).cast("long").alias("sig"), "k1", "n", "own")
     assert 0 < some.count() < held.count()
-    found = jaccard.crowded_links(members, keyed.dropDuplicates(["k1"]), held, jaccard.THRESHOLD, listed)
+    found = jaccard.crowded_links(some, keyed.dropDuplicates(["k1"]), held, jaccard.THRESHOLD, listed)
     roots = {r.node: r.root for r in components(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).collect()}
     node = {r.doc_id: r.node for r in keyed.select("doc_id", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("node")).collect()}
     classes = defaultdict(set)

@@ -356,7 +356,7 @@ def test_balanced_parts_are_of_one_size():
 
 # ------------------------------------------------------------------ names of containers, in both directions
 
-LONG = "This paragraph is part of what the page has to say, and it says so at some length. " * 6
+LONG = "This paragraph is part of what the page has to say, and it says so at some length. " * 8
 
 
 @pytest.mark.parametrize("outer", ["main", "article"])
@@ -404,3 +404,32 @@ def test_lists_of_hosts_that_are_joined_and_broadcast_agree(spark, monkeypatch):
     told = {r.page_id: r.text for r in html.extract(df).collect()}
     monkeypatch.setattr(html, "MAP_BYTES", 1)
     assert {r.page_id: r.text for r in html.extract(df).collect()} == told and len(told) == 30
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_query_equals_its_sql_on_pages_with_many_links(spark, tmp_path, seed):
+    import random
+
+    import duckdb
+
+    from cytotide.llm.oracles import ORACLES
+    from cytotide.llm.queries import queries
+    rnd = random.Random(seed)
+    hosts = [f"h{i}.{t}" for i in range(60) for t in ("net", "org", "com", "example.com", "info")]
+    popular = rnd.sample(hosts, 6)
+    rows = []
+    for i in range(1500):
+        at, path = rnd.choice(hosts), rnd.choice(["/", "/fr/x", "/de/y", "/en/z?q=1"])
+        links = [rnd.choice(popular if rnd.random() < 0.2 else hosts) for _ in range(rnd.randint(0, 4))]
+        rows.append((i, f"http://{at}{path}", "".join(f'<p><a class=x href="https://{h.upper() if i % 9 == 0 else h}/p{i}">go</a><a href="/local">here</a>' for h in links)))
+    rows += [(None, None, None), (3, "no host", "<a href='//h1.net/x'>x</a>"), (1500, "http://h1.com", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(str, (tuple(r) for r in queries()["op8_url_filter"](spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(ORACLES["op8_url_filter"]).fetchall()))
+    assert got == want
+    told = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    assert urls.host_edges(told).count() > 1500
+    judged = {r.verdict for r in urls.judge(told, URL_RULES).where("rule is null").collect()}
+    assert judged == {"allow", "block"}
