@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from cytotide.functions.numeric import nan_to_null
 from cytotide.functions.time import floor_hour
 from cytotide.operators.filters import flag_text
-from cytotide.operators.joins import plan_join
 
 # Fixed values from the reference: Stat metrics medianed per hour, and the count summed.
 HOURLY_MEDIAN_METRICS = ("opp_evt_ratio", "abundance", "fsc_med", "chl_med", "pe_med", "diameter")
@@ -74,12 +73,10 @@ def time_points(df: DataFrame, time: str = "time", by=()) -> DataFrame:
 def populations(df: DataFrame, pop: str = "pop", by=(), unknown: str = UNKNOWN_POP) -> DataFrame:
     """Distinct non-missing populations with the default selection flag:
     every population but ``unknown``, or all of them when nothing else exists."""
-    pops = df.select(*by, pop).where(F.col(pop).isNotNull()).distinct()
-    known = F.sum(F.when(F.col(pop) != F.lit(unknown), 1).otherwise(0)).alias("__known")
-    stats = pops.groupBy(*by).agg(known) if by else pops.agg(known)
-    out = plan_join(pops, stats, list(by))
-    return out.withColumn("selected", (F.col(pop) != F.lit(unknown)) | (F.col("__known") == 0)) \
-        .drop("__known")
+    each = df.where(F.col(pop).isNotNull()).groupBy(*by).agg(F.collect_set(pop).alias("__pops"))  # a few names
+    known = F.exists("__pops", lambda p: p != unknown).alias("__known")
+    out = each.select(*by, known, F.explode("__pops").alias(pop))
+    return out.select(*by, pop, ((F.col(pop) != F.lit(unknown)) | ~F.col("__known")).alias("selected"))
 
 
 def sfl_only_count(sfl: DataFrame, stat: DataFrame, time: str = "time", by=()) -> DataFrame:

@@ -29,14 +29,15 @@ def decode_bins(gridded: DataFrame, bins: DataFrame, channels=GRID_CHANNELS, idx
     per channel (see ``cytotide.sources.parquet.grid_bins``).
     """
     by = list(by)
-    row = F.struct(F.col(idx).alias("i"), *channels)
-    lists = bins.where(F.col(idx).isNotNull()).groupBy(*by).agg(
-        F.collect_list(row).alias("__rows"), F.max(idx).alias("__last"))
-    # position p of the array is bin p; positions that the table lacks are NULL
-    dense = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__last").cast("int"), F.lit(1))),
-                        lambda p: F.get(F.filter("__rows", lambda r: r["i"] == p), F.lit(0)))
-    arrays = lists.withColumn("__dense", dense).select(
-        *by, *[F.col("__dense").getField(c).alias(f"__{c}") for c in channels])
+    held = bins.where(F.col(idx).isNotNull()).select(*by, F.col(idx).cast("int").alias("__i"), *channels)
+    # every position up to the last, so that entry p of the arrays is bin p; positions that the table lacks are NULL
+    last = held.groupBy(*by).agg(F.max("__i").alias("__last"))
+    every = last.where("__last >= 1").select(*by, "__last", F.explode(F.sequence(F.lit(1), "__last")).alias("__i"))
+    lists = every.join(held, [*by, "__i"], "left").groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("__i", *channels))).alias("__rows"), F.max("__last").alias("__last"))
+    twice = F.raise_error(F.concat(F.lit("two grid bins for one position"), *[F.concat(F.lit(f", {k} "), F.col(k).cast("string")) for k in by]))
+    rows = F.when(F.size("__rows") > F.col("__last"), twice.cast(lists.schema["__rows"].dataType)).otherwise(F.col("__rows"))
+    arrays = lists.withColumn("__rows", rows).select(*by, *[F.col("__rows").getField(c).alias(f"__{c}") for c in channels])
     out = keyed_join(gridded, arrays, by)
     out = out.withColumns({c: F.get(F.col(f"__{c}"), F.col(f"{c}_coord").cast("int") - 1) for c in channels})
     out = drop_suffix(out, "_coord").drop(*[f"__{c}" for c in channels])

@@ -205,7 +205,8 @@ def select_pops(df: DataFrame, pops, pop: str = "pop", by=()) -> DataFrame:
     if pops is None:
         return df
     if isinstance(pops, str) and pops == "default":
-        chosen = populations(df, pop=pop, by=by).where(F.col("selected")).select(*by, pop)
+        # written once: the flows read the data again for ranges, but not the populations
+        chosen = sized_broadcast(populations(df, pop=pop, by=by).where(F.col("selected")).select(*by, pop))
         return df.join(chosen, on=[*by, pop], how="left_semi")
     return keep_pops(df, pops, pop)
 

@@ -185,3 +185,14 @@ def test_hex_counts_without_panel_or_keys(spark):
     df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(50)], "fsc_small double, y_value double")
     out = hex_counts(df, panel=None)
     assert out.agg(F.sum("n")).first()[0] == 50 and "panel" not in out.columns
+
+
+def test_two_bins_for_one_position_are_an_error(spark):
+    import pytest
+    bins = spark.createDataFrame([(1, 0.5), (2, 1.5), (2, 1.7)], "idx int, pe double")
+    g = spark.createDataFrame([(1,), (2,)], "pe_coord int")
+    with pytest.raises(Exception, match="two grid bins for one position"):
+        decode_bins(g, bins, channels=["pe"]).collect()
+    far = spark.createDataFrame([(3, 9.0)], "idx int, pe double")
+    assert sorted(((r.pe for r in decode_bins(g.union(spark.createDataFrame([(3,), (0,), (4,)], "pe_coord int")), far, channels=["pe"]).collect())), key=str) \
+        == [9.0, None, None, None, None]
