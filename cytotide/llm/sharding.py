@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from cytotide.llm.common import constant, materialize, pick
 
 SHARDS = 16
-#: Ranges that the records are dealt to, and sampled keys for each of them.
+#: Fewest and most ranges that the records are dealt to, bytes of a range between these, and sampled keys for each.
 RANGES = 512
+MOST_RANGES = 8192
+RANGE_BYTES = 256 << 20
 OVERSAMPLE = 32
 #: A range is overfull above so many times its even share.
 OVERFULL = 2.0
@@ -87,16 +89,29 @@ def _totals(rows: DataFrame, bounds: list) -> list:
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect())
 
 
-def splitters(rows: DataFrame, ranges: int = RANGES, oversample: int = OVERSAMPLE) -> tuple[list, list]:
-    """Range boundaries and exact totals per range.
+def _whole_groups(rows: DataFrame, bounds: list, whole: int) -> list[tuple[int, int]]:
+    """The bounds, moved to the start of the group of equal texts (``k1``) that they lie in unless it is larger than ``whole``."""
+    if not bounds:
+        return bounds
+    at = rows.sparkSession.createDataFrame([(k,) for k in sorted({b[0] for b in bounds})], "k1 long")
+    size = {r.k1: r.bytes for r in rows.join(F.broadcast(at), "k1").groupBy("k1").agg(F.sum("size").alias("bytes")).collect()}
+    return sorted({(k1, k2) if size.get(k1, 0) > whole else (k1, _NO_ID) for k1, k2 in bounds})
+
 
-    ``rows`` (k1, k2, size) are read once for the totals, once for the sample
-    and once more for each round of subdividing. What reaches the driver is
+def splitters(rows: DataFrame, ranges: int | None = None, oversample: int = OVERSAMPLE, shards: int = SHARDS,
+              whole_share: float = WHOLE_SHARE) -> tuple[list, list]:
+    """Range boundaries and exact totals per range. Without ``ranges`` there is one for each RANGE_BYTES, from RANGES
+    to MOST_RANGES. No boundary splits a group of equal texts of up to ``whole_share`` of a shard.
+
+    ``rows`` (k1, k2, size) are read once for the totals, once for the sample, once for the groups that
+    boundaries lie in and once more for each round of subdividing. What reaches the driver is
     the sample and one row per range, both set by the parameters.
     """
     total, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not n:
         return [], []
+    ranges = ranges or min(MOST_RANGES, max(RANGES, total // RANGE_BYTES))
+    whole = int(total / shards * whole_share)
     bounds = _quantiles(_draws(rows, ranges * oversample, total, n, 1).collect(), ranges)
     seed = 1
     while True:
@@ -113,16 +128,17 @@ def splitters(rows: DataFrame, ranges: int = RANGES, oversample: int = OVERSAMPL
                 lo = tuple(r.lo)
                 more |= {b for b in _quantiles(drawn.get(r.range, []), int(share[r.range]) + 1) if b > lo}
         if not more - set(bounds):
-            return bounds, found
+            kept = _whole_groups(rows, bounds, whole)
+            return kept, found if kept == bounds else _totals(rows, kept)
         bounds = sorted({*bounds, *more})
 
 
-def range_shard(rows: DataFrame, shards: int = SHARDS, ranges: int = RANGES, oversample: int = OVERSAMPLE,
+def range_shard(rows: DataFrame, shards: int = SHARDS, ranges: int | None = None, oversample: int = OVERSAMPLE,
                 whole_share: float = WHOLE_SHARE) -> DataFrame:
     """``rows`` of ``shard_rows`` with ``shard`` (0 to shards-1) and ``slot``
     (gapless from 0 within the shard). The records move to their range; no range is gathered anywhere else."""
     keys = materialize(rows.select("k1", "k2", "size"))
-    bounds, found = splitters(keys, ranges, oversample)
+    bounds, found = splitters(keys, ranges, oversample, shards, whole_share)
     total = sum(r.bytes for r in found)
     starts, bytes_before, rows_before = {}, 0, 0
     for r in found:
