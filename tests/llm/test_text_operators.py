@@ -335,3 +335,21 @@ def test_empty_tables(spark, documents):
     assert decontaminate.leaks(none, empty).count() == 0
     assert decontaminate.leaks(documents([(1, "a b c")]), empty).count() == 0
     assert decontaminate.clean(documents([(1, "a b c")]), empty, ("doc_id",)).count() == 1
+
+
+def test_small_groups_of_equal_texts_share_a_shard(spark, documents):
+    rnd = random.Random(3)
+    texts = [prose(rnd.randint(3, 30), rnd) for _ in range(500)]
+    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(rnd.randint(1, 12)))]
+    got = sharding.range_shard(sharding.shard_rows(documents(rows)), shards=4, ranges=64, whole_share=0.05).collect()
+    assert len(got) == len(rows)
+    where = defaultdict(set)
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert max(size.values()) < 1.06 * min(size.values())
+    bounds, found = sharding.splitters(sharding.shard_rows(documents(rows)).select("k1", "k2", "size").cache(), shards=4, whole_share=0.05)
+    assert len(found) > 100 and sum(r.n for r in found) == len(rows)  # the registered number of ranges, over few rows
