@@ -27,11 +27,11 @@ passages) are crowded. Of these, sets with too many features that no other one
 has are let go, as they can be similar to none. The rest sign anew, with
 partitions in groups and subsets of each group, which single passages don't
 fill. Crowded sets that such signatures connect are a family, and are compared
-with one of them, the pivot, that has the least share of features of its own. Those linked to it
+with CANDIDATES of them; the one with the most links is the pivot. Those linked to it
 need no comparison with one another, and by the triangle inequality only with
 others within twice the distance; the rest are families anew. Once the pairs
-that are left are few (LISTED for each set of the corpus), or after ROUNDS, they
-are compared one by one.
+that are left are few (LISTED for each set of the corpus), or pivots take less
+than a tenth of what is left, they are compared one by one.
 
 Candidates pass a test that loses none (the parities of the features in about
 twice as many cells differ in no more than the sets may) and are then verified
@@ -60,11 +60,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pandas.util import hash_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytotide.llm.common import materialize, pick, sized_broadcast
-from cytotide.llm.components import components
+from cytotide.llm.components import components, roots_of
 from cytotide.llm.substring import _planes, _values
 from cytotide.operators.joins import broadcast_fits
 
@@ -82,9 +82,10 @@ WIDE = (5, 2)
 BATCH_ENTRIES = 1 << 21
 SLICE_ENTRIES = 1 << 21
 #: Pairs of crowded sets that may be listed for each set of the corpus, pivots of a family after which all that are
-#: left are listed, and measured bytes of pivots and of pairs that are broadcast.
-LISTED = 4
+#: left are listed, sets of a family that one is chosen from, and measured bytes of pivots and of pairs that are broadcast.
+LISTED = 16
 ROUNDS = 8
+CANDIDATES = 16
 #: Times that crowded sets are told which features are theirs alone.
 PEELS = 2
 PIVOT_BYTES = 8 << 20
@@ -334,18 +335,23 @@ def packed_signatures(docs: DataFrame, slices: int, threshold: tuple[int, int],
     return docs.select("text").mapInArrow(work, "slice long, sigs binary, keys binary, small boolean, owners binary, hot binary")
 
 
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Sorted signatures with their sets' keys, and what else the rows of a slice have."""
+    full = [r for r in rows if r["sigs"]]
+    sig = np.concatenate([_values(r["sigs"], np.uint64) for r in full] or [np.zeros(0, np.uint64)])
+    who = np.concatenate([np.frombuffer(r["keys"], np.int64)[_values(r["owners"], np.uint16 if r["small"] else np.uint32)] for r in full]
+                         or [np.zeros(0, np.int64)])
+    order = np.lexsort((who, sig))
+    return sig[order], who[order], b"".join(r["hot"] for r in rows)
+
+
 def shared_signatures(packed: DataFrame, hot: int) -> DataFrame:
     """(a, b, hot): pairs of sets with a signature in common that isn't hot, and the hot signatures."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int64())])
 
     def work(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        sig = np.concatenate([_values(r["sigs"], np.uint64) for r in rows if r["sigs"]] or [np.zeros(0, np.uint64)])
-        who = np.concatenate([np.frombuffer(r["keys"], np.int64)[_values(r["owners"], np.uint16 if r["small"] else np.uint32)]
-                              for r in rows if r["sigs"]] or [np.zeros(0, np.int64)])
-        crowded = np.unique(np.concatenate([np.frombuffer(r["hot"], np.uint64) for r in rows]))
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
+        sig, who, hots = _unpacked(group.to_pylist())
+        crowded = np.unique(np.frombuffer(hots, np.uint64))
         if len(sig):  # copies of a set sign in every batch that they are in
             first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])])
             sig, who = sig[first], who[first]
@@ -410,21 +416,58 @@ def feature_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "k1 long, k2 long, features array<long>")
 
 
-def wide_rows(held: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(sig, k1) of sets with their features."""
-    schema = pa.schema([("k1", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+def family_edges(held: DataFrame, threshold: tuple[int, int], slices: int) -> DataFrame:
+    """(a, b): edges that connect the sets (k1, features) that share a wide signature, directly or through others.
 
+    Sets that a batch connects are one in what it sends, so that a signature costs a batch as many entries as
+    it leaves families, whatever their size.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, owners, keys, size = [], [], [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            sig, own, names = np.concatenate(sigs), np.concatenate(owners).astype(np.int64), np.array(keys, np.int64)
+            order = np.lexsort((own, sig))
+            sig, own = sig[order], own[order]
+            root = roots_of(*_neighbours(sig, own), len(names))
+            own = root[own]
+            first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            edges = np.stack([names[root[moved]], names[moved]], axis=1).tobytes()
+            for row in _packed(sig[first], own[first], names, slices, len(names)):
+                yield pa.RecordBatch.from_pylist([row | {"hot": edges}], schema=_PACKED)
+                edges = b""
+
         for b in batches:
-            keys, sets = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(keys), 64):
-                rows = []
-                for i in range(at, min(at + 64, len(keys))):
-                    x = sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    rows.append({"k1": keys[i], "sigs": wide_signatures(x, masses(x), threshold).view(np.int64)})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            sets = b.column(1)
+            for i, k in enumerate(b.column(0).to_pylist()):
+                x = sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                s = np.unique(wide_signatures(x, masses(x), threshold))
+                sigs.append(s)
+                owners.append(np.full(len(s), len(keys)))
+                keys.append(k)
+                size += len(s)
+                if size >= BATCH_ENTRIES:
+                    yield from rows()
+                    sigs, owners, keys, size = [], [], [], 0
+        if size:
+            yield from rows()
+
+    def meet(group: pa.Table) -> pa.Table:
+        sig, who, edges = _unpacked(group.to_pylist())
+        local = np.frombuffer(edges, np.int64).reshape(-1, 2)
+        a, b = _neighbours(sig, who)
+        both = np.unique(np.concatenate([local, np.stack([a, b], axis=1)]), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    packed = held.select("k1", "features").mapInArrow(work, "slice long, sigs binary, keys binary, small boolean, owners binary, hot binary")
+    return packed.groupBy("slice").applyInArrow(meet, "a long, b long")
+
 
-    return held.select("k1", "features").mapInArrow(work, "k1 long, sigs array<long>").select(F.explode("sigs").alias("sig"), "k1").distinct()
+def _neighbours(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different neighbours with one signature, in sorted order."""
+    same = (sig[1:] == sig[:-1]) & (who[1:] != who[:-1])
+    return who[:-1][same], who[1:][same]
 
 
 # ------------------------------------------------------------------ join
@@ -492,10 +535,9 @@ def with_own(held: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return left
 
 
-def families(signed: DataFrame) -> DataFrame:
-    """(k1, family) of sets that share a signature (sig, k1), directly or through others."""
-    first = signed.groupBy("sig").agg(F.min("k1").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "a")
-    roots = components(signed.join(first, "sig").where("k1 <> a").select("a", F.col("k1").alias("b")))
+def families(held: DataFrame, threshold: tuple[int, int], features: int) -> DataFrame:
+    """(k1, family) of sets that share a wide signature, directly or through others; about so many features in all."""
+    roots = components(family_edges(held, threshold, 1 + features // SLICE_ENTRIES))
     return (roots.select(F.col("node").alias("k1"), F.col("root").alias("family"))
             .unionByName(roots.select(F.col("root").alias("k1"), F.col("root").alias("family")).distinct()))
 
@@ -513,7 +555,7 @@ def _own_allow(x: str, y: str, threshold: tuple[int, int]) -> Column:
 
 def crowded_links(some: DataFrame, sets: DataFrame, held: DataFrame, threshold: tuple[int, int] = THRESHOLD,
                   listed: int | None = None) -> DataFrame:
-    """Links that connect all similar ones of some sets (k1, n, own). At most ``listed`` pairs of a family (LISTED
+    """Links that connect all similar ones of some sets (of ``with_own``). At most ``listed`` pairs of a family (LISTED
     for each set of the corpus) are listed; while there are more, every family's pivot takes what is near it."""
     num, den = threshold
     reach = 1 - num / den
@@ -527,33 +569,38 @@ def crowded_links(some: DataFrame, sets: DataFrame, held: DataFrame, threshold:
     def side(x: DataFrame, prefix: str) -> DataFrame:
         return x.withColumnsRenamed({c: f"{prefix}{c}" for c in x.columns if c != "family"})
 
-    left = some
+    left, before = some, 0
     for turn in range(ROUNDS + 1):
-        signed = wide_rows(held.join(sized_broadcast(left.select("k1")), "k1", "left_semi"), threshold)
-        group = materialize(families(signed).join(left.select("k1", "n", "own"), "k1"))
-        # the set with the least share of features of its own is nearest to all
-        pivot = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("k1").alias("k1")))["k1"].alias("pivot")
-        sizes = group.groupBy("family").agg(pivot, F.count(F.lit(1)).cast("double").alias("c"))
+        total = left.agg(F.sum("n")).first()[0] or 0
+        group = families(held.join(sized_broadcast(left.select("k1")), "k1", "left_semi"), threshold, total)
+        group = materialize(group.join(left, "k1"))
+        sizes = group.groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("c"))
         pairs = sizes.agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0]
         if not pairs:
             break
-        if pairs <= listed or turn == ROUNDS:
+        slow = turn > 0 and total > 0.9 * before
+        before = total
+        if pairs <= listed or slow or turn == ROUNDS:
             pairs = (side(group, "a_").join(side(group, "b_"), "family").where((F.col("a_k1") < F.col("b_k1")) & _own_allow("a_", "b_", threshold))
                      .select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")))
             found = found.unionByName(linked(pairs))
             break
-        group = group.join(sized_broadcast(sizes.select("family", "pivot")), "family").where("k1 <> pivot")
-        stars = group.select(F.col("pivot").alias("a"), F.col("k1").alias("b"))
+        drawn = Window.partitionBy("family").orderBy(F.xxhash64("k1", F.lit(turn)), "k1")
+        candidates = group.select("family", F.col("k1").alias("a"), F.row_number().over(drawn).alias("nth")).where(F.col("nth") <= CANDIDATES)
+        stars = group.join(sized_broadcast(candidates.select("family", "a")), "family").where("k1 <> a").select("family", "a", F.col("k1").alias("b"))
         near = materialize(compared(materialize(likely(stars, sets, floor)), held, pivots=True))
-        told = group.join(near.select(F.col("b").alias("k1"), "similarity"), "k1", "left")
-        told = materialize(told.withColumn("core", F.coalesce(_linked("similarity", threshold), F.lit(False))).drop("pivot"))
+        taken = near.where(_linked("similarity", threshold)).groupBy("family", "a").agg(F.count(F.lit(1)).alias("links"))
+        best = taken.groupBy("family").agg(F.max(F.struct("links", "a"))["a"].alias("a"))
+        of = near.join(sized_broadcast(best), ["family", "a"]).select(F.col("b").alias("k1"), "similarity")
+        told = group.join(sized_broadcast(best.select(F.col("a").alias("k1"))), "k1", "left_anti").join(of, "k1", "left")
+        told = materialize(told.withColumn("core", F.coalesce(_linked("similarity", threshold), F.lit(False))))
         # a set beyond the pivot's links may still be similar to one of those
         shell = told.where(~F.col("core") & (F.col("similarity") >= 1 - 2 * reach - 1e-9))
         pairs = (side(shell, "x_").join(side(told.where("core"), "y_"), "family")
                  .where((F.col("y_similarity") - F.col("x_similarity") <= reach + 1e-9) & _own_allow("x_", "y_", threshold))
                  .select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")))
         found = materialize(found.unionByName(_links_of(near, threshold)).unionByName(linked(pairs)))
-        left = told.where(~F.col("core")).select("k1", "n", "own")
+        left = told.where(~F.col("core")).select(*some.columns)
     return found
 
 
