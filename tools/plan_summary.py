@@ -24,7 +24,7 @@ COUNTS = [
     ("shuffled hash joins", r"\bShuffledHashJoin\b"),
     ("nested-loop joins", r"\bBroadcastNestedLoopJoin\b|\bCartesianProduct\b"),
     ("windows", r"\bWindow\b"),
-    ("python", r"\bBatchEvalPython\b|\bArrowEvalPython\b|\bFlatMapGroupsInPandas\b|\bMapInPandas\b"),
+    ("python", r"\bBatchEvalPython\b|\bArrowEvalPython\b|\bFlatMapGroupsInPandas\b|\bMapInPandas\b|\bMapInArrow\b"),
 ]
 
 
