@@ -43,3 +43,11 @@ def test_query_matches_oracle_small(spark, name):
     def norm(r):
         return tuple("" if v is None else (round(v, 6) if isinstance(v, float) else str(v)) for v in r)
     assert sorted(map(norm, orows)) == sorted(norm(tuple(r)) for r in srows)
+
+
+def test_library_queries_do_without_the_training_data_subpackage(monkeypatch):
+    import sys
+
+    import workload
+    monkeypatch.setitem(sys.modules, "cytotide.llm", None)  # importing it fails, as without a package that it needs
+    assert set(entry_mod.queries()) == set(workload.load()[0]) and set(entry_mod.oracle_sql()) == set(workload.load()[1])
