@@ -33,7 +33,9 @@ others within twice the distance; the rest are families anew. Once the pairs
 that are left are few (LISTED for each set of the corpus), or pivots take less
 than a tenth of what is left, they are compared one by one.
 
-Candidates pass a test that loses none (the parities of the features in about
+Pairs are made in the slices of the signatures, where sizes and the parities of
+the features in 256 cells already tell most of them apart. Candidates then pass a
+test that loses none (the parities of the features in about
 twice as many cells differ in no more than the sets may) and are then verified
 on the sets.
 
@@ -151,6 +153,20 @@ def sketch(x: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def outline(x: np.ndarray) -> np.ndarray:
+    """The number of features and their parities in 256 cells, as five words."""
+    odd = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.concatenate([np.array([len(x)], np.uint64), np.packbits(odd.astype(np.uint8)).view(np.uint64)])
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+    """False only for dissimilar sets, by their outlines (rows of x and y)."""
+    num, den = threshold
+    a, b = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+    differ = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1).astype(np.int64)
+    return (differ * (num + den) <= (a + b) * (den - num)) & (np.minimum(a, b) * den >= np.maximum(a, b) * num)
+
+
 # ------------------------------------------------------------------ signatures
 
 def most_differing(a: int, upto: int, threshold: tuple[int, int] = THRESHOLD) -> int:
@@ -286,8 +302,8 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=len(sorted_))
 
 
-def _packed(sig: np.ndarray, own: np.ndarray, keys: np.ndarray, slices: int, hot: int) -> Iterator[dict]:
-    """Signatures and their sets' keys by slice; of one that is hot already, only itself."""
+def _packed(sig: np.ndarray, own: np.ndarray, keys: np.ndarray, slices: int, hot: int, outlines: np.ndarray | None = None) -> Iterator[dict]:
+    """Signatures and their sets' keys and outlines by slice; of one that is hot already, only itself."""
     order = np.argsort(sig, kind="stable")
     sig, own = sig[order], own[order]
     starts, lengths = _runs(sig)
@@ -301,20 +317,22 @@ def _packed(sig: np.ndarray, own: np.ndarray, keys: np.ndarray, slices: int, hot
         who, numbers = np.unique(own[a:b], return_inverse=True)
         small = len(who) <= 1 << 16
         yield {"slice": at, "sigs": _planes(sig[a:b]) if b > a else b"", "keys": keys[who].tobytes(), "small": small,
+               "outlines": b"" if outlines is None else outlines[who].tobytes(),
                "owners": _planes(numbers.astype(np.uint16 if small else np.uint32)) if b > a else b"",
                "hot": crowded[theirs == at].tobytes()}
 
 
 _PACKED = pa.schema([("slice", pa.int64()), ("sigs", pa.binary()), ("keys", pa.binary()), ("small", pa.bool_()), ("owners", pa.binary()),
-                     ("hot", pa.binary())])
+                     ("hot", pa.binary()), ("outlines", pa.binary())])
+_PACKED_SPARK = "slice long, sigs binary, keys binary, small boolean, owners binary, hot binary, outlines binary"
 
 
 def packed_signatures(docs: DataFrame, slices: int, threshold: tuple[int, int], hot: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners, keys, seen, size = [], [], [], set(), 0
+        sigs, owners, keys, outlines, seen, size = [], [], [], [], set(), 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for row in _packed(np.concatenate(sigs), np.concatenate(owners), np.array(keys, np.int64), slices, hot):
+            for row in _packed(np.concatenate(sigs), np.concatenate(owners), np.array(keys, np.int64), slices, hot, np.array(outlines)):
                 yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
 
         for _, _, x in _texts(batches, 0):
@@ -326,13 +344,14 @@ def packed_signatures(docs: DataFrame, slices: int, threshold: tuple[int, int],
                 owners.append(np.full(len(s), len(keys), np.uint32))
                 size += len(s)
             keys.append(k[0])
+            outlines.append(outline(x))
             if size >= BATCH_ENTRIES:
                 yield from rows()
-                sigs, owners, keys, seen, size = [], [], [], set(), 0
+                sigs, owners, keys, outlines, seen, size = [], [], [], [], set(), 0
         if size:
             yield from rows()
 
-    return docs.select("text").mapInArrow(work, "slice long, sigs binary, keys binary, small boolean, owners binary, hot binary")
+    return docs.select("text").mapInArrow(work, _PACKED_SPARK)
 
 
 def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -345,13 +364,17 @@ def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, bytes]:
     return sig[order], who[order], b"".join(r["hot"] for r in rows)
 
 
-def shared_signatures(packed: DataFrame, hot: int) -> DataFrame:
-    """(a, b, hot): pairs of sets with a signature in common that isn't hot, and the hot signatures."""
+def shared_signatures(packed: DataFrame, hot: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b, hot): pairs of sets with a signature in common that isn't hot and outlines that allow for similarity,
+    and the hot signatures."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int64())])
 
     def work(group: pa.Table) -> pa.Table:
-        sig, who, hots = _unpacked(group.to_pylist())
+        rows = group.to_pylist()
+        sig, who, hots = _unpacked(rows)
         crowded = np.unique(np.frombuffer(hots, np.uint64))
+        names, first = np.unique(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), return_index=True)
+        outlines = np.concatenate([np.frombuffer(r["outlines"], np.uint64).reshape(-1, 5) for r in rows])[first]
         if len(sig):  # copies of a set sign in every batch that they are in
             first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])])
             sig, who = sig[first], who[first]
@@ -362,14 +385,16 @@ def shared_signatures(packed: DataFrame, hot: int) -> DataFrame:
         for n in np.unique(lengths[~more & (lengths > 1)]).tolist():
             at = starts[~more & (lengths == n)]
             i, j = np.triu_indices(n, 1)
-            step = max(1, (1 << 20) // len(i))
+            step = max(1, (1 << 18) // len(i))
             for k in range(0, len(at), step):
                 x, y = (who[at[k:k + step, None] + m].ravel() for m in (i, j))
                 order = np.lexsort((y, x))
                 x, y = x[order], y[order]
                 new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-                a.append(x[new])
-                b.append(y[new])
+                x, y = x[new], y[new]
+                may = may_be_similar(outlines[np.searchsorted(names, x)], outlines[np.searchsorted(names, y)], threshold)
+                a.append(x[may])
+                b.append(y[may])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         none, hots = pa.nulls(len(crowded), pa.int64()), crowded.view(np.int64)
         return pa.table([pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]),
@@ -460,7 +485,7 @@ def family_edges(held: DataFrame, threshold: tuple[int, int], slices: int) -> Da
         both = np.unique(np.concatenate([local, np.stack([a, b], axis=1)]), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    packed = held.select("k1", "features").mapInArrow(work, "slice long, sigs binary, keys binary, small boolean, owners binary, hot binary")
+    packed = held.select("k1", "features").mapInArrow(work, _PACKED_SPARK)
     return packed.groupBy("slice").applyInArrow(meet, "a long, b long")
 
 
@@ -609,7 +634,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHO
     exactly those that similar sets connect."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     slices = 1 + int(0.4 * total) // SLICE_ENTRIES
-    found = materialize(shared_signatures(packed_signatures(docs, slices, threshold, hot), hot))
+    found = materialize(shared_signatures(packed_signatures(docs, slices, threshold, hot), hot, threshold))
     pairs = materialize(likely(found.where("a is not null").select("a", "b").distinct(), sets, threshold))
     hots = found.where("hot is not null").select(F.col("hot").alias("sig"))
     crowded = None
