@@ -157,3 +157,37 @@ def test_intervals_that_differ_in_which_parameter_is_null(spark):
     points = spark.createDataFrame([(ts("2024-01-01 12:00:00"),)], "time timestamp")
     got = active_at(points, iv).collect()
     assert {(r.beads_D1, r.beads_D2) for r in got} == {(5.0, None), (None, 5.0)} and len(got) == 2
+
+
+def test_nested_parameters_are_not_broadcast_by_an_estimate(spark):
+    from cytotide.operators import quantile_sets
+    params = spark.createDataFrame([(i, q, i * q) for i in range(4) for q in (2.5, 50.0, 97.5)], "id long, quantile double, width double")
+    plan = _plan(spark, [(ts("2024-01-01 00:00:00"), 1), (ts("2024-01-02 00:00:00"), 3), (ts("2024-01-03 00:00:00"), 9)])
+    iv = with_params(plan, quantile_sets(params))
+    rows = iv.collect()
+    assert "BroadcastHashJoin" not in iv._jdf.queryExecution().executedPlan().toString()
+    assert {r.filter_id: r.params and [p.width for p in r.params] for r in rows} == {1: [2.5, 50.0, 97.5], 3: [7.5, 150.0, 292.5], 9: None}
+
+
+def test_a_dense_plan_gets_narrow_buckets(spark):
+    from cytotide.operators.intervals import _explode_intervals
+    base = dt.datetime(2024, 1, 1)
+    iv = to_intervals(_plan(spark, [(base + dt.timedelta(seconds=i), i % 3) for i in range(7200)]), tiebreak=["filter_id"])
+    exploded, *_ = _explode_intervals(iv.selectExpr("*", "filter_id AS __iv"), "start_date", "end_date", [], 3_600_000_000, points=True)
+    assert exploded.groupBy("__b").count().agg(F.max("count")).first()[0] <= 8
+    pts = spark.createDataFrame([(base + dt.timedelta(seconds=i, milliseconds=500),) for i in range(-2, 7300, 97)], "time timestamp")
+    got = {r.time: (r.start_date, r.filter_id) for r in active_at(pts, iv).collect()}
+    for (t,) in pts.collect():
+        k = min(int((t - base).total_seconds()), 7199)
+        assert got[t] == ((None, None) if t < base else (base + dt.timedelta(seconds=k), k % 3))
+
+
+def test_intervals_without_length_are_not_carried_to_points(spark):
+    """Starts that repeat make intervals without length; the parameters stay one row for each set of values."""
+    rows = [(ts("2024-01-01 00:00:00"), 1)] * 50 + [(ts("2024-01-01 01:00:00"), 2)] * 50
+    params = spark.createDataFrame([(1, 0.5), (2, None), (2, 7.0)], "id long, width double")
+    iv = with_params(to_intervals(_plan(spark, rows), tiebreak=["filter_id"]), params)
+    pts = spark.createDataFrame([(ts("2023-12-31 00:00:00"),), (ts("2024-01-01 00:30:00"),), (ts("2024-01-01 00:30:00"),), (ts("2024-01-01 01:00:00"),)], "time timestamp")
+    got = sorted(((str(r.time), r.filter_id, r.width) for r in active_at(pts, iv).collect()), key=str)
+    assert got == sorted([("2023-12-31 00:00:00", None, None), ("2024-01-01 00:30:00", 1, 0.5), ("2024-01-01 00:30:00", 1, 0.5),
+                          ("2024-01-01 01:00:00", 2, None), ("2024-01-01 01:00:00", 2, 7.0)], key=str)
