@@ -93,3 +93,26 @@ def test_quantile_sets_judge_each_particle_once(spark):
     want = {(r.n, r["quantile"]) for r in select_opp(copies).collect()}
     assert {(r.n, q) for r in attached.select("n", passed_quantiles().alias("p")).collect() for q in r.p} == want
     assert replicate_quantiles(params.where("id = 1")).count() == 9
+
+
+def test_polygons_meet_points_gate_by_gate_in_bounded_packs(spark, monkeypatch):
+    """Packs smaller than a gate; repeated and null vertices stay, missing ids match nothing, and many tasks share a gate."""
+    import datetime as dt
+
+    from cytotide.plans import flows
+    monkeypatch.setattr(flows, "POLYGON_VERTICES", 3)
+    monkeypatch.setattr(flows, "POLYGON_SCOPES", 16)
+    monkeypatch.setattr(flows, "POLYGON_SLICE", 8)
+    monkeypatch.setattr(flows, "POLYGON_TASK_ROWS", 50)
+    base = dt.datetime(2024, 1, 1)
+    vertices = [("A", 1, float(i), "x") for i in range(40)] + [("A", 1, 5.0, "x"), ("A", 2, None, "y"), ("B", 1, -0.0, None), (None, 1, 1.0, "z"), ("A", None, 1.0, "z")]
+    points = [("A", base + dt.timedelta(seconds=i), 1) for i in range(70)] + [("A", base, 2), ("A", base, None), ("B", base, 1), ("B", base, 1), ("B", base, 3)]
+    poly = spark.createDataFrame(vertices, "cruise string, gating_id long, fsc_small double, pop string")
+    active = spark.createDataFrame(points, "cruise string, time timestamp, gating_id long")
+    out = flows.active_polygons(poly, active, by=["cruise"])
+    assert out.columns == ["cruise", "gating_id", "fsc_small", "pop", "time"]
+    want = sorted(((c, g, x, p, t) for c, g, x, p in vertices for d, t, h in set(points) if c is not None and c == d and g is not None and g == h), key=str)
+    assert sorted(map(tuple, out.collect()), key=str) == want
+    # gate (A, 1) has 41 * 70 rows: no task holds all of them
+    per_task = out.where("cruise = 'A' and gating_id = 1").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert sum(r["count"] for r in per_task) == 41 * 70 and max(r["count"] for r in per_task) < 41 * 70
