@@ -31,7 +31,10 @@ with CANDIDATES of them; the one with the most links is the pivot. Those linked
 need no comparison with one another, and by the triangle inequality only with
 others within twice the distance; the rest are families anew. Once the pairs
 that are left are few (LISTED for each set of the corpus), or pivots take less
-than a tenth of what is left, they are compared one by one.
+than a tenth of what is left, they are compared one by one. Only classes are
+wanted: sets that the links found so far connect aren't compared, and a family that
+they connect is done. The sets of a family are dealt to parts, and sketches are tested
+as they meet there: only pairs that pass are listed.
 
 Candidates pass a test that loses none (the parities of the features in about
 twice as many cells differ in no more than the sets may) and are then verified
@@ -88,6 +91,8 @@ ROUNDS = 8
 CANDIDATES = 16
 #: Times that crowded sets are told which features are theirs alone.
 PEELS = 2
+#: Sets of a family in one part, about, and most parts of a family.
+PART_SETS, PARTS = 512, 64
 PIVOT_BYTES = 8 << 20
 PAIR_BYTES = 8 << 20
 CHUNK = 1 << 20
@@ -553,37 +558,66 @@ def _own_allow(x: str, y: str, threshold: tuple[int, int]) -> Column:
     return half(x, y) & half(y, x)
 
 
+def _classes(names: DataFrame, found: DataFrame) -> DataFrame:
+    """(k1, class) of the sets of ``names`` (k1, node), by what the links connect; two sets with one k1 are a class alone."""
+    roots = components(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    each = names.join(sized_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return each.groupBy("k1").agg(F.when(F.count(F.lit(1)) == 1, F.min("root")).otherwise(F.hex("k1")).alias("class"))
+
+
+def _met(x: DataFrame, y: DataFrame, told: DataFrame, threshold: tuple[int, int], cond: Column) -> DataFrame:
+    """(a, b): sets of ``x`` (k1, family, parts, class, n, own and others; x_ in ``cond``) and of ``y`` (y_) of one family that
+    may be similar, by the condition, own features, sizes and sketches. A family's ``x`` are dealt to its parts; its ``y`` meet each."""
+    told = told.select("k1", F.struct("n", "sketch").alias("of"))
+
+    def side(df: DataFrame, prefix: str, part: Column) -> DataFrame:
+        df = df.join(told, "k1").withColumn("part", part).drop("parts")
+        return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c not in ("family", "part")})
+
+    left = side(x, "x_", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+    right = side(y, "y_", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return (left.join(right.hint("merge"), ["family", "part"])
+            .where(cond & (F.col("x_class") != F.col("y_class")) & _own_allow("x_", "y_", threshold) & _may_share("x_of", "y_of", threshold))
+            .select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")))
+
+
 def crowded_links(some: DataFrame, sets: DataFrame, held: DataFrame, threshold: tuple[int, int] = THRESHOLD,
-                  listed: int | None = None) -> DataFrame:
-    """Links that connect all similar ones of some sets (of ``with_own``). At most ``listed`` pairs of a family (LISTED
-    for each set of the corpus) are listed; while there are more, every family's pivot takes what is near it."""
+                  listed: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Links that, with the ``known`` ones, connect all similar ones of some sets (of ``with_own``). At most ``listed``
+    pairs of a family (LISTED for each set of the corpus) are listed; while there are more, every family's pivot takes
+    what is near it. Sets that links connect already aren't paired."""
     num, den = threshold
     reach = 1 - num / den
     floor = (2 * num - den, den)
     listed = LISTED * sets.count() if listed is None else listed
+    sets = materialize(sets.select("k1", "n", "sketch").join(sized_broadcast(some.select("k1")), "k1", "left_semi"))
     found = some.sparkSession.createDataFrame([], "node_a string, node_b string")
+    names = materialize(held.join(sized_broadcast(some.select("k1")), "k1", "left_semi")
+                        .select("k1", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("node")))
+    if known is not None:  # what they connect of these sets, each with the least of its class
+        roots = components(known.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        known = materialize(roots.join(sized_broadcast(names.select("node")), "node", "left_semi").toDF("node_a", "node_b"))
+    links_before = found if known is None else known
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _links_of(compared(materialize(likely(pairs, sets, threshold)), held), threshold)
-
-    def side(x: DataFrame, prefix: str) -> DataFrame:
-        return x.withColumnsRenamed({c: f"{prefix}{c}" for c in x.columns if c != "family"})
+    def linked(x: DataFrame, y: DataFrame, cond: Column) -> DataFrame:
+        return _links_of(compared(materialize(_met(x, y, sets, threshold, cond)), held), threshold)
 
     left, before = some, 0
     for turn in range(ROUNDS + 1):
         total = left.agg(F.sum("n")).first()[0] or 0
         group = families(held.join(sized_broadcast(left.select("k1")), "k1", "left_semi"), threshold, total)
-        group = materialize(group.join(left, "k1"))
-        sizes = group.groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        pairs = sizes.agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0]
+        group = materialize(group.join(left, "k1").join(_classes(names, links_before.unionByName(found)), "k1"))
+        sizes = group.groupBy("family", "class").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("family")
+        sizes = sized_broadcast(sizes.agg(F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").alias("pairs"),
+                                          F.least(F.ceil(F.sum("c") / PART_SETS), F.lit(PARTS)).cast("int").alias("parts")).where("pairs > 0"))
+        pairs = sizes.agg(F.sum("pairs")).first()[0]
         if not pairs:
             break
+        group = group.join(sizes.drop("pairs"), "family")
         slow = turn > 0 and total > 0.9 * before
         before = total
         if pairs <= listed or slow or turn == ROUNDS:
-            pairs = (side(group, "a_").join(side(group, "b_"), "family").where((F.col("a_k1") < F.col("b_k1")) & _own_allow("a_", "b_", threshold))
-                     .select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")))
-            found = found.unionByName(linked(pairs))
+            found = found.unionByName(linked(group, group, F.col("x_k1") < F.col("y_k1")))
             break
         drawn = Window.partitionBy("family").orderBy(F.xxhash64("k1", F.lit(turn)), "k1")
         candidates = group.select("family", F.col("k1").alias("a"), F.row_number().over(drawn).alias("nth")).where(F.col("nth") <= CANDIDATES)
@@ -596,10 +630,8 @@ def crowded_links(some: DataFrame, sets: DataFrame, held: DataFrame, threshold:
         told = materialize(told.withColumn("core", F.coalesce(_linked("similarity", threshold), F.lit(False))))
         # a set beyond the pivot's links may still be similar to one of those
         shell = told.where(~F.col("core") & (F.col("similarity") >= 1 - 2 * reach - 1e-9))
-        pairs = (side(shell, "x_").join(side(told.where("core"), "y_"), "family")
-                 .where((F.col("y_similarity") - F.col("x_similarity") <= reach + 1e-9) & _own_allow("x_", "y_", threshold))
-                 .select(F.least("x_k1", "y_k1").alias("a"), F.greatest("x_k1", "y_k1").alias("b")))
-        found = materialize(found.unionByName(_links_of(near, threshold)).unionByName(linked(pairs)))
+        apart = F.col("y_similarity") - F.col("x_similarity") <= reach + 1e-9
+        found = materialize(found.unionByName(_links_of(near, threshold)).unionByName(linked(shell, told.where("core"), apart)))
         left = told.where(~F.col("core")).select(*some.columns)
     return found
 
@@ -623,10 +655,10 @@ def links(docs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHO
     texts = sized_broadcast(sets.join(wanted.distinct(), "k1", "left_semi").select("text_hash").distinct())
     some = docs.withColumn("text_hash", F.xxhash64("text")).join(texts, "text_hash", "left_semi")
     held = materialize(feature_sets(some).dropDuplicates(["k1", "k2"]))
-    out = _links_of(compared(pairs, held), threshold)
+    out = materialize(_links_of(compared(pairs, held), threshold))
     if crowded is not None:
         some = with_own(held.join(sized_broadcast(crowded), "k1", "left_semi"), threshold)
-        out = out.unionByName(crowded_links(some, sets, held, threshold))
+        out = out.unionByName(crowded_links(some, sets, held, threshold, known=out))
     return out.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 

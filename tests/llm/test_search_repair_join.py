@@ -280,6 +280,37 @@ def test_pivots_lose_no_link(spark, listed):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values())) and 1 < len(want) < 60
 
 
+@pytest.mark.parametrize("told", [False, True])
+def test_families_list_only_pairs_that_sketches_allow(spark, monkeypatch, told):
+    """Near copies of one text that are mostly too far apart: their family isn't listed as all its pairs, nor are sets that known links connect."""
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(70):
+        w = base[:]
+        for at in rnd.sample(range(400), 4 if i < 12 else rnd.randint(14, 20)):
+            w[at] = f"x{rnd.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    d = pick(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    keyed = jaccard.keyed(d).cache()
+    held = jaccard.feature_sets(d).dropDuplicates(["k1", "k2"]).cache()
+    node = {r.doc_id: r.node for r in keyed.select("doc_id", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("node")).collect()}
+    shingles = [brute_shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(70) for j in range(i) if 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])]
+    known = spark.createDataFrame([(node[i], node[j]) for i, j in links if i < 12], "node_a string, node_b string") if told else None
+    listed, likely, compared = [], jaccard.likely, jaccard.compared
+    monkeypatch.setattr(jaccard, "PART_SETS", 9)
+    monkeypatch.setattr(jaccard, "likely", lambda pairs, *more: (listed.append(pairs.count()), likely(pairs, *more))[1])
+    monkeypatch.setattr(jaccard, "compared", lambda pairs, *more, **named: (listed.append(pairs.count()), compared(pairs, *more, **named))[1])
+    some = held.select("k1", F.size("features").alias("n"), F.lit(0).alias("own"))
+    found = jaccard.crowded_links(some, keyed.dropDuplicates(["k1"]), held, jaccard.THRESHOLD, 10 ** 6, *([known] if told else []))
+    edges = [tuple(r) for r in (found.unionByName(known) if told else found).collect()]
+    roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    classes = {least for _, _, least in brute_jaccard(rows)}
+    assert len({roots.get(n, n) for n in node.values()}) == len(classes) < 70 and {tuple(sorted(e)) for e in edges} <= {tuple(sorted((node[i], node[j]))) for i, j in links}
+    assert max(listed) < 70 * 69 // 2 // 4, (listed, len(links))
+
+
 def test_similar_sets_share_a_signature():
     rnd = np.random.default_rng(1)
     draw = lambda n: rnd.integers(0, 2 ** 63, n, dtype=np.uint64)
