@@ -141,3 +141,36 @@ def test_a_writer_task_that_runs_again_leaves_the_same_files(tmp_path):
     assert con.execute("SELECT * FROM filter_plan ORDER BY 1").fetchall() == [("2024-01-01 00:00:00", 3), ("2024-01-02 00:00:00", None)]
     assert con.execute("SELECT * FROM outlier").fetchall() == [("f1", 0)]
     assert sorted(n for n in os.listdir(tmp_path) if n.endswith(".db")) == ["C1.0.outlier.db", "C2.1.outlier.db"]
+
+
+def test_database_writer_keeps_rows_across_batches_and_tables(tmp_path, monkeypatch):
+    """Whole (cruise, part)s and tables, cut anywhere by batches, with nulls; written without a rollback journal."""
+    import sqlite3
+
+    import pyarrow as pa
+
+    from workload import q_sqlite
+    said, connect = [], sqlite3.connect
+
+    def traced(*a, **k):
+        con = connect(*a, **k)
+        con.set_trace_callback(said.append)
+        return con
+
+    rows = [(no, 0, table, [None if (i + j) % 4 == 0 else f"{i}.{j}" for j in range(len(q_sqlite._COLUMNS[table]))])
+            for no in (1, 2) for table in ("outlier", "stat") for i in range(5)]
+    kind = pa.schema([("no", pa.int64()), ("part", pa.int64()), ("table", pa.string()), ("v", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows[a:a + 7]], schema=kind) for a in range(0, len(rows), 7)]
+    monkeypatch.setattr(sqlite3, "connect", traced)
+    done = [p for b in q_sqlite._writer(str(tmp_path), True)(iter(batches)) for p in b.column(0).to_pylist()]
+    monkeypatch.undo()
+    assert done == [f"{tmp_path}/C{no}.0.outlier.db" for no in (1, 2)] and sorted(map(str, tmp_path.iterdir())) == done
+    for no, path in zip((1, 2), done):
+        con = sqlite3.connect(path)
+        for table in ("outlier", "stat"):
+            left = [i for i, c in enumerate(q_sqlite._COLUMNS[table]) if no == 2 or c not in q_sqlite._NEW]
+            got = con.execute(f"SELECT {', '.join(f'CAST({q_sqlite._COLUMNS[table][i]} AS TEXT)' for i in left)} FROM {table} ORDER BY rowid").fetchall()
+            want = [tuple(v[i] for i in left) for n, _, t, v in rows if (n, t) == (no, table)]
+            assert [[None if x is None else float(x) for x in r] for r in got] == [[None if x is None else float(x) for x in r] for r in want]
+        con.close()
+    assert sum("journal_mode = OFF" in x for x in said) == 2

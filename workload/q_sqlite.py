@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,28 +90,25 @@ def _writer(folder: str, old: bool):
 
         tag = uuid.uuid4().hex
         for b in batches:
-            held = None
-            for no, part, table, values in zip(*(b.column(i).to_pylist() for i in range(4))):
+            start = 0
+            for (no, part, table), run in groupby(zip(*(b.column(i).to_pylist() for i in range(3)))):
+                n = sum(1 for _ in run)
                 if (no, part) != at:
-                    if held:
-                        con.executemany(*held)
-                        held = None
                     if con:
                         finish()
                     at, path = (no, part), f"{folder}/C{no}.{part}.outlier.db"
                     con, made = sqlite3.connect(f"{path}.{tag}"), set()
+                    con.execute("PRAGMA journal_mode = OFF")  # a file that isn't finished has no reader
+                    con.execute("PRAGMA synchronous = OFF")
                 columns = _columns(table, old and no % 2 == 1)
                 if table not in made:
                     con.execute(f'CREATE TABLE "{table}" ({", ".join(columns)})')
                     made.add(table)
-                sql = f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(columns))})'
-                if held and held[0] != sql:
-                    con.executemany(*held)
-                    held = None
-                held = held or (sql, [])
-                held[1].append(values if len(columns) == len(values) else [v for v, c in zip(values, _COLUMNS[table]) if c not in _NEW])
-            if held:
-                con.executemany(*held)
+                names = _COLUMNS[table]
+                values = b.column(3).slice(start, n).flatten().to_numpy(zero_copy_only=False).tolist()  # row after row
+                rows = zip(*(values[i::len(names)] for i, c in enumerate(names) if len(columns) == len(names) or c not in _NEW))
+                con.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(columns))})', rows)
+                start += n
         if con:
             finish()
         yield pa.RecordBatch.from_pydict({"path": pa.array(wrote, pa.string())})
