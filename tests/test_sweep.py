@@ -103,3 +103,38 @@ def test_active_ids_equal_brute_force(spark, by):
     assert got == want
     conflicts = {(r.cruise if by else "a", r.time): r.n_active for r in gate_conflicts(pts, iv, by=by).collect()}
     assert conflicts == {k: n for k, n in want.items() if n > 1} and 0 < len(conflicts) < len(want)
+
+
+def test_parts_hand_on_values_without_moving_rows_again(spark):
+    """Parts given by hand, so that every key has many; keys and values may be null. No join follows the windows."""
+    from cytotide.operators.sweep import PART, carried, following, running_sum
+    rnd = random.Random(3)
+    rows = [(k, t, None if rnd.random() < 0.8 else t * 10, 1, t // 4) for k in ("a", None) for t in range(40) if rnd.random() < 0.8]
+    df = spark.createDataFrame(rows, f"cruise string, t long, v long, one long, {PART} long").withColumn("w", F.when(F.col("v").isNotNull(), F.struct("v")))
+    by, order = ["cruise"], ["t"]
+    seen = carried(df, by, order, {"v": "last", "w": "whole"})
+    nexts, sums = following(df, by, order, "v", "next"), running_sum(df, by, order, "one", "n")
+    assert seen.columns == [*df.columns, "last", "whole"] and nexts.columns == [*df.columns, "next"] and sums.columns == [*df.columns, "n"]
+    got = {(r.cruise, r.t): (r.last, r.whole and r.whole.v) for r in seen.collect()}
+    after = {(r.cruise, r.t): r.next and (r.next.value,) for r in nexts.collect()}
+    n = {(r.cruise, r.t): r.n for r in sums.collect()}
+    assert len(got) == len(after) == len(n) == len(rows) == seen.count() == nexts.count() == sums.count()
+    for key in ("a", None):
+        last, mine = None, [r for r in rows if r[0] == key]
+        for i, (_, t, v, _, _) in enumerate(mine):
+            last = v if v is not None else last
+            assert got[key, t] == (last, last) and n[key, t] == i + 1
+            assert after[key, t] == ((mine[i + 1][2],) if i + 1 < len(mine) else None)
+    assert not any("Join" in x._jdf.queryExecution().toString() for x in (seen, nexts, sums))
+
+
+def test_distinct_points_are_not_joined_back(spark):
+    iv = to_intervals(spark.createDataFrame([("a", at(0), 1), ("a", at(5), 2), (None, at(3), 3), ("a", None, 4)], "cruise string, start_date timestamp, gating_id long"),
+                      by=["cruise"], tiebreak=["gating_id"])
+    points = spark.createDataFrame([(at(t), k) for k in ("a", None) for t in (-1, 0, 4, 5, 99)] + [(None, "a")], "time timestamp, cruise string")
+    plain = active_at(points, iv, by=["cruise"], how="inner", disjoint=True)
+    swept = active_at(points, iv, by=["cruise"], how="inner", disjoint=True, distinct=True)
+    assert swept.dtypes == plain.dtypes and Counter(swept.collect()) == Counter(plain.collect()) and swept.count() == 7
+    assert {(r.cruise, r.time, r.start_date, r.end_date) for r in swept.where("gating_id < 3").collect()} == {
+        ("a", at(0), at(0), at(5)), ("a", at(4), at(0), at(5)), ("a", at(5), at(5), None), ("a", at(99), at(5), None)}
+    assert "Join" not in swept._jdf.queryExecution().toString()

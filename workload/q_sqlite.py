@@ -271,7 +271,8 @@ def q_sqlite_active_polygons(spark, sf):
     dbs = _cruise_dbs(spark, sf)
     points = exclude_flags(_stat(spark, dbs)).select("cruise", "time").distinct()
     iv = gating_intervals(read_sqlite(spark, dbs, "gating_plan"), by=["cruise"])
-    return active_polygons(read_sqlite(spark, dbs, "poly"), active_at(points, iv, by=["cruise"], how="inner", disjoint=True), by=["cruise"])
+    act = active_at(points, iv, by=["cruise"], how="inner", disjoint=True, distinct=True)
+    return active_polygons(read_sqlite(spark, dbs, "poly"), act, by=["cruise"])
 
 
 @register("grid_files_decode", """
