@@ -116,3 +116,25 @@ def test_polygons_meet_points_gate_by_gate_in_bounded_packs(spark, monkeypatch):
     # gate (A, 1) has 41 * 70 rows: no task holds all of them
     per_task = out.where("cruise = 'A' and gating_id = 1").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert sum(r["count"] for r in per_task) == 41 * 70 and max(r["count"] for r in per_task) < 41 * 70
+
+
+def test_no_task_makes_a_whole_gate_however_many_points_it_has(spark, monkeypatch):
+    """A gate of few vertices and many points is dealt to many tasks; a result beyond what the most tasks make has larger cells."""
+    from cytotide.plans import flows
+    monkeypatch.setattr(flows, "POLYGON_VERTICES", 3)
+    monkeypatch.setattr(flows, "POLYGON_SCOPES", 16)
+    monkeypatch.setattr(flows, "POLYGON_SLICE", 8)
+    monkeypatch.setattr(flows, "POLYGON_TASK_ROWS", 200)
+    base = dt.datetime(2024, 1, 1)
+    poly = spark.createDataFrame([("A", 1, 0.5), ("A", 1, 0.5), ("A", 1, None), ("B", 1, 2.0)], "cruise string, gating_id int, fsc_small double")
+    active = spark.createDataFrame([("A", base + dt.timedelta(seconds=i), 1) for i in range(2000)] + [("B", base, 1), ("B", base, 2), ("C", base, 1)],
+                                   "cruise string, time timestamp, gating_id long")
+    want = {("A", 1, 0.5, 2): 2000, ("A", 1, None, 1): 2000, ("B", 1, 2.0, 1): 1}
+    for most, share in ((4000, 4), (4, 1.5)):
+        monkeypatch.setattr(flows, "POLYGON_TASKS", most)
+        out = flows.active_polygons(poly, active, by=["cruise"])
+        assert out.dtypes == [("cruise", "string"), ("gating_id", "int"), ("fsc_small", "double"), ("time", "timestamp")]
+        per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in per_task) == 6001 and max(r["count"] for r in per_task) < 6001 / share
+        per_time = out.groupBy(*out.columns).count().groupBy("cruise", "gating_id", "fsc_small", "count").agg(F.count("*").alias("times"))
+        assert {tuple(r)[:4]: r.times for r in per_time.collect()} == want
