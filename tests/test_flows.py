@@ -138,3 +138,21 @@ def test_no_task_makes_a_whole_gate_however_many_points_it_has(spark, monkeypatc
         assert sum(r["count"] for r in per_task) == 6001 and max(r["count"] for r in per_task) < 6001 / share
         per_time = out.groupBy(*out.columns).count().groupBy("cruise", "gating_id", "fsc_small", "count").agg(F.count("*").alias("times"))
         assert {tuple(r)[:4]: r.times for r in per_time.collect()} == want
+
+
+def test_polygons_are_unpacked_a_slice_at_a_time(spark, monkeypatch):
+    """A step of generated code holds all rows that it makes of one it reads, so vertices and points are unpacked in steps of
+    their own, in as many partitions as were dealt; before, a pack's rows were all there before the first was returned."""
+    import re
+
+    from cytotide.plans import flows
+    monkeypatch.setattr(flows, "POLYGON_TASK_ROWS", 3000)
+    base = dt.datetime(2024, 1, 1)
+    poly = spark.createDataFrame([(1, float(i)) for i in range(100)], "gating_id int, fsc_small double")
+    active = spark.createDataFrame([(base + dt.timedelta(seconds=i), 1) for i in range(300)], "time timestamp, gating_id long")
+    out = flows.active_polygons(poly, active)
+    assert out.select("fsc_small", "time").distinct().count() == out.count() == 100 * 300 and out.rdd.getNumPartitions() == 11
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    steps = re.findall(r"\*\((\d+)\) Generate (?:explode|inline)\((__vertices|__scopes)#", plan)
+    assert [column for _, column in steps] == ["__scopes", "__vertices"] and steps[0][0] != steps[1][0]
